@@ -93,9 +93,11 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: bytes, separators: np.ndarray = SPACES) -> np.ndarray:
+def word_hashes(data: bytes, separators: np.ndarray = SPACES, stems: tuple[int, ...] = ()) -> np.ndarray:
     """A 64-bit hash of each word of data in order; words are the runs of bytes that aren't separators.
 
+    With stems, the hashes of the first so many bytes of each longer word follow, chunk by chunk.
+
     The hash is a polynomial in the word's bytes, from prefix sums over the text, so there is no loop over words.
     Long texts go through in chunks cut between words.
     """
@@ -115,5 +117,8 @@ def word_hashes(data: bytes, separators: np.ndarray = SPACES) -> np.ndarray:
         sums = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * power[: len(chars)], out=sums[1:])
         found.append((sums[stop] - sums[start]) * inverse[start])
+        for k in stems:
+            longer = start[stop - start > k]
+            found.append((sums[longer + k] - sums[longer]) * inverse[longer] + np.uint64(k))
         at = end
     return mix(np.concatenate(found)) if found else np.empty(0, np.uint64)
