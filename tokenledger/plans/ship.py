@@ -1,0 +1,28 @@
+"""Gives executors this package, so that Python functions in a plan can be loaded there."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import weakref
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_done: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Adds the package as a zip to the session's context, once; Spark hands it to every executor, also to later ones."""
+    context = spark.sparkContext
+    if context in _done:
+        return
+    top = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, f"{top.name}.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for p in sorted(top.rglob("*.py")):
+                out.write(p, p.relative_to(top.parent))
+        context.addPyFile(path)
+    _done.add(context)
