@@ -19,10 +19,9 @@ def ship_package(spark: SparkSession) -> None:
     if context in _done:
         return
     top = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, f"{top.name}.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for p in sorted(top.rglob("*.py")):
-                out.write(p, p.relative_to(top.parent))
-        context.addPyFile(path)
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{top.name}.zip")  # the driver serves it from here until the context ends
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(top.rglob("*.py")):
+            out.write(p, p.relative_to(top.parent))
+    context.addPyFile(path)
     _done.add(context)
