@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
-from . import cuckoo, langid, minhash, pieces, toxicity
+from . import cuckoo, langid, minhash, mixing, pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,50 @@ def piece_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by weights 5, 2, 1 takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op4_sainte_lague_mix"] = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source
+), w AS (
+  SELECT source, n, k, CAST(CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS HUGEINT) AS w, 3 * n AS cap FROM s
+), r AS (
+  SELECT *, row_number() OVER o AS rank, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+         coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before,
+         sum(n) OVER () AS total, sum(w) OVER () AS w_all
+  FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), k)
+), c AS (
+  SELECT *, rank < coalesce(min(CASE WHEN cap * (w_all - w_before) > (total - cap_before) * w THEN rank END) OVER (), 1000000) AS capped FROM r
+), t AS (
+  SELECT source, k, n, total, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
+         CAST(w * (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)) AS DOUBLE)
+         / CAST(w_all - coalesce(sum(CASE WHEN capped THEN w END) OVER (), 0) AS DOUBLE) END AS target
+  FROM c
+), q AS (
+  SELECT k, count(*) AS quota FROM (
+    SELECT k FROM t, range(32768) AS x(i) WHERE target > 0 ORDER BY target / CAST(2 * i + 1 AS DOUBLE) DESC, k LIMIT 32768
+  ) GROUP BY k
+), p AS (
+  SELECT t.*, least(3 * n, (2 * total * coalesce(quota, 0) + 32768) // 65536) AS took FROM t LEFT JOIN q USING (k)
+), l AS (
+  SELECT d.doc_id, d.size, CAST(p.n AS BIGINT) AS source_size, p.target, p.n, p.took,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (took // greatest(n, 1)) + greatest(0, least(size, took - (took // greatest(n, 1)) * n - start)) AS BIGINT) AS taken
+FROM l
+"""
+
+
 @query
 def op5_language_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: family first, then one machine for each two languages of it."""
