@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
-from . import cuckoo, langid, minhash, mixing, pieces, toxicity
+from . import cuckoo, langid, merkle, minhash, mixing, pieces, resharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,13 @@ def piece_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op3_min_cost_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents moved from 8 shards by source to 8 shards of near equal bytes, with the fewest bytes moved."""
+    placed, _ = resharding.reshard(table(spark, sf_dir, "documents"), resharding.old_shard_by_source(8), 8, 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 @query
 def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 5, 2, 1 takes of every document."""
@@ -94,6 +101,12 @@ def op6_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(encoded, model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text, and their likeness."""
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal normalised texts by the cuckoo-filter index; the least doc_id of each stays."""
