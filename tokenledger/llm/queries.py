@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
-from . import cuckoo, langid, merkle, minhash, mixing, pieces, resharding, toxicity
+from . import cuckoo, html_text, langid, merkle, minhash, mixing, pieces, resharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,75 @@ def piece_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """WARC records made of pages: each page is a response and, a while later, a revisit of its section's URL, in another
+    spelling, with validators that agree for most."""
+    section = F.regexp_replace("url", "/[0-9]+[^/]*$", "/")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    changed = F.concat(F.lit("day "), (F.col("page_id") % 400).cast("string"))
+    response = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), section.alias("url"), (F.col("page_id") * 60).alias("at"),
+        F.map_filter(F.create_map(F.lit("etag"), F.when(F.col("page_id") % 4 != 0, tag), F.lit("last-modified"), changed, F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60")), lambda _, v: v.isNotNull()).alias("headers"),
+        F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2("html", 256).alias("payload_sha256"),
+    )
+    revisit = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat(F.upper(F.regexp_extract(section, "^[^/]*//[^/]*", 0)), F.regexp_replace(section, "^[^/]*//[^/]*", ""), F.lit("#again")).alias("url"), (F.col("page_id") * 60 + 1 + F.col("page_id") % 7 * 10).alias("at"),
+        F.map_filter(F.create_map(F.lit("etag"), F.when(F.col("page_id") % 5 != 0, F.when(F.col("page_id") % 11 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))), F.lit("last-modified"), F.when(F.col("page_id") % 3 != 0, changed), F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.concat(F.lit("max-age="), (F.col("page_id") % 90).cast("string"))), lambda _, v: v.isNotNull()).alias("headers"),
+        F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("payload_sha256"),
+    )
+    return response.unionByName(revisit)
+
+
+@query
+def op1_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit with the response it stands for, its state and its merged headers."""
+    found = warc.resolve_revisits(capture_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    line = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "; ")
+    return found.select("revisit_id", "response_id", "state", line.alias("headers"), "payload_bytes", "payload_sha256")
+
+
+ORACLES["op1_not_modified_revisits"] = """
+WITH p AS (
+  SELECT page_id, html, regexp_replace(url, '/[0-9]+[^/]*$', '/') AS section, '"' || md5(coalesce(html, '')) || '"' AS tag,
+         'day ' || CAST(page_id % 400 AS VARCHAR) AS changed FROM pages
+), u AS (
+  SELECT *, regexp_replace(trim(section), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS rest FROM p
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest, '^([^/?#]*)', 1), '^[^@]*@', '')), '\\.?(:80|:443)?$', ''), '^www[0-9]*\\.', '')
+            || CASE WHEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) END
+            || CASE WHEN regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) = '' THEN ''
+                    ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&')), '&') END AS key
+  FROM u
+), r AS (
+  SELECT page_id * 2 AS response_id, key, page_id * 60 AS at, CASE WHEN page_id % 4 <> 0 THEN tag END AS etag, changed,
+         CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha FROM c
+), v AS (
+  SELECT page_id * 2 + 1 AS revisit_id, key, page_id * 60 + 1 + page_id % 7 * 10 AS at,
+         CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 11 = 0 THEN '"other"' ELSE 'W/' || tag END AS etag,
+         CASE WHEN page_id % 3 <> 0 THEN changed END AS changed, 'max-age=' || CAST(page_id % 90 AS VARCHAR) AS cache FROM c
+), j AS (
+  SELECT v.revisit_id, r.response_id, r.bytes, r.sha, r.etag AS re, v.etag AS ve, r.changed AS rc, v.changed AS vc, v.cache
+  FROM v ASOF LEFT JOIN r ON v.key = r.key AND v.at > r.at
+), s AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'missing'
+                 WHEN re IS NOT NULL AND ve IS NOT NULL THEN CASE WHEN re = regexp_replace(ve, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+                 WHEN rc IS NOT NULL AND vc IS NOT NULL THEN CASE WHEN rc = vc THEN 'resolved' ELSE 'mismatch' END
+                 ELSE 'unvalidated' END AS state FROM j
+)
+SELECT revisit_id, response_id, state,
+       CASE WHEN state = 'resolved' THEN 'cache-control: ' || cache || '; content-type: text/html'
+            || coalesce('; etag: ' || coalesce(ve, re), '') || '; last-modified: ' || coalesce(vc, rc) END AS headers,
+       CASE WHEN state = 'resolved' THEN bytes END AS payload_bytes, CASE WHEN state = 'resolved' THEN sha END AS payload_sha256
+FROM s
+"""
+
+
+@query
+def op2_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without the site's template."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_min_cost_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents moved from 8 shards by source to 8 shards of near equal bytes, with the fewest bytes moved."""
