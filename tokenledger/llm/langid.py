@@ -144,6 +144,17 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel | None:
     return LanguageModel(scaled(x), rows["lang"].to_pylist())
 
 
+def _predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    counts = [ngram_counts(x) for x in texts]
+    names, scores = ["und"] * len(counts), np.zeros(len(counts))
+    some = [i for i, x in enumerate(counts) if x is not None]
+    if some and model is not None:
+        found, sure = model.predict(scaled(np.array([counts[i] for i in some])))
+        for i, name, score in zip(some, found, sure, strict=True):
+            names[i], scores[i] = name, score
+    return names, scores
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred and score of every document, from its whole text alone.
 
@@ -154,13 +165,20 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts = [ngram_counts(x) for x in batch.column(1).to_pylist()]
-            names, scores = ["und"] * len(counts), np.zeros(len(counts))
-            some = [i for i, x in enumerate(counts) if x is not None]
-            if some and shared.value is not None:
-                found, sure = shared.value.predict(scaled(np.array([counts[i] for i in some])))
-                for i, name, score in zip(some, found, sure, strict=True):
-                    names[i], scores[i] = name, score
+            names, scores = _predict(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """docs with lang replaced by the prediction; null or letterless texts get `und`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, text = docs.columns.index("lang"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            names, _ = _predict(shared.value, batch.column(text).to_pylist())
+            yield batch.set_column(at, "lang", pa.array(names, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
