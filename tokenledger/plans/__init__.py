@@ -1,0 +1,6 @@
+"""The registered queries of the library; importing this module registers them."""
+
+from . import ledger, reads  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
