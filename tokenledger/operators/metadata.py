@@ -135,17 +135,20 @@ def overlay_opensea(rows: DataFrame) -> DataFrame:
     return _overlay(rows, "opensea", name=_filled(_text(v, "name")), description=_filled(_text(v, "description")), image_url=sized, animation_url=_filled(_text(v, "display_animation_url")), artists=F.when(artist.isNotNull(), _artist(F.lit(None).cast("string"), artist)), release_id=F.when(member, slug), release_slug=F.when(member, slug), mint_number=F.when(member, mint), moderation_status=spam_status(_text(v, "is_disabled").try_cast("boolean"), F.lit(None).cast("string")))
 
 
-@F.pandas_udf("string")
-def canonical_json(raw: pd.Series) -> pd.Series:
+def _canonical(x: str | None) -> str | None:
+    try:
+        return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except ValueError:
+        return None
+
+
+def canonical_json(raw: Column) -> Column:
     """JSON with sorted keys at every depth and no spaces; null for what isn't JSON."""
 
-    def one(x: str | None) -> str | None:
-        try:
-            return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return None
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(_canonical)
 
-    return raw.map(one)
+    return F.pandas_udf(run, "string")(raw)
 
 
 def json_hash(raw: Column) -> Column:

@@ -1,6 +1,6 @@
 """The registered queries of the library; importing this module registers them."""
 
-from . import decoding, enrichment, ledger, reads, states  # noqa: F401
+from . import decoding, enrichment, ledger, reads, states, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,4 +1,4 @@
-"""Gives executors this package, so that Python functions in a plan can be loaded there."""
+"""What a session needs beside Spark's own settings: the package on the executors, and a shared folder."""
 
 from __future__ import annotations
 
@@ -18,10 +18,24 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context in _done:
         return
-    top = Path(__file__).resolve().parents[1]
+    top = Path(__file__).resolve().parents[0]
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{top.name}.zip")  # the driver serves it from here until the context ends
     with zipfile.ZipFile(path, "w") as out:
         for p in sorted(top.rglob("*.py")):
             out.write(p, p.relative_to(top.parent))
     context.addPyFile(path)
     _done.add(context)
+
+
+_own: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or an own folder where that is unset, as in tests on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(_own[0])
+    return _own[0]
