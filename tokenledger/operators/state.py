@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import is_none_address
+from ..functions.uris import parse_data_uri
 from ..functions.values import hamming, severity
 from .selection import without_gated
 
@@ -167,6 +168,18 @@ def content_verdict(bodies: DataFrame, markers: list[str], window: int = 4096) -
     return bodies.select("id", verdict.alias("verdict"), found.alias("sniffed"))
 
 
+def data_uri_verdict(uris: DataFrame, allowed: tuple[str, ...] = ("image/", "video/", "audio/", "text/", "model/", "application/")) -> DataFrame:
+    """STATE15: verdicts of data URIs (id, uri): well formed, of an allowed type, not empty, and with bytes that aren't of
+    another kind than declared. Text may be any text; markup declared as svg or html has to look like it."""
+    d = parse_data_uri(F.col("uri"))
+    seen = uris.select("id", d.alias("__d")).withColumn("__found", sniff(F.col("__d.data")))
+    mime, found = F.col("__d.mime"), F.col("__found")
+    ok_type = F.exists(F.array(*map(F.lit, allowed)), lambda a: F.startswith(mime, a))
+    other = found.isNotNull() & (F.split(found, "/")[0] != F.split(mime, "/")[0]) & ~F.startswith(mime, F.lit("text/")) & ~F.startswith(mime, F.lit("application/"))
+    verdict = F.when(F.col("__d").isNull() | F.col("__d.data").isNull(), "malformed").when(~ok_type, "unsupported").when(F.octet_length("__d.data") == 0, "empty").when(other | ((mime == "image/svg+xml") & ~F.coalesce(found == "image/svg+xml", F.lit(False))), "type_mismatch").otherwise("healthy")
+    return seen.select("id", mime.alias("mime"), verdict.alias("verdict"))
+
+
 def gateway_choice(urls: DataFrame, observations: DataFrame, order: list[str]) -> DataFrame:
     """STATE16: of each URL the verdict of the direct fetch, else the first healthy candidate in the gateways' order. A
     blocked direct fetch is final."""

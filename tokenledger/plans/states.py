@@ -166,6 +166,15 @@ def state14(v: Views):
     return S.content_verdict(bodies, ["<title>The "]).select("id", "verdict")
 
 
+@query("STATE15_data_uri_verdict", "", """
+SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN 'malformed' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'empty' WHEN 3 THEN 'type_mismatch' WHEN 4 THEN 'type_mismatch' ELSE 'healthy' END AS verdict FROM pages""")
+def state15(v: Views):
+    body = F.base64(F.encode("html", "utf-8"))
+    head = F.expr("CASE page_id % 6 WHEN 0 THEN 'data:text/html' WHEN 1 THEN 'data:font/ttf;base64,' WHEN 3 THEN 'data:image/png;base64,' WHEN 4 THEN 'data:image/svg+xml;base64,' ELSE 'data:text/html;base64,' END")
+    uri = F.when(F.col("page_id") % 6 == 2, "data:text/html,").otherwise(F.concat(head, F.when(F.col("page_id") % 6 == 0, "").otherwise(body)))
+    return S.data_uri_verdict(v.table("pages").select(F.col("page_id").alias("id"), uri.alias("uri"))).select("id", "verdict")
+
+
 @query("STATE16_gateway_choice", "probes", """
 SELECT url_hash, CASE WHEN consecutive_failures IN (0) THEN 'healthy' WHEN consecutive_failures = 1 THEN 'blocked' WHEN verdict <> 'stalled' THEN 'healthy' ELSE 'broken' END AS outcome,
        CASE WHEN consecutive_failures > 1 AND verdict <> 'stalled' THEN CASE verdict WHEN 'blank' THEN 'g2/' ELSE 'g1/' END || url_hash END AS alternative FROM probes""")
