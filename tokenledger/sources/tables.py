@@ -70,4 +70,4 @@ def load_blacklist(spark: SparkSession, path: str) -> DataFrame:
     """SRC8: JSON of chain to contract list as (chain, contract) rows in lower case."""
     text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("chain", "contracts"))
-    return parsed.select("chain", F.lower(F.explode("contracts")).alias("contract"))
+    return parsed.select("chain", F.explode(F.transform("contracts", F.lower)).alias("contract"))
