@@ -86,7 +86,7 @@ def md6_fxhash(v: Views):
     return M.overlay_fxhash(rows).unionByName(M.overlay_objkt(other)).select("token_id", "vendor", "release_id", "mint_number", "total_mints")
 
 
-@query("MD6_overlay_objkt", "token_dim", "SELECT token_id, 'https://ipfs.io/ipfs/Qm' AS image_url, CASE WHEN size % 5 < 2 THEN 'spam' ELSE 'none' END AS moderation_status, 1 AS artists, CASE WHEN size % 2 = 0 THEN contract END AS release_id FROM token_dim")
+@query("MD6_overlay_objkt", "token_dim", "SELECT token_id, 'https://ipfs.io/ipfs/Qm' AS image_url, CASE WHEN size % 5 < 2 THEN 'spam' ELSE 'none' END AS moderation_status, 1 AS artists, CASE WHEN size % 2 = 0 AND token_id > 0 THEN contract END AS release_id FROM token_dim")
 def md6_objkt(v: Views):
     size = F.col("size")
     creators = F.array(F.struct(F.lit("tz1" + "A" * 33).alias("address"), F.lit("Ann").alias("alias")), F.struct(F.lit("0xnot").alias("address"), F.lit("x").alias("alias")))
