@@ -3,34 +3,23 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or an own folder where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
-        spark.sparkContext.setCheckpointDir(_own_dir[0])
-    return _own_dir[0]
-
+from ..session import scratch_dir
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and is computed once."""
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and is computed once.
+
+    The writing stage has at most 8 tasks a core, so that many small partitions don't become as many files."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tokenledger-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(8 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 Each document's shingle set gets one hash per shingle; the hash range is cut in bins and a bin keeps its least hash.
 Empty bins borrow from another bin, probed in an order drawn for the bin alone (optimal densification), so borrowed
 bins agree between two documents as often as filled ones. Bands of bins are bucket keys. A bucket of m documents gives
-m - 1 candidate edges, a star, and never all pairs; every edge is then checked on the full sets. Where a bucket still
+two stars of m - 1 candidate edges, at its least and its greatest member, and never all pairs; every edge is then checked on the full sets. Where a bucket still
 holds several components after that, further stars are laid between members of different components until a round
 finds nothing new.
 
@@ -122,7 +122,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = written(small, "edges")
@@ -148,12 +148,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = written(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     heads = sig.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("doc_id", F.explode("bands").alias("bucket"))
-    shared = heads.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("bucket", "a")
-    stars = written(heads.join(shared, "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "stars")
+    shared = heads.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
+    stars = written(heads.join(shared, "bucket").select("bucket", "a", F.col("doc_id").alias("b"), "z"), "stars")
     involved = stars.select(F.col("b").alias("doc_id")).distinct()
     texts = written(docs.join(involved, "doc_id", "left_semi"), "texts")
-    pairs = written(stars.where("a < b").select("a", "b").distinct(), "pairs")
-    tried, links, comps, turn = pairs, None, None, 0
+    ends = stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("z").alias("b")))).alias("e")).select("e.*")
+    pairs = written(ends.where("a < b").distinct(), "pairs")
+    tried, links, comps, turn, open_ = pairs, None, None, 0, stars.select("bucket", F.col("b").alias("id"))
     while not pairs.isEmpty():
         new = written(verified(pairs, texts, words, percent), "links")
         if new.isEmpty() and turn:
@@ -161,8 +162,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         links = new if links is None else links.unionByName(new)
         comps = written(components(links), "components")
         turn += 1
-        pairs = written(_between(stars, comps, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        open_ = written(_open(open_, comps), "open-buckets")
+        pairs = written(_between(open_, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
+        open_ = open_.select("bucket", "id")
     total = classes.agg(F.sum("copies")).first()[0] or 0
     if comps is not None:
         named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component_id"))
@@ -173,11 +176,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _between(stars: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
-    """Stars between components that share a bucket: in each bucket one member stands for its component and meets the
-    member of one component; which members and which component changes with the turn."""
-    rows = stars.select("bucket", F.col("b").alias("id")).join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    stand = rows.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("h"), "id")).alias("m"))
-    middle = stand.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.col("m.id").alias("c"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("bucket", "x.c")
-    met = stand.select("bucket", F.col("m.id").alias("id")).join(middle, "bucket").where("id != c")
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """bucket, id and component of the buckets that still hold more than one component; the others are done."""
+    rows = rows.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    more = rows.groupBy("bucket").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where("__lo < __hi").select("bucket")
+    return rows.join(more, "bucket", "left_semi")
+
+
+def _between(rows: DataFrame, turn: int, draws: int = 8) -> DataFrame:
+    """Stars between components that share a bucket: in each bucket and draw one member stands for its component and meets
+    the member of one component; which members and which component changes with the draw and the turn."""
+    each = rows.withColumn("draw", F.explode(F.array(*(F.lit(turn * draws + k) for k in range(draws)))))
+    stand = each.groupBy("bucket", "draw", "component").agg(F.min(F.struct(F.xxhash64("id", "bucket", "draw").alias("h"), "id")).alias("m"))
+    middle = stand.groupBy("bucket", "draw").agg(F.min(F.struct(F.xxhash64("component", "draw").alias("h"), F.col("m.id").alias("c"))).alias("x")).select("bucket", "draw", "x.c")
+    met = stand.select("bucket", "draw", F.col("m.id").alias("id")).join(middle, ["bucket", "draw"]).where("id != c")
     return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
