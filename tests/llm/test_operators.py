@@ -337,6 +337,38 @@ def test_near_duplicates(spark, odd, empty):
     assert minhash.near_duplicates(odd.where("doc_id in (1, 2)"), 2).where("kept").count() == 2
 
 
+def test_no_pair_of_a_large_bucket_is_left_out(spark):
+    """Documents of one template, all too different but one pair, at neither end of the only bucket."""
+    r = random.Random(6)
+    template = [f"w{k}" for k in range(400)]
+
+    def changed(words, own, places):
+        return [f"{own}x{k}" if k in places else w for k, w in enumerate(words)]
+
+    made = {d: changed(template, f"d{d}", set(r.sample(range(0, 400, 6), 7))) for d in range(300)}
+    made[171] = changed(made[87], "d171", {399, 398})
+    texts = [(d, " ".join(x)) for d, x in made.items()]
+    comp, _ = brute_components(texts, 5, 80)
+    assert sum(comp[d] != d for d in made) == 1 and comp[171] == 87
+    bucket = {d: int(minhash.shingle_set(t, 5)[0]) for d, t in texts}
+    assert bucket[87] == bucket[171] and sum(x == bucket[87] for x in bucket.values()) > 100
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80, bands=1, rows=1).collect()}
+    assert got == comp
+
+
+def test_blocks_are_compared_whole(spark):
+    """Small blocks, pure and mixed: the links join what brute force joins."""
+    texts = [(d, f"{'same words go on and on for a while ' * 3} end {' '.join(f't{d % 7}k{k}' for k in range(20))} {d}") for d in range(60)]
+    rows = spark.createDataFrame([(1, d, 0 if d in (0, 7, 14, 21) else d) for d, _ in texts], "bucket long, id long, component long")
+    found = minhash.across(rows, spark.createDataFrame(texts, "doc_id long, text string"), 5, 80, most=3)
+    edges = [(r.a, r.b) for r in found.collect()] + [(0, 7), (0, 14), (0, 21)]
+    group = {d: d for d, _ in texts}
+    for _ in texts:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    assert group == brute_components(texts, 5, 80)[0]
+
+
 def test_densified_bins_agree_like_the_sets():
     rng, order = np.random.default_rng(1), minhash.probe_order(200)
     for n in (20, 1000):

@@ -5,7 +5,8 @@ Empty bins borrow from another bin, probed in an order drawn for the bin alone (
 bins agree between two documents as often as filled ones. Bands of bins are bucket keys. A bucket of m documents gives
 two stars of m - 1 candidate edges, at its least and its greatest member, and never all pairs; every edge is then checked on the full sets. Where a bucket still
 holds several components after that, further stars are laid between members of different components until a round
-finds nothing new.
+finds nothing new. Then every pair of members of different components that still share a bucket is compared, block by
+block on full sets, so that no pair of a bucket is left out.
 
 With 200 bins in 40 bands of 5, two sets of similarity 0.8 share no bucket with a chance of about 1e-7.
 """
@@ -166,6 +167,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         pairs = written(_between(open_, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         open_ = open_.select("bucket", "id")
+    if comps is not None:
+        new = written(across(written(_open(open_, comps), "open-buckets"), texts, words, percent), "links")
+        if not new.isEmpty():
+            comps = written(components(links.unionByName(new)), "components")
     total = classes.agg(F.sum("copies")).first()[0] or 0
     if comps is not None:
         named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component_id"))
@@ -191,3 +196,99 @@ def _between(rows: DataFrame, turn: int, draws: int = 8) -> DataFrame:
     middle = stand.groupBy("bucket", "draw").agg(F.min(F.struct(F.xxhash64("component", "draw").alias("h"), F.col("m.id").alias("c"))).alias("x")).select("bucket", "draw", "x.c")
     met = stand.select("bucket", "draw", F.col("m.id").alias("id")).join(middle, ["bucket", "draw"]).where("id != c")
     return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def across(rows: DataFrame, texts: DataFrame, words: int, percent: int, most: int = 256, most_shingles: int = 1 << 20) -> DataFrame:
+    """The links (a, b) that join the components of each bucket of rows (bucket, id, component): every pair of members of
+    different components is compared on its full sets.
+
+    A bucket is cut in blocks of about `most` members and `most_shingles` shingles, a large component in blocks of its own;
+    a task holds two blocks at a time, and two blocks of one component never meet. A document goes to a task once for
+    each block that its own meets; of the links between two blocks only those that join components further are returned.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(text, words) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), int_lists([x.view(np.int64) for x in found])], names=["id", "n", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            links = _links(sides[0], sides[1] or sides[0], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        key, sides = None, ([], [])
+        for batch in slices(batches):
+            lists = batch.column(4)
+            flat, at = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            for i, (unit, side, doc, component) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                if key != unit:
+                    if sides[0]:
+                        yield close()
+                    key, sides = unit, ([], [])
+                sides[side].append((doc, component, flat[at[i] : at[i + 1]].copy()))
+        if sides[0]:
+            yield close()
+
+    members = written(texts.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, n long, shingles array<long>"), "sets")
+    known = rows.join(members.groupBy("id").agg(F.max("n").alias("n")), "id")
+    count = lambda x, n: F.greatest(F.ceil(F.col(x) / most), F.ceil(F.col(n) / most_shingles)).cast("long")
+    own = known.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n").alias("of")).withColumn("parts", count("members", "of"))
+    own = own.withColumn("own", F.when(F.col("parts") > 1, F.col("component").cast("string")).otherwise(""))
+    blocks = own.groupBy("bucket", "own").agg(F.sum("members").alias("members"), F.sum("of").alias("of"))
+    blocks = blocks.select("bucket", "own", F.greatest(F.lit(1), count("members", "of")).alias("parts"))
+    named = known.join(own.select("bucket", "component", "own"), ["bucket", "component"]).join(blocks, ["bucket", "own"])
+    named = named.select("bucket", "own", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "component")
+    each = blocks.select("bucket", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left, right = each.toDF("bucket", "own", "part"), each.toDF("bucket", "own2", "part2")
+    units = left.join(right, "bucket").where("own < own2 or own = own2 and own = '' and part <= part2")
+    units = written(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    first = units.select("unit", F.lit(0).alias("side"), "bucket", "own", "part")
+    second = units.where("own <> own2 or part <> part2").select("unit", F.lit(1).alias("side"), "bucket", F.col("own2").alias("own"), F.col("part2").alias("part"))
+    dealt = first.unionByName(second).join(named, ["bucket", "own", "part"]).join(members, "id").select("unit", "side", "id", "component", "shingles")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(left: list[tuple], right: list[tuple], percent: int, columns: int = 8192) -> list[tuple[int, int]]:
+    """Links between members (id, component, sorted set) of left and right that join different components, without those
+    that earlier ones imply."""
+    size = [np.array([len(x[2]) for x in side], np.int64) for side in (left, right)]
+    comp = [np.array([x[1] for x in side], np.int64) for side in (left, right)]
+    low, high = np.minimum.outer(*size), np.maximum.outer(*size)
+    todo = (comp[0][:, None] != comp[1][None, :]) & (low > 0) & (100 * low >= percent * high)
+    if left is right:
+        todo = np.triu(todo)
+    if todo.sum() <= 4 * (len(left) + len(right)):
+        met = [(i, j, len(np.intersect1d(left[i][2], right[j][2], assume_unique=True))) for i, j in zip(*np.nonzero(todo), strict=True)]
+        met = [(i, j) for i, j, both in met if 100 * both >= percent * (len(left[i][2]) + len(right[j][2]) - both)]
+    else:
+        values = [np.concatenate([x[2] for x in side]) for side in (left, right)]
+        common = np.intersect1d(*values)
+        both = np.zeros(todo.shape, np.int64)
+        for at in range(0, len(common), columns):
+            part = common[at : at + columns]
+            has = []
+            for side in (left, right):
+                table = np.zeros((len(side), len(part)), np.float32)
+                for i, x in enumerate(side):
+                    lo, hi = np.searchsorted(x[2], part[0]), np.searchsorted(x[2], part[-1], "right")
+                    own = x[2][lo:hi]
+                    k = np.searchsorted(part, own)
+                    table[i, k[part[k] == own]] = 1
+                has.append(table)
+            both += (has[0] @ has[1].T).astype(np.int64)
+        met = zip(*np.nonzero(todo & (100 * both >= percent * (size[0][:, None] + size[1][None, :] - both))), strict=True)
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in met:
+        a, b = top(left[i][1]), top(right[j][1])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((left[i][0], right[j][0]))
+    return links
