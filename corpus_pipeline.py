@@ -23,15 +23,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the row with the least doc_id."""
+    """Of equal normalised texts the row with the least doc_id; a null doc_id comes last, and stays if the text has no other."""
     ship_package(spark)
-    kept = cuckoo.exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    kept = cuckoo.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("of")).distinct()
     own = docs.select(*COLUMNS, cuckoo.text_digest(F.col("text")).alias("text_sha256"))
-    return own.join(kept, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS)
+    return own.join(kept, (F.col("text_sha256") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each component of documents with a 5-word-shingle similarity of 0.8 or more."""
+    """One document, the least doc_id, of each component of documents with a 5-word-shingle similarity of 0.8 or more. Rows
+    without a doc_id stay."""
     ship_package(spark)
     gone = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -39,12 +40,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: the words taken over the document's words, to the nearest, at least once
-    if any are taken."""
+    if any are taken. Rows are told apart by doc_id, null or not, source and text."""
     ship_package(spark)
-    taken = written(mixing.mix(docs).where("taken > 0").select("doc_id", "size", "source", F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).withColumnRenamed("source", "of"), "mix-times")
-    own = docs.select(*COLUMNS, mixing.words_of(F.col("text")).alias("size"))
-    times = taken.groupBy("doc_id", "size", "of").agg(F.max("times").alias("times"))
-    met = own.join(times.withColumnRenamed("size", "n"), ["doc_id"]).where((F.col("size") == F.col("n")) & F.col("source").eqNullSafe(F.col("of")))
+    own = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    taken = mixing.mix(own, carry="digest").where("taken > 0")
+    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
+    taken = written(taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("digest").alias("text_digest"), times.alias("times")), "mix-times")
+    times = taken.groupBy("id", "of", "text_digest").agg(F.max("times").alias("times"))
+    met = own.join(times, (F.col("digest") == F.col("text_digest")) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")))
     return met.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

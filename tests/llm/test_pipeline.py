@@ -1,9 +1,11 @@
 """The pipeline's stages on odd rows, each against brute force on its own input."""
 
+import hashlib
 import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_components, odd, texts_of  # noqa: F401
 
 from tokenledger.llm import mixing
@@ -46,3 +48,22 @@ def test_empty(spark, odd):  # noqa: F811
     docs = odd.select(*corpus_pipeline.COLUMNS).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_rows_without_an_id_stay(spark, tmp_path):
+    """Null ids with texts of their own, some of one size, pass every stage; a copy of a text that has an id goes."""
+    texts = ["the cat and the dog are in the house", "it was for the best that we are on time", "at the end of the day it is that"]
+    rows = [(None, t, "en", s, len(t)) for t, s in zip(texts, ("a", "a", None), strict=True)] + [(1, "this is one with an id of its own", "en", "a", 1), (None, "this is one  with an id of its own", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "0"))
+    before = spark.read.parquet(str(tmp_path / "0"))
+    want = sorted([(None, t) for t in texts] + [(1, rows[3][1])], key=repr)
+    for name in ("exact_dedup", "near_dedup"):
+        before = dict(corpus_pipeline.STAGES)[name](spark, before, "")
+        assert sorted(((r.doc_id, r.text) for r in before.collect()), key=repr) == want
+    before.write.parquet(str(tmp_path / "1"))
+    before = spark.read.parquet(str(tmp_path / "1"))
+    times = {(r.doc_id, r.digest): max(1, round(r.taken / r.size)) for r in mixing.mix(before.withColumn("digest", F.sha2("text", 256)), carry="digest").collect() if r.taken}
+    got = [(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in corpus_pipeline.mixture(spark, before, "").collect()]
+    assert {k: got.count(k) for k in got} == times
+    assert sum(d is None for d, _ in times) > 1

@@ -64,19 +64,21 @@ def block_words(blocks: int, total: int, seats: int) -> int:
     return (2 * total * blocks + seats) // (2 * seats)
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seats: int = SEATS, digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seats: int = SEATS, digits: int = 3, carry: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, quota, taken and first_shard of every document.
 
     taken is the number of words that the mix takes of the document, repeats counted, at most `most` times its size;
     first_shard the output shard of its first block (null if nothing is taken). Null texts have size 0; null is a
     source of its own, the last. Rows that repeat a doc_id are documents of their own; equal rows are interchangeable.
-    An empty table gives no rows. Other columns are ignored.
+    An empty table gives no rows. Other columns are ignored, but one named by `carry`: it is returned too, and puts rows
+    of one doc_id and size in order.
 
     One row a source comes to the driver: the sources are the mixture's configuration. Within a source, places come
     from sums over hash buckets, then over the documents of one bucket, so that no task has a whole source.
     """
     spark = docs.sparkSession
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"))
+    also = [carry] if carry else []
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), *also)
     light = light.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     light = written(light.withColumn("bucket", F.substring("key", 1, digits)), "mix-sizes")
     rows = light.groupBy("source").agg(F.sum("size").alias("size")).collect()
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     ends = [[words(sum(q[k] for q in quotas[: h + 1])) for h in range(shards)] for k in range(len(rows))]
     known = spark.createDataFrame([(r["source"], r["size"], goal[k], quota[k], took[k], ends[k]) for k, r in enumerate(rows)], "source string, source_size long, target double, quota long, took long, shard_ends array<long>")
     same = F.col("source").eqNullSafe(F.col("s"))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *also)
     placed = light.withColumn("inside", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     sums = light.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("words"))
     offsets = sums.withColumn("before", F.sum("words").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
@@ -98,4 +100,4 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     rest = F.col("took") - F.floor(F.col("took") / F.greatest(F.col("source_size"), F.lit(1))).cast("long") * F.col("source_size")
     taken = F.col("size") * F.expr("took div greatest(source_size, 1L)") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     first = F.size(F.filter("shard_ends", lambda x: x <= start))
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.col("quota"), taken.cast("long").alias("taken"), F.when(taken > 0, first).alias("first_shard"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", F.col("quota"), taken.cast("long").alias("taken"), F.when(taken > 0, first).alias("first_shard"), *also)
