@@ -161,6 +161,26 @@ def test_mix(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_small_sources_beside_a_hot_one_have_their_seats(spark):
+    rows = [(0, "a " * 700_000, "hot")] + [(k, "a b c", f"tiny{k:02}") for k in range(1, 31)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.taken for r in got if r.source != "hot"} == {9} and {r.target for r in got if r.source != "hot"} == {9.0}
+    assert sum(r.taken for r in got) == 700_090
+    goal, quotas, seats = mixing.plan([5 * 10**9] + [5_000] * 40, [5, 2, 1] * 13 + [5, 2])
+    quota = [sum(q[k] for q in quotas) for k in range(41)]
+    assert sum(quota) == 8 * seats and all(sum(q) == seats for q in quotas)
+    assert all(abs(n * sum(goal) / sum(quota) - t) <= 0.01 * t for n, t in zip(quota, goal, strict=True))
+
+
+def test_seats_are_those_given_one_by_one():
+    r = random.Random(3)
+    for n in (1, 2, 7, 40):
+        shares = [r.choice([0.0, 1.0, 2.0, 5.0, r.random() * 100]) for _ in range(n)] + [1.0]
+        for seats in (1, 5, 100, 3000):
+            order = mixing.apportion(shares, seats)
+            assert mixing.seats_of(shares, seats) == [order.count(k) for k in range(n + 1)]
+
+
 def test_apportionment_is_sainte_lague():
     order = mixing.apportion([53.0, 24.0, 23.0], 7)
     assert [order.count(k) for k in range(3)] == [3, 2, 2]

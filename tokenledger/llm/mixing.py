@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 The targets share the corpus's words by weight; a target stops at a few times its source's size and the excess goes to
-the others by weight. The mix is cut in equal seats (blocks of words) that go to the sources by the highest quotients
+the others by weight. The mix is cut in equal seats, so many that the smallest target has about a hundred (blocks of words) that go to the sources by the highest quotients
 target / (2 * seats so far + 1); each output shard has a run of seats, so it has an integer quota of every source.
 Within a source, documents are laid end to end in a seeded order, cut in blocks of a seat's words, and the quota is
 taken in that order, again from the start when the source is through.
@@ -10,6 +10,7 @@ taken in that order, again from the start when the source is through.
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,8 @@ from .common import written
 
 WEIGHTS = (5, 2, 1)  # fixed values: the weights of the sources in order, repeating
 MOST = 3  # times a source's size that its target can be
-SHARDS, SEATS = 8, 4096  # output shards, and seats of each
+SHARDS, SEATS = 8, 4096  # output shards, and seats of each at least
+LEAST = 100  # seats for the smallest target, as far as a seat is a word or more
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -50,13 +52,37 @@ def apportion(shares: list[float], seats: int) -> list[int]:
     return order
 
 
-def plan(sizes: list[int], weights: list[int], most: int = MOST, shards: int = SHARDS, seats: int = SEATS) -> tuple[list[float], list[list[int]]]:
-    """(targets, quotas[shard][source] in blocks)."""
+def seats_of(shares: list[float], seats: int) -> list[int]:
+    """How many of so many seats each source has, as apportion gives them.
+
+    A source has at least the seats whose quotient is a bound or more; the bound leaves about as many seats as there are
+    sources, and those go one by one.
+    """
+    total, some = sum(shares), sum(x > 0 for x in shares)
+    bound = total / (2 * seats - some) if 2 * seats > some else 0.0
+    held = [max(0, int((x / bound + 1) / 2) - 1) if bound else 0 for x in shares]
+    queue = [(-(x / (2 * n + 1)), k, n) for k, (x, n) in enumerate(zip(shares, held, strict=True)) if x > 0]
+    heapq.heapify(queue)
+    for _ in range(seats - sum(held) if queue else 0):
+        _, k, n = queue[0]
+        held[k] += 1
+        heapq.heapreplace(queue, (-(shares[k] / (2 * n + 3)), k, n + 1))
+    return held
+
+
+def seats_needed(goal: list[float], total: int, shards: int, seats: int, least: int = LEAST) -> int:
+    """Seats of a shard: `seats`, or more if the smallest positive target has fewer than `least` seats of more than a word."""
+    smallest = min((x for x in goal if x > 0), default=None)
+    need = min(total, math.ceil(least * total / smallest)) if smallest else 0
+    return max(seats, -(-need // shards))
+
+
+def plan(sizes: list[int], weights: list[int], most: int = MOST, shards: int = SHARDS, seats: int = SEATS) -> tuple[list[float], list[list[int]], int]:
+    """(targets, quotas[shard][source] in blocks, seats of a shard)."""
     goal = [float(x) for x in targets(sizes, weights, most)]
-    quotas = [[0] * len(sizes) for _ in range(shards)]
-    for at, k in enumerate(apportion(goal, shards * seats)):
-        quotas[at // seats][k] += 1
-    return goal, quotas
+    seats = seats_needed(goal, sum(sizes), shards, seats)
+    ends = [[0] * len(sizes), *(seats_of(goal, h * seats) for h in range(1, shards + 1))]
+    return goal, [[y - x for x, y in zip(a, b, strict=True)] for a, b in zip(ends, ends[1:], strict=False)], seats
 
 
 def block_words(blocks: int, total: int, seats: int) -> int:
@@ -83,7 +109,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     light = written(light.withColumn("bucket", F.substring("key", 1, digits)), "mix-sizes")
     rows = light.groupBy("source").agg(F.sum("size").alias("size")).collect()
     rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    goal, quotas = plan([r["size"] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], most, shards, seats)
+    goal, quotas, seats = plan([r["size"] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], most, shards, seats)
     total, quota = sum(r["size"] for r in rows), [sum(q[k] for q in quotas) for k in range(len(rows))]
     words = lambda n: block_words(n, total, shards * seats)
     took = [min(most * r["size"], words(n)) for r, n in zip(rows, quota, strict=True)]
