@@ -103,6 +103,16 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_a_block_on_many_pages_goes_however_large_the_host(spark):
+    """On 60 of 900 pages of one host; by the list of the host and by each page's own subtrees."""
+    note = "<div><p>Notice of one section</p></div>"
+    rows = [(i, f"http://h.example/{i}", page(f"{note if i < 60 else ''}{'<div><p>Twenty</p></div>' if i < 20 else ''}<div><p>Story {i}</p></div>")) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (2000, 0):
+        got = {r.page_id: r.text for r in html_text.extract(df, most=most).collect()}
+        assert len(got) == 900 and all(t == (f"Twenty\nStory {i}" if i < 20 else f"Story {i}") for i, t in got.items())
+
+
 def test_long_unclosed_markup_is_read_in_linear_time():
     html_text.main_text(html_text.parse("<a b='" * 20_000))
     html_text.main_text(html_text.parse("<div><b>" * 20_000))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import join_by_group, slices, written
 
 # HTML element names by their role, and words in class, id or role that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -227,39 +227,66 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
-    """(host_key, template): for each host the hashes of subtrees on at least min_pages of its pages and min_share of them.
-
-    A host's template has at most 1 / min_share times the subtrees of a mean page, however many pages it has.
-    """
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host_key, page_key, hash) of each candidate subtree of each page; page_key tells a host's different pages apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            hosts, hashes = [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hosts, keys, hashes = [], [], []
+            for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for h in candidates(parse(page or "")):
                     hosts.append(host)
+                    keys.append(key)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["host_key", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["host_key", "page_key", "hash"])
+
+    return pages.select(host_key_of(F.col("url")), F.xxhash64("html").alias("page_key"), "html").mapInArrow(run, "host_key long, page_key long, hash long")
+
 
-    keyed = pages.select(F.xxhash64(host_of(F.col("url"))).alias("host_key"), "html")
-    found = keyed.mapInArrow(run, "host_key long, hash long").groupBy("host_key", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    total = keyed.groupBy("host_key").agg(F.count("*").alias("pages"))
-    return found.join(total, "host_key").where(F.col("n") >= F.col("pages") * min_share).groupBy("host_key").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+def host_key_of(url: Column) -> Column:
+    return F.xxhash64(host_of(url)).alias("host_key")
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
+def templates(pages: DataFrame, found: DataFrame, min_pages: int = 5, min_share: float = 0.1, many: int = 50) -> DataFrame:
+    """(host_key, hash, n): the subtrees of found on at least min_pages of their host's pages that are on min_share of them
+    or, however many pages the host has, on at least `many`."""
+    counted = found.groupBy("host_key", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    total = pages.groupBy(host_key_of(F.col("url"))).agg(F.count("*").alias("pages"))
+    return counted.join(total, "host_key").where((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= many)).select("host_key", "hash", "n")
+
+
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many: int = 50, most: int = 2000) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
+    A host's template of up to `most` subtrees goes with each of its pages; of a larger one, a page gets its own
+    subtrees only, by a join, so that no row grows with its host.
+
     Null or empty html gives an empty text; a null url is a host of its own. Rows that repeat a page_id are pages of
     their own. An empty table gives no rows. Other columns are ignored.
     """
-    known = written(templates(pages, min_pages, min_share), "templates")  # a small table, which Spark broadcasts if its size allows
-
+    found = written(subtrees(pages), "subtrees")
+    known = written(templates(pages, found, min_pages, min_share, many), "templates")
+    sizes = known.groupBy("host_key").agg(F.count("*").alias("size"))
+    small = known.join(sizes.where(F.col("size") <= most), "host_key").groupBy("host_key").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+    small = written(small, "small-templates")  # a small table, which Spark broadcasts if its size allows
+    large = written(sizes.where(F.col("size") > most).select("host_key"), "large-hosts")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_key_of(F.col("url")))
+    columns = ["page_id", "url", "html", "template"]
+    if large.isEmpty():
+        return _texts(keyed.join(small, "host_key", "left").select(*columns))
+    wide = known.join(large, "host_key", "left_semi")
+    total = wide.agg(F.sum("n")).first()[0]
+    met = join_by_group(found, wide, ["host_key", "hash"], "n", total)
+    own = written(met.groupBy("host_key", "page_key").agg(F.collect_set("hash").alias("template")), "page-templates")
+    rest = keyed.join(large, "host_key", "left_anti").join(small, "host_key", "left").select(*columns)
+    pages_of_large = keyed.join(F.broadcast(large), "host_key", "left_semi").withColumn("page_key", F.xxhash64("html"))  # bound: hosts with more than `most` subtrees on many pages
+    return _texts(rest.unionByName(pages_of_large.join(own, ["host_key", "page_key"], "left").select(*columns)))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             texts = [main_text(parse(page), frozenset(int(h) & 0xFFFFFFFFFFFFFFFF for h in t or ())) if page else "" for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.xxhash64(host_of(F.col("url"))).alias("host_key"))
-    return keyed.join(known, "host_key", "left").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
