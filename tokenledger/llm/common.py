@@ -8,19 +8,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..session import scratch_dir
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+def written(df: DataFrame, name: str, merge: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and is computed once.
 
-    The writing stage has at most 8 tasks a core, so that many small partitions don't become as many files."""
+    With merge, for tables of ids and counts, the writing stage has at most 8 tasks a core, so that many small
+    partitions don't become as many files. Without it, for tables of texts, tasks stay as large as their input splits."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tokenledger-{name}-{uuid.uuid4().hex}"
-    df.coalesce(8 * spark.sparkContext.defaultParallelism).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(8 * spark.sparkContext.defaultParallelism) if merge else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that the driver knows, as a local relation: no Python worker is started for it."""
+    kinds = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.table([pa.array(list(x), to_arrow_type(f.dataType)) for x, f in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=kinds.names), kinds)
 
 
 def join_by_group(left: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, parts: int = 1000) -> DataFrame:

@@ -3,10 +3,9 @@
 Each document's shingle set gets one hash per shingle; the hash range is cut in bins and a bin keeps its least hash.
 Empty bins borrow from another bin, probed in an order drawn for the bin alone (optimal densification), so borrowed
 bins agree between two documents as often as filled ones. Bands of bins are bucket keys. A bucket of m documents gives
-two stars of m - 1 candidate edges, at its least and its greatest member, and never all pairs; every edge is then checked on the full sets. Where a bucket still
-holds several components after that, further stars are laid between members of different components until a round
-finds nothing new. Then every pair of members of different components that still share a bucket is compared, block by
-block on full sets, so that no pair of a bucket is left out.
+two stars of m - 1 candidate edges, at its least and its greatest member, and never all pairs; every edge is then
+checked on the full sets. Where a bucket still holds several components after that, every pair of members of different
+components is compared, block by block on full sets, so that no pair of a bucket is left out.
 
 With 200 bins in 40 bands of 5, two sets of similarity 0.8 share no bucket with a chance of about 1e-7.
 """
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import int_lists, join_by_group, mix, slices, word_hashes, written
+from .common import discard, int_lists, join_by_group, mix, slices, word_hashes, written
 
 BANDS, ROWS = 40, 5
 
@@ -80,15 +79,16 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, spread: int = 64) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, most: int = 256) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Members come to their star's centre a in up to `spread` groups, each of which gets the centre's text once; a task
-    holds one centre's set and one member's at a time.
+    The members of a star come to its centre a in groups of about `most`, each of which gets the centre's text once; a
+    task holds one centre's set and one member's at a time.
     """
-    spoke = F.pmod(F.hash("b"), F.lit(spread)).alias("spoke")
-    members = pairs.select("a", "b", spoke).join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "spoke", "b", "text")
-    centres = pairs.select("a", spoke).distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "spoke", F.lit(None).cast("long").alias("b"), "text")
+    groups = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("groups")), "star-groups")
+    dealt = written(pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("spoke"), "b"), "spokes")
+    members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "spoke", "b", "text")
+    centres = dealt.select("a", "spoke").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "spoke", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre = None, []
@@ -108,30 +108,39 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, sprea
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = members.unionByName(centres).repartition("a", "spoke").sortWithinPartitions("a", "spoke", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    rows = members.unionByName(centres).repartition("a", "spoke").sortWithinPartitions("a", "spoke", F.col("b").asc_nulls_first())
+    links = written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(groups, dealt)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id on an edge (a, b), a != b; the component is its least id.
 
-    Alternates large-star and small-star steps, which halve the depth of the trees each time; every step is a grouped
-    minimum and a join, written out so that lost executors cost one step only.
+    Alternates large-star and small-star steps, which halve the depth of the trees each time. The grouped minimum of a
+    step is a table of its own, so the join with it reads two plain shuffles, of which Spark splits those of a hub. Tables
+    are written out, so that lost executors cost one step only, and go when the next step stands.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = written(small, "edges")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = written(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # the edge (u, v) becomes (v, m), and u itself hangs on m
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
+        after = written(small, "edges")
+        discard(edges, least, large, lower)
+        edges = after
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    comps = written(found, "components")
+    discard(edges)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -145,68 +154,68 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     and kept. Rows that repeat a doc_id are one document. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = written(signatures(docs, words, bands, rows), "signatures")
+    sig = written(signatures(docs, words, bands, rows), "signatures", merge=False)
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = written(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     heads = sig.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("doc_id", F.explode("bands").alias("bucket"))
     shared = heads.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     stars = written(heads.join(shared, "bucket").select("bucket", "a", F.col("doc_id").alias("b"), "z"), "stars")
-    involved = stars.select(F.col("b").alias("doc_id")).distinct()
-    texts = written(docs.join(involved, "doc_id", "left_semi"), "texts")
+    texts = written(docs.join(stars.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts", merge=False)
     ends = stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("z").alias("b")))).alias("e")).select("e.*")
     pairs = written(ends.where("a < b").distinct(), "pairs")
-    tried, links, comps, turn, open_ = pairs, None, None, 0, stars.select("bucket", F.col("b").alias("id"))
-    while not pairs.isEmpty():
-        new = written(verified(pairs, texts, words, percent), "links")
-        if new.isEmpty() and turn:
-            break
-        links = new if links is None else links.unionByName(new)
-        comps = written(components(links), "components")
-        turn += 1
-        open_ = written(_open(open_, comps), "open-buckets")
-        pairs = written(_between(open_, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        open_ = open_.select("bucket", "id")
-    if comps is not None:
-        new = written(across(written(_open(open_, comps), "open-buckets"), texts, words, percent), "links")
-        if not new.isEmpty():
-            comps = written(components(links.unionByName(new)), "components")
+    links = verified(pairs, texts, words, percent)
+    comps = components(links)
+    groups = left_open(stars.select("bucket", F.col("b").alias("id")), comps)
+    more = across(groups, texts, words, percent)
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
+    discard(stars, texts, pairs, links, groups, more)
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    if comps is not None:
-        named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        named = classes.withColumnRenamed("rep", "component_id")
+    named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component_id"))
     out = join_by_group(live.select("doc_id", "n_shingles", "d1", "d2"), named, ["d1", "d2"], "copies", total).select("doc_id", "n_shingles", "component_id")
     alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """bucket, id and component of the buckets that still hold more than one component; the others are done."""
-    rows = rows.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    more = rows.groupBy("bucket").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where("__lo < __hi").select("bucket")
-    return rows.join(more, "bucket", "left_semi")
-
-
-def _between(rows: DataFrame, turn: int, draws: int = 8) -> DataFrame:
-    """Stars between components that share a bucket: in each bucket and draw one member stands for its component and meets
-    the member of one component; which members and which component changes with the draw and the turn."""
-    each = rows.withColumn("draw", F.explode(F.array(*(F.lit(turn * draws + k) for k in range(draws)))))
-    stand = each.groupBy("bucket", "draw", "component").agg(F.min(F.struct(F.xxhash64("id", "bucket", "draw").alias("h"), "id")).alias("m"))
-    middle = stand.groupBy("bucket", "draw").agg(F.min(F.struct(F.xxhash64("component", "draw").alias("h"), F.col("m.id").alias("c"))).alias("x")).select("bucket", "draw", "x.c")
-    met = stand.select("bucket", "draw", F.col("m.id").alias("id")).join(middle, ["bucket", "draw"]).where("id != c")
-    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+def left_open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Groups (bucket, id, component, centre) in which members of different components are still to be compared, from rows
+    (bucket, id) and the components found so far.
 
-
-def across(rows: DataFrame, texts: DataFrame, words: int, percent: int, most: int = 256, most_shingles: int = 1 << 20) -> DataFrame:
-    """The links (a, b) that join the components of each bucket of rows (bucket, id, component): every pair of members of
-    different components is compared on its full sets.
-
-    A bucket is cut in blocks of about `most` members and `most_shingles` shingles, a large component in blocks of its own;
-    a task holds two blocks at a time, and two blocks of one component never meet. A document goes to a task once for
-    each block that its own meets; of the links between two blocks only those that join components further are returned.
+    A bucket is open if it holds several components. The component with the most members in it is its centre, and its
+    other members are outsiders; centres hold most of the rows. All outsiders of one centre, whatever the bucket, form a group with
+    the centre's members, which have centre true; the outsiders of one bucket form another group. So each pair of an open bucket's
+    members is in a group, and a document is in a few groups instead of all of its buckets.
+    """
+    rows = written(rows.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "members")
+    held = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = held.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).where("components > 1").select("bucket", F.col("most.component").alias("centre_of"))
+    open_ = written(open_, "open-buckets")
+    outside = written(rows.join(open_, "bucket").where("component <> centre_of"), "outsiders")
+    centres = outside.select(F.col("centre_of").alias("component")).distinct()
+    inner = comps.join(centres, "component").select("component", "id").unionByName(centres.select("component", F.col("component").alias("id"))).distinct()
+    around = inner.select(F.xxhash64(F.lit("centre"), "component").alias("bucket"), "id", "component", F.lit(True).alias("centre"))
+    outer = outside.select(F.xxhash64(F.lit("centre"), "centre_of").alias("bucket"), "id", "component", F.lit(False).alias("centre")).distinct()
+    several = outside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    beside = outside.join(several, "bucket").select("bucket", "id", "component", F.lit(None).cast("boolean").alias("centre"))
+    groups = written(around.unionByName(outer).unionByName(beside), "open-groups")
+    discard(rows, open_, outside)
+    return groups
+
+
+def across(groups: DataFrame, texts: DataFrame, words: int, percent: int, most: int = 256, most_shingles: int = 1 << 20) -> DataFrame:
+    """The links (a, b) that join the components of each group of groups (bucket, id, component, centre): every pair of members
+    of different components is compared on its full sets; in a group with a centre (centre true or false, not null), pairs
+    of a centre's member and another.
+
+    A group is cut in blocks of about `most` members and `most_shingles` shingles, the centre and any large component in
+    blocks of their own; a task holds two blocks at a time, and two blocks of one component never meet. A document goes to
+    a task once for each block that its own meets; of the links between two blocks only those that join components further
+    are returned.
     """
 
+    if "centre" not in groups.columns:
+        groups = groups.withColumn("centre", F.lit(None).cast("boolean"))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingle_set(text, words) for text in batch.column(1).to_pylist()]
@@ -230,23 +239,25 @@ def across(rows: DataFrame, texts: DataFrame, words: int, percent: int, most: in
         if sides[0]:
             yield close()
 
-    members = written(texts.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, n long, shingles array<long>"), "sets")
-    known = rows.join(members.groupBy("id").agg(F.max("n").alias("n")), "id")
+    members = written(texts.withColumnRenamed("doc_id", "id").join(groups.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, n long, shingles array<long>"), "sets", merge=False)
+    known = groups.join(members.groupBy("id").agg(F.max("n").alias("n")), "id")
     count = lambda x, n: F.greatest(F.ceil(F.col(x) / most), F.ceil(F.col(n) / most_shingles)).cast("long")
-    own = known.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n").alias("of")).withColumn("parts", count("members", "of"))
-    own = own.withColumn("own", F.when(F.col("parts") > 1, F.col("component").cast("string")).otherwise(""))
-    blocks = own.groupBy("bucket", "own").agg(F.sum("members").alias("members"), F.sum("of").alias("of"))
-    blocks = blocks.select("bucket", "own", F.greatest(F.lit(1), count("members", "of")).alias("parts"))
-    named = known.join(own.select("bucket", "component", "own"), ["bucket", "component"]).join(blocks, ["bucket", "own"])
-    named = named.select("bucket", "own", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "component")
-    each = blocks.select("bucket", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    left, right = each.toDF("bucket", "own", "part"), each.toDF("bucket", "own2", "part2")
-    units = left.join(right, "bucket").where("own < own2 or own = own2 and own = '' and part <= part2")
+    own = known.groupBy("bucket", "component", "centre").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).withColumn("parts", count("members", "shingles"))
+    own = own.withColumn("own", F.when(F.coalesce("centre", F.col("parts") > 1), F.col("component").cast("string")).otherwise(""))
+    blocks = own.groupBy("bucket", "own").agg(F.first("centre").alias("centre"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"))
+    blocks = written(blocks.select("bucket", "own", "centre", F.greatest(F.lit(1), count("members", "shingles")).alias("parts")), "blocks")
+    named = known.join(own.select("bucket", "component", "own"), ["bucket", "component"]).join(blocks.drop("centre"), ["bucket", "own"])
+    named = written(named.select("bucket", "own", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "component"), "placed")
+    each = blocks.select("bucket", "own", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left, right = each.toDF("bucket", "own", "centre", "part"), each.toDF("bucket", "own2", "centre2", "part2")
+    units = left.join(right, "bucket").where("case when centre is null then own < own2 or own = own2 and own = '' and part <= part2 else centre and not centre2 end")
     units = written(units.withColumn("unit", F.monotonically_increasing_id()), "units")
     first = units.select("unit", F.lit(0).alias("side"), "bucket", "own", "part")
     second = units.where("own <> own2 or part <> part2").select("unit", F.lit(1).alias("side"), "bucket", F.col("own2").alias("own"), F.col("part2").alias("part"))
     dealt = first.unionByName(second).join(named, ["bucket", "own", "part"]).join(members, "id").select("unit", "side", "id", "component", "shingles")
-    return dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long").distinct()
+    links = written(dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(members, blocks, named, units)
+    return links
 
 
 def _links(left: list[tuple], right: list[tuple], percent: int, columns: int = 8192) -> list[tuple[int, int]]:

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 The targets share the corpus's words by weight; a target stops at a few times its source's size and the excess goes to
-the others by weight. The mix is cut in equal seats, so many that the smallest target has about a hundred (blocks of words) that go to the sources by the highest quotients
-target / (2 * seats so far + 1); each output shard has a run of seats, so it has an integer quota of every source.
-Within a source, documents are laid end to end in a seeded order, cut in blocks of a seat's words, and the quota is
-taken in that order, again from the start when the source is through.
+the others by weight. The mix is cut in equal seats (blocks of words), so many that the smallest target has about a
+hundred. Seats go to the sources by the highest quotients target / (2 * seats so far + 1); each output shard has a run
+of seats, so it has an integer quota of every source. Within a source, documents are laid end to end in a seeded order,
+cut in blocks of a seat's words, and the quota is taken in that order, again from the start when the source is through.
 """
 
 from __future__ import annotations
@@ -16,19 +16,19 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import constants, written
 
 WEIGHTS = (5, 2, 1)  # fixed values: the weights of the sources in order, repeating
 MOST = 3  # times a source's size that its target can be
 SHARDS, SEATS = 8, 4096  # output shards, and seats of each at least
 LEAST = 100  # seats for the smallest target, as far as a seat is a word or more
-WORD_BREAK = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words_of(text: Column) -> Column:
     """Number of words, the runs of signs other than white space."""
-    parts = F.split(F.coalesce(text, F.lit("")), WORD_BREAK)
-    return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
+    each = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")  # a sign a word, and no array of words
+    return F.length(F.translate(each, " \t\n\x0b\f\r", "")).cast("long")
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[Fraction]:
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     words = lambda n: block_words(n, total, shards * seats)
     took = [min(most * r["size"], words(n)) for r, n in zip(rows, quota, strict=True)]
     ends = [[words(sum(q[k] for q in quotas[: h + 1])) for h in range(shards)] for k in range(len(rows))]
-    known = spark.createDataFrame([(r["source"], r["size"], goal[k], quota[k], took[k], ends[k]) for k, r in enumerate(rows)], "source string, source_size long, target double, quota long, took long, shard_ends array<long>")
+    known = constants(spark, [(r["source"], r["size"], goal[k], quota[k], took[k], ends[k]) for k, r in enumerate(rows)], "source string, source_size long, target double, quota long, took long, shard_ends array<long>")
     same = F.col("source").eqNullSafe(F.col("s"))
     in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *also)
     placed = light.withColumn("inside", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
