@@ -430,3 +430,91 @@ def test_toxicity(spark, odd, empty):
     assert len(found) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
     assert toxicity.score(empty, model).count() == 0
     assert all(r.predicted == 0 for r in toxicity.score(odd, toxicity.fit(empty, lab.limit(0))).collect())
+
+
+def test_head_without_an_end_tag():
+    html = "<html><head><title>T</title><body><article><p>Body text here</p></article></body></html>"
+    assert html_text.main_text(html_text.parse(html)) == "Body text here"
+    assert html_text.main_text(html_text.parse("<head><meta charset=x><p>One<p>Two")) == "One\nTwo"
+    assert html_text.main_text(html_text.parse("<html><head><title>T</title>Loose text<script>x</script> goes on")) == "Loose text goes on"
+
+
+def test_odd_markup_takes_time_in_proportion():
+    import time
+
+    shapes = {
+        "quote left open": lambda n: '<div x="' + ">" * n + "<a " * n,
+        "stray ends": lambda n: "<b>" * n + "</i>" * n + "text",
+        "stray ends in a block": lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+        "void blocks": lambda n: "<b>" * n + "<hr>" * n,
+        "items deep down": lambda n: "<li><ul>" + "<div>" * n + "<li></li>" * n,
+        "quotes of two kinds": lambda n: "<a '\"> " * n + "<b \"'>" * n + "'",
+        "raw without an end": lambda n: "<script>" * n,
+        "comments without an end": lambda n: "<!--" * n + "<!" * n,
+    }
+
+    def seconds(page):
+        t = time.process_time()
+        html_text.main_text(html_text.parse(page))
+        return time.process_time() - t
+
+    for name, shape in shapes.items():
+        seconds(shape(2_000))
+        few, many = seconds(shape(5_000)), seconds(shape(40_000))
+        assert many < max(0.5, 24 * few), (name, few, many)
+
+
+def test_prose_stays_whatever_word_its_class_has():
+    story = "This is a sentence of the story that goes on for a while and has no links at all."
+    body = f"<p class='text share'>{story} 1</p><div class='related'><p>{story} 2</p></div><div class='widget body'>{story} 3</div>"
+    gone = "<div class='related'>Read <a href=a>another story of ours</a> <a href=b>and one more of them</a></div><div class='social'>Share</div><div class=comments><p>A reader said so at length, in prose of their own.</p></div>"
+    root = html_text.parse(f"<article data-class='ad'>{body}{gone}</article>")
+    assert html_text.main_text(root) == f"{story} 1\n{story} 2\n{story} 3"
+    widget = next(x for x in html_text._walk(root, lambda _: False) if "widget" in x.marks)
+    assert widget.hash in html_text.candidates(root) and html_text.main_text(root, {widget.hash}) == f"{story} 1\n{story} 2"
+
+
+def test_templates_against_a_plain_count(spark):
+    """Subtrees of a small site, counted by their own markup with the standard parser."""
+    from collections import Counter, defaultdict
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.found = [], set()
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append([f"<{tag} {sorted(attrs)}>"])
+
+        def handle_data(self, data):
+            if self.stack:
+                self.stack[-1].append(data)
+
+        def handle_endtag(self, tag):
+            own = "".join(self.stack.pop()) + f"</{tag}>"
+            if tag in ("div", "section", "ul", "li", "p"):
+                self.found.add(own)
+            if self.stack:
+                self.stack[-1].append(own)
+
+    r = random.Random(4)
+    pool = [f"<section><p>Block {k} of the site</p><ul><li>a{k}</li><li>b{k % 3}</li></ul></section>" for k in range(12)]
+    rows = []
+    for i in range(120):
+        host = "ab"[i % 3 == 0]
+        inner = "".join(r.sample(pool, 3)) + f"<div><p>Story {i} is of its own</p></div>"
+        rows.append((i, f"http://{host}.example/{i}", f"<html><body>{inner}</body></html>"))
+    counts, pages = defaultdict(Counter), Counter()
+    for _, url, text in rows:
+        parser = Blocks()
+        parser.feed(text)
+        host = url.split("/")[2]
+        pages[host] += 1
+        counts[host].update(parser.found)
+    want = {h: sum(n >= 5 and (n >= 0.1 * pages[h] or n >= 50) for n in c.values()) for h, c in counts.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = html_text.templates(df, html_text.subtrees(df)).join(df.select(html_text.host_of(F.col("url")).alias("host"), html_text.host_key_of(F.col("url"))).distinct(), "host_key")
+    assert {x["host"]: x["count"] for x in known.groupBy("host").count().collect()} == want
+    got = {x.page_id: x.text for x in html_text.extract(df).collect()}
+    assert all(got[i].endswith(f"Story {i} is of its own") for i in got)

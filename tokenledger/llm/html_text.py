@@ -27,18 +27,25 @@ DROPPED = frozenset("script style textarea title noscript iframe xmp noembed nof
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ol ul dl dt dd table tbody thead tfoot tr td th figure figcaption caption hgroup header".split())
 CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-MARKS = frozenset("ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navbar navigation navigationbar menu menus breadcrumb breadcrumbs footer sidebar sidebars related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup popup modal overlay comment comments commentlist disqus replies respond widget widgets toolbar pagination pager login search copyright complementary contentinfo".split())
-OUTER_MARKS = MARKS | frozenset("header masthead banner topbar".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+MARKS = frozenset("ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navbar navigation navigationbar menu menus breadcrumb breadcrumbs footer sidebar sidebars cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription comment comments commentlist disqus replies respond contentinfo".split())
+WEAK_MARKS = frozenset("share sharing social related recommended recommendations signup popup modal overlay widget widgets toolbar pagination pager login search copyright complementary".split())
+OUTER_MARKS = MARKS | WEAK_MARKS | frozenset("header masthead banner topbar".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# An end or start tag whose quoted values may hold ">", the same without regard to quotes, and what isn't text or a tag.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
+SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+MISREAD = 8  # tags of a page whose quotes may fail to close before quotes count for nothing, so that no text is read again and again
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+SHORT, DENSE = 25, 0.5  # signs of a weakly marked element that make it no prose, and share of its text in links that does
 
 
 class Node:
-    __slots__ = ("tag", "marks", "hidden", "parts", "parent", "hash", "size")
+    __slots__ = ("tag", "marks", "hidden", "parts", "parent", "depth", "hash", "size", "linked")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.parts, self.hash, self.size = tag, parent, [], 0, 0
+        self.tag, self.parent, self.parts, self.hash, self.size, self.linked = tag, parent, [], 0, 0, 0
+        self.depth = parent.depth + 1 if parent else 0
         self.marks: frozenset = frozenset()
         self.hidden = False
         if attributes:
@@ -49,70 +56,126 @@ class Node:
                     self.hidden = True
                 elif name == "style":
                     self.hidden |= "display:none" in value.replace(" ", "")
-                else:
+                elif name in ("class", "id", "role"):
                     words += re.split(r"[\s_-]+", value)
             self.marks = frozenset(words)
 
 
+class Builder:
+    """The tree as it grows: the open elements by tag and the open blocks, so that no tag walks up the whole stack."""
+
+    def __init__(self):
+        self.root = self.at = Node("#root", None)
+        self.opened: dict[str, list[Node]] = {}
+        self.blocks: list[Node] = []
+
+    def nearest(self, tags: str) -> Node | None:
+        """The innermost open element of any of these tags."""
+        found = [self.opened[t][-1] for t in tags.split() if self.opened.get(t)]
+        return max(found, key=lambda x: x.depth) if found else None
+
+    def close(self, node: Node) -> None:
+        """Closes node and all open elements in it."""
+        while True:
+            done = self.at
+            self.opened[done.tag].pop()
+            if done.tag in BLOCKS:
+                self.blocks.pop()
+            self.at = _closed(done)
+            if done is node:
+                return
+
+    def text(self, text: str) -> None:
+        if self.at.tag == "head" and text.strip():
+            self.close(self.at)
+        self.at.parts.append(text)
+
+    def end(self, tag: str) -> None:
+        """An end tag: a block's closes what is open in it, any other only what is open in the same block."""
+        node = self.nearest(tag)
+        if node and (tag in BLOCKS or not self.blocks or node.depth > self.blocks[-1].depth):
+            self.close(node)
+
+    def start(self, tag: str, attributes: str) -> Node:
+        """A start tag. The end tags that HTML lets one leave out, of head, p, li and the like, are put in before it."""
+        if self.opened.get("head") and (tag == "body" or self.at.tag == "head" and tag not in HEAD):
+            self.close(self.opened["head"][-1])
+        if tag in BLOCKS and self.blocks and self.blocks[-1].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in CLOSES:
+            some, scope = CLOSES[tag]
+            node, outer = self.nearest(some), self.nearest(scope)
+            if node and (not outer or node.depth > outer.depth):
+                self.close(node)
+        node = Node(tag, self.at, attributes)
+        self.at.parts.append(node)
+        if tag in VOID or tag in RAW:
+            return node
+        self.at = node
+        self.opened.setdefault(tag, []).append(node)
+        if tag in BLOCKS:
+            self.blocks.append(node)
+        return node
+
+
 def parse(page: str) -> Node:
-    """The page's tree. Unclosed and wrongly nested elements are closed as a browser would, near enough for text."""
-    root = at = Node("#root", None)
-    place, match = 0, TOKEN.match
-    while m := match(page, place):
-        place = m.end()
-        text = m[7]
-        if text is not None:
-            at.parts.append(text)
+    """The page's tree. Unclosed and wrongly nested elements are closed as a browser would, near enough for text.
+
+    Takes time in proportion to the page: no text is read more than MISREAD times over, and no tag walks the stack of open
+    elements but to close them. A tag that the page's end cuts off is dropped, as browsers do.
+    """
+    tree, place, misread = Builder(), 0, 0
+    last = page.rfind(">")
+    while place < len(page):
+        here = page.find("<", place)
+        if here < 0:
+            here = len(page)
+        if here > place:
+            tree.text(page[place:here])
+            place = here
             continue
-        tag = m[2] or m[5]
-        if not tag:
+        follows = page[here + 1 : here + 2]
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
+            place = len(page) if end < 0 else end + 3
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            block, node = tag in BLOCKS, at
-            while node is not root and node.tag != tag and (block or node.tag not in BLOCKS):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                while at is not node:
-                    at = _closed(at)
-                at = _closed(at)
+        named = follows.isascii() and follows.isalpha() or follows == "/" and (page[here + 2 : here + 3].isascii() and page[here + 2 : here + 3].isalpha())
+        if not named and follows not in ("!", "?", "/"):
+            tree.text("<")
+            place = here + 1
             continue
-        if tag in BLOCKS:
-            at = _close_open(at, root, {"p"}, BLOCKS - {"p"})
-        if tag in CLOSES:
-            some, scope = CLOSES[tag]
-            at = _close_open(at, root, set(some.split()), set(scope.split()))
-        node = Node(tag, at, m[3] or m[6] or "")
-        at.parts.append(node)
+        if here > last:  # nothing closes it
+            break
+        if not named:
+            place = page.index(">", here) + 1
+            continue
+        m = TAG.match(page, here) if misread < MISREAD else None
+        if not m:
+            misread += 1
+            m = SHORT_TAG.match(page, here)
+        place, tag = m.end(), m[2].lower()
+        if m[1]:
+            tree.end(tag)
+            continue
+        node = tree.start(tag, m[3])
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(page, place)
-            node.parts.append(page[place : end.start()])
-            place = end.end()
+            end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, place)
+            node.parts.append(page[place : end.start() if end else len(page)])
+            close = page.find(">", end.start()) if end else -1
+            place = close + 1 if close >= 0 else len(page)
+        if tag in VOID or tag in RAW:
             _closed(node)
-        elif tag not in VOID:
-            at = node
-        else:
-            _closed(node)
-    while at is not root:
-        at = _closed(at)
-    return _closed(root) or root
-
-
-def _close_open(at: Node, root: Node, tags: set[str], scope: set[str]) -> Node:
-    """Closes the nearest open element of tags, unless one of scope is nearer."""
-    node = at
-    while node is not root and node.tag not in tags and node.tag not in scope:
-        node = node.parent
-    if node is not root and node.tag in tags:
-        while at is not node:
-            at = _closed(at)
-        at = _closed(at)
-    return at
+    if tree.at is not tree.root:
+        while tree.at.parent is not tree.root:
+            tree.close(tree.at)
+        tree.close(tree.at)
+    _closed(tree.root)
+    return tree.root
 
 
 def _closed(node: Node) -> Node | None:
     """Hashes the finished subtree: its tag, marks, texts and the hashes of its elements."""
-    h = blake2b(node.tag.encode(), digest_size=8)
+    h = blake2b(node.tag.encode("utf-8", "surrogatepass"), digest_size=8)
     if node.marks:
         h.update(" ".join(sorted(node.marks)).encode("utf-8", "surrogatepass"))
     for x in node.parts:
@@ -123,6 +186,9 @@ def _closed(node: Node) -> Node | None:
         else:
             h.update(x.hash.to_bytes(8, "little"))
             node.size += x.size
+            node.linked += x.linked
+    if node.tag == "a":
+        node.linked = node.size
     node.hash = int.from_bytes(h.digest(), "little")
     return node.parent
 
@@ -144,16 +210,27 @@ def _never(x: Node) -> bool:
     return x.tag in DROPPED or x.hidden
 
 
+def _marked(x: Node, template: frozenset[int] | set[int]) -> bool:
+    """Whether the element's class, id or role tells that it isn't the article's.
+
+    Some words do so alone. Others, such as share or widget, stand on prose too: they count only if the element also
+    recurs on the site, is mostly links or has next to no text.
+    """
+    if not x.marks.isdisjoint(MARKS):
+        return True
+    return not x.marks.isdisjoint(WEAK_MARKS) and (x.hash in template or x.linked >= DENSE * x.size or x.size < SHORT)
+
+
 def candidates(root: Node) -> set[int]:
     """Hashes of the subtrees that could be the site's template: all block elements outside the article, and in it
-    those that aren't prose."""
+    those that aren't prose or carry a word that may mark what isn't the article."""
     inside: set[int] = set()
     found: set[int] = set()
     for x in _walk(root, _never):
         within = id(x.parent) in inside
         if within or x.tag in ("article", "main"):
             inside.add(id(x))
-        if x.tag in BLOCKS and x.tag not in ("html", "body", "article", "main") and x.size and not (within and x.tag in PROSE):
+        if x.tag in BLOCKS and x.tag not in ("html", "body", "article", "main") and x.size and not (within and x.tag in PROSE and x.marks.isdisjoint(WEAK_MARKS)):
             found.add(x.hash)
     return found
 
@@ -169,7 +246,7 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) ->
             return True
         if x.tag in ("html", "body", "main", "article"):
             return x.tag == "article" and not x.marks.isdisjoint(("comment", "comments", "reply"))
-        return not x.marks.isdisjoint(MARKS) or x.hash in template and x.tag in BLOCKS and x.size > 0
+        return _marked(x, template) or x.hash in template and x.tag in BLOCKS and x.size > 0
 
     def outer(x: Node) -> bool:
         return skip(x) or x.tag == "header" or not x.marks.isdisjoint(OUTER_MARKS) and x.tag not in ("html", "body", "main", "article")
@@ -218,7 +295,7 @@ def _in_article(skip, template):
     """Inside an article, prose stays even if it recurs on the site."""
 
     def inner(x: Node) -> bool:
-        return skip(x) and not (x.tag in PROSE and x.hash in template and not x.hidden and x.marks.isdisjoint(MARKS))
+        return skip(x) and not (x.tag in PROSE and x.hash in template and not x.hidden and x.tag not in DROPPED and not _marked(x, template))
 
     return inner
 
