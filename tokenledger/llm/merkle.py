@@ -1,9 +1,10 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and sentences.
 
 Leaves are the hashes of a paragraph's sentences; a paragraph hashes its leaves, a section hashes a run of paragraphs,
-and the root hashes the sections and tests equality of the whole text. A section ends after a paragraph whose own hash
-says so, not after a number of paragraphs, so an insertion changes the sections around it only. Two trees are compared
-from the root down, into differing branches only, which locates edits and gives the share of text they have in common.
+and the root hashes the sections. Every hash is of 64 bits, of the root 128, over the node's kind, its length and its
+children's hashes, so the root tests equality of the whole text. A section ends after a paragraph whose own hash says so,
+not after a number of paragraphs, so an insertion changes the sections around it only. Two trees are compared from the
+root down, into differing branches only, which locates edits and gives the share of text they have in common.
 
 A fingerprint is the root's hash in hex, a colon, and the tree in base64.
 """
@@ -12,20 +13,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 SECTION = 4  # paragraphs of a section, about
 LEAF = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
@@ -34,124 +33,126 @@ LONG = 400  # signs of a leaf at most
 
 @dataclass(slots=True)
 class Node:
-    hash: int
+    hash: bytes
     size: int  # signs of text below
     children: list[Node] | tuple = ()
 
 
-@dataclass(slots=True)
-class Tree:
-    digest: bytes  # of the whole text
-    root: Node
-
-
-def _leaves(paragraph: str) -> list[Node]:
-    parts = [x[i : i + LONG] for x in LEAF.findall(paragraph) for i in range(0, len(x), LONG)] or [""]
-    return [Node(zlib.crc32(x.encode("utf-8", "surrogatepass")), len(x)) for x in parts]
+def _leaf(text: str) -> Node:
+    return Node(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, person=b"leaf").digest(), len(text))
 
 
-def _parent(children: list[Node], extra: int = 0) -> Node:
-    return Node(zlib.crc32(struct.pack(f"<{len(children)}I", *(c.hash for c in children))), sum(c.size for c in children) + extra, children)
+def _parent(kind: bytes, children: list[Node], extra: int = 0) -> Node:
+    size = sum(c.size for c in children) + extra
+    h = hashlib.blake2b(size.to_bytes(8, "little"), digest_size=16 if kind == b"root" else 8, person=kind)
+    h.update(b"".join([c.hash for c in children]))
+    return Node(h.digest(), size, children)
 
 
-def tree(text: str) -> Tree:
-    """Sections over paragraphs over leaves. A paragraph's line break counts as one sign of it."""
+def _grown(paragraphs: Iterator[Node]) -> Node:
+    """The root over paragraphs, put in sections."""
     sections, run = [], []
-    for x in text.split("\n"):
-        run.append(_parent(_leaves(x), 1))
-        if run[-1].hash % SECTION == 0:
-            sections.append(_parent(run))
+    for x in paragraphs:
+        run.append(x)
+        if x.hash[0] % SECTION == 0:
+            sections.append(_parent(b"section", run))
             run = []
     if run:
-        sections.append(_parent(run))
-    return Tree(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), _parent(sections))
+        sections.append(_parent(b"section", run))
+    return _parent(b"root", sections)
+
+
+def tree(text: str) -> Node:
+    """The root of sections over paragraphs over leaves. A paragraph's line break counts as one sign of it."""
+
+    def paragraph(x: str) -> Node:
+        return _parent(b"paragraph", [_leaf(y[i : i + LONG]) for y in LEAF.findall(x) for i in range(0, len(y), LONG)] or [_leaf("")], 1)
 
+    return _grown(map(paragraph, text.split("\n")))
 
-def shown(t: Tree) -> str:
-    """The fingerprint: inner hashes follow from the leaves, so only these are in it, 4 bytes of hash and 2 of length."""
-    out = [struct.pack("<I", len(t.root.children))]
-    for s in t.root.children:
-        out.append(struct.pack("<I", len(s.children)))
+
+def shown(root: Node) -> str:
+    """The fingerprint: inner hashes follow from the leaves, so only these are in it, 8 bytes of hash and 2 of length."""
+    out = []
+    for s in root.children:
         for p in s.children:
             n = len(p.children)
-            out.append(struct.pack(f"<I{n}I{n}H", n, *[x.hash for x in p.children], *[x.size for x in p.children]))
-    return t.digest.hex() + ":" + base64.b64encode(b"".join(out)).decode()
+            out.append(struct.pack(f"<I{n}H", n, *[x.size for x in p.children]))
+            out += [x.hash for x in p.children]
+    return root.hash.hex() + ":" + base64.b64encode(b"".join(out)).decode()
 
 
-def read(fingerprint: str) -> Tree:
-    """The tree of a fingerprint."""
+def read(fingerprint: str) -> Node:
+    """The tree of a fingerprint. Raises ValueError if its leaves don't hash to its root."""
     digest, _, rest = fingerprint.partition(":")
-    data, at, sections = base64.b64decode(rest), 4, []
-    for _ in range(struct.unpack_from("<I", data)[0]):
-        many, paragraphs = struct.unpack_from("<I", data, at)[0], []
-        at += 4
-        for _ in range(many):
-            n = struct.unpack_from("<I", data, at)[0]
-            values = struct.unpack_from(f"<{n}I{n}H", data, at + 4)
-            at += 4 + 6 * n
-            paragraphs.append(_parent([Node(h, s) for h, s in zip(values[:n], values[n:], strict=True)], 1))
-        sections.append(_parent(paragraphs))
-    return Tree(bytes.fromhex(digest), _parent(sections))
-
+    data = base64.b64decode(rest)
 
-def likeness(a: Tree, b: Tree) -> float:
-    """Share of text (0 to 1) that two trees have in common: 1 exactly if the roots are equal."""
-    if a.digest == b.digest:
+    def paragraphs() -> Iterator[Node]:
+        at = 0
+        while at < len(data):
+            n = struct.unpack_from("<I", data, at)[0]
+            sizes, at = struct.unpack_from(f"<{n}H", data, at + 4), at + 4 + 2 * n
+            yield _parent(b"paragraph", [Node(data[at + 8 * i : at + 8 * i + 8], size) for i, size in enumerate(sizes)], 1)
+            at += 8 * n
+
+    root = _grown(paragraphs())
+    if root.hash.hex() != digest:
+        raise ValueError("the fingerprint's tree doesn't have its root")
+    return root
+
+
+def _matched(left: list[Node], right: list[Node]) -> tuple[list[bool], list[Node]]:
+    """Which nodes of left have an equal one in right, one for one, and the nodes of right that are left over."""
+    have = Counter(n.hash for n in right)
+    met = []
+    for n in left:
+        met.append(have[n.hash] > 0)
+        have[n.hash] -= met[-1]
+    rest = []
+    for n in right:
+        if have[n.hash] > 0:
+            have[n.hash] -= 1
+            rest.append(n)
+    return met, rest
+
+
+def likeness(a: Node, b: Node) -> float:
+    """Share of text (0 to 1) that two trees have in common: 1 exactly if the roots are equal.
+
+    Sections, then paragraphs, then leaves: equal branches count whole, the others are opened.
+    """
+    if a.hash == b.hash:
         return 1.0
-    x, y = a.root, b.root
-    whole = max(x.size, y.size)
-    common, left, right = 0, x.children, y.children
-    for depth in range(3):  # sections, paragraphs, leaves: equal branches count whole, the others are opened
-        have = Counter((n.hash, n.size) for n in right)
-        rest_left = []
-        for n in left:
-            if have[n.hash, n.size] > 0:
-                have[n.hash, n.size] -= 1
-                common += n.size
-            else:
-                rest_left.append(n)
-        rest_right = []
-        for n in right:
-            if have[n.hash, n.size] > 0:
-                have[n.hash, n.size] -= 1
-                rest_right.append(n)
-        if depth < 2:
-            left, right = [c for n in rest_left for c in n.children], [c for n in rest_right for c in n.children]
+    whole, common, left, right = max(a.size, b.size), 0, a.children, b.children
+    while left:
+        met, rest = _matched(left, right)
+        common += sum(n.size for n, same in zip(left, met, strict=True) if same)
+        left = [c for n, same in zip(left, met, strict=True) if not same for c in n.children]
+        right = [c for n in rest for c in n.children]
     return min(common / whole if whole else 0.0, 1 - 1e-9)
 
 
-def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Spans (start, end, in signs) of the first tree's text that the second doesn't have, by descending differing branches."""
-    if a.digest == b.digest:
-        return []
-    x, y = a.root, b.root
-    spans: list[tuple[int, int]] = []
+def edits(a: Node, b: Node) -> list[tuple[int, int]]:
+    """Spans (start, end, in signs) of the first tree's text that the second doesn't have, by descending differing branches.
 
-    def walk(nodes: list[Node], others: list[Node], start: int, depth: int) -> None:
-        have = Counter((n.hash, n.size) for n in others)
-        opened = []
-        for n in nodes:
-            if have[n.hash, n.size] > 0:
-                have[n.hash, n.size] -= 1
-            else:
-                opened.append((n, start))
-            start += n.size
-        rest = []
-        for n in others:
-            if have[n.hash, n.size] > 0:
-                have[n.hash, n.size] -= 1
-                rest += n.children
-        for n, at in opened:
-            if depth == 2:
-                if spans and spans[-1][1] == at:
-                    spans[-1] = (spans[-1][0], at + n.size)
-                else:
-                    spans.append((at, at + n.size))
-            else:
-                walk(n.children, rest, at, depth + 1)
-
-    walk(x.children, y.children, 0, 0)
-    return spans
+    Empty if the roots are equal, or if the second text only has more or another order; edits(b, a) then has the spans."""
+    spans: list[tuple[int, int]] = []
+    left, right = ([(a, 0)], [b]) if a.hash != b.hash else ([], [])
+    while left:
+        inner, inner_right = [], [c for n in right for c in n.children]
+        for n, at in left:
+            for c in n.children:
+                inner.append((c, at))
+                at += c.size
+        met, right = _matched([c for c, _ in inner], inner_right)
+        left = [x for x, same in zip(inner, met, strict=True) if not same]
+        spans += [(at, at + n.size) for n, at in left if not n.children and n.size]
+    joined: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if joined and joined[-1][1] == start:
+            start = joined.pop()[0]
+        joined.append((start, end))
+    return joined
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -165,67 +166,86 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def compare_with_next(docs: DataFrame, per_block: int = 200, most_blocks: int = 10_000) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document.
+PLACE = "struct<doc_id: bigint, digest: bigint>"
 
-    The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document in descending doc_id; after the last comes the first. Null counts as empty. A null doc_id comes last. Rows
-    that repeat a doc_id follow each other in order of a digest of the text; rows equal in both are one place in the
-    order, and each of them is returned. A table of one document has itself for the next. An empty table gives no rows.
-    Other columns are ignored.
-
-    The ids are cut in blocks of about equal numbers of rows. Texts are shuffled once, by block; each block's first
-    document goes to the block before as well, which needs it after its last. Blocks are read in order, a text and the
-    next at a time.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    blocks = min(most_blocks, max(1, -(-n // per_block)))
-    cuts = own.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)] or [0.5], 20 * blocks + 1000)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
 
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(cuts, ids.fillna(0).to_numpy().astype(np.int64), side="right")))
+def ranges(keys: DataFrame, blocks: int) -> list[tuple]:
+    """The first place (doc_id, digest) of each of about so many blocks of equal numbers of keys, in descending order."""
+    dealt = keys.repartitionByRange(blocks, F.col("doc_id").desc_nulls_last(), F.col("digest").desc()).withColumn("block", F.spark_partition_id())
+    found = dealt.groupBy("block").agg(F.max(F.struct("doc_id", "digest")).alias("place")).select("place.*").collect()  # one row a block
+    return sorted((tuple(r) for r in found), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
 
-    own = own.withColumn("block", block_of("doc_id")).withColumn("digest", F.xxhash64("text"))
+
+def places(cuts: list[tuple]) -> tuple[Column, Column]:
+    """(block, whether the row is its block's first) of a row with doc_id and digest, by binary search over the cuts."""
+    known = F.from_json(F.lit(json.dumps([{"doc_id": d, "digest": h} for d, h in cuts])), f"array<{PLACE}>")  # folded to a constant
     place = F.struct("doc_id", "digest")
-    # bound: most_blocks rows
-    first = own.select("block", place.alias("place")).groupBy("block").agg(F.max("place").alias("place"))
-    down = Window.orderBy(F.desc("block"))
-    to = first.select(F.coalesce(F.lag("block").over(down), F.min("block").over(Window.partitionBy())).alias("to_block"), F.col("place.doc_id").alias("first_id"), F.col("place.digest").alias("first_digest"))
-    lent = own.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
-    rows = own.withColumn("lent", F.lit(0)).unionByName(lent.drop("block", "first_id", "first_digest").withColumnRenamed("to_block", "block").withColumn("lent", F.lit(1)))
-    rows = rows.select("block", "lent", "doc_id", "digest", "text").repartition("block").sortWithinPartitions("block", "lent", F.col("doc_id").desc_nulls_last(), F.col("digest").desc())
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        upper = F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.element_at(known, middle + 1) >= place, upper).otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi"))))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    met = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), whole, halve, lambda s: s["lo"])
+    return met - 1, F.element_at(known, F.col("block") + 1) == place
+
+
+def compare_with_next(docs: DataFrame, per_block: int | None = None, block_bytes: int = 1 << 28) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and edited_at of every document.
+
+    The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
+    document in descending doc_id; after the last comes the first. edited_at has the spans (start-end, in code points, by
+    commas) of the text that the edited one doesn't have. Null counts as empty. A null doc_id comes last. Rows that repeat
+    a doc_id follow each other in order of a digest of the text; rows equal in both are one place in the order, and each
+    of them is returned. A table of one document has itself for the next. An empty table gives no rows. Other columns are
+    ignored.
+
+    The order is cut in blocks of about `per_block` rows, or, without it, of block_bytes of text at most and several a
+    core. Texts are shuffled once, by block; each block's first document goes to the block before as well, which needs it
+    after its last. Blocks are read in order, a text and the next at a time.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    keys = written(own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("bytes")), "places")
+    rows, size = keys.agg(F.count("*"), F.sum("bytes")).first()
+    many = -(-rows // per_block) if per_block else max(-(-(size or 0) // block_bytes), min(rows, 16 * spark.sparkContext.defaultParallelism))
+    cuts = ranges(keys.select("doc_id", "digest"), max(1, many))
+    own = own.withColumn("rows", F.lit(1).cast("long"))
+    repeated = written(keys.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").toDF("id", "of", "n"), "repeated-places")
+    if not repeated.isEmpty():  # such rows meet before the shuffle, and as one row thereafter
+        met = own.join(repeated.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+        once = met.where("n is not null").groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("n").alias("rows"))
+        own = met.where("n is null").select("doc_id", "text", "digest", "rows").unionByName(once)
+    block, first = places(cuts)
+    own = own.withColumn("block", block)
+    to = F.array(F.struct("block", F.lit(0).alias("lent")), F.struct(F.pmod(F.col("block") - 1, F.lit(max(1, len(cuts)))).alias("block"), F.lit(1).alias("lent")))
+    own = own.select("doc_id", "digest", "rows", "text", F.explode(F.slice(to, F.lit(1), F.when(first, 2).otherwise(1))).alias("to"))
+    own = own.select("to.block", "to.lent", "doc_id", "digest", "rows", "text").repartition("block").sortWithinPartitions("block", "lent", F.col("doc_id").desc_nulls_last(), F.col("digest").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # block, doc_id, digest, text, tree, rows
+        held: tuple | None = None  # block, doc_id, rows, text, tree
 
-        def result(held: tuple, text: str, t: Tree) -> Iterator[tuple]:
-            _, doc_id, _, own, fp, n = held
+        def result(text: str, t: Node) -> tuple:
+            _, doc_id, n, own, fp = held
             half = len(own) // 2
             edited = own[: len(own) - half] + text[:half]
             other = tree(edited)
-            row = (doc_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(fp), shown(other), likeness(fp, other), likeness(fp, t))
-            for _ in range(n):
-                yield row
+            spans = ",".join(f"{x}-{y}" for x, y in edits(fp, other))
+            return doc_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(fp), shown(other), likeness(fp, other), likeness(fp, t), spans, n
 
         for batch in slices(batches):
             out = []
-            for block, lent, doc_id, digest, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and held[0] == block and not lent and held[1:3] == (doc_id, digest):
-                    held = (*held[:5], held[5] + 1)
-                    continue
+            for block, lent, doc_id, n, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
                 t = tree(text)
                 if held and held[0] == block:
-                    out += result(held, text, t)
-                    held = None
-                if not lent:
-                    held = (block, doc_id, digest, text, t, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True) if out else [()] * 7, KINDS, strict=True)], names=NAMES)
+                    out.append(result(text, t))
+                held = None if lent else (block, doc_id, n, text, t)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True) if out else [()] * 9, KINDS, strict=True)], names=NAMES)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = own.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at string, rows long")
+    return found.select(*NAMES[:-1], F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*NAMES[:-1])
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_at", "rows"]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64()]

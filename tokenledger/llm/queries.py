@@ -137,12 +137,15 @@ WITH d AS (
          CAST(w * (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)) AS DOUBLE)
          / CAST(w_all - coalesce(sum(CASE WHEN capped THEN w END) OVER (), 0) AS DOUBLE) END AS target
   FROM c
+), m AS (
+  SELECT 8 * greatest(4096, (least(max(total), CAST(ceil(CAST(100 * max(total) AS DOUBLE) / min(target) FILTER (WHERE target > 0)) AS HUGEINT)) + 7) // 8) AS seats FROM t
 ), q AS (
   SELECT k, count(*) AS quota FROM (
-    SELECT k FROM t, range(32768) AS x(i) WHERE target > 0 ORDER BY target / CAST(2 * i + 1 AS DOUBLE) DESC, k LIMIT 32768
-  ) GROUP BY k
+    SELECT k, row_number() OVER (ORDER BY target / CAST(2 * i + 1 AS DOUBLE) DESC, k) AS place, seats
+    FROM (SELECT k, target, seats, unnest(range(CAST(seats AS BIGINT))) AS i FROM t, m WHERE target > 0)
+  ) WHERE place <= seats GROUP BY k
 ), p AS (
-  SELECT t.*, least(3 * n, (2 * total * coalesce(quota, 0) + 32768) // 65536) AS took FROM t LEFT JOIN q USING (k)
+  SELECT t.*, least(3 * n, (2 * total * coalesce(quota, 0) + seats) // (2 * seats)) AS took FROM t LEFT JOIN q USING (k), m
 ), l AS (
   SELECT d.doc_id, d.size, CAST(p.n AS BIGINT) AS source_size, p.target, p.n, p.took,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
