@@ -79,11 +79,43 @@ def test_revisits(spark):
 def test_as_of_against_brute_force(spark):
     r = random.Random(3)
     rows = [(i, r.choice(["response", "revisit"]), r.choice([1, 1, 1, 2, 3]), r.randrange(40)) for i in range(400)]
-    got = {x.revisit_id: x.response_id for x in warc.latest_earlier(spark.createDataFrame(rows, "record_id long, kind string, url_key long, at long"), 7).collect()}
+    captures = spark.createDataFrame(rows, "record_id long, kind string, url_key long, at long").withColumn("answer", F.struct("at", "record_id"))
+    got = {x.record_id: x.found.record_id if x.found else None for x in warc.latest_earlier(captures, 7).collect()}
     want = {i: max(((t, j) for j, k2, u2, t in rows if k2 == "response" and u2 == u and t < at), default=(0, None))[1] for i, k, u, at in rows if k == "revisit"}
     assert got == want
 
 
+def test_revisits_that_repeat_an_id_or_have_none(spark):
+    """Random captures of few urls, with record_ids null or repeated on either side, against a loop over them."""
+    r = random.Random(8)
+    rows = []
+    for _ in range(300):
+        kind = r.choice(["response", "revisit", "revisit"])
+        headers = {k: r.choice("ab") for k in ("etag", "last-modified") if r.random() < 0.6} or None
+        rows.append((r.choice([None, 1, 2, 3, 4]), kind, r.choice(["h.example/x", "h.example/y"]), r.randrange(60), headers, f"body {len(rows)}" if kind == "response" else None))
+    rows = [x for i, x in enumerate(rows) if x[1] == "revisit" or not any((y[:4], y[4] or {}) == (x[:4], x[4] or {}) for y in rows[:i])]
+    schema = "record_id long, kind string, url string, at long, headers map<string,string>, payload string"
+    got = sorted((tuple(x) for x in warc.resolve_revisits(spark.createDataFrame(rows, schema).repartition(5), 10).collect()), key=repr)
+
+    def mark(headers):
+        return hashlib.md5(("{" + ",".join(f'"{k}":"{v}"' for k, v in sorted((headers or {}).items())) + "}").encode()).hexdigest()
+
+    want = []
+    for d, kind, url, at, headers, _ in rows:
+        if kind == "response":
+            continue
+        before = [(t, i is not None, i or 0, mark(h), i, h or {}, body) for i, k, u, t, h, body in rows if k == "response" and u == url and t < at]
+        if not before:
+            want.append((d, None, "missing", None, None))
+            continue
+        *_, i, old, body = max(before, key=lambda x: x[:4])
+        new = headers or {}
+        state = next(("resolved" if old[k] == new[k] else "mismatch" for k in ("etag", "last-modified") if k in old and k in new), "unvalidated")
+        want.append((d, i, state, old | new, body) if state == "resolved" else (d, i, state, None, None))
+    plain = lambda found: sorted(((*x[:3], sorted(x[3].items()) if x[3] else None, x[4]) for x in found), key=repr)
+    assert plain(got) == plain(want) and {x[2] for x in got} == {"missing", "resolved", "mismatch", "unvalidated"}
+
+
 def page(body):
     return f"<html><head><title>T</title><style>p{{}}</style></head><body>{body}</body></html>"
 

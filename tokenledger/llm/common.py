@@ -46,15 +46,17 @@ def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def join_by_group(left: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, parts: int = 1000) -> DataFrame:
     """Inner join of left with groups (unique in keys), without a hot key landing in one task.
 
-    groups[size] is the number of left rows of the group and total their sum, so at most `parts` groups can hold
-    a share of 1/parts or more. Those few are broadcast, a bound that the counts prove; all others are joined by a
-    shuffle in which no key exceeds total/parts rows.
+    groups[size] is the number of left rows of the group and total their sum. A group that holds more than 1/parts of
+    them is hot, and at most `parts` are. Its rows are dealt over several salts by a hash of the row, and its one row of
+    groups goes to each: 2 * parts rows more at most, whatever they hold. Only the keys of hot groups are broadcast.
     """
-    hot = F.broadcast(groups.where(F.col(size) * parts >= F.lit(total)))
-    cold = groups.where(F.col(size) * parts < F.lit(total))
-    big = left.join(hot, keys)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    return big.unionByName(rest)
+    many = F.ceil(F.col(size) * parts / F.lit(max(1, total))).cast("int")
+    hot = groups.where(F.col(size) * parts > F.lit(total)).select(*keys, many.alias("__salts"))
+    plain = [c for c, kind in left.dtypes if "map<" not in kind]
+    salt = F.pmod(F.xxhash64(*plain), F.coalesce("__salts", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__salts")  # bound: `parts` keys
+    salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1)))
+    return dealt.join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -35,19 +35,28 @@ def piece_model() -> str:
 
 
 def capture_records(pages: DataFrame) -> DataFrame:
-    """WARC records made of pages: each page is a response and, a while later, a revisit of its section's URL, in another
-    spelling, with validators that agree for most."""
-    section = F.regexp_replace("url", "/[0-9]+[^/]*$", "/")
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    changed = F.concat(F.lit("day "), (F.col("page_id") % 400).cast("string"))
-    response = pages.select(
-        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), section.alias("url"), (F.col("page_id") * 60).alias("at"),
-        F.map_filter(F.create_map(F.lit("etag"), F.when(F.col("page_id") % 4 != 0, tag), F.lit("last-modified"), changed, F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60")), lambda _, v: v.isNotNull()).alias("headers"),
+    """WARC records made of pages: two thirds are responses of their section's URL, and each is also a revisit of it, in
+    another spelling.
+
+    A section has responses of several pages; the revisits follow some of them by seconds or by days, and some come
+    before the first. Entity tags are of the section and the time, so they agree with the latest earlier response if it
+    is recent; other revisits have another tag, or none, and are left to the time of change."""
+    section = F.regexp_replace("url", "/[0-9]+.*$", "/")
+    shift = F.expr("page_id % 7 * 10 + page_id % 13 * 1000 + CASE WHEN page_id % 17 = 0 THEN 500000 ELSE 0 END - CASE WHEN page_id % 4 = 3 THEN 40000 ELSE 0 END")
+    tag = lambda at: F.concat(F.lit('"'), F.md5(F.concat(section, F.floor(at / 90000).cast("string"))), F.lit('"'))
+    day = lambda at: F.concat(F.lit("day "), F.floor(at / 400000).cast("string"))
+    headers = lambda *x: F.map_filter(F.create_map(*x), lambda _, v: v.isNotNull())
+    answered, asked = F.col("page_id") * 60, F.col("page_id") * 60 + 1 + shift
+    response = pages.where("page_id % 3 <> 0").select(
+        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), section.alias("url"), answered.alias("at"),
+        headers(F.lit("etag"), F.when(F.col("page_id") % 4 != 0, tag(answered)), F.lit("last-modified"), day(answered), F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
         F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2("html", 256).alias("payload_sha256"),
     )
+    spelling = F.concat(F.upper(F.regexp_extract(section, "^[^/]*//[^/]*", 0)), F.regexp_replace(section, "^[^/]*//[^/]*", ""), F.lit("#again"))
+    etag = F.when(F.col("page_id") % 5 != 0, F.when(F.col("page_id") % 11 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag(asked))))
     revisit = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat(F.upper(F.regexp_extract(section, "^[^/]*//[^/]*", 0)), F.regexp_replace(section, "^[^/]*//[^/]*", ""), F.lit("#again")).alias("url"), (F.col("page_id") * 60 + 1 + F.col("page_id") % 7 * 10).alias("at"),
-        F.map_filter(F.create_map(F.lit("etag"), F.when(F.col("page_id") % 5 != 0, F.when(F.col("page_id") % 11 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))), F.lit("last-modified"), F.when(F.col("page_id") % 3 != 0, changed), F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.concat(F.lit("max-age="), (F.col("page_id") % 90).cast("string"))), lambda _, v: v.isNotNull()).alias("headers"),
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), spelling.alias("url"), asked.alias("at"),
+        headers(F.lit("etag"), etag, F.lit("last-modified"), F.when(F.col("page_id") % 3 != 0, day(asked)), F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.concat(F.lit("max-age="), (F.col("page_id") % 90).cast("string"))).alias("headers"),
         F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("payload_sha256"),
     )
     return response.unionByName(revisit)
@@ -63,8 +72,10 @@ def op1_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_not_modified_revisits"] = """
 WITH p AS (
-  SELECT page_id, html, regexp_replace(url, '/[0-9]+[^/]*$', '/') AS section, '"' || md5(coalesce(html, '')) || '"' AS tag,
-         'day ' || CAST(page_id % 400 AS VARCHAR) AS changed FROM pages
+  SELECT page_id, html, regexp_replace(url, '/[0-9]+.*$', '/') AS section, page_id * 60 AS answered,
+         page_id * 60 + 1 + page_id % 7 * 10 + page_id % 13 * 1000 + CASE WHEN page_id % 17 = 0 THEN 500000 ELSE 0 END
+           - CASE WHEN page_id % 4 = 3 THEN 40000 ELSE 0 END AS asked
+  FROM pages
 ), u AS (
   SELECT *, regexp_replace(trim(section), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS rest FROM p
 ), c AS (
@@ -74,12 +85,16 @@ WITH p AS (
                     ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&')), '&') END AS key
   FROM u
 ), r AS (
-  SELECT page_id * 2 AS response_id, key, page_id * 60 AS at, CASE WHEN page_id % 4 <> 0 THEN tag END AS etag, changed,
-         CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha FROM c
+  SELECT page_id * 2 AS response_id, key, answered AS at,
+         CASE WHEN page_id % 4 <> 0 THEN '"' || md5(section || CAST(CAST(floor(answered / 90000) AS BIGINT) AS VARCHAR)) || '"' END AS etag,
+         'day ' || CAST(CAST(floor(answered / 400000) AS BIGINT) AS VARCHAR) AS changed,
+         CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha FROM c WHERE page_id % 3 <> 0
 ), v AS (
-  SELECT page_id * 2 + 1 AS revisit_id, key, page_id * 60 + 1 + page_id % 7 * 10 AS at,
-         CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 11 = 0 THEN '"other"' ELSE 'W/' || tag END AS etag,
-         CASE WHEN page_id % 3 <> 0 THEN changed END AS changed, 'max-age=' || CAST(page_id % 90 AS VARCHAR) AS cache FROM c
+  SELECT page_id * 2 + 1 AS revisit_id, key, asked AS at,
+         CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 11 = 0 THEN '"other"'
+              ELSE 'W/"' || md5(section || CAST(CAST(floor(asked / 90000) AS BIGINT) AS VARCHAR)) || '"' END AS etag,
+         CASE WHEN page_id % 3 <> 0 THEN 'day ' || CAST(CAST(floor(asked / 400000) AS BIGINT) AS VARCHAR) END AS changed,
+         'max-age=' || CAST(page_id % 90 AS VARCHAR) AS cache FROM c
 ), j AS (
   SELECT v.revisit_id, r.response_id, r.bytes, r.sha, r.etag AS re, v.etag AS ve, r.changed AS rc, v.changed AS vc, v.cache
   FROM v ASOF LEFT JOIN r ON v.key = r.key AND v.at > r.at

@@ -33,29 +33,35 @@ def _opaque(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
-def latest_earlier(records: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """(revisit_id, response_id) for every revisit in records (record_id, kind, url_key, at); response_id null if there is none.
+def latest_earlier(captures: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """captures (url_key, at, kind and any other columns) that are revisits, with `found`: the greatest `answer` of the
+    latest earlier response of the same URL, null if there is none.
 
-    kind is response or revisit, at the capture's second. Of responses in one second the largest record_id counts as the
-    latest; a response in the revisit's own second isn't earlier.
+    kind is response or revisit, at the capture's second, answer a struct that starts with `at` and tells a response apart.
+    Of responses in one second the one with the greatest answer counts as the latest; a response in the revisit's own
+    second isn't earlier. Rows stay apart whatever they repeat. A null url_key or at has no earlier response.
     """
-    light = records.where(F.col("url_key").isNotNull() & F.col("at").isNotNull()).select("record_id", "kind", "url_key", "at", F.floor(F.col("at") / bucket_seconds).alias("bucket"))
-    light = written(light, "captures")
-    response = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
+    known = captures.where(F.col("url_key").isNotNull() & F.col("at").isNotNull()).withColumn("bucket", F.floor(F.col("at") / bucket_seconds))
+    known = written(known, "captures")
+    response = F.when(F.col("kind") == "response", F.col("answer"))
     earlier = Window.partitionBy("url_key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    inside = light.withColumn("near", F.max(response).over(earlier)).where("kind = 'revisit'").select("record_id", "url_key", "bucket", "near")
-    buckets = light.groupBy("url_key", "bucket").agg(F.max(response).alias("last"))
+    inside = known.withColumn("near", F.max(response).over(earlier)).where("kind = 'revisit'")
+    buckets = known.groupBy("url_key", "bucket").agg(F.max(response).alias("last"))
     before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select("url_key", "bucket", F.max("last").over(before).alias("far"))
-    found = inside.join(carried, ["url_key", "bucket"]).select(F.col("record_id").alias("revisit_id"), F.coalesce("near", "far").getField("record_id").alias("response_id"))
-    rest = records.where((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("at").isNull()))
-    return found.unionByName(rest.select(F.col("record_id").alias("revisit_id"), F.lit(None).cast("long").alias("response_id")))
+    found = inside.join(carried, ["url_key", "bucket"]).withColumn("found", F.coalesce("near", "far")).drop("bucket", "near", "far")
+    rest = captures.where((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("at").isNull()))
+    return found.unionByName(rest.withColumn("found", F.lit(None).cast(captures.schema["answer"].dataType)))
+
+
+def no_headers() -> Column:
+    return F.create_map().cast("map<string,string>")
 
 
 def merged_headers(stored: Column, update: Column) -> Column:
     """The stored header fields, those replaced that the update has and may replace. Names are in lower case."""
-    new = F.map_filter(F.coalesce(update, F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(NOT_MERGED))
-    old = F.map_filter(F.coalesce(stored, F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    new = F.map_filter(F.coalesce(update, no_headers()), lambda k, _: ~k.isin(NOT_MERGED))
+    old = F.map_filter(F.coalesce(stored, no_headers()), lambda k, _: ~F.array_contains(F.map_keys(new), k))
     return F.map_concat(old, new)
 
 
@@ -74,20 +80,26 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600) -> DataFram
 
     records: record_id long, kind, url, at timestamp or seconds, headers map<string,string> with names in lower case,
     and any payload columns named payload*. state is resolved, mismatch, unvalidated, or missing where there is no
-    earlier response. A revisit without url or time is missing. Null headers count as none. Rows that repeat a record_id
-    are records of their own on the revisit side; a response must have its own id. An empty table gives no rows. Other
-    columns are ignored.
+    earlier response. A revisit without url or time is missing. Null headers count as none.
+
+    Every revisit gives one row: rows that repeat a record_id, or have none, are records of their own. A response is told
+    apart by second, record_id and headers; of responses that repeat all three at one URL, the payload of one counts. An
+    empty table gives no rows. Other columns are ignored.
+
+    Revisits carry their headers through the as-of join; payloads are shuffled once, and only those that are asked for.
     """
     payload = [c for c in records.columns if c.startswith("payload")]
-    own = records.select("record_id", "kind", "headers", F.when(F.col("url").isNotNull(), F.xxhash64(canonical_url(F.col("url")))).alias("url_key"), F.col("at").cast("long").alias("at"), *payload)
-    pairs = written(latest_earlier(own, bucket_seconds), "revisit-pairs")
-    uses = pairs.where("response_id is not null").groupBy("response_id").agg(F.count("*").alias("uses"))
+    mark = F.md5(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("headers", no_headers()))))))
+    at = F.col("at").cast("long").alias("at")
+    own = records.select("record_id", "kind", "headers", F.when(F.col("url").isNotNull(), F.xxhash64(canonical_url(F.col("url")))).alias("url_key"), at, F.struct(at, "record_id", mark.alias("mark")).alias("answer"), *payload)
+    captures = own.select("record_id", "kind", "url_key", "at", F.when(F.col("kind") == "response", F.col("answer")).alias("answer"), F.when(F.col("kind") == "revisit", F.col("headers")).alias("update"))
+    pairs = written(latest_earlier(captures, bucket_seconds).select(F.col("record_id").alias("revisit_id"), "url_key", F.col("found").alias("answer"), "update"), "revisit-pairs")
+    uses = pairs.where("answer is not null").groupBy("url_key", "answer").agg(F.count("*").alias("uses"))
     total = pairs.count()
-    stored = own.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), *payload)
-    update = own.where("kind = 'revisit'").select(F.col("record_id").alias("revisit_id"), F.col("headers").alias("update"))
-    asked = pairs.join(update, "revisit_id")
-    met = join_by_group(asked.where("response_id is not null"), stored.join(uses, "response_id"), ["response_id"], "uses", total).drop("uses")
-    met = met.withColumn("state", validation(F.col("stored"), F.col("update")))
+    stored = own.where("kind = 'response'").join(uses, ["url_key", "answer"]).groupBy("url_key", "answer", "uses").agg(F.first(F.struct("headers", *payload)).alias("stored"))
+    met = join_by_group(pairs.where("answer is not null"), stored, ["url_key", "answer"], "uses", total)
+    met = met.withColumn("state", validation(F.col("stored.headers"), F.col("update")))
     ok = F.col("state") == "resolved"
-    met = met.select("revisit_id", "response_id", "state", F.when(ok, merged_headers(F.col("stored"), F.col("update"))).alias("headers"), *(F.when(ok, F.col(c)).alias(c) for c in payload))
-    return met.unionByName(asked.where("response_id is null").select("revisit_id", "response_id", F.lit("missing").alias("state")), allowMissingColumns=True)
+    met = met.select("revisit_id", F.col("answer.record_id").alias("response_id"), "state", F.when(ok, merged_headers(F.col("stored.headers"), F.col("update"))).alias("headers"), *(F.when(ok, F.col(f"stored.{c}")).alias(c) for c in payload))
+    missing = pairs.where("answer is null").select("revisit_id", F.lit(None).cast("long").alias("response_id"), F.lit("missing").alias("state"))
+    return met.unionByName(missing, allowMissingColumns=True)
