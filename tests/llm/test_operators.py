@@ -426,24 +426,48 @@ def test_exact_duplicates(spark, odd, empty):
 
 def test_cuckoo_filter():
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
-    bucket = cuckoo.DigestBucket()
-    assert all(bucket.insert(d, i) for i, d in enumerate(digests)) and bucket.resized > 0
-    assert all(d in bucket.filter for d in digests) and not any(bucket.insert(d, 9) for d in digests)
+    live = cuckoo.DigestFilter()
+    assert sum(live.insert(d) for d in digests) < 50 and live.resized > 0
+    assert all(d in live.filter for d in digests) and all(live.insert(d) for d in digests)
     other = [hashlib.sha256(b"x%d" % i).digest() for i in range(5000)]
-    assert sum(d in bucket.filter for d in other) < 50
-    assert all(bucket.delete(d) for d in digests[:4000]) and not bucket.delete(digests[0])
-    assert all(d in bucket.filter for d in digests[4000:]) and len(bucket.keys) == 1000
-
-
-def test_index_updates(spark):
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    first = spark.createDataFrame([(sha("a"), 1), (sha("a"), 2), (sha("b"), 3)], "text_sha256 string, doc_id long")
-    index = cuckoo.build_index(first)
-    changes = spark.createDataFrame([(sha("a"), None, "delete"), (sha("b"), 4, "insert"), (sha("c"), 5, "insert")], "text_sha256 string, doc_id long, op string")
-    index, report = cuckoo.update_index(index, changes)
-    live = {bytes(k.digest).hex(): (k.keep_id, k.copies) for r in index.collect() for k in r["keys"]}
-    assert live == {sha("b"): (3, 2), sha("c"): (5, 1)}
-    assert tuple(report.agg(F.sum("inserted"), F.sum("copied"), F.sum("deleted")).first()) == (1, 1, 1)
+    assert sum(d in live.filter for d in other) < 50
+    full, _ = cuckoo._built(digests)
+    assert all(full.delete(d) for d in digests[:4000]) and all(d in full for d in digests[4000:])
+    assert sum(d in full for d in digests[:4000]) < 50
+
+
+def test_index_against_a_plain_one(spark):
+    """Inserted, deleted and looked up in turns, with copies, a null id, what isn't live, full filters and more buckets."""
+    from collections import Counter
+
+    r = random.Random(12)
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    norm = lambda t: " ".join((t or "").split(" "))
+    live: Counter = Counter()
+    index = cuckoo.empty_index(spark, bits=1)
+    sizes = set()
+    for turn in range(4):
+        new = [(r.choice([None, *range(40)]), r.choice([None, "", *(f"text {k}" for k in range(1200 if turn == 1 else 25))])) for _ in range(1500 if turn == 1 else 40)]
+        index = cuckoo.insert(index, docs(new), per_bucket=500)
+        live.update((d, norm(t)) for d, t in new)
+        gone = r.sample(sorted(live.elements(), key=repr), 20) + [(99, "never there"), (5, "text 1")]
+        for x in gone:
+            live[x] = max(0, live[x] - 1)
+        index = cuckoo.delete(index, docs(gone), per_bucket=500)
+        groups: dict = {}
+        for (d, t), n in live.items():
+            if n:
+                groups.setdefault(t, []).append((d, n))
+        want = {hashlib.sha256(t.encode()).hexdigest(): (min((d for d, _ in x if d is not None), default=None), sum(n for _, n in x)) for t, x in groups.items()}
+        assert {x.text_sha256: (x.keep_id, x.group_size) for x in index.live().collect()} == want
+        assert {x.text_sha256 for x in index.content.collect()} == set(want)
+        asked = [(1000 + k, f"text {k}") for k in range(0, 1300, 7)] + [(7, None), (8, "other")]
+        found = {(x.doc_id, x.text_sha256): (x.keep_id, x.live) for x in cuckoo.lookup(index, docs(asked)).collect()}
+        for d, t in asked:
+            sha = hashlib.sha256(norm(t).encode()).hexdigest()
+            assert found[d, sha] == (want.get(sha, (None,))[0], sha in want)
+        sizes.update(len(x["filter"]) for x in index.filters.collect())
+    assert len(sizes) > 1 and index.bits > 1
 
 
 def brute_components(texts, words, percent):

@@ -1,22 +1,24 @@
 """Exact duplicates with an index of live digests behind cuckoo filters.
 
 The index is dealt into buckets by the leading bits of the digest. Each bucket has a cuckoo filter, which answers "not
-seen" without a look at the content, and its stored keys (digest, first document, number of live copies), against which
-every hit of the filter is verified. A full filter is rebuilt at twice the size from the stored keys. Digests can be
-inserted and deleted; a bucket is one task's work, and buckets grow in number with the corpus.
+seen" without a look at the content; only its hits are verified against what is stored. A full filter is rebuilt at twice
+the size from the stored keys. A bucket is one task's work, and buckets grow in number with the corpus.
+
+`exact_duplicates` puts a whole corpus through such filters and groups the hits alone. `Index` is kept between runs:
+documents are inserted, deleted and looked up, and hits are compared with the stored text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_group, slices, written
+from .common import constants, join_by_group, slices, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -72,45 +74,35 @@ class CuckooFilter:
         return False
 
 
-class DigestBucket:
-    """One bucket of the index: its filter and its stored keys, digest -> [least doc_id, live copies]."""
-
-    def __init__(self, keys: dict[bytes, list] | None = None, table: bytes | None = None):
-        self.keys = dict(keys or {})
-        self.filter = CuckooFilter(table=table) if table else CuckooFilter()
-        self.resized = 0
-        if self.keys and not table:
-            self._rebuild(len(self.filter.slots))
-
-    def _rebuild(self, buckets: int) -> None:
-        while True:
-            self.filter = CuckooFilter(buckets)
-            if all(self.filter.insert(x) for x in self.keys):
-                return
-            buckets *= 2
-            self.resized += 1
-
-    def insert(self, digest: bytes, doc_id: int | None, copies: int = 1) -> bool:
-        """True if the digest is new. A hit of the filter counts only if the stored key is the same."""
-        if digest in self.filter and digest in self.keys:
-            known = self.keys[digest]
-            known[0] = doc_id if known[0] is None else known[0] if doc_id is None else min(known[0], doc_id)
-            known[1] += copies
-            return False
-        self.keys[digest] = [doc_id, copies]
-        if not self.filter.insert(digest):
-            self._rebuild(2 * len(self.filter.slots))
-            self.resized += 1
-        return True
+class DigestFilter:
+    """A filter and the part of each inserted digest that it needs to be rebuilt at twice the size when it overflows."""
 
-    def delete(self, digest: bytes) -> bool:
-        """Takes out a live digest with all its copies; False if it isn't live."""
-        if digest in self.filter and digest in self.keys:
-            del self.keys[digest]
-            return self.filter.delete(digest)
+    PART = 10
+
+    def __init__(self):
+        self.filter, self.stored, self.resized = CuckooFilter(), bytearray(), 0
+
+    def insert(self, digest: bytes) -> bool:
+        """True if the digest may have been inserted before; if it hasn't, it is now."""
+        if digest in self.filter:
+            return True
+        self.stored += digest[-self.PART :]
+        if not self.filter.insert(digest):
+            self.filter, more = _built(bytes(self.stored[i : i + self.PART]) for i in range(0, len(self.stored), self.PART))
+            self.resized += more
         return False
 
 
+def _built(digests, buckets: int = 64) -> tuple[CuckooFilter, int]:
+    """A filter that holds all of digests, and how often it was doubled for that."""
+    digests, doubled = list(digests), 0
+    while True:
+        made = CuckooFilter(buckets)
+        if all(made.insert(x) for x in digests):
+            return made, doubled
+        buckets, doubled = 2 * buckets, doubled + 1
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 in hex of the text with each run of white space as one space; null counts as empty."""
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), 256)
@@ -120,81 +112,29 @@ def bucket_of(digest: Column, bits: int) -> Column:
     return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - bits).cast("int")
 
 
-def bucket_bits(rows: int, per_bucket: int = 50_000) -> int:
-    """Leading digest bits so that a bucket has about per_bucket digests at most; 64 buckets at least."""
-    return min(31, max(6, int(np.ceil(np.log2(max(1, rows / per_bucket))))))
+def bucket_bits(rows: int, per_bucket: int = 50_000, least: int = 6) -> int:
+    """Leading digest bits so that a bucket has about per_bucket digests at most; 2^least buckets at least."""
+    return min(31, max(least, int(np.ceil(np.log2(max(1, rows / per_bucket))))))
 
 
-def digest_groups(digests: DataFrame, bits: int) -> DataFrame:
-    """Inserts (doc_id, text_sha256) in the index: one row per distinct digest with keep_id and group_size.
+def probed(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (text_sha256, doc_id, copies) with `hit`: whether the filter of the digest's bucket had it, maybe, when it came.
 
-    Copies are first counted where they are read, in 16 parts a digest at most, so a digest with a third of all rows
-    sends a few rows only. Within a bucket rows come in order of doc_id.
+    The first row of a digest is a hit only by chance; every other one is a hit.
     """
-    part = digests.groupBy("text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    dealt = part.select(bucket_of(F.col("text_sha256"), bits).alias("bucket"), F.unhex("text_sha256").alias("digest"), "doc_id", "copies")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last())
+    dealt = rows.select(bucket_of(F.col("text_sha256"), bits).alias("bucket"), "text_sha256", "doc_id", "copies").repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, live = None, DigestBucket()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = pa.RecordBatch.from_arrays([pa.array([x.hex() for x in live.keys], pa.string()), pa.array([x[0] for x in live.keys.values()], pa.int64()), pa.array([x[1] for x in live.keys.values()], pa.int64())], names=["text_sha256", "keep_id", "group_size"])
-            yield from slices(iter([rows]), 10_000)
-
+        at, live = None, DigestFilter()
         for batch in batches:
-            for bucket, digest, doc_id, copies in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            hits = []
+            for bucket, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != at:
-                    if at is not None:
-                        yield from out()
-                    at, live = bucket, DigestBucket()
-                live.insert(digest, doc_id, copies)
-        if at is not None:
-            yield from out()
-
-    return dealt.mapInArrow(run, "text_sha256 string, keep_id long, group_size long")
-
-
-def build_index(digests: DataFrame, bits: int = 6) -> DataFrame:
-    """The index as a table, a row per bucket: its filter and its stored keys."""
-    empty = digests.sparkSession.createDataFrame([], INDEX)
-    return update_index(empty, digests.select("text_sha256", "doc_id", F.lit("insert").alias("op")), bits)[0]
+                    at, live = bucket, DigestFilter()
+                hits.append(live.insert(bytes.fromhex(digest)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(hits, pa.bool_())], names=["text_sha256", "doc_id", "copies", "hit"])
 
-
-INDEX = "bucket int, filter binary, keys array<struct<digest: binary, keep_id: bigint, copies: bigint>>"
-
-
-def update_index(index: DataFrame, changes: DataFrame, bits: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(new index, buckets' reports) after changes (text_sha256, doc_id, op insert or delete); deletions go first.
-
-    The report has, for each bucket, how many digests were new, were copies, were deleted and how often it was resized.
-    """
-    counted = changes.groupBy("op", "text_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    dealt = counted.select(bucket_of(F.col("text_sha256"), bits).alias("bucket"), "op", F.unhex("text_sha256").alias("digest"), "doc_id", "copies")
-
-    def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        keys, table = {}, None
-        for row in old.itertuples():
-            table = row.filter
-            keys = {bytes(k["digest"]): [k["keep_id"], k["copies"]] for k in row.keys}
-        live = DigestBucket(keys, table)
-        fresh = copied = gone = 0
-        for row in new.sort_values(["op", "doc_id"]).itertuples():
-            doc_id = None if pd.isna(row.doc_id) else int(row.doc_id)
-            if row.op == "delete":
-                gone += live.delete(bytes(row.digest))
-            elif live.insert(bytes(row.digest), doc_id, int(row.copies)):
-                fresh += 1
-                copied += int(row.copies) - 1
-            else:
-                copied += int(row.copies)
-        bucket = int(new["bucket"].iloc[0] if len(new) else old["bucket"].iloc[0])
-        stored = [{"digest": k, "keep_id": v[0], "copies": v[1]} for k, v in live.keys.items()]
-        return pd.DataFrame([{"bucket": bucket, "filter": live.filter.slots.tobytes(), "keys": stored, "inserted": fresh, "copied": copied, "deleted": gone, "resized": live.resized}])
-
-    schema = f"{INDEX}, inserted bigint, copied bigint, deleted bigint, resized bigint"
-    done = written(index.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(run, schema), "digest-index")
-    return done.select("bucket", "filter", "keys"), done.select("bucket", "inserted", "copied", "deleted", "resized")
+    return dealt.mapInArrow(run, "text_sha256 string, doc_id long, copies long, hit boolean")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,9 +144,156 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     doc_id comes last, and is kept only in a group that has no other. Rows that repeat a doc_id and its text count in
     group_size and are all marked kept if the doc_id is the least. An empty table gives no rows. Other columns are
     ignored.
+
+    Copies are first counted where they are read, in 16 parts a digest at most, so a digest with a third of all rows
+    sends a few rows only. What the filter hasn't seen and nothing hits later is alone, and done; the digests of hits are
+    verified by grouping the stored digests in full, and only their documents are joined with a group.
     """
     digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_sha256")), "digests")
     total = digests.count()
-    groups = written(digest_groups(digests, bucket_bits(total)), "digest-groups")
-    out = join_by_group(digests, groups, ["text_sha256"], "group_size", total)
-    return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    counted = digests.groupBy("text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    seen = written(probed(counted, bucket_bits(total)), "probed-digests")
+    hits = seen.where("hit or copies > 1").select("text_sha256").distinct()
+    groups = seen.join(hits, "text_sha256").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = written(groups, "digest-groups")
+    alone = seen.join(groups, "text_sha256", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    met = join_by_group(digests, groups, ["text_sha256"], "group_size", total)
+    return met.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256").unionByName(alone)
+
+
+# --- the index that is kept ------------------------------------------------------------------------------
+
+
+@dataclass
+class Index:
+    """filters (bucket, filter), content (bucket, text_sha256, text: a row for each live digest), and holders
+    (text_sha256, doc_id, copies: a row for each live document of a digest); 2^bits buckets."""
+
+    filters: DataFrame
+    content: DataFrame
+    holders: DataFrame
+    bits: int
+
+    def live(self) -> DataFrame:
+        """text_sha256, keep_id (the least live doc_id) and group_size of every live digest."""
+        return self.holders.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
+
+
+def empty_index(spark: SparkSession, bits: int = 6) -> Index:
+    return Index(constants(spark, [], "bucket int, filter binary"), constants(spark, [], "bucket int, text_sha256 string, text string"), constants(spark, [], "text_sha256 string, doc_id long, copies long"), bits)
+
+
+def maybe_live(index: Index, digests: DataFrame) -> DataFrame:
+    """text_sha256 of the distinct digests (text_sha256) that the filters may have. The content isn't read."""
+    asked = digests.select("text_sha256").distinct().select(bucket_of(F.col("text_sha256"), index.bits).alias("bucket"), F.unhex("text_sha256").alias("digest"), F.lit(None).cast("binary").alias("filter"))
+    rows = asked.unionByName(index.filters.select("bucket", F.lit(None).cast("binary").alias("digest"), "filter"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in slices(batches):
+            found = []
+            for bucket, digest, table in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if table is not None:
+                    at, own = bucket, CuckooFilter(table=table)
+                elif bucket == at and digest in own:
+                    found.append(digest.hex())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text_sha256"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", F.col("digest").asc_nulls_first()).mapInArrow(run, "text_sha256 string")
+
+
+def lookup(index: Index, docs: DataFrame) -> DataFrame:
+    """doc_id, text_sha256 and keep_id of every document of docs: keep_id is the least live doc_id with an equal text, null
+    if there is none. A hit of the filters is compared with the stored text of its bucket.
+
+    Null texts count as empty, repeated rows are each looked up, an empty table or index gives no rows or no hits."""
+    own = _keyed(docs)
+    maybe = written(maybe_live(index, own), "maybe-live")
+    stored = index.content.join(maybe, "text_sha256", "left_semi").select("text_sha256", F.col("text").alias("stored")).join(index.live(), "text_sha256").select("text_sha256", "stored", "keep_id", F.lit(True).alias("met"))
+    return own.join(stored, "text_sha256", "left").select("doc_id", "text_sha256", F.when(F.col("text") == F.col("stored"), F.col("keep_id")).alias("keep_id"), (F.coalesce("met", F.lit(False)) & (F.col("text") == F.col("stored"))).alias("live"))
+
+
+def insert(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
+    """The index with the documents of docs. A digest that the filters don't have is new without a look at the content."""
+    own = _keyed(docs)
+    counted = written(own.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies")), "inserted")
+    maybe = written(maybe_live(index, counted), "maybe-live")
+    known = index.content.join(maybe, "text_sha256", "left_semi").select("text_sha256")
+    fresh = written(counted.select("text_sha256").distinct().join(known, "text_sha256", "left_anti"), "new-digests")
+    texts = own.join(fresh, "text_sha256").groupBy("text_sha256").agg(F.first("text").alias("text"))
+    bucket = bucket_of(F.col("text_sha256"), index.bits).alias("bucket")
+    content = written(index.content.unionByName(texts.select(bucket, "text_sha256", "text")), "content", merge=False)
+    holders = index.holders.unionByName(counted).groupBy("text_sha256", "doc_id").agg(F.sum("copies").alias("copies"))
+    return _updated(index, content, written(holders, "holders"), fresh, "insert", per_bucket)
+
+
+def delete(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
+    """The index without the documents of docs (doc_id and text). One row takes out one copy of a doc_id and text; what isn't
+    live is ignored. A digest goes when its last copy goes."""
+    counted = _keyed(docs).groupBy("text_sha256", "doc_id").agg(F.count("*").alias("gone")).toDF("of", "id", "gone")
+    met = (F.col("text_sha256") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    holders = index.holders.join(counted, met, "left").select("text_sha256", "doc_id", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")).where("copies > 0")
+    holders = written(holders, "holders")
+    dead = written(index.content.select("text_sha256").join(holders, "text_sha256", "left_anti"), "dead-digests")
+    content = written(index.content.join(dead, "text_sha256", "left_anti").select("bucket", "text_sha256", "text"), "content", merge=False)
+    return _updated(index, content, holders, dead, "delete", per_bucket)
+
+
+def _updated(index: Index, content: DataFrame, holders: DataFrame, changed: DataFrame, op: str, per_bucket: int) -> Index:
+    """The filters after digests are inserted or deleted; those that overflow are built anew from the stored keys, and all
+    of them with more buckets once a bucket has more than per_bucket digests on average."""
+    bits = bucket_bits(content.count(), per_bucket, index.bits)
+    if bits > index.bits:
+        content = written(content.withColumn("bucket", bucket_of(F.col("text_sha256"), bits)), "content", merge=False)
+        return Index(written(_from_content(content), "filters"), content, holders, bits)
+    rows = changed.select(bucket_of(F.col("text_sha256"), bits).alias("bucket"), F.unhex("text_sha256").alias("digest"), F.lit(None).cast("binary").alias("filter"))
+    rows = rows.unionByName(index.filters.select("bucket", F.lit(None).cast("binary").alias("digest"), "filter"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, full = None, CuckooFilter(), False
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([None if full else own.slots.tobytes()], pa.binary())], names=["bucket", "filter"])
+        for batch in slices(batches):
+            for bucket, digest, table in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != at:
+                    if at is not None:
+                        yield out()
+                    at, own, full = bucket, CuckooFilter(), False
+                if table is not None:
+                    own = CuckooFilter(table=table)
+                elif op == "delete":
+                    own.delete(digest)
+                else:
+                    full = not own.insert(digest) or full
+        if at is not None:
+            yield out()
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("digest").asc_nulls_first())
+    filters = written(dealt.mapInArrow(run, "bucket int, filter binary"), "filters")
+    full = filters.where("filter is null").select("bucket")
+    if not full.isEmpty():
+        filters = written(filters.where("filter is not null").unionByName(_from_content(content.join(full, "bucket", "left_semi"))), "filters")
+    return Index(filters, content, holders, bits)
+
+
+def _from_content(content: DataFrame) -> DataFrame:
+    """(bucket, filter) of each bucket, from its stored digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digests = None, []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_built(digests)[0].slots.tobytes()], pa.binary())], names=["bucket", "filter"])
+        for batch in slices(batches):
+            for bucket, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    if at is not None:
+                        yield out()
+                    at, digests = bucket, []
+                digests.append(digest)
+        if at is not None:
+            yield out()
+
+    return content.select("bucket", F.unhex("text_sha256").alias("digest")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, filter binary")
