@@ -36,12 +36,73 @@ def test_replay_conserves_supply(spark):
     assert found(H.last_owner(ev, ["block_number", "tx_index"]).select("token_id", "owner", "burned")) == [(1, None, True), (2, "a", False)]
 
 
-def test_replay_with_a_high_limit_keeps_all(spark):
-    ev = log(spark, (1, None, "a", 1), (1, "a", "b", 1), (1, "b", "a", 1), (2, None, "a", 1), (3, None, "a", 1))
-    held = {r.owner: r.held for r in H.replay_with_limit(ev, 1000).collect()}
-    assert held["a"] == H.owned_tokens(ev, "a", []).count() == 3
-    cut = {r.owner: (r.cut_block, r.held) for r in H.replay_with_limit(ev, 2).collect()}
-    assert cut["a"] == (1, 2)  # both events of block 1 are in
+ORDER = ["block_number", "tx_index", "event_id"]
+
+
+@pytest.mark.parametrize("standard", ["erc721", "erc1155"])
+def test_replay_with_a_high_limit_keeps_all(spark, standard):
+    ev = log(spark, (1, None, "a", 1), (1, "a", "b", 1), (1, "b", "a", 1), (2, None, "a", 1), (3, None, "a", 1)).withColumn("standard", F.lit(standard))
+    owned = found(H.owned_tokens(ev, "a", ORDER).select("token_id"))
+    assert [x for x in found(H.replay_with_limit(ev, 1000).select("token_id", "owner")) if x[1] == "a"] == [(t, "a") for (t,) in owned] and len(owned) == 3
+    cut = [tuple(r) for r in H.replay_with_limit(ev, 2).collect() if r.owner == "a"]
+    assert sorted(cut) == [("a", 1, 1, 0, 1), ("a", 2, 1, 0, 1)]  # both events of block 1 are in
+
+
+def plain_replay(rows, owner, limit, descending):
+    """The log read one event after the other: (held tokens, from_block, to_block)."""
+    own = sorted(((b, i, t, s, f == owner, to == owner, q) for i, (t, s, f, to, q, b) in enumerate(rows) if owner in (f, to)), reverse=descending)
+    state, net, newest = {}, {}, {}
+    lo, hi = min(x[0] for x in own), max(x[0] for x in own)
+    for k, (b, i, t, s, gone, come, q) in enumerate(own):
+        if s == "erc721":
+            if t not in newest or (b, i) > newest[t]:
+                newest[t] = (b, i)
+                state[t] = come
+        else:
+            net[t] = net.get(t, 0) + q * (come - gone)
+            state[t] = net[t] > 0
+        ends = k + 1 == len(own) or own[k + 1][0] != b
+        if ends and sum(state.values()) >= limit and k + 1 < len(own):
+            lo, hi = (b, hi) if descending else (lo, b)
+            break
+    return {t for t, held in state.items() if held}, lo, hi
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_replay_against_a_loop(spark, descending):
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for i in range(160):
+        t = r.randrange(12)
+        a, b = r.sample(["a", "b", "c", None], 2)
+        rows.append((t, "erc721" if t % 2 else "erc1155", a, b, r.choice([0, 1, 2]), i // 3))
+    ev = spark.createDataFrame([(i, t, "transfer", a, b, q, f"t{i}", blk, i % 3, None, s) for i, (t, s, a, b, q, blk) in enumerate(rows)], EVENT + ", standard string")
+    for limit in (1, 3, 5, 50):
+        got = H.replay_with_limit(ev, limit, descending).collect()
+        for owner in "abc":
+            tokens, lo, hi = plain_replay(rows, owner, limit, descending)
+            assert {x.token_id for x in got if x.owner == owner} == tokens
+            assert {(x.from_block, x.to_block) for x in got if x.owner == owner} <= {(lo, hi)}
+
+
+def test_ownership_models(spark):
+    ev = log(spark, (1, None, "a", 5), (1, "a", "b", 1), (2, None, "a", 5), (2, "a", "b", 1), (3, None, "a", 1), (3, "a", None, 1), (4, None, "a", 1), (4, "a", None, 1))
+    ev = ev.withColumn("standard", F.when(F.col("token_id") % 2 == 1, "erc721").otherwise("fa2")).withColumn("contract", F.concat(F.lit("K"), "token_id"))
+    assert found(H.owned_tokens(ev, "a", ORDER).select("token_id", "quantity")) == [(2, 4)]
+    configured = spark.createDataFrame([("k1", "erc1155")], "contract string, standard string")
+    assert found(H.owned_tokens(ev, "a", ORDER, configured).select("token_id", "quantity")) == [(1, 4), (2, 4)]
+    assert found(H.token_state(ev, ORDER)) == [(1, "b", False, 1, 1), (2, None, False, 2, 5), (3, None, True, 0, 0), (4, None, True, 0, 0)]
+
+
+def test_batch_offsets_beyond_the_data_are_left_out(spark):
+    word = lambda n: f"{n:064x}"
+    body = [word(2), word(7), word(9), word(2), word(1), word(1)]
+    rows = [(i, ["0x" + "0" * 64] * 4, "0x" + word(a) + word(b) + "".join(body)) for i, (a, b) in enumerate([(64, 160), (2**64 + 64, 160), (64, 161), (64, 2**200), (2**59, 160), (64, 32 * 8)])]
+    df = spark.createDataFrame(rows, "log_index long, topics array<string>, data string").withColumn("topics", F.array(F.lit(E.TRANSFER_BATCH), F.lit("0x" + "0" * 64), F.lit("0x" + "0" * 64), F.lit("0x" + "1" * 64)))
+    df = df.withColumns({"address": F.lit("0xab"), "block_number": F.lit(1), "tx_hash": F.lit("t"), "tx_index": F.lit(1), "block_time": F.lit(None).cast("timestamp")})
+    assert found(E.decode_1155_batch(df).select("log_index", "token_number", "quantity")) == [(0, "7", "1"), (0, "9", "1")]
 
 
 def test_feed_alternates_and_timeline(spark):
@@ -139,9 +200,79 @@ def test_gates_stream_equals_batch(spark, tmp_path, shadow, want):
     assert found(J.run_available(J.render_gates(stream, config), "gates").select("id", "change")) == want
 
 
+def test_jpeg_segments(spark):
+    ok = bytes.fromhex("FFD8FFFFE000044A46FFD0FFDA0008")
+    rows = [(1, ok), (2, ok[:4]), (3, bytes.fromhex("FFD8FFE000044A4612345678")), (4, bytes.fromhex("FFD8FFE000010000"))]
+    df = spark.createDataFrame(rows, "id int, body binary").withColumn("declared", F.lit("image/jpeg")).withColumn("length", F.lit(None).cast("long"))
+    assert [x[1] for x in found(S.content_verdict(df, []).select("id", "verdict"))] == ["healthy", "healthy", "bad_container", "bad_container"]
+
+
+def test_all_gates_go_in_batches(spark):
+    probes = spark.createDataFrame([(f"h{i}", i < 5) for i in range(8)], "url_hash string, health_gated boolean")
+    health = spark.createDataFrame([(i, 100 + i, f"h{i}", "metadata_image", "healthy" if i % 2 else "broken") for i in range(8)], "id int, token_id int, url_hash string, media_source string, health_status string")
+    tokens = spark.createDataFrame([(100 + i, i == 1) for i in range(8)], "token_id int, is_viewable boolean")
+    probes, health, changes = S.release_all_gates(probes, health, tokens, 3)
+    assert probes.where("health_gated").count() == 2 and found(health.where("health_status = 'unknown'").select("id")) == [(0,), (1,), (2,)]
+    assert found(changes) == [(101, True, False)]
+    probes, health, _ = S.release_all_gates(probes, health, tokens, 3)
+    assert probes.where("health_gated").count() == 0
+
+
+def test_ingest_that_runs_twice_and_restarts(spark, tmp_path):
+    events = lambda *rows: spark.createDataFrame(rows, "chain string, block_number long, tx_index long")
+    start = spark.createDataFrame([("a", 2)], "chain string, block_number long")
+    batches = [events(("a", 1, 0), ("a", 2, 0), ("a", 4, 0), ("b", 1, 0)), events(("a", 3, 0), ("a", 4, 1), ("b", 0, 0), ("b", 5, 0)), events(("a", 5, 0), ("b", 5, 1))]
+    schema = "chain string, block_number long, tx_index long"
+    path = str(tmp_path / "ingest")
+    for k, batch in enumerate(batches):
+        for _ in range(2):
+            J.OrderedIngest(spark, path, start).batch(batch, k)  # a new object each time: nothing is kept in memory
+    want = [("a", 2, 0), ("a", 4, 0), ("a", 4, 1), ("a", 5, 0), ("b", 1, 0), ("b", 5, 0), ("b", 5, 1)]
+    assert found(J.BatchTables(spark, path).all("events", schema)) == want
+    J.OrderedIngest(spark, path, start).batch(batches[1], 1)
+    assert found(J.BatchTables(spark, path).all("events", schema)) == want
+
+
+def test_levels_wait_overflow_and_time_out(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([("c", level, feed, i, "") for i, (feed, level) in x], J.FEED)
+    job = J.LevelAlign(spark, str(tmp_path / "align"), 2, 60)
+    batches = [(rows((1, ("transfer", 1)), (2, ("transfer", 2))), 0), (rows((3, ("metadata", 2)), (4, ("transfer", 1))), 10), (rows((5, ("transfer", 5)), (6, ("transfer", 6)), (7, ("transfer", 7))), 20), (rows((8, ("transfer", 9)), (9, ("metadata", 1))), 100)]
+    for k, (batch, now) in enumerate(batches):
+        for _ in range(2):
+            job.batch(batch, k, now)
+    got = found(J.BatchTables(spark, job.path).all("released", f"{J.FEED}, reason string").select("id", "reason"))
+    # 4 comes in the batch that seals its level, 9 after that
+    assert got == [(1, "aligned"), (2, "overflow"), (3, "overflow"), (4, "aligned"), (5, "overflow"), (6, "timeout"), (7, "timeout")]
+
+
+def test_idle_blocks_are_flushed(spark, tmp_path):
+    job = J.IdleFlush(spark, str(tmp_path / "idle"))
+    rows = lambda *x: spark.createDataFrame(x, J.BLOCK)
+    out = lambda: found(J.BatchTables(spark, job.path).all("blocks", J.BLOCK))
+    for _ in range(2):
+        job.batch(rows(("a", 1, 1), ("a", 2, 2), ("b", 1, 3)), 0, 0)
+    assert out() == [("a", 1, 1)]
+    job.batch(rows(("b", 1, 4)), 1, 50)
+    for _ in range(2):
+        job.flush(2, 70, 60)
+    assert out() == [("a", 1, 1), ("a", 2, 2)]
+    job.flush(3, 200, 60)
+    assert out() == [("a", 1, 1), ("a", 2, 2), ("b", 1, 3), ("b", 1, 4)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tokenledger.session import scratch_dir
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://m:7077"))
+    with pytest.raises(RuntimeError):
+        scratch_dir(bare)
+
+
 def test_levels_align(spark, tmp_path):
     rows = [("c", "transfer", 1, 1, "a"), ("c", "metadata", 1, 2, "b"), ("c", "transfer", 2, 3, "c"), ("c", "metadata", 3, 4, "d"), ("c", "transfer", 3, 5, "e")]
     df = spark.createDataFrame(rows, "chain string, feed string, level long, id long, payload string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = J.run_available(J.align_levels(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 10, 60_000), "align", one_batch=True)
+    out = J.LevelAlign(spark, str(tmp_path / "align"), 10, 60).run(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     assert found(out.select("level", "feed", "id")) == [(1, "metadata", 2), (1, "transfer", 1), (2, "transfer", 3)]

@@ -39,11 +39,12 @@ def word(data: Column, i: Column | int) -> Column:
 
 
 def hex_to_decimal(hex_: Column) -> Column:
-    """Decimal text of up to 64 hex digits. Numbers below 2^60 are read at once; others 32 bits at a time into three limbs
-    of 26 decimal digits."""
-    digits = F.lpad(F.lower(hex_), 64, "0")
-    small = F.when(F.substring(digits, 1, 49) == "0" * 49, F.conv(F.substring(digits, 50, 15), 16, 10))
-    return F.when(hex_.rlike("^[0-9a-fA-F]{1,64}$"), F.coalesce(small, _wide(digits)))
+    """Decimal text of up to 64 hex digits; null for what isn't. Numbers below 2^60 are read at once; others 32 bits at a
+    time into three limbs of 26 decimal digits."""
+    digits = F.ltrim(hex_, F.lit("0"))  # the column is looked at once more, and mostly short
+    small = F.when(F.length(digits) <= 15, F.coalesce(F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10)))
+    fits = hex_.rlike("^[0-9a-fA-F]{1,64}$")
+    return F.when(fits, F.when(F.length(digits) <= 15, small).otherwise(_wide(F.lpad(F.lower(hex_), 64, "0"))))
 
 
 def _wide(digits: Column) -> Column:
@@ -75,18 +76,20 @@ def decode_721(logs: DataFrame) -> DataFrame:
 
 def decode_1155_single(logs: DataFrame) -> DataFrame:
     """EVT2: sender and receiver in topics 2 and 3, token and value in the data; shorter data is left out."""
-    own = logs.where((topic(0) == TRANSFER_SINGLE) & (F.size("topics") == 4)).where(word(F.col("data"), 1).isNotNull())
-    return _event(own, topic_address(2), topic_address(3), hex_to_decimal(word(F.col("data"), 0)), hex_to_decimal(word(F.col("data"), 1)))
+    own = logs.where((topic(0) == TRANSFER_SINGLE) & (F.size("topics") == 4) & (F.length("data") >= 130))
+    return _event(own, topic_address(2), topic_address(3), hex_to_decimal(F.substring("data", 3, 64)), hex_to_decimal(F.substring("data", 67, 64)))
 
 
 def decode_1155_batch(logs: DataFrame) -> DataFrame:
-    """EVT3: a row for each pair of the two arrays in the data. Arrays of unequal lengths or cut short are left out."""
+    """EVT3: a row for each pair of the two arrays in the data. Arrays of unequal lengths, cut short, or at an offset that isn't
+    a whole word or doesn't fit in 60 bits are left out."""
     data = F.col("data")
-    number = lambda w: F.conv(F.substring(w, 49, 16), 16, 10).try_cast("bigint")
+    number = lambda w: F.when(F.substring(w, 1, 49) == "0" * 49, F.conv(F.substring(w, 50, 15), 16, 10).try_cast("bigint"))
     own = logs.where((topic(0) == TRANSFER_BATCH) & (F.size("topics") == 4))
-    own = own.withColumn("__i", (number(word(data, 0)) / 32).cast("bigint")).withColumn("__v", (number(word(data, 1)) / 32).cast("bigint"))
+    own = own.withColumn("__a", number(word(data, 0))).withColumn("__b", number(word(data, 1))).where("__a % 32 = 0 and __b % 32 = 0")
+    own = own.where((F.length(data) >= 2 + 2 * F.greatest("__a", "__b") + 64)).withColumn("__i", F.expr("__a div 32")).withColumn("__v", F.expr("__b div 32"))
     own = own.withColumn("__n", number(word(data, F.col("__i")))).withColumn("__m", number(word(data, F.col("__v"))))
-    whole = (F.length(data) >= 2 + 64 * (F.greatest("__i", "__v") + 1 + F.col("__n"))) & (F.col("__n") == F.col("__m")) & (F.col("__n") > 0)
+    whole = (F.col("__n") == F.col("__m")) & F.col("__n").between(1, F.expr("(length(data) - 2) div 64")) & (F.length(data) >= 2 + 64 * (F.greatest("__i", "__v") + 1 + F.col("__n")))
     each = own.where(whole).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
     return _event(each, topic_address(2), topic_address(3), hex_to_decimal(word(data, F.col("__i") + F.col("__k"))), hex_to_decimal(word(data, F.col("__v") + F.col("__k"))))
 

@@ -41,17 +41,45 @@ def last_owner(events: DataFrame, order: list[str]) -> DataFrame:
     return own.groupBy("token_id").agg(last.alias("last")).select("token_id", F.col("last.to_address").alias("owner"), (F.col("last.event_type") == "burn").alias("burned"))
 
 
-def owned_tokens(events: DataFrame, owner: str, order: list[str]) -> DataFrame:
-    """AGG4: tokens that one owner holds, with the block of their last change and the quantity."""
-    mine = signed_deltas(events.where((F.col("from_address") == owner) | (F.col("to_address") == owner))).where(F.col("address") == owner)
-    held = mine.groupBy("token_id").agg(F.sum("delta").alias("quantity"), F.max("block_number").alias("last_block"))
-    return held.where("quantity > 0")
+SINGLE_OWNER = ["erc721"]  # token standards of which one address holds a token; of others, several may
 
 
-def burned_multi(events: DataFrame) -> DataFrame:
-    """AGG5 for tokens with several holders: burned if no balance above zero is left."""
-    left = signed_deltas(events).groupBy("token_id", "address").agg(F.sum("delta").alias("q"))
-    return left.groupBy("token_id").agg((F.max("q") <= 0).alias("burned"))
+def with_standard(events: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """events with the standard of configured contracts (contract, standard) in place of their own."""
+    if configured is None:
+        return events
+    known = configured.select(F.lower("contract").alias("__c"), F.col("standard").alias("__s"))
+    return events.join(known, F.lower("contract") == F.col("__c"), "left").withColumn("standard", F.coalesce("__s", "standard")).drop("__c", "__s")
+
+
+def owned_tokens(events: DataFrame, owner: str, order: list[str], configured: DataFrame | None = None) -> DataFrame:
+    """AGG4: tokens that one owner holds, with the block of their last change and the quantity.
+
+    Of single-owner standards the token's last transfer from or to the owner decides, and the quantity is 1; of the others
+    the net quantity. Configured contracts have the model of their configured standard.
+    """
+    mine = with_standard(events.where(F.col("event_type").isin(OWNERSHIP) & ((F.col("from_address") == owner) | (F.col("to_address") == owner))), configured)
+    single = F.col("standard").isin(SINGLE_OWNER)
+    last = mine.where(single).groupBy("token_id").agg(F.max_by(F.struct(F.coalesce(F.col("to_address") == owner, F.lit(False)).alias("held"), "block_number"), F.struct(*order)).alias("last"))
+    one = last.where("last.held").select("token_id", F.lit(1).cast("long").alias("quantity"), F.col("last.block_number").alias("last_block"))
+    net = signed_deltas(mine.where(~single)).where(F.col("address") == owner).groupBy("token_id").agg(F.sum("delta").alias("quantity"), F.max("block_number").alias("last_block"))
+    return one.unionByName(net.where("quantity > 0"))
+
+
+def token_state(events: DataFrame, order: list[str]) -> DataFrame:
+    """AGG5: owner, burned, holders and held of each token with an ownership event, by its standard.
+
+    Single-owner tokens belong to the receiver of the last ownership event and are burned if that is a burn; they have one
+    holder of one. Others have no one owner, and are burned when no balance above zero is left.
+    """
+    last = events.where(F.col("event_type").isin(OWNERSHIP)).groupBy("token_id").agg(F.max_by(F.struct("to_address", "event_type", "standard"), F.struct(*order)).alias("last"))
+    left = signed_deltas(events.where(~F.col("standard").isin(SINGLE_OWNER))).groupBy("token_id", "address").agg(F.sum("delta").alias("q"))
+    left = left.groupBy("token_id").agg(F.count_if(F.col("q") > 0).alias("n"), F.sum(F.greatest("q", F.lit(0))).alias("sum"))
+    met = last.join(left, "token_id", "left")
+    single, n = F.col("last.standard").isin(SINGLE_OWNER), F.coalesce("n", F.lit(0))
+    burned = F.when(single, F.col("last.event_type") == "burn").otherwise(n == 0)
+    one = F.when(burned, 0).otherwise(1).cast("long")
+    return met.select("token_id", F.when(single & ~burned, F.col("last.to_address")).alias("owner"), burned.alias("burned"), F.when(single, one).otherwise(n).alias("holders"), F.when(single, one).otherwise(F.coalesce("sum", F.lit(0))).cast("long").alias("held"))
 
 
 def last_provenance(events: DataFrame) -> DataFrame:
@@ -83,9 +111,12 @@ def token_counts(tokens: DataFrame, balances: DataFrame, distinct: bool = True)
 
 
 def group_counts(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each key in order, with the key's number of rows (AGG11, WIN7-9)."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(*order))).where(F.col("rank") <= n)
+    """The first n rows of each key in order, with the key's number of rows (AGG11, WIN7-9).
+
+    The numbers are sums that start before the shuffle, and so does the ranking, which sends n rows a key and task at most.
+    """
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
+    return first.join(rows.groupBy(key).agg(F.count("*").alias("total")), key)
 
 
 def dedupe_logs(logs: DataFrame) -> DataFrame:
@@ -162,21 +193,35 @@ def quota_cut(owned: DataFrame, quota: DataFrame) -> DataFrame:
     return counted.where((F.col("quota") > 0) & ((F.col("upto") <= F.col("quota")) | first)).groupBy("owner").agg(F.max("block").alias("last_block"), F.max("upto").alias("tokens"))
 
 
-def replay_with_limit(events: DataFrame, limit: int) -> DataFrame:
-    """WIN13: each owner's events in block order, up to the first block end at which the tokens held reach the limit.
+def replay_with_limit(events: DataFrame, limit: int, descending: bool = False) -> DataFrame:
+    """WIN13: each owner's events read block by block, oldest or newest first, up to the first block end at which the tokens
+    held reach the limit while there are more to read. Returns owner, token_id and last_block of the tokens held by then,
+    and the range from_block to to_block that was read.
 
-    Returns owner, cut_block and held. A token's state after each event is its running sum; held is the running sum of
-    changes between none and some.
+    A single-owner token is held after a transfer to the owner; newest first, its newest transfer decides and older ones
+    are passed over. Of others the sum of quantities read so far decides. Whether a token is held changes with its own
+    rows only, so the number held is a running sum of these changes.
     """
-    rows = signed_deltas(events).groupBy("address", "token_id", "block_number").agg(F.sum("delta").alias("delta"))
-    one = Window.partitionBy("address", "token_id").orderBy("block_number")
-    rows = rows.withColumn("after", F.sum("delta").over(one.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("change", (F.col("after") > 0).cast("int") - F.coalesce((F.lag("after").over(one) > 0).cast("int"), F.lit(0)))
-    per_block = rows.groupBy("address", "block_number").agg(F.sum("change").alias("change"))
-    whole = Window.partitionBy("address").orderBy("block_number").rowsBetween(Window.unboundedPreceding, 0)
-    per_block = per_block.withColumn("held", F.sum("change").over(whole))
-    cut = per_block.groupBy("address").agg(F.coalesce(F.min(F.when(F.col("held") >= limit, F.col("block_number"))), F.max("block_number")).alias("cut_block"))
-    return per_block.join(cut, "address").where("block_number = cut_block").select(F.col("address").alias("owner"), "cut_block", "held")
+    single = F.col("standard").isin(SINGLE_OWNER)
+    sides = signed_deltas(events).withColumn("to_me", (F.col("address") == F.col("to_address")).cast("int"))
+    place = F.struct("block_number", "tx_index", "event_id", F.coalesce("to_me", F.lit(0)))
+    rows = sides.groupBy("address", "token_id", "block_number").agg(F.sum("delta").alias("delta"), F.max_by(F.coalesce("to_me", F.lit(0)), place).alias("to_me"), F.first("standard").alias("standard"))
+    way = F.desc("block_number") if descending else F.asc("block_number")
+    one = Window.partitionBy("address", "token_id").orderBy(way)
+    upto = one.rowsBetween(Window.unboundedPreceding, 0)
+    decides = F.first("to_me").over(upto) if descending else F.col("to_me")
+    rows = rows.withColumn("held", F.when(single, decides == 1).otherwise(F.sum("delta").over(upto) > 0))
+    rows = rows.withColumn("change", F.col("held").cast("int") - F.coalesce(F.lag("held").over(one).cast("int"), F.lit(0)))
+    whole = Window.partitionBy("address").orderBy(way)
+    blocks = rows.groupBy("address", "block_number").agg(F.sum("change").alias("change"))
+    blocks = blocks.withColumn("n", F.sum("change").over(whole.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("block_number").over(whole))
+    full = F.when((F.col("n") >= limit) & F.col("next").isNotNull(), F.col("block_number"))
+    cut = blocks.groupBy("address").agg((F.max if descending else F.min)(full).alias("cut"), F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
+    cut = cut.select("address", *((F.coalesce("cut", "lo").alias("from_block"), F.col("hi").alias("to_block")) if descending else (F.col("lo").alias("from_block"), F.coalesce("cut", "hi").alias("to_block"))))
+    read = rows.join(cut, "address").where(F.col("block_number").between(F.col("from_block"), F.col("to_block")))
+    after = F.max_by if not descending else F.min_by  # the state after the last block that was read
+    held = read.groupBy("address", "token_id", "from_block", "to_block").agg(after("held", "block_number").alias("held"), F.max("block_number").alias("last_block"))
+    return held.where("held").select(F.col("address").alias("owner"), "token_id", "last_block", "from_block", "to_block")
 
 
 def scan_windows(ranges: DataFrame, width: int) -> DataFrame:
@@ -191,7 +236,9 @@ def chunk_info(tokens: DataFrame, key: str) -> DataFrame:
 
 
 def failure_streak(jobs: DataFrame) -> DataFrame:
-    """AGG15: each address's latest ended job, and its failures since the last success or cancel."""
+    """AGG15: each address's latest ended job, and its failures since the last success or cancel. Running and paused jobs
+    don't count."""
+    jobs = jobs.where(F.col("status").isin("completed", "failed", "canceled"))
     reset = F.max(F.when(F.col("status").isin("completed", "canceled"), F.col("id"))).over(Window.partitionBy("chain", "address"))
     return jobs.withColumn("reset", F.coalesce(reset, F.lit(-1))).groupBy("chain", "address").agg(F.max_by(F.struct("status", "ended_at"), "id").alias("last"), F.count_if((F.col("status") == "failed") & (F.col("id") > F.col("reset"))).alias("streak")).select("chain", "address", F.col("last.status").alias("status"), F.col("last.ended_at").alias("ended_at"), "streak")
 

@@ -17,7 +17,7 @@ from ..functions.values import changed_fields, mint_number, project_mint, spam_s
 
 # Trait types that name an artist, and the longer list that vendor traits use.
 ARTIST_TRAITS = ["artist", "Artist", "Creator", "creator", "Artists", "artists"]
-VENDOR_ARTIST_TRAITS = ["artist", "artists", "artist name", "creator", "creators", "created by", "author"]
+VENDOR_ARTIST_TRAITS = ["artist", "artists", "creator", "artist name", "creator name", "made by", "created by"]
 ARTISTS = "array<struct<did:string,name:string>>"
 
 

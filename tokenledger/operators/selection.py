@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import cid_parts, cid_valid
@@ -67,21 +67,26 @@ def release_filter(tokens: DataFrame, members: DataFrame, release_id: int | None
 
 def match_clients(events: DataFrame, clients: DataFrame) -> DataFrame:
     """FLT8: one row per event and active client whose filters hold the event's type or `*`."""
-    each = clients.where("is_active").select("client_id", F.explode(F.array_distinct("filters")).alias("event_type"))
-    every = each.where("event_type = '*'").select("client_id").distinct()
-    some = each.where("event_type <> '*'").join(every, "client_id", "left_anti")
-    return events.join(F.broadcast(some), "event_type").select(*events.columns, "client_id").unionByName(events.join(F.broadcast(every)).select(*events.columns, "client_id"))  # bound: one row a subscription; every event goes to each of `every`
+    all_ = F.array_contains("filters", "*")
+    wanted = F.when(all_, F.array(F.lit("*"))).otherwise(F.array_distinct("filters"))
+    each = clients.where("is_active").select("client_id", F.explode(wanted).alias("__key")).distinct()
+    # an event asks by its type and by *, and a client is under one of the two; works on streams too
+    return events.withColumn("__key", F.explode(F.array(F.col("event_type"), F.lit("*")))).join(each, "__key").select(*events.columns, "client_id")
 
 
-def placeholder_rows(metadata: DataFrame, markers: list[str]) -> DataFrame:
-    """FLT9: metadata that still holds a placeholder."""
-    return metadata.where(F.coalesce(F.col("description").isin(markers), F.lit(False)) | F.col("name").isNull() | (F.col("name") == ""))
+# What unsigned tokens of one vendor carry for a name, in their description and in their animation's address.
+UNSIGNED_NAME, UNSIGNED_TEXT, UNSIGNED_CID = "[waiting to be signed]", "waiting to be signed by fxhash signer", "QmdGV3UqJqX4v5x9nFcDYeekCEAm3SDXUG5SHdjKQKn4Pe"
+
+
+def placeholder_rows(metadata: DataFrame, standard: str = "fa2") -> DataFrame:
+    """FLT9: metadata of this standard's tokens that still holds the placeholder of an unsigned token."""
+    signs = (F.lower(F.trim("name")) == UNSIGNED_NAME, F.lower("description").contains(UNSIGNED_TEXT), F.col("animation_url").contains(UNSIGNED_CID))
+    return metadata.where((F.col("standard") == standard) & reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c in signs)))
 
 
 def reprocess_candidates(overlays: DataFrame, members: DataFrame, vendors: list[str]) -> DataFrame:
-    """FLT10: tokens with an overlay of these vendors, and the first member by mint of releases without a slug."""
-    by_mint = Window.partitionBy("release_id").orderBy("mint_number")
-    first = members.where("slug is null").withColumn("__rank", F.row_number().over(by_mint)).where("__rank = 1")
+    """FLT10: tokens with an overlay of these vendors, and the first member by mint, then by token, of releases without a slug."""
+    first = members.where("slug is null").groupBy("release_id").agg(F.min_by("token_id", F.struct("mint_number", "token_id")).alias("token_id"))
     return overlays.where(F.col("vendor").isin(vendors)).select("token_id").unionByName(first.select("token_id")).distinct()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +32,36 @@ def pick_health(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token_id", "media_source").agg(best.alias("x")).select("token_id", "media_source", "x.id", "x.media_url", "x.health_status")
 
 
+def render_owned() -> Column:
+    """Whether the renderer wrote a health row's reason: such rows are its own."""
+    return F.coalesce(F.col("failure_reason").startswith("render_"), F.lit(False))
+
+
 def due_urls(health: DataFrame, probes: DataFrame, before: Column, limit: int) -> DataFrame:
-    """QRY8: URLs to check, the longest unchecked first: stale or unknown, and not gated."""
-    due = without_gated(health, probes).where((F.col("health_status") == "unknown") | (F.col("last_checked_at") < before))
+    """QRY8: URLs to check, the longest unchecked first: stale or unknown, not gated and not the renderer's."""
+    due = without_gated(health, probes).where(~render_owned() & ((F.col("health_status") == "unknown") | (F.col("last_checked_at") < before)))
     return due.groupBy("url_hash").agg(F.min("last_checked_at").alias("oldest")).orderBy("oldest", "url_hash").limit(limit)
 
 
 def due_renders(health: DataFrame, probes: DataFrame, now: Column, limit: int) -> DataFrame:
-    """QRY9: URLs to render: never probed, gated, or due again. Gated ones come first, then animations and web pages that
-    were never captured, then the rest; within a tier the oldest capture, none before any."""
-    per_url = health.where(~F.col("media_url").startswith("data:")).groupBy("url_hash").agg(F.bool_or(F.col("media_source").isin(ANIMATION) | F.coalesce(F.col("content_type").startswith("text/html"), F.lit(False))).alias("moving"))
-    met = per_url.join(probes.select("url_hash", "health_gated", "captured_at", "next_check_at"), "url_hash", "left")
-    due = met.where(F.col("next_check_at").isNull() | F.col("health_gated") | (F.col("next_check_at") <= now))
-    tier = F.when(F.col("health_gated"), 0).when(F.col("captured_at").isNull() & F.col("moving"), 1).otherwise(2)
-    return due.withColumn("tier", tier).orderBy("tier", F.desc("moving"), F.asc_nulls_first("captured_at"), "url_hash").limit(limit)
+    """QRY9: URLs to render. Never probed: healthy, and web pages, animations or images. Probed: due again, and either gated
+    (by the probe, or broken for the renderer's own reason) or healthy and of these classes. No data URIs.
+
+    First come gated URLs and those whose last render was blank or stalled, then the never probed, then the rest; within
+    these web pages and animations before images, then the oldest capture, none before any.
+    """
+    mime = F.lower(F.trim(F.split("content_type", ";")[0]))
+    moving = F.coalesce(mime == "text/html", F.lit(False)) | F.col("media_source").isin(ANIMATION)
+    renderable = (moving | F.coalesce(mime.startswith("image/"), F.lit(False))) & ~F.coalesce(mime.startswith("video/") | mime.startswith("audio/"), F.lit(False))
+    good = (F.col("health_status") == "healthy") & renderable
+    held = (F.col("health_status") == "broken") & render_owned()
+    per_url = health.where(~F.col("media_url").startswith("data:")).groupBy("url_hash").agg(F.bool_or(good).alias("good"), F.bool_or(held).alias("held"), F.bool_or(moving & good).alias("__g"), F.bool_or(moving & held).alias("__h"), F.bool_or(moving).alias("__m"))
+    met = per_url.join(probes.select("url_hash", "health_gated", "captured_at", "next_check_at", "verdict", F.lit(True).alias("probed")), "url_hash", "left")
+    probed, gated_ = F.col("probed").isNotNull(), F.coalesce("health_gated", F.lit(False))
+    due = met.where(F.when(probed, (F.col("next_check_at") <= now) & (gated_ | F.col("held") | F.col("good"))).otherwise(F.col("good")))
+    tier = F.when(probed & (gated_ | F.col("verdict").isin("blank", "stalled")), 0).when(~probed, 1).otherwise(2)
+    shown = F.when(gated_ & probed, F.col("__m")).otherwise(F.col("__g") | (probed & F.col("__h")))  # over the rows that make the URL due
+    return due.withColumn("tier", tier).withColumn("moving", shown).orderBy("tier", F.desc("moving"), F.asc_nulls_first("captured_at"), "url_hash").limit(limit)
 
 
 def due_verdicts(verdicts: DataFrame, source: str, now: Column, limit: int) -> DataFrame:
@@ -74,11 +91,19 @@ def change_rows(changes: DataFrame, kind: str, payload: Column, at: Column) -> D
 
 
 def apply_health(health: DataFrame, results: DataFrame, probes: DataFrame) -> DataFrame:
-    """STATE8: verdicts of URLs put on all their rows. Healthy is refused while a URL is gated; a transient result changes nothing."""
+    """STATE8: results (url_hash, outcome, reason, render) put on all rows of their URL, with the reason.
+
+    A byte check (render false) leaves the renderer's rows alone, and healthy is refused while a URL is gated. The renderer
+    writes healthy, unknown and its own rows only. A transient result changes nothing.
+    """
     gate = probes.where("health_gated").select("url_hash", F.lit(True).alias("__gated"))
-    met = health.join(results.select("url_hash", F.col("outcome").alias("__outcome")), "url_hash", "left").join(gate, "url_hash", "left")
-    refused = F.col("__outcome").isNull() | (F.col("__outcome") == "transient") | ((F.col("__outcome") == "healthy") & F.col("__gated").isNotNull())
-    return met.withColumn("health_status", F.when(refused, F.col("health_status")).otherwise(F.col("__outcome"))).select(health.columns)
+    met = health.join(results.select("url_hash", F.col("outcome").alias("__outcome"), F.col("reason").alias("__reason"), F.col("render").alias("__render")), "url_hash", "left").join(gate, "url_hash", "left")
+    by_render = F.col("health_status").isin("healthy", "unknown") | render_owned()
+    by_bytes = ~render_owned() & ~((F.col("__outcome") == "healthy") & F.col("__gated").isNotNull())
+    taken = F.coalesce((F.col("__outcome") != "transient") & F.when(F.col("__render"), by_render).otherwise(by_bytes), F.lit(False))
+    out = met.withColumn("__taken", taken)
+    new = {"health_status": F.when(F.col("__taken"), F.col("__outcome")).otherwise(F.col("health_status")), "failure_reason": F.when(F.col("__taken"), F.col("__reason")).otherwise(F.col("failure_reason"))}
+    return out.withColumns(new).select(health.columns)
 
 
 def sync_health(health: DataFrame, new_urls: DataFrame, probes: DataFrame) -> DataFrame:
@@ -114,6 +139,17 @@ def release_gates(probes: DataFrame, health: DataFrame, urls: DataFrame) -> tupl
     return new, health.join(held, "url_hash", "left_semi").withColumn("health_status", F.lit("unknown"))
 
 
+def release_all_gates(probes: DataFrame, health: DataFrame, tokens: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """STATE23: (probes, health, changes) after the gates of the first `limit` gated URLs are released, with the viewability
+    changes of the tokens that have these URLs. Called again, it takes the next batch, until no gate is left."""
+    batch = gated(probes, limit).select("url_hash")
+    new, reset = release_gates(probes, health, batch)
+    after = health.join(reset.select("id"), "id", "left_anti").unionByName(reset)
+    met = tokens.join(reset.select("token_id").distinct(), "token_id", "left_semi")
+    own = after.join(met.select("token_id"), "token_id", "left_semi")
+    return new, after, viewability(met, own, new)
+
+
 def probe_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """STATE12: the first baseline hash stays, a gate is never dropped, and while gated the earlier due time wins."""
     n = new.select("url_hash", *(F.col(c).alias(f"__{c}") for c in ("phash", "captured_at", "next_check_at", "health_gated")))
@@ -161,13 +197,54 @@ def content_verdict(bodies: DataFrame, markers: list[str], window: int = 4096) -
         .when(has(LISTINGS), "listing")
         .when(has([m.lower() for m in markers]), "error_page")
         .when(wrong, "type_mismatch")
-        .when((found == "image/png") & (F.substring(F.hex(head), 25, 8) != "49484452"), "bad_container")
-        .when((found == "image/png") & (F.substring(F.hex(head), 33, 8) == "00000000"), "bad_container")
+        .when(~whole_container(head, found), "bad_container")
         .otherwise("healthy")
     )
     return bodies.select("id", verdict.alias("verdict"), found.alias("sniffed"))
 
 
+def whole_container(head: Column, found: Column) -> Column:
+    """False if the header of a PNG, GIF, WebP or JPEG can't be right; true for other types and where too little is there to tell.
+
+    PNG: a first chunk IHDR of 13 bytes and sides that aren't zero. GIF: sides that aren't zero. RIFF: the code WEBP and a
+    size. JPEG: a marker where each segment has to start.
+    """
+    size, hexed = F.octet_length(head), F.hex(F.substring(head, 1, 32))
+    at = lambda i, n: F.substring(hexed, 2 * i + 1, 2 * n)
+    png = (at(8, 4) == "0000000D") & (at(12, 4) == "49484452") & (at(16, 4) != "00000000") & (at(20, 4) != "00000000")
+    gif = (at(6, 2) != "0000") & (at(8, 2) != "0000")
+    webp = (at(8, 4) == "57454250") & (at(4, 4) != "00000000")
+    return F.when(found == "image/png", (size < 24) | png).when(found == "image/gif", (size < 10) | gif).when(at(0, 4) == "52494646", (size < 12) | webp).when(found == "image/jpeg", jpeg_segments(F.when(found == "image/jpeg", head))).otherwise(F.lit(True))
+
+
+def _jpeg_whole(body: bytes | None) -> bool:
+    """Follows the lengths from segment to segment as far as the bytes go, or to the start of the image data."""
+    at = 2
+    while body is not None and at + 4 <= len(body):
+        if body[at] != 0xFF:
+            return False
+        kind = body[at + 1]
+        if kind == 0xDA:
+            return True
+        if kind == 0xFF:  # fill byte
+            at += 1
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD7:  # markers that have no length
+            at += 2
+        else:
+            length = int.from_bytes(body[at + 2 : at + 4], "big")
+            if length < 2:
+                return False
+            at += 2 + length
+    return True
+
+
+def jpeg_segments(head: Column) -> Column:
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(_jpeg_whole)
+
+    return F.pandas_udf(run, "boolean")(head)
+
+
 def data_uri_verdict(uris: DataFrame, allowed: tuple[str, ...] = ("image/", "video/", "audio/", "text/", "model/", "application/")) -> DataFrame:
     """STATE15: verdicts of data URIs (id, uri): well formed, of an allowed type, not empty, and with bytes that aren't of
     another kind than declared. Text may be any text; markup declared as svg or html has to look like it."""
@@ -181,14 +258,25 @@ def data_uri_verdict(uris: DataFrame, allowed: tuple[str, ...] = ("image/", "vid
 
 
 def gateway_choice(urls: DataFrame, observations: DataFrame, order: list[str]) -> DataFrame:
-    """STATE16: of each URL the verdict of the direct fetch, else the first healthy candidate in the gateways' order. A
-    blocked direct fetch is final."""
+    """STATE16: of each URL (url_hash, family) the verdict of the direct fetch, else the first healthy candidate of its family
+    in the gateways' order.
+
+    observations: url_hash, family, gateway ('direct', or a gateway of its family), entry (whether the index.html below the
+    address was asked for), candidate and outcome. A blocked fetch is final. Where no ipfs candidate is healthy and one
+    served a directory listing, the entries are tried in the same order. Without an alternative the direct outcome stands.
+    """
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("gateway"))
-    best = observations.where("outcome = 'healthy' and gateway <> 'direct'").groupBy("url_hash").agg(F.min_by("candidate", rank).alias("candidate"))
+    asked = urls.select("url_hash", "family").distinct()
+    own = observations.where("gateway <> 'direct'").join(asked, ["url_hash", "family"], "left_semi").where(rank > 0)
+    first = lambda some: F.min_by(F.when(some, F.col("candidate")), F.when(some, rank))
+    healthy = F.col("outcome") == "healthy"
+    best = own.groupBy("url_hash").agg(first(healthy & ~F.col("entry")).alias("bare"), first(healthy & F.col("entry") & (F.col("family") == "ipfs")).alias("entry"), F.bool_or(~F.col("entry") & (F.col("outcome") == "listing")).alias("listed"), F.bool_or(F.col("outcome") == "blocked").alias("stopped"))
     direct = observations.where("gateway = 'direct'").select("url_hash", F.col("outcome").alias("direct"))
-    met = urls.select("url_hash").distinct().join(direct, "url_hash", "left").join(best, "url_hash", "left")
-    final = F.col("direct").isin("healthy", "blocked")
-    return met.select("url_hash", F.when(final, F.col("direct")).when(F.col("candidate").isNotNull(), "healthy").otherwise(F.coalesce("direct", F.lit("broken"))).alias("outcome"), F.when(~F.coalesce(final, F.lit(False)), F.col("candidate")).alias("alternative"))
+    met = asked.select("url_hash").join(direct, "url_hash", "left").join(best, "url_hash", "left")
+    final = F.coalesce(F.col("direct").isin("healthy", "blocked"), F.lit(False))
+    found = F.coalesce("bare", F.when(F.col("listed"), F.col("entry")))
+    outcome = F.when(final, F.col("direct")).when(found.isNotNull(), "healthy").when(F.col("stopped"), "blocked").otherwise(F.coalesce("direct", F.lit("broken")))
+    return met.select("url_hash", outcome.alias("outcome"), F.when(~final, found).alias("alternative"))
 
 
 # --- moderation --------------------------------------------------------------------------------------
@@ -271,14 +359,22 @@ def dedupe_feed(feed: DataFrame) -> DataFrame:
     return feed.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
-def sync(feed: DataFrame, portfolio: DataFrame, owner: str, since: Column, since_id: int, limit: int) -> DataFrame:
-    """QRY6: an owner's own rows and broadcast rows of tokens they hold, after (created_at, id); each leg is limited before
-    the two meet."""
+def sync(feed: DataFrame, balances: DataFrame, owner: str, since: Column, since_id: int, limit: int) -> DataFrame:
+    """QRY6: an owner's own rows and broadcast rows of the tokens in their balances, after the checkpoint (created_at, id); each
+    leg is limited before the two meet.
+
+    A page of `limit` rows, in order of (occurred_at, id), each with has_more and the next checkpoint, which is the page's
+    last row by (created_at, id).
+    """
     after = (F.col("created_at") > since) | ((F.col("created_at") == since) & (F.col("id") > since_id))
-    own = feed.where((F.col("owner_address") == owner) & after).orderBy("created_at", "id").limit(limit)
-    held = portfolio.where(F.col("owner_address") == owner).select("token_id").distinct()
-    wide = feed.where(F.col("owner_address").isNull() & after).join(held, "token_id", "left_semi").orderBy("created_at", "id").limit(limit)
-    return own.unionByName(wide).orderBy("created_at", "id").limit(limit)
+    own = feed.where((F.col("owner_address") == owner) & after).orderBy("created_at", "id").limit(limit + 1)
+    held = balances.where(F.col("owner_address") == owner).select("token_id").distinct()
+    wide = feed.where(F.col("owner_address").isNull() & after).join(held, "token_id", "left_semi").orderBy("created_at", "id").limit(limit + 1)
+    first = own.unionByName(wide).orderBy("created_at", "id").limit(limit + 1)
+    all_ = Window.partitionBy(F.lit(0))  # limit + 1 rows at most
+    page = first.withColumn("__n", F.row_number().over(all_.orderBy("created_at", "id"))).withColumn("has_more", F.count("*").over(all_) > limit).where(F.col("__n") <= limit)
+    last = F.max(F.struct("created_at", "id")).over(all_)
+    return page.withColumn("next_created_at", last["created_at"]).withColumn("next_id", last["id"]).drop("__n").orderBy("occurred_at", "id")
 
 
 def append_metadata_updates(events: DataFrame, updates: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import selection as S
 from ..sources import tables as T
 from ..sources.views import Views
+from ..session import written
 from .reads import with_cid
 from .registry import query
 
@@ -30,6 +32,7 @@ def base(v: Views) -> DataFrame:
 
 
 def logs(v: Views, kind: str) -> DataFrame:
+    """Raw logs of one kind, written as a table, so that what is decoded is read and not made anew for each of its uses."""
     b = base(v)
     sender, receiver = F.concat(F.lit("0x"), pad(address(F.col("from_address")))), F.concat(F.lit("0x"), pad(address(F.col("to_address"))))
     sign = {"721": E.TRANSFER, "single": E.TRANSFER_SINGLE, "batch": E.TRANSFER_BATCH, "meta": E.METADATA_UPDATE, "range": E.BATCH_METADATA_UPDATE}[kind]
@@ -48,7 +51,7 @@ def logs(v: Views, kind: str) -> DataFrame:
         data = F.when(F.col("log_index") % 2 == 0, "0x").otherwise(F.concat(F.lit("0x"), F.when(F.col("log_index") % 3 > 0, number(F.col("token_id"))).otherwise(F.lit("12"))))
     else:
         topics, data = F.array(F.lit(sign)), F.concat(F.lit("0x"), number(F.col("token_id")), number(F.col("token_id") + 9))
-    return b.select("address", topics.alias("topics"), data.alias("data"), "block_number", "tx_hash", "tx_index", "log_index", "block_time", "supp", "price")
+    return written(b.select("address", topics.alias("topics"), data.alias("data"), "block_number", "tx_hash", "tx_index", "log_index", "block_time", "supp", "price"), f"logs-{kind}")
 
 
 PARTY = "'0x00000000' || substr(md5(from_address), 1, 32) AS from_address, '0x00000000' || substr(md5(to_address), 1, 32) AS to_address"
@@ -192,8 +195,10 @@ def src5(v: Views):
     return T.bigmaps(bigmap_feed(v), 500, 800).select("id")
 
 
-@query("FLT1_on_decoded_events", "transfers", "SELECT count(*) AS n FROM transfers WHERE log_index % 3 <> 0 AND token_id % 2 = 0")
+@query("FLT1_on_decoded_events", "transfers", "SELECT CAST(token_id AS VARCHAR) AS token_number, block_number, tx_hash, log_index FROM (SELECT *, 't' || CAST(tx_index AS VARCHAR) AS tx_hash FROM transfers) x WHERE log_index % 3 <> 0 AND supp % 5 > 1")
 def flt1_decoded(v: Views):
-    ev = E.decode_721(logs(v, "721")).withColumn("chain", F.lit("eip155:1")).withColumn("standard", F.lit("erc721"))
-    ev = with_cid(ev.withColumn("contract", F.lit("0x" + "b2" * 20)).withColumn("number", F.col("token_number")))
-    return ev.where(F.col("token_number").cast("bigint") % 2 == 0).agg(F.count("*").alias("n"))
+    """Logs of five contracts, of which one is listed and one has no valid address."""
+    contract = F.expr("CASE supp % 5 WHEN 0 THEN '0xshort' ELSE concat('0x', lpad(cast(supp % 5 as string), 40, 'AB')) END")
+    ev = E.decode_721(logs(v, "721").withColumn("address", contract)).withColumn("chain", F.lit("eip155:1")).withColumn("standard", F.lit("erc721"))
+    listed = v.table("supplier").where("s_suppkey % 5 = 1").select(F.lit("eip155:1").alias("chain"), F.lit("0x" + ("AB" * 20)[:39] + "1").alias("contract")).distinct()
+    return S.drop_blacklisted(with_cid(ev.withColumn("number", F.col("token_number"))), listed).select("token_number", "block_number", "tx_hash", "log_index")

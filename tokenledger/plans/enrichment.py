@@ -102,17 +102,18 @@ def md6_opensea(v: Views):
     return M.overlay_opensea(rows.where("token_id > 0")).select("token_id", "image_url", F.when(F.col("mint_number").isNotNull(), F.col("mint_number")).alias("mint_number"), F.col("artists")[0]["name"].alias("artist"), "moderation_status")
 
 
-@query("AGG18_creators_dedupe", "token_dim", "SELECT token_id, 'Ann' || CASE WHEN size % 2 = 0 THEN ', ' || brand ELSE '' END AS artist FROM token_dim")
+@query("AGG18_creators_dedupe", "token_dim", "SELECT token_id, 'Ann' || CASE WHEN size % 5 < 4 THEN ', ' || brand ELSE '' END AS artist FROM token_dim")
 def agg18(v: Views):
     trait = lambda k, c: F.struct(F.lit(k).alias("trait_type"), c.alias("value"))
-    traits = F.array(trait("Artist", F.lit("Ann")), trait("Size", F.lit("L")), trait("Author", F.when(F.col("size") % 2 == 0, F.col("brand")).otherwise("Ann")))
+    kind = F.expr("CASE size % 5 WHEN 0 THEN 'Made By' WHEN 1 THEN ' creator name ' WHEN 2 THEN 'Created by' WHEN 3 THEN 'ARTISTS' WHEN 4 THEN IF(size % 2 = 0, 'Creators', 'Author') END")
+    traits = F.array(trait("Artist", F.lit("Ann")), trait("Size", F.lit("L")), F.struct(kind.alias("trait_type"), F.col("brand").alias("value")), trait("creator", F.lit("Ann")))
     return v.token_dim.select("token_id", M.artist_from_traits(traits).alias("artist"))
 
 
-@query("MD7_json_hash", "token_dim", "SELECT token_id, true AS same FROM token_dim")
+@query("MD7_json_hash", "token_dim", "SELECT token_id, size % 4 > 0 AS same FROM token_dim")
 def md7(v: Views):
     one = F.to_json(F.struct(F.col("size").alias("b"), F.struct(F.col("brand").alias("z"), F.col("number").alias("y")).alias("a")))
-    two = F.concat(F.lit('{ "a" : {"y":"'), "number", F.lit('", "z":"'), "brand", F.lit('"}, "b":'), F.col("size").cast("string"), F.lit("}"))
+    two = F.concat(F.lit('{ "a" : {"y":"'), "number", F.lit('", "z":"'), "brand", F.lit('"}, "b":'), (F.col("size") + F.when(F.col("size") % 4 == 0, 1).otherwise(0)).cast("string"), F.lit("}"))
     hashed = v.token_dim.select("token_id", one.alias("one"), two.alias("two")).withColumn("one", M.json_hash(F.col("one"))).withColumn("two", M.json_hash(F.col("two")))
     return hashed.select("token_id", F.expr("one = two").alias("same"))
 
@@ -138,7 +139,10 @@ def md10(v: Views):
     return M.release_upsert(old, new, ["slug"])
 
 
-@query("MD11_member_upsert", "release_dim", "SELECT release_id, token_id, mint_number FROM release_dim WHERE mint_number > 3 UNION ALL SELECT release_id, token_id, mint_number + 2 FROM release_dim WHERE mint_number = 1")
+@query("MD11_member_upsert", "release_dim", """
+WITH f AS (SELECT release_id, token_id, CASE mint_number WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 4 END AS mint_number, 1 AS fresh FROM release_dim WHERE mint_number <= 3
+  UNION ALL SELECT release_id, token_id, mint_number, 0 FROM release_dim WHERE mint_number > 3)
+SELECT release_id, token_id, mint_number FROM (SELECT *, row_number() OVER (PARTITION BY release_id, mint_number ORDER BY fresh, token_id) AS k FROM f) x WHERE k = 1 AND mint_number >= 1""")
 def md11(v: Views):
     old = v.release_dim
     fresh = old.where("mint_number <= 3").select("release_id", "token_id", F.expr("CASE mint_number WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 4 END").cast("long").alias("mint_number"))

@@ -33,30 +33,46 @@ def agg3(v: Views):
     return H.last_owner(v.ledger, ORDER).withColumn("owner", F.coalesce("owner", F.lit("")))
 
 
-@query("AGG4_owned_tokens", "ledger", f"WITH {DELTAS} SELECT token_id, CAST(sum(delta) AS BIGINT) AS quantity, max(block_number) AS last_block FROM d WHERE address = 'u7' GROUP BY token_id HAVING sum(delta) > 0")
+# Tokens of one chain are fa2; contract k4 is configured as erc1155, the other even ones are erc721.
+STANDARD = "CASE WHEN token_id % 4 = 3 THEN 'fa2' WHEN token_id % 2 = 0 THEN 'erc721' ELSE 'erc1155' END"
+MODEL = f"CASE WHEN contract = 'k4' THEN 'erc1155' ELSE {STANDARD} END"
+
+
+def with_standards(v: Views):
+    return v.ledger.withColumn("standard", F.expr(STANDARD))
+
+
+@query("AGG4_owned_tokens", "ledger", f"""
+WITH m AS (SELECT *, {MODEL} AS standard FROM ledger WHERE event_type <> 'metadata_update' AND (from_address = 'u7' OR to_address = 'u7')), s AS (
+  SELECT token_id, arg_max(coalesce(to_address = 'u7', false), event_id) AS held, arg_max(block_number, event_id) AS last_block FROM m WHERE standard = 'erc721' GROUP BY token_id), n AS (
+  SELECT token_id, sum(CASE WHEN to_address = 'u7' THEN quantity ELSE 0 END - CASE WHEN from_address = 'u7' THEN quantity ELSE 0 END) AS quantity, max(block_number) AS last_block FROM m WHERE standard <> 'erc721' GROUP BY token_id)
+SELECT token_id, CAST(1 AS BIGINT) AS quantity, last_block FROM s WHERE held UNION ALL SELECT token_id, CAST(quantity AS BIGINT), last_block FROM n WHERE quantity > 0""")
 def agg4(v: Views):
-    return H.owned_tokens(v.ledger, "u7", ORDER)
+    configured = v.ledger.where("contract = 'k4'").select(F.upper("contract").alias("contract"), F.lit("erc1155").alias("standard")).distinct()
+    return H.owned_tokens(with_standards(v), "u7", ORDER, configured)
+
 
+STATE = f"""{DELTAS}, b AS (SELECT token_id, address, sum(delta) AS q FROM d GROUP BY token_id, address), k AS (
+  SELECT token_id, count(CASE WHEN q > 0 THEN 1 END) AS n, CAST(sum(CASE WHEN q > 0 THEN q ELSE 0 END) AS BIGINT) AS q FROM b GROUP BY token_id), o AS (
+  SELECT token_id, {STANDARD} AS standard, arg_max(coalesce(to_address, ''), event_id) AS receiver, arg_max(event_type, event_id) = 'burn' AS gone FROM ledger WHERE event_type <> 'metadata_update' GROUP BY token_id), s AS (
+  SELECT token_id, CASE WHEN standard = 'erc721' AND NOT gone THEN receiver END AS owner, CASE WHEN standard = 'erc721' THEN gone ELSE coalesce(n, 0) = 0 END AS burned,
+         CASE WHEN standard = 'erc721' THEN CASE WHEN gone THEN 0 ELSE 1 END ELSE coalesce(n, 0) END AS holders, CASE WHEN standard = 'erc721' THEN CASE WHEN gone THEN 0 ELSE 1 END ELSE coalesce(q, 0) END AS held
+  FROM o LEFT JOIN k USING (token_id))"""
 
-@query("AGG5_burned_flag", "ledger", f"WITH {DELTAS}, q AS (SELECT token_id, address, sum(delta) AS q FROM d GROUP BY token_id, address) SELECT token_id, max(q) <= 0 AS burned FROM q GROUP BY token_id")
+
+@query("AGG5_burned_flag", "ledger", f"WITH {STATE} SELECT token_id, burned FROM s")
 def agg5(v: Views):
-    return H.burned_multi(v.ledger)
+    return H.token_state(with_standards(v), ORDER).select("token_id", "burned")
 
 
 @query("AGG6_token_state_build", "ledger", f"""
-WITH {DELTAS}, b AS (SELECT token_id, address, sum(delta) AS q FROM d GROUP BY token_id, address), k AS (
-  SELECT token_id, count(CASE WHEN q > 0 THEN 1 END) AS holders, CAST(sum(CASE WHEN q > 0 THEN q ELSE 0 END) AS BIGINT) AS held FROM b GROUP BY token_id), o AS (
-  SELECT token_id, arg_max(coalesce(to_address, ''), event_id) AS owner, arg_max(event_type, event_id) = 'burn' AS burned FROM ledger WHERE event_type <> 'metadata_update' GROUP BY token_id), e AS (
-  SELECT token_id, count(*) AS events, max(ts) AS last_provenance_timestamp FROM ledger GROUP BY token_id)
-SELECT token_id, owner, burned, holders, held, events, last_provenance_timestamp FROM o JOIN k USING (token_id) JOIN e USING (token_id)""")
+WITH {STATE}, e AS (SELECT token_id, count(*) AS events, max(ts) AS last_provenance_timestamp FROM ledger GROUP BY token_id)
+SELECT token_id, owner, burned, CAST(holders AS BIGINT) AS holders, CAST(held AS BIGINT) AS held, events, last_provenance_timestamp FROM s JOIN e USING (token_id)""")
 def agg6(v: Views):
     """Every token's owner, burned flag, holders, quantity held and last event, from its whole log."""
-    ev = v.ledger
-    owner = H.last_owner(ev, ORDER).withColumn("owner", F.coalesce("owner", F.lit("")))
-    left = H.signed_deltas(ev).groupBy("token_id", "address").agg(F.sum("delta").alias("q"))
-    held = left.groupBy("token_id").agg(F.count_if(F.col("q") > 0).alias("holders"), F.sum(F.greatest("q", F.lit(0))).alias("held"))
+    ev = with_standards(v)
     seen = ev.groupBy("token_id").agg(F.count("*").alias("events"), F.max("ts").alias("last_provenance_timestamp"))
-    return owner.join(held, "token_id").join(seen, "token_id")
+    return H.token_state(ev, ORDER).join(seen, "token_id")
 
 
 @query("AGG7_last_provenance_time", "ledger", "SELECT token_id, max(ts) AS last_provenance_timestamp FROM ledger GROUP BY token_id")
@@ -93,16 +109,16 @@ def agg11(v: Views):
 
 
 @query("AGG15_failure_streak", "attempts", """
-WITH r AS (SELECT address, max(CASE WHEN status IN ('completed', 'canceled') THEN id END) AS reset FROM attempts GROUP BY address)
+WITH a AS (SELECT * FROM attempts WHERE status IN ('completed', 'failed', 'canceled')), r AS (SELECT address, max(CASE WHEN status <> 'failed' THEN id END) AS reset FROM a GROUP BY address)
 SELECT a.chain, a.address, arg_max(status, id) AS status, arg_max(ended_at, id) AS ended_at, count(CASE WHEN status = 'failed' AND id > coalesce(reset, -1) THEN 1 END) AS streak
-FROM attempts a JOIN r USING (address) GROUP BY a.chain, a.address""")
+FROM a JOIN r USING (address) GROUP BY a.chain, a.address""")
 def agg15(v: Views):
     return H.failure_streak(v.attempts)
 
 
 @query("QRY14_retry_at", "attempts", """
-WITH r AS (SELECT address, max(CASE WHEN status IN ('completed', 'canceled') THEN id END) AS reset FROM attempts GROUP BY address), s AS (
-SELECT a.address, arg_max(status, id) AS status, count(CASE WHEN status = 'failed' AND id > coalesce(reset, -1) THEN 1 END) AS streak FROM attempts a JOIN r USING (address) GROUP BY a.address)
+WITH a AS (SELECT * FROM attempts WHERE status IN ('completed', 'failed', 'canceled')), r AS (SELECT address, max(CASE WHEN status <> 'failed' THEN id END) AS reset FROM a GROUP BY address), s AS (
+SELECT a.address, arg_max(status, id) AS status, count(CASE WHEN status = 'failed' AND id > coalesce(reset, -1) THEN 1 END) AS streak FROM a JOIN r USING (address) GROUP BY a.address)
 SELECT address, status, streak, CAST(CASE status WHEN 'completed' THEN 300 WHEN 'failed' THEN least(3600, 60 * power(2, least(greatest(streak - 1, 0), 30))) ELSE 0 END AS BIGINT) AS wait_seconds FROM s""")
 def qry14(v: Views):
     return H.retry_at(H.failure_streak(v.attempts), 300, 60, 3600).select("address", "status", "streak", "wait_seconds")
@@ -168,11 +184,11 @@ def win8(v: Views):
     return H.group_counts(v.ledger, "token_id", [F.desc_nulls_first("ts"), F.desc_nulls_first("tx_index"), F.desc("event_id")], 5).select("token_id", "event_id", "total")
 
 
-PROVENANCE = "op AS (SELECT token_id, to_address AS owner_address, max(event_id) AS id, max(ts) AS last_timestamp FROM ledger WHERE to_address IS NOT NULL GROUP BY token_id, to_address)"
+PROVENANCE = "op AS (SELECT token_id, to_address AS owner_address, max(event_id) AS id, max(ts) AS last_timestamp, arg_max(tx_index, event_id) AS last_tx_index FROM ledger WHERE to_address IS NOT NULL GROUP BY token_id, to_address)"
 
 
 def provenance_rows(v: Views):
-    return v.ledger.where("to_address is not null").groupBy("token_id", F.col("to_address").alias("owner_address")).agg(F.max("event_id").alias("id"), F.max("ts").alias("last_timestamp"))
+    return v.ledger.where("to_address is not null").groupBy("token_id", F.col("to_address").alias("owner_address")).agg(F.max("event_id").alias("id"), F.max("ts").alias("last_timestamp"), F.max_by("tx_index", "event_id").alias("last_tx_index"))
 
 
 @query("WIN9_topn_owner_provenance", "ledger", f"WITH {PROVENANCE} SELECT token_id, owner_address, id, total FROM (SELECT *, count(*) OVER (PARTITION BY token_id) AS total, row_number() OVER (PARTITION BY token_id ORDER BY last_timestamp DESC, id DESC) AS k FROM op) x WHERE k <= 4")
@@ -212,16 +228,34 @@ def win12(v: Views):
     return H.quota_cut(rows, quota)
 
 
-@query("WIN13_replay_with_limit", "ledger", f"""
-WITH {DELTAS}, g AS (SELECT address, token_id, block_number, sum(delta) AS delta FROM d GROUP BY ALL), a AS (
-  SELECT *, sum(delta) OVER (PARTITION BY address, token_id ORDER BY block_number) AS after FROM g), c AS (
-  SELECT address, block_number, CAST(after > 0 AS INTEGER) - coalesce(CAST(lag(after) OVER (PARTITION BY address, token_id ORDER BY block_number) > 0 AS INTEGER), 0) AS change FROM a), p AS (
+def replayed(way: str) -> str:
+    """Held sets by the running state of each token and owner, read one way."""
+    cut = "min" if way == "ASC" else "max"
+    state = "to_me" if way == "ASC" else "first_value(to_me) OVER w"
+    lo, hi = ("lo", "coalesce(cut, hi)") if way == "ASC" else ("coalesce(cut, lo)", "hi")
+    return f"""
+WITH d AS (
+  SELECT token_id, {STANDARD} AS standard, from_address AS address, -quantity AS delta, 0 AS to_me, block_number, event_id * 2 AS event_id FROM ledger WHERE event_type <> 'metadata_update' AND from_address IS NOT NULL
+  UNION ALL SELECT token_id, {STANDARD}, to_address, quantity, 1, block_number, event_id * 2 + 1 FROM ledger WHERE event_type <> 'metadata_update' AND to_address IS NOT NULL), g AS (
+  SELECT address, token_id, standard, block_number, sum(delta) AS delta, arg_max(to_me, event_id) AS to_me FROM d GROUP BY ALL), a AS (
+  SELECT *, CASE WHEN standard = 'erc721' THEN {state} = 1 ELSE sum(delta) OVER w > 0 END AS held FROM g WINDOW w AS (PARTITION BY address, token_id ORDER BY block_number {way} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), c AS (
+  SELECT *, CAST(held AS INTEGER) - coalesce(CAST(lag(held) OVER (PARTITION BY address, token_id ORDER BY block_number {way}) AS INTEGER), 0) AS change FROM a), p AS (
   SELECT address, block_number, sum(change) AS change FROM c GROUP BY ALL), h AS (
-  SELECT address, block_number, sum(change) OVER (PARTITION BY address ORDER BY block_number) AS held FROM p), k AS (
-  SELECT address, coalesce(min(CASE WHEN held >= 4 THEN block_number END), max(block_number)) AS cut_block FROM h GROUP BY address)
-SELECT h.address AS owner, cut_block, CAST(held AS BIGINT) AS held FROM h JOIN k ON h.address = k.address AND block_number = cut_block""")
+  SELECT address, block_number, sum(change) OVER (PARTITION BY address ORDER BY block_number {way}) AS n, lead(block_number) OVER (PARTITION BY address ORDER BY block_number {way}) AS more FROM p), k AS (
+  SELECT address, {cut}(CASE WHEN n >= 4 AND more IS NOT NULL THEN block_number END) AS cut, min(block_number) AS lo, max(block_number) AS hi FROM h GROUP BY address), r AS (
+  SELECT address, {lo} AS from_block, {hi} AS to_block FROM k), s AS (
+  SELECT c.address AS owner, token_id, last(held ORDER BY block_number {way}) AS held, max(block_number) AS last_block, from_block, to_block FROM c JOIN r ON c.address = r.address AND block_number BETWEEN from_block AND to_block GROUP BY ALL)
+SELECT owner, token_id, last_block, from_block, to_block FROM s WHERE held"""
+
+
+@query("WIN13_replay_with_limit", "ledger", replayed("ASC"))
 def win13(v: Views):
-    return H.replay_with_limit(v.ledger, 4)
+    return H.replay_with_limit(with_standards(v), 4)
+
+
+@query("WIN13_replay_newest_first", "ledger", replayed("DESC"))
+def win13_newest(v: Views):
+    return H.replay_with_limit(with_standards(v), 4, descending=True)
 
 
 @query("WIN14_scan_windows", "watched", "SELECT id, lo, least(lo + 199, max_block) AS hi FROM (SELECT id, max_block, unnest(range(min_block, max_block + 1, 200)) AS lo FROM watched WHERE min_block IS NOT NULL) x")

@@ -36,15 +36,19 @@ def fn2(v: Views):
 
 
 @query("FN3_chain_predicates", "ledger token_dim", """
-SELECT event_id, chain LIKE 'eip155:%' AS evm, true AS valid, CASE WHEN chain LIKE 'eip155:%' THEN CAST(substr(chain, 8) AS BIGINT) END AS network, chain LIKE 'eip155:%' AS has_network FROM ledger""")
+SELECT event_id, chain = 'eip155:1' AS evm, chain IN ('eip155:1', 'tezos:mainnet') AS valid, CASE WHEN chain LIKE 'eip155:%' THEN CAST(substr(chain, 8) AS BIGINT) END AS network, chain LIKE 'eip155:%' AS has_network
+FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'eip155:5' WHEN 1 THEN 'tezos:other' ELSE chain END AS chain FROM ledger) x""")
 def fn3(v: Views):
     c = F.col("chain")
-    return v.ledger.select("event_id", I.is_evm(c).alias("evm"), I.is_valid_chain(c).alias("valid"), I.eip155_id(c).alias("network"), I.eip155_id(c).isNotNull().alias("has_network"))
+    return v.ledger.withColumn("chain", F.expr("CASE event_id % 5 WHEN 0 THEN 'eip155:5' WHEN 1 THEN 'tezos:other' ELSE chain END")).select("event_id", I.is_evm(c).alias("evm"), I.is_valid_chain(c).alias("valid"), I.eip155_id(c).alias("network"), I.eip155_id(c).isNotNull().alias("has_network"))
 
 
-@query("FN4_address_tests", "token_dim", "SELECT token_id, regexp_matches(contract, '^0x[0-9a-fA-F]{40}$') AS eth, false AS tezos, CASE WHEN regexp_matches(contract, '^0x[0-9a-fA-F]{40}$') THEN 'ethereum' END AS blockchain FROM token_dim")
+ADDRESS = "CASE token_id % 5 WHEN 0 THEN contract WHEN 1 THEN 'KT1' || substr(replace(replace(contract, '0', '9'), 'l', 'k'), 1, 33) WHEN 2 THEN 'tz2' || substr(replace(replace(contract, '0', '9'), 'l', 'k'), 1, 33) WHEN 3 THEN 'tz7' || substr(contract, 1, 33) ELSE substr(contract, 1, 30) END"
+
+
+@query("FN4_address_tests", "token_dim", f"SELECT token_id, regexp_matches(c, '^0x[0-9a-fA-F]{{40}}$') AS eth, regexp_matches(c, '^(tz[1-4]|KT1)[1-9A-HJ-NP-Za-km-z]{{33}}$') AS tezos, CASE WHEN regexp_matches(c, '^0x[0-9a-fA-F]{{40}}$') THEN 'ethereum' WHEN regexp_matches(c, '^(tz[1-4]|KT1)[1-9A-HJ-NP-Za-km-z]{{33}}$') THEN 'tezos' END AS blockchain FROM (SELECT token_id, {ADDRESS} AS c FROM token_dim) x")
 def fn4(v: Views):
-    c = F.col("contract")
+    c = F.expr(ADDRESS)
     return v.token_dim.select("token_id", I.is_eth_address(c).alias("eth"), I.is_tezos_address(c).alias("tezos"), I.blockchain_of(c).alias("blockchain"))
 
 
@@ -57,9 +61,10 @@ def fn5(v: Views):
     return v.token_dim.select("token_id", I.is_numeric(n).alias("numeric_"), I.is_positive_numeric(n).alias("positive"), I.unsigned_to_long(n).alias("value"))
 
 
-@query("FN6_url_tests", "", "SELECT page_id, true AS url_, starts_with(url, 'https://') AS https FROM pages")
+@query("FN6_url_tests", "", "SELECT page_id, page_id % 4 IN (0, 1) AS url_, page_id % 4 IN (0, 1) AND starts_with(url, 'https://') AS https FROM pages")
 def fn6(v: Views):
-    return v.table("pages").select("page_id", U.is_url(F.col("url")).alias("url_"), U.is_https_url(F.col("url")).alias("https"))
+    c = F.expr("CASE page_id % 4 WHEN 2 THEN '/only/a/path' WHEN 3 THEN 'https:///' ELSE url END")
+    return v.table("pages").select("page_id", U.is_url(c).alias("url_"), U.is_https_url(c).alias("https"))
 
 
 REF = "'bafybe' || substr(md5(url) || md5(url), 1, 0) || repeat(substr('abcdefghij', CAST(page_id % 10 AS INT) + 1, 1), 53) || '/art?x=' || CAST(page_id AS STRING_)"
@@ -189,9 +194,9 @@ def flt1(v: Views):
 
 @query("FLT2_interest_filter", "ledger watched token_dim", """
 SELECT event_id FROM ledger l WHERE token_id IN (SELECT token_id FROM token_dim WHERE size % 4 = 0)
-OR (event_type <> 'metadata_update' AND (EXISTS (SELECT 1 FROM watched w WHERE w.id <= 60 AND w.chain = l.chain AND w.address = l.from_address) OR EXISTS (SELECT 1 FROM watched w WHERE w.id <= 60 AND w.chain = l.chain AND w.address = l.to_address)))""")
+OR (event_type <> 'metadata_update' AND (EXISTS (SELECT 1 FROM watched w WHERE w.chain = l.chain AND w.address = l.from_address) OR EXISTS (SELECT 1 FROM watched w WHERE w.chain = l.chain AND w.address = l.to_address)))""")
 def flt2(v: Views):
-    return S.interest_filter(v.ledger, v.token_dim.where("size % 4 = 0"), v.watched.where("id <= 60")).select("event_id")
+    return S.interest_filter(v.ledger, v.token_dim.where("size % 4 = 0"), v.watched).select("event_id")
 
 
 @query("FLT3_route_by_type", "ledger", "SELECT CASE event_type WHEN 'metadata_update' THEN 'metadata' ELSE event_type END AS handler, count(*) AS n FROM ledger GROUP BY 1")
@@ -228,12 +233,12 @@ def flt8(v: Views):
     return S.match_clients(v.ledger.select("event_id", "event_type"), v.clients.withColumn("filters", F.split("filters", ","))).select("event_id", "client_id")
 
 
-@query("FLT9_unsigned_placeholder", "metadata", "SELECT token_id FROM metadata WHERE description = 'placeholder' OR name IS NULL OR name = ''")
+@query("FLT9_unsigned_placeholder", "metadata", "SELECT token_id FROM metadata WHERE standard = 'fa2' AND (lower(trim(name)) = '[waiting to be signed]' OR lower(description) LIKE '%waiting to be signed by fxhash signer%' OR animation_url LIKE '%QmdGV3UqJqX4v5x9nFcDYeekCEAm3SDXUG5SHdjKQKn4Pe%')")
 def flt9(v: Views):
-    return S.placeholder_rows(v.metadata, ["placeholder"]).select("token_id")
+    return S.placeholder_rows(v.metadata).select("token_id")
 
 
-@query("FLT10_reprocess_candidates", "overlay release_dim", "SELECT token_id FROM overlay WHERE vendor IN ('objkt') UNION SELECT token_id FROM release_dim WHERE slug IS NULL AND mint_number = 1")
+@query("FLT10_reprocess_candidates", "overlay release_dim", "SELECT token_id FROM overlay WHERE vendor IN ('objkt') UNION SELECT arg_min(token_id, mint_number * 1000000000 + token_id) FROM release_dim WHERE slug IS NULL GROUP BY release_id")
 def flt10(v: Views):
     return S.reprocess_candidates(v.overlay, v.release_dim, ["objkt"])
 
@@ -322,37 +327,65 @@ def qry1(v: Views):
     return query_tokens(q, v.token_dim, v.balances, v.release_dim).select("token_id", "created_at", "mint_number")
 
 
-@query("QRY1_tokens_by_provenance", "ledger token_dim", """
-WITH op AS (SELECT token_id, to_address AS owner_address, max(event_id) AS id, max(ts) AS last_timestamp FROM ledger WHERE to_address IS NOT NULL GROUP BY token_id, to_address), l AS (
+@query("QRY1_tokens_by_provenance", "ledger token_dim balances", """
+WITH b AS (SELECT token_id, 'u' || (token_id % 3) AS owner_address FROM balances), op AS (
+  SELECT token_id, to_address AS owner_address, max(event_id) AS id, max(ts) AS last_timestamp FROM ledger WHERE to_address IS NOT NULL GROUP BY token_id, to_address), l AS (
   SELECT token_id, max(last_timestamp) AS last_timestamp FROM op WHERE owner_address IN ('u1', 'u2') GROUP BY token_id)
-SELECT t.token_id, last_timestamp FROM token_dim t JOIN l ON t.token_id = l.token_id WHERE is_viewable AND moderation_status = 'none' ORDER BY last_timestamp DESC NULLS LAST, t.token_id DESC LIMIT 11""")
+SELECT t.token_id, last_timestamp FROM token_dim t LEFT JOIN l ON t.token_id = l.token_id
+WHERE is_viewable AND moderation_status = 'none' AND t.token_id IN (SELECT token_id FROM b WHERE owner_address IN ('u1', 'u2')) AND brand IN ('Brand#1', 'Brand#12', 'Brand#21') ORDER BY last_timestamp DESC NULLS LAST, t.token_id DESC LIMIT 41""")
 def qry1_provenance(v: Views):
+    """More tokens are held than have a row of the owners: those come last."""
     from .ledger import provenance_rows
     from .tokens import TokenQuery, query_tokens
 
-    rows = provenance_rows(v)
-    q = TokenQuery(owners=["u1", "u2"], sort_by="latest_provenance", limit=10)
-    return query_tokens(q, v.token_dim, rows, None, rows).select("token_id", "last_timestamp")
+    held = v.balances.select("token_id", F.concat(F.lit("u"), F.col("token_id") % 3).alias("owner_address"))
+    q = TokenQuery(owners=["u1", "u2"], sort_by="latest_provenance", limit=40)
+    tokens = v.token_dim.where(F.col("brand").isin("Brand#1", "Brand#12", "Brand#21"))
+    return query_tokens(q, tokens, held, None, provenance_rows(v)).select("token_id", "last_timestamp")
 
 
-@query("QRY2_token_detail", "token_dim ledger balances", """
-WITH o AS (SELECT string_agg(owner_address, ',' ORDER BY quantity DESC, owner_address) AS owners FROM (SELECT owner_address, quantity FROM balances WHERE token_id = 42 ORDER BY quantity DESC, owner_address LIMIT 5) x), e AS (
-  SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id DESC) AS events FROM (SELECT event_id FROM ledger WHERE token_id = 42 ORDER BY ts DESC, event_id DESC LIMIT 5) x)
-SELECT token_id, name, owners, events FROM token_dim, o, e WHERE token_id = 42""")
-def qry2(v: Views):
-    from .tokens import expand
+def expansion_tables(v: Views):
+    from .ledger import provenance_rows
 
-    return expand(v.token_dim.where("token_id = 42"), {"owners": v.balances, "provenance": v.ledger}, 5).select("token_id", "name", F.array_join("owners", ",").alias("owners"), F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
+    urls = v.metadata.select(F.explode(F.array("image_url", "animation_url")).alias("url")).unionByName(v.overlay.select(F.explode(F.array("image_url", "animation_url")).alias("url"))).unionByName(v.table("pages").select("url"))
+    assets = urls.where("url is not null").distinct().where(F.length("url") % 3 > 0).select(F.md5("url").alias("source_url_hash"), F.create_map(F.lit("public"), F.concat(F.lit("cdn/"), F.md5("url"))).alias("variant_urls"))
+    return {"balances": v.balances, "events": v.ledger, "ownership": provenance_rows(v), "metadata": v.metadata.withColumnRenamed("deployer", "artist"), "enrichment": v.overlay, "health": v.media, "assets": assets}
 
 
-@query("QRY3_token_expand", "token_dim ledger balances", """
-WITH o AS (SELECT token_id, string_agg(owner_address, ',' ORDER BY quantity DESC, owner_address) AS owners FROM (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY quantity DESC, owner_address) AS k FROM balances) x WHERE k <= 3 GROUP BY token_id), e AS (
-  SELECT token_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id DESC) AS events FROM (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY ts DESC, event_id DESC) AS k FROM ledger) x WHERE k <= 3 GROUP BY token_id)
-SELECT t.token_id, owners, events FROM token_dim t LEFT JOIN o ON t.token_id = o.token_id LEFT JOIN e ON t.token_id = e.token_id""")
-def qry3(v: Views):
-    from .tokens import expand
+EXPANDED = """
+op AS (SELECT token_id, to_address AS owner_address, max(event_id) AS id, max(ts) AS last_timestamp, arg_max(tx_index, event_id) AS last_tx_index FROM ledger WHERE to_address IS NOT NULL GROUP BY token_id, to_address), o AS (
+  SELECT token_id, string_agg(owner_address, ',' ORDER BY k) AS owners, max(total) AS owners_total FROM (SELECT *, count(*) OVER (PARTITION BY token_id) AS total, row_number() OVER (PARTITION BY token_id ORDER BY quantity DESC, owner_address) AS k FROM balances) x WHERE k <= 3 GROUP BY token_id), e AS (
+  SELECT token_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) AS events, max(total) AS events_total FROM (SELECT *, count(*) OVER (PARTITION BY token_id) AS total, row_number() OVER (PARTITION BY token_id ORDER BY ts DESC, event_id DESC) AS k FROM ledger) x WHERE k <= 3 GROUP BY token_id), w AS (
+  SELECT token_id, string_agg(owner_address, ',' ORDER BY k) AS owner_provenances FROM (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY last_timestamp DESC, last_tx_index DESC, id DESC) AS k FROM op) x WHERE k <= 3 GROUP BY token_id), h AS (
+  SELECT token_id, coalesce(max(CASE WHEN media_source = 'enrichment_image' AND health_status = 'healthy' THEN media_url END), max(CASE WHEN media_source = 'metadata_image' AND health_status = 'healthy' THEN media_url END)) AS image,
+    coalesce(max(CASE WHEN media_source = 'enrichment_animation' AND health_status = 'healthy' THEN media_url END), max(CASE WHEN media_source = 'metadata_animation' AND health_status = 'healthy' THEN media_url END)) AS animation,
+    bool_or(media_source LIKE '%image') AS has_image, bool_or(media_source LIKE '%animation') AS has_animation FROM media GROUP BY token_id), y AS (
+  SELECT m.token_id, coalesce(v.name, m.name) AS name, CASE WHEN has_image THEN image ELSE coalesce(v.image_url, m.image_url) END AS image_url, CASE WHEN has_animation THEN animation ELSE coalesce(v.animation_url, m.animation_url) END AS animation_url,
+    CASE WHEN v.artist <> '' THEN v.artist ELSE m.deployer END AS artist FROM metadata m LEFT JOIN overlay v ON m.token_id = v.token_id LEFT JOIN h ON m.token_id = h.token_id), z AS (
+  SELECT token_id, image_url AS url FROM metadata UNION SELECT token_id, animation_url FROM metadata UNION SELECT token_id, image_url FROM overlay UNION SELECT token_id, animation_url FROM overlay UNION SELECT token_id, image_url FROM y UNION SELECT token_id, animation_url FROM y), a AS (
+  SELECT token_id, string_agg(md5(url), ',' ORDER BY md5(url)) AS assets FROM z WHERE url <> '' AND length(url) % 3 > 0 GROUP BY token_id)
+SELECT t.token_id, owners, owners_total, events, events_total, owner_provenances, m.name AS metadata_name, v.image_url AS enrichment_image, y.name AS display_name, y.image_url AS display_image, y.animation_url AS display_animation, y.artist AS display_artist, assets
+FROM token_dim t LEFT JOIN o ON t.token_id = o.token_id LEFT JOIN e ON t.token_id = e.token_id LEFT JOIN w ON t.token_id = w.token_id LEFT JOIN metadata m ON t.token_id = m.token_id LEFT JOIN overlay v ON t.token_id = v.token_id LEFT JOIN y ON t.token_id = y.token_id LEFT JOIN a ON t.token_id = a.token_id"""
+
+
+def expanded(v: Views, tokens):
+    from .tokens import KINDS, expand
 
-    return expand(v.token_dim, {"owners": v.balances, "provenance": v.ledger}, 3).select("token_id", F.array_join("owners", ",").alias("owners"), F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
+    joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f].cast("string")), ",")
+    return expand(tokens, KINDS, expansion_tables(v), 3).select(
+        "token_id", joined("owners", "owner_address").alias("owners"), "owners_total", joined("provenance_events", "event_id").alias("events"), F.col("provenance_events_total").alias("events_total"), joined("owner_provenances", "owner_address").alias("owner_provenances"),
+        F.col("metadata.name").alias("metadata_name"), F.col("enrichment_source.image_url").alias("enrichment_image"), F.col("display.name").alias("display_name"), F.col("display.image_url").alias("display_image"), F.col("display.animation_url").alias("display_animation"), F.col("display.artist").alias("display_artist"), F.array_join("media_asset", ",").alias("assets"),
+    )
+
+
+@query("QRY2_token_detail", "token_dim ledger balances metadata overlay media", f"WITH {EXPANDED} WHERE t.token_id = 42")
+def qry2(v: Views):
+    return expanded(v, v.token_dim.where("token_id = 42"))
+
+
+@query("QRY3_token_expand", "token_dim ledger balances metadata overlay media", f"WITH {EXPANDED}")
+def qry3(v: Views):
+    return expanded(v, v.token_dim)
 
 
 @query("QRY4_releases", "release_dim", "SELECT release_id, vendor_release_id, slug, count(*) AS members FROM release_dim GROUP BY ALL ORDER BY release_id LIMIT 10 OFFSET 5")

@@ -11,7 +11,7 @@ from ..sources.views import Views
 from ..streaming import jobs as J
 from .registry import query
 from ..session import scratch_dir
-from .states import S
+from .states import VIEWABLE, S
 
 RAW = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 KIND = "CASE event_type WHEN 'signup' THEN 'mint' WHEN 'purchase' THEN 'transfer' WHEN 'error' THEN 'burn' ELSE 'metadata_update' END"
@@ -30,43 +30,64 @@ def str1(v: Views):
     return J.OrderedIngest(v.spark, path, cursors).run(event_stream(v)).select("event_id", "chain", "block_number")
 
 
-@query("STR2_event_job_dedupe", "ledger", "SELECT chain, block_number FROM ledger GROUP BY chain, block_number")
+@query("STR2_event_job_dedupe", "ledger", "SELECT chain, 't' || CAST(block_number AS VARCHAR) AS tx_hash, tx_index AS log_index, event_id FROM ledger")
 def str2(v: Views):
-    return J.run_available(J.dedupe_stream(event_stream(v), "at", "7 days", ["chain", "block_number"]).select("chain", "block_number"), "dedupe")
+    """Every event comes twice."""
+    s = event_stream(v).unionByName(event_stream(v)).select("at", "chain", F.concat(F.lit("t"), "block_number").alias("tx_hash"), F.col("tx_index").alias("log_index"), "event_id")
+    return J.run_available(J.dedupe_stream(s, "at", "7 days", ["chain", "tx_hash", "log_index"]).drop("at"), "dedupe")
 
 
-@query("STR3_two_feed_level_align")
+def job_path(v: Views, name: str) -> str:
+    return f"{scratch_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("STR3_two_feed_level_align", "ledger", """
+WITH f AS (SELECT chain, block_number AS level, CASE WHEN event_type = 'metadata_update' THEN 'metadata' ELSE 'transfer' END AS feed, event_id AS id, to_address FROM ledger), h AS (
+  SELECT chain, min(head) AS least FROM (SELECT chain, feed, max(level) AS head FROM f GROUP BY chain, feed) x GROUP BY chain HAVING count(*) = 2), l AS (
+  SELECT f.chain, level, row_number() OVER (PARTITION BY f.chain ORDER BY level DESC) AS k FROM (SELECT DISTINCT chain, level FROM f) f JOIN h ON f.chain = h.chain WHERE level >= least)
+SELECT f.chain, f.level, feed, id, CASE WHEN f.level < least THEN 'aligned' ELSE 'overflow' END AS reason
+FROM f JOIN h ON f.chain = h.chain LEFT JOIN l ON f.chain = l.chain AND f.level = l.level WHERE f.level < least OR k > 2""")
 def str3(v: Views):
     s = event_stream(v)
     feeds = s.select("chain", F.when(F.col("event_type") == "metadata_update", "metadata").otherwise("transfer").alias("feed"), F.col("block_number").alias("level"), F.col("event_id").alias("id"), F.col("owner").alias("payload"))
-    return J.run_available(J.align_levels(feeds, 50, 60_000), "align", one_batch=True)
+    return J.LevelAlign(v.spark, job_path(v, "align"), 2, 3_600).run(feeds).select("chain", "level", "feed", "id", "reason")
 
 
-@query("STR4_backfill_handoff", "ledger", "SELECT event_id AS id, block_number AS level FROM ledger")
+@query("STR4_backfill_handoff", "ledger", "SELECT event_id AS id, block_number AS level, chain FROM ledger")
 def str4(v: Views):
-    history = v.ledger.where("block_number <= 2000").select(F.col("event_id").alias("id"), F.col("block_number").alias("level"))
-    live = J.run_available(event_stream(v).where("block_number >= 1500").select(F.col("event_id").alias("id"), F.col("block_number").alias("level")), "live")
-    return J.backfill_then_stream(history, live, F.lit(2000), ["id"])
+    """History reaches block 2000 in one feed and 1900 in the other; live rows begin at 200. Each row comes once."""
+    rows = v.ledger.select("chain", F.col("event_id").alias("id"), F.col("block_number").alias("level"), "event_type")
+    transfers, metadata = rows.where("event_type <> 'metadata_update' and level <= 2000").drop("event_type"), rows.where("event_type = 'metadata_update' and level <= 1900").drop("event_type")
+    live = event_stream(v).where("block_number >= 200").select("chain", F.col("event_id").alias("id"), F.col("block_number").alias("level"))
+    past, now = J.backfill_handoff(transfers, metadata, live)
+    return past.unionByName(J.run_available(now, "live"))
 
 
 @query("STR5_idle_flush", "ledger", "SELECT chain, block_number, event_id AS id FROM ledger l WHERE block_number < (SELECT max(block_number) FROM ledger m WHERE m.chain = l.chain)")
 def str5(v: Views):
-    return J.run_available(J.idle_flush(event_stream(v).select("chain", "block_number", F.col("event_id").alias("id")), 60_000), "idle", one_batch=True)
+    return J.IdleFlush(v.spark, job_path(v, "idle")).run(event_stream(v).select("chain", "block_number", F.col("event_id").alias("id")))
 
 
 @query("STR6_running_holdings", "", """
-WITH l AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS token_id, 'u' || user_id AS owner, CAST(floor(value) AS BIGINT) AS quantity, event_type FROM events WHERE event_type IN ('signup', 'error')), d AS (
-  SELECT token_id, owner AS address, event_id, CASE event_type WHEN 'signup' THEN quantity ELSE -quantity END AS delta FROM l), r AS (
-  SELECT *, sum(delta) OVER (PARTITION BY token_id, address ORDER BY event_id) AS after FROM d), b AS (
-  SELECT *, after - delta AS before FROM r)
-SELECT token_id, address, event_id, CASE WHEN after > 0 THEN 'acquired' ELSE 'released' END AS kind FROM b WHERE (before > 0) <> (after > 0)""")
+WITH l AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS token_id, 'u' || user_id AS owner, 'u' || (user_id * 7 % 150) AS sender, CAST(floor(value) AS BIGINT) AS quantity, event_type FROM events WHERE event_type IN ('signup', 'error', 'purchase')), d AS (
+  SELECT token_id, owner AS address, event_id, CASE event_type WHEN 'error' THEN -quantity ELSE quantity END AS delta FROM l WHERE event_type <> 'purchase' OR owner <> sender
+  UNION ALL SELECT token_id, sender, event_id, -quantity FROM l WHERE event_type = 'purchase' AND owner <> sender), r AS (
+  SELECT *, sum(delta) OVER (PARTITION BY token_id, address ORDER BY event_id) AS after FROM d)
+SELECT token_id, address, event_id, CAST(after AS BIGINT) AS quantity, CASE WHEN after - delta <= 0 AND after > 0 THEN 'acquired' WHEN after - delta > 0 AND after <= 0 THEN 'released' END AS kind FROM r""")
 def str6(v: Views):
-    s = event_stream(v).where("event_type in ('mint', 'burn')")
-    sides = s.select("token_id", "event_id", F.when(F.col("event_type") == "burn", F.col("owner")).alias("from_address"), F.when(F.col("event_type") == "mint", F.col("owner")).alias("to_address"), "quantity")
+    """Mints, burns and transfers; the sender of a transfer is made from its receiver."""
+    s = event_stream(v).where("event_type in ('mint', 'burn', 'transfer')")
+    sender = F.concat(F.lit("u"), F.substring("owner", 2, 18).cast("bigint") * 7 % 150)
+    sides = s.select("token_id", "event_id", F.when(F.col("event_type") == "burn", F.col("owner")).when(F.col("event_type") == "transfer", sender).alias("from_address"), F.when(F.col("event_type") != "burn", F.col("owner")).alias("to_address"), "quantity")
     return J.run_available(J.running_holdings(sides), "holdings")
 
 
-@query("STR7_render_gate_machine")
+@query("STR7_render_gate_machine", "ledger", """
+WITH o AS (SELECT CAST(token_id AS VARCHAR) AS url_hash, event_id AS id, CASE event_type WHEN 'mint' THEN 'ok' WHEN 'burn' THEN 'known' WHEN 'transfer' THEN 'blank' ELSE 'none' END AS outcome FROM ledger), s AS (
+  SELECT *, count(CASE WHEN outcome = 'ok' THEN 1 END) OVER (PARTITION BY url_hash ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM o), f AS (
+  SELECT *, count(CASE WHEN outcome IN ('known', 'blank') THEN 1 END) OVER (PARTITION BY url_hash, run ORDER BY id) AS failures FROM s), g AS (
+  SELECT url_hash, run, min(id) AS id FROM f WHERE outcome = 'known' OR (outcome = 'blank' AND failures >= 2) GROUP BY url_hash, run)
+SELECT url_hash, id, 'gate' AS change FROM g UNION ALL SELECT s.url_hash, s.id, 'release' FROM s JOIN g ON s.url_hash = g.url_hash AND s.run = g.run WHERE outcome = 'ok'""")
 def str7(v: Views):
     s = event_stream(v)
     outcome = F.expr("CASE event_type WHEN 'mint' THEN 'rendered_ok' WHEN 'burn' THEN 'known_bad_fingerprint' WHEN 'transfer' THEN 'blank' ELSE 'no_evidence' END")
@@ -80,8 +101,9 @@ def str8(v: Views):
     return J.run_available(J.change_feed(event_stream(v).select("event_id", "event_type"), clients).select("event_id", "client_id"), "feed")
 
 
-@query("STR8_viewability_feed", "media probes token_dim clients", "SELECT DISTINCT client_id, token_id FROM (SELECT t.token_id FROM token_dim t WHERE burned) t, clients WHERE is_active AND filters = '*'")
+@query("STR8_viewability_feed", "media probes token_dim clients", f"WITH {VIEWABLE} SELECT client_id, token_id FROM c, clients WHERE was <> is_viewable AND is_active AND filters = '*'")
 def str8_batch(v: Views):
+    """Viewability changes, as they are found in media and probes, to the clients that ask for them."""
     clients = v.clients.withColumn("filters", F.split("filters", ","))
-    changes = S.change_rows(v.token_dim.where("burned"), "viewability_changed", F.lit("true"), F.expr("TIMESTAMP_NTZ'2020-02-10 00:00:00'"))
+    changes = S.change_rows(S.viewability(v.token_dim, v.media, v.probes), "viewability_changed", F.col("is_viewable").cast("string"), F.expr("TIMESTAMP_NTZ'2020-02-10 00:00:00'"))
     return J.change_feed(changes, clients).select("client_id", "token_id")

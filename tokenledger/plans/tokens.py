@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.holdings import first_per_key, group_counts
+from ..operators.metadata import display_healthy, display_merge, swap_data_uris
 from ..operators.selection import owned_by, release_filter, token_filter, visible
 
 SORTS = ("created_at", "latest_provenance", "mint_number")
@@ -53,28 +55,73 @@ def query_tokens(q: TokenQuery, tokens: DataFrame, balances: DataFrame | None =
         out = release_filter(out, members, q.release_id, q.vendor, q.slug, q.mint_numbers)
     key = q.sort_by
     if key == "latest_provenance":
+        # a token without a row of these owners stays, and comes last
         rows = ownership.where(F.col("owner_address").isin(q.owners)) if q.owners else ownership
-        last = first_per_key(rows, ["token_id"], [F.desc("last_timestamp"), F.desc("id")]).select("token_id", "last_timestamp")
-        out, key = out.join(last, "token_id", "inner" if q.owners else "left"), "last_timestamp"
+        last = first_per_key(rows, ["token_id"], [F.desc("last_timestamp"), F.desc("last_tx_index"), F.desc("id")]).select("token_id", "last_timestamp")
+        out, key = out.join(last, "token_id", "left"), "last_timestamp"
     first = F.desc_nulls_last(key) if q.descending else F.asc_nulls_last(key)
     return out.orderBy(first, F.desc("token_id") if q.descending else F.asc("token_id")).offset(q.offset).limit(q.limit + 1)
 
 
-def expand(tokens: DataFrame, kinds: dict[str, DataFrame], n: int) -> DataFrame:
-    """QRY2, QRY3: tokens with arrays of their first n owners and newest n events, in the plan of the page itself."""
-    out = tokens
-    ids = tokens.select("token_id")
-    if "owners" in kinds:
-        top = group_counts(kinds["owners"].join(ids, "token_id", "left_semi"), "token_id", [F.desc("quantity"), F.col("owner_address")], n)
-        rows = top.groupBy("token_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "owner_address"))), lambda x: x["owner_address"]).alias("owners"), F.max("total").alias("owners_total"))
-        out = out.join(rows, "token_id", "left")
-    if "provenance" in kinds:
-        top = group_counts(kinds["provenance"].join(ids, "token_id", "left_semi"), "token_id", [F.desc("ts"), F.desc("event_id")], n)
-        rows = top.groupBy("token_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"]).alias("events"), F.max("total").alias("events_total"))
-        out = out.join(rows, "token_id", "left")
+KINDS = ("owners", "provenance_events", "owner_provenances", "metadata", "enrichment_source", "display", "media_asset")
+FIELDS = ["name", "description", "image_url", "animation_url", "artist"]
+URLS = ["image_url", "animation_url"]
+
+
+def expand(tokens: DataFrame, kinds: list[str] | tuple[str, ...], tables: dict[str, DataFrame], n: int, owners: list[str] | None = None) -> DataFrame:
+    """QRY2, QRY3: tokens with a column for each kind asked for, in the plan of the page itself.
+
+    owners, provenance_events and owner_provenances are the first n (most held, newest, newest; of these owners only, if
+    given) with their number as <kind>_total. metadata and enrichment_source are the token's rows. display is the
+    enrichment's fields before the metadata's, with the healthy URLs, data URIs swapped for their public variant.
+    media_asset has the assets of the URLs in metadata, enrichment_source and display, as far as these are asked for.
+
+    tables: balances, events, ownership, metadata, enrichment (a row a token), health, assets (source_url_hash,
+    variant_urls), as the kinds need them.
+    """
+    if unknown := set(kinds) - set(KINDS):
+        raise ValueError(f"{sorted(unknown)} aren't of {KINDS}")
+    out, ids = tokens, tokens.select("token_id")
+    own = lambda name: tables[name].join(ids, "token_id", "left_semi")
+    lists = {
+        "owners": ("balances", [F.desc("quantity"), F.col("owner_address")], ["owner_address", "quantity"]),
+        "provenance_events": ("events", [F.desc("ts"), F.desc("event_id")], ["event_id", "event_type", "ts"]),
+        "owner_provenances": ("ownership", [F.desc("last_timestamp"), F.desc("last_tx_index"), F.desc("id")], ["owner_address", "last_timestamp", "last_tx_index"]),
+    }
+    for kind, (table, order, fields) in lists.items():
+        if kind in kinds:
+            rows = own(table)
+            if kind == "owner_provenances" and owners:
+                rows = rows.where(F.col("owner_address").isin(owners))
+            first = group_counts(rows, "token_id", order, n).groupBy("token_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("__rows"), F.max("total").alias(f"{kind}_total"))
+            first = first.select("token_id", F.transform("__rows", _fields(fields)).alias(kind), f"{kind}_total")
+            out = out.join(first, "token_id", "left")
+    single = lambda df, kind: df.select("token_id", F.struct(*(f for f in FIELDS if f in df.columns)).alias(kind))
+    shown = None
+    if "display" in kinds:
+        merged = display_merge(own("metadata"), own("enrichment"))
+        healthy = display_healthy(merged, own("health"))
+        shown = merged.drop(*URLS).join(healthy, "token_id")
+    sources = {"metadata": "metadata" in kinds and own("metadata"), "enrichment_source": "enrichment_source" in kinds and own("enrichment"), "display": shown or False}
+    if "media_asset" in kinds:
+        urls = [df.select("token_id", F.explode(F.array(*URLS)).alias("url")) for df in sources.values() if df]
+        if not urls:
+            raise ValueError("media_asset needs metadata, enrichment_source or display")
+        urls = reduce(lambda a, b: a.unionByName(b), urls).where("url <> ''").select("token_id", F.md5("url").alias("source_url_hash")).distinct()
+        assets = urls.join(tables["assets"], "source_url_hash").groupBy("token_id").agg(F.sort_array(F.collect_list("source_url_hash")).alias("media_asset"))
+        out = out.join(assets, "token_id", "left")
+    if shown is not None:
+        sources["display"] = swap_data_uris(shown, tables["assets"], URLS) if "assets" in tables else shown
+    for kind, df in sources.items():
+        if df:
+            out = out.join(single(df, kind), "token_id", "left")
     return out
 
 
+def _fields(names: list[str]):
+    return lambda x: F.struct(*(x[f].alias(f) for f in names))
+
+
 def provenance(events: DataFrame, token_id: int, limit: int, offset: int, descending: bool) -> DataFrame:
     """QRY7: a page of one token's events with their total number."""
     own = events.where(F.col("token_id") == token_id)

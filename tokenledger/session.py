@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _done: weakref.WeakSet = weakref.WeakSet()
 
@@ -31,11 +33,22 @@ _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where that is unset, as in tests on one machine."""
+    """spark.checkpoint.dir, or an own folder where that is unset and the master is local, as in tests on one machine.
+
+    Raises RuntimeError where it is unset on a cluster, whose machines don't share a folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-"))
         spark.sparkContext.setCheckpointDir(_own[0])
     return _own[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

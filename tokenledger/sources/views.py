@@ -5,6 +5,8 @@ The two texts differ only where the dialects do; timestamps stay without a zone
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "embeddings"]
@@ -14,14 +16,14 @@ DIALECTS = {
         "day": lambda n: f"CAST(date_add(DATE'2020-01-01', CAST({n} AS INT)) AS TIMESTAMP_NTZ)",
         "json": lambda c, k: f"get_json_object({c}, '$.{k}')",
         "days_since": lambda c: f"datediff(CAST({c} AS DATE), DATE'1995-01-01')",
-        "bits": "aggregate(sequence(0, 62), CAST(0 AS BIGINT), (a, i) -> a + CASE WHEN embedding[i] > 0 THEN shiftleft(CAST(1 AS BIGINT), i) ELSE CAST(0 AS BIGINT) END)",
+        "bits": "aggregate(sequence(0, 62), CAST(0 AS BIGINT), (a, i) -> a + CASE WHEN embedding[i] > 0 THEN shiftleft(CAST(1 AS BIGINT), i) ELSE CAST(0 AS BIGINT) END) + CASE WHEN embedding[63] > 0 THEN -9223372036854775807 - 1 ELSE 0 END",
         "ntz": lambda c: f"CAST({c} AS TIMESTAMP_NTZ)",
     },
     "duckdb": {
         "day": lambda n: f"CAST(DATE '2020-01-01' + CAST({n} AS INTEGER) AS TIMESTAMP)",
         "json": lambda c, k: f"json_extract_string({c}, '$.{k}')",
         "days_since": lambda c: f"(CAST({c} AS DATE) - DATE '1995-01-01')",
-        "bits": "CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)",
+        "bits": "CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT) + CASE WHEN embedding[64] > 0 THEN -9223372036854775807 - 1 ELSE 0 END",
         "ntz": lambda c: f"CAST({c} AS TIMESTAMP)",
     },
 }
@@ -58,28 +60,30 @@ VIEWS = {
              {day:p_partkey % 900} AS created_at, p_brand AS brand, p_size AS size, p_name AS name
       FROM part""",
     "release_dim": """
-      SELECT p_partkey AS token_id, dense_rank() OVER (ORDER BY p_brand) AS release_id, p_brand AS vendor_release_id,
+      SELECT p_partkey AS token_id, CAST(substr(p_brand, 7) AS BIGINT) AS release_id, p_brand AS vendor_release_id,
              CASE WHEN p_size % 2 = 0 THEN 'artblocks' ELSE 'fxhash' END AS vendor,
              CASE WHEN p_brand LIKE '%5' THEN NULL ELSE lower(replace(p_brand, '#', '-')) END AS slug,
-             row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS mint_number
+             CAST(floor(p_partkey / 25) AS BIGINT) + 1 AS mint_number
       FROM part""",
     "balances": """
-      SELECT row_number() OVER (ORDER BY token_id, address) AS id, token_id, address AS owner_address, CAST(sum(delta) AS BIGINT) AS quantity
+      SELECT token_id * 10000000000 + CAST(substr(address, 2) AS BIGINT) AS id, token_id, address AS owner_address, CAST(sum(delta) AS BIGINT) AS quantity
       FROM holdings GROUP BY token_id, address HAVING sum(delta) > 0""",
     "media": """
       SELECT t.p_partkey * 4 + s.ix AS id, t.p_partkey AS token_id, p.url AS media_url, md5(p.url) AS url_hash,
              CASE s.ix WHEN 0 THEN 'metadata_image' WHEN 1 THEN 'metadata_animation' WHEN 2 THEN 'enrichment_image' ELSE 'enrichment_animation' END AS media_source,
              CASE (t.p_size + s.ix) % 3 WHEN 0 THEN 'healthy' WHEN 1 THEN 'broken' ELSE 'unknown' END AS health_status,
              {day:(t.p_partkey + s.ix) % 60} AS last_checked_at,
-             CASE (t.p_partkey + s.ix) % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html; charset=utf-8' WHEN 3 THEN 'image/bmp' END AS content_type
+             CASE WHEN (t.p_size + s.ix) % 3 = 1 THEN CASE (t.p_partkey + s.ix) % 4 WHEN 0 THEN 'render_blank' WHEN 1 THEN 'http_status' WHEN 2 THEN 'render_stalled' END END AS failure_reason,
+             CASE (t.p_partkey + s.ix) % 8 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html; charset=utf-8' WHEN 3 THEN 'image/bmp' WHEN 4 THEN 'video/mp4' WHEN 5 THEN 'audio/mpeg' WHEN 6 THEN 'text/html' END AS content_type
       FROM part t CROSS JOIN (SELECT 0 AS ix UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) s
-      JOIN pages p ON p.page_id = (t.p_partkey * 4 + s.ix) % 200
+      CROSS JOIN (SELECT count(*) AS n FROM pages) c
+      JOIN pages p ON p.page_id = (t.p_partkey * 4 + s.ix) % c.n
       WHERE (t.p_partkey + s.ix) % 3 <> 0""",
     "probes": """
       SELECT md5(url) AS url_hash, url AS media_url, page_id % 11 = 0 AS health_gated, page_id % 4 AS consecutive_failures,
              CASE WHEN page_id % 5 <> 0 THEN {day:page_id % 30} END AS captured_at, {day:page_id % 45} AS next_check_at,
              CASE page_id % 3 WHEN 0 THEN 'rendered_ok' WHEN 1 THEN 'blank' ELSE 'stalled' END AS verdict, page_id * 7919 AS phash
-      FROM pages""",
+      FROM pages WHERE page_id % 7 <> 4""",
     "verdicts": """
       SELECT p_partkey AS token_id, CASE s.ix WHEN 0 THEN 'opensea' WHEN 1 THEN 'objkt' ELSE 'feralfile' END AS source,
              CASE WHEN (p_partkey * 7 + s.ix) % 4 = 0 THEN 'spam' ELSE 'none' END AS verdict,
@@ -87,7 +91,7 @@ VIEWS = {
       FROM part CROSS JOIN (SELECT 0 AS ix UNION ALL SELECT 1 UNION ALL SELECT 2) s WHERE (p_partkey + s.ix) % 2 = 0""",
     "attempts": """
       SELECT o_orderkey AS id, 'c' || CAST(o_custkey AS STRING_) AS address, 'eip155:1' AS chain,
-             CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'canceled' END AS status, {ntz:o_orderdate} AS ended_at
+             CASE WHEN o_orderkey % 7 = 0 THEN 'running' WHEN o_orderkey % 11 = 0 THEN 'paused' WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderstatus = 'O' THEN 'completed' ELSE 'canceled' END AS status, {ntz:o_orderdate} AS ended_at
       FROM orders""",
     "watched": """
       SELECT 'u' || CAST(c_custkey % 150 AS STRING_) AS address, CASE WHEN c_custkey % 2 = 0 THEN 'eip155:1' ELSE 'tezos:mainnet' END AS chain,
@@ -96,10 +100,10 @@ VIEWS = {
              {day:c_custkey % 20} AS quota_reset_at
       FROM customer""",
     "metadata": """
-      SELECT p_partkey AS token_id, CASE WHEN p_size % 6 = 0 THEN '' WHEN p_size % 6 = 1 THEN NULL ELSE p_name END AS name,
+      SELECT p_partkey AS token_id, CASE WHEN p_size % 6 = 0 THEN '' WHEN p_size % 6 = 1 THEN NULL WHEN p_size % 6 = 2 THEN ' [WAITING to be signed] ' ELSE p_name END AS name,
              'https://media.example.org/' || CAST(p_partkey % 90 AS STRING_) AS image_url,
-             CASE WHEN p_size % 3 = 0 THEN 'https://media.example.org/a' || CAST(p_partkey % 40 AS STRING_) END AS animation_url,
-             CASE WHEN p_size % 4 = 0 THEN 'placeholder' ELSE p_type END AS description, p_brand AS contract, p_type AS deployer, p_size AS size
+             CASE WHEN p_size % 15 = 0 THEN 'ipfs://QmdGV3UqJqX4v5x9nFcDYeekCEAm3SDXUG5SHdjKQKn4Pe/i' WHEN p_size % 3 = 0 THEN 'https://media.example.org/a' || CAST(p_partkey % 40 AS STRING_) END AS animation_url,
+             CASE WHEN p_partkey % 3 = 0 THEN 'erc721' ELSE 'fa2' END AS standard, CASE WHEN p_size % 4 = 0 THEN 'Waiting to be SIGNED by fxhash signer.' ELSE p_type END AS description, p_brand AS contract, p_type AS deployer, p_size AS size
       FROM part""",
     "overlay": """
       SELECT p_partkey AS token_id, CASE p_size % 3 WHEN 0 THEN 'artblocks' WHEN 1 THEN 'objkt' ELSE 'opensea' END AS vendor,
@@ -118,8 +122,6 @@ VIEWS = {
 
 def text(name: str, dialect: str) -> str:
     """The view's SQL in a dialect."""
-    import re
-
     d = DIALECTS[dialect]
     sql = VIEWS[name].replace("STRING_", "STRING" if dialect == "spark" else "VARCHAR").replace("{bits}", d["bits"])
     return re.sub(r"\{(day|json|days_since|ntz):([^{}]*)\}", lambda m: d[m[1]](*(m[2].split(",") if m[1] == "json" else [m[2]])), sql)
@@ -158,7 +160,7 @@ class Views:
             raise AttributeError(name)
         sql, used = text(name, "spark"), {}
         for t in (*TABLES, "holdings"):
-            if t != name and __import__("re").search(rf"(FROM|JOIN) {t}\b", sql):
+            if t != name and re.search(rf"(FROM|JOIN) {t}\b", sql):
                 used[f"t_{t}"] = self.holdings if t == "holdings" else self.table(t)
-                sql = __import__("re").sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{t_{t}}}", sql)
+                sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{t_{t}}}", sql)
         return self.spark.sql(sql, **used)

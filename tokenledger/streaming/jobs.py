@@ -1,32 +1,31 @@
 """Streams of chain events: ordered intake, deduplication, alignment of two feeds, running holdings, render gates, change feed.
 
-State is kept by key in Spark's state store, one key's buffer in a task at a time; out-of-order input of a batch is sorted
-per key before it is folded in.
+Jobs whose decisions are about a chain's head (STR1, STR3, STR5) handle a micro-batch as a set: heads are grouped maxima, and
+what has to wait is a table beside the output, so no chain's rows meet in one task. What a batch starts from is what the
+batches before it left, by number, so a batch that runs twice gives the same. Other state is kept by key in Spark's store.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.selection import match_clients
 from ..session import scratch_dir
 
 
-def run_available(stream: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None] | None = None, one_batch: bool = False) -> DataFrame | None:
-    """Runs a stream over what is there now and returns what it wrote (append mode), or hands batches to each_batch.
-
-    one_batch is for state with timers: with a timer open, availableNow would go on with empty batches until it fires."""
+def run_available(stream: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> DataFrame | None:
+    """Runs a stream over what is there now and returns what it wrote (append mode), or hands batches to each_batch."""
     spark = stream.sparkSession
     top = f"{scratch_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.trigger(**({"once": True} if one_batch else {"availableNow": True})).option("checkpointLocation", f"{top}/checkpoint")
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{top}/checkpoint")
     if each_batch:
         writer.foreachBatch(each_batch).start().awaitTermination()
         return None
@@ -34,26 +33,55 @@ def run_available(stream: DataFrame, name: str, each_batch: Callable[[DataFrame,
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
 
 
+@dataclass
+class BatchTables:
+    """Tables of a job by batch: `name` as batch `at` left it. A batch overwrites its own version only."""
+
+    spark: SparkSession
+    path: str
+
+    def write(self, df: DataFrame, name: str, at: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={at}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/batch_id={at}")
+
+    def before(self, name: str, at: int, schema: str) -> DataFrame:
+        """The version of the latest batch before `at`; empty if there is none."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+        last = max((x for x in found if x < at), default=None)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch_id={last}") if last is not None else self.spark.createDataFrame([], schema)
+
+    def all(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, batch_id int").parquet(f"{self.path}/{name}").drop("batch_id")
+
+
+CURSOR = "chain string, block_number long"
+
+
 @dataclass
 class OrderedIngest:
     """STR1: events appended in whole blocks of each chain. Blocks below a chain's cursor are dropped, its own block is
-    processed again, higher ones move it on. The cursor is what the table holds, so a batch that runs twice changes nothing."""
+    processed again, higher ones move it on. A batch starts from the cursors that the batches before it left, or from those
+    given, so one that runs twice, also after a restart, writes the same."""
 
     spark: SparkSession
     path: str
     cursors: DataFrame  # chain, block_number
 
     def batch(self, events: DataFrame, batch_id: int) -> None:
-        cursor = self.cursors.select("chain", F.col("block_number").alias("__cursor"))
-        fresh = events.join(F.broadcast(cursor), "chain", "left").where(F.col("__cursor").isNull() | (F.col("block_number") >= F.col("__cursor"))).drop("__cursor")  # bound: one row a chain
-        fresh.withColumn("batch_id", F.lit(batch_id)).repartition("chain", "block_number").sortWithinPartitions("chain", "block_number", "tx_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
-        moved = self.spark.read.parquet(self.path).groupBy("chain").agg(F.max("block_number").alias("block_number")).collect()
-        if moved:
-            self.cursors = self.spark.createDataFrame(moved)
+        tables = BatchTables(self.spark, self.path)
+        moved = tables.before("cursors", batch_id, CURSOR)
+        cursor = self.cursors.select("chain", "block_number").unionByName(moved).groupBy("chain").agg(F.max("block_number").alias("__cursor"))
+        fresh = events.join(cursor, "chain", "left").where(F.col("__cursor").isNull() | (F.col("block_number") >= F.col("__cursor"))).drop("__cursor")
+        done = tables.write(fresh.repartition("chain", "block_number").sortWithinPartitions("chain", "block_number", "tx_index"), "events", batch_id)
+        heads = done.select("chain", "block_number").unionByName(cursor.toDF("chain", "block_number")).groupBy("chain").agg(F.max("block_number").alias("block_number"))
+        tables.write(heads.coalesce(1), "cursors", batch_id)  # one row a chain
 
     def run(self, stream: DataFrame) -> DataFrame:
-        run_available(stream, "ingest", self.batch)
-        return self.spark.read.parquet(self.path).drop("batch_id")
+        run_available(stream, "ingest", self.batch, f"{self.path}/checkpoint")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+        return BatchTables(self.spark, self.path).all("events", schema)
 
 
 def dedupe_stream(stream: DataFrame, time: str, delay: str, keys: list[str]) -> DataFrame:
@@ -61,89 +89,104 @@ def dedupe_stream(stream: DataFrame, time: str, delay: str, keys: list[str]) ->
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def align_levels(feeds: DataFrame, max_levels: int, timeout_ms: int) -> DataFrame:
-    """STR3: rows (chain, feed, level, id, payload) of two feeds, released by level once both feeds are past it, transfers
-    before metadata. A chain with more than max_levels waiting releases its lowest ones, and what waits longer than the
-    timeout goes out; rows of a level already released are dropped. reason says which."""
-    schema = "chain string, level bigint, feed string, id bigint, payload string, reason string"
+FEED = "chain string, level bigint, feed string, id bigint, payload string"
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, heads, sealed = state.get if state.exists else ("[]", "{}", -1)
-        rows, heads = json.loads(held), json.loads(heads)
-        out: list[list] = []
-        if state.hasTimedOut:
-            out, rows = [[*r, "timeout"] for r in rows], []
-        for frame in frames:
-            for r in frame.itertuples():
-                heads[r.feed] = max(heads.get(r.feed, -1), int(r.level))
-                if int(r.level) > sealed:
-                    rows.append([int(r.level), r.feed, int(r.id), r.payload])
-        both = min(heads.values()) if len(heads) == 2 else -1
-        out += [[*r, "aligned"] for r in rows if r[0] < both]
-        rows = [r for r in rows if r[0] >= both]
-        levels = sorted({r[0] for r in rows})
-        if len(levels) > max_levels:
-            top = levels[len(levels) - max_levels]
-            out += [[*r, "overflow"] for r in rows if r[0] < top]
-            rows = [r for r in rows if r[0] >= top]
-        sealed = max([sealed, *(r[0] for r in out)])
-        state.update((json.dumps(rows), json.dumps(heads), sealed))
-        if rows:
-            state.setTimeoutDuration(timeout_ms)
-        out.sort(key=lambda r: (r[0], r[1] != "transfer", r[2]))
-        yield pd.DataFrame([[key[0], r[0], r[1], r[2], r[3], r[4]] for r in out], columns=["chain", "level", "feed", "id", "payload", "reason"])
-
-    return feeds.groupBy("chain").applyInPandasWithState(fold, schema, "held string, heads string, sealed bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def backfill_then_stream(history: DataFrame, live: DataFrame, heads: Column, keys: list[str]) -> DataFrame:
-    """STR4: the history below the lower of the two heads, then live rows from there on; live rows that the history has are left out."""
-    return history.where(F.col("level") < heads).unionByName(live.where(F.col("level") >= heads)).dropDuplicates(keys)
-
-
-def idle_flush(stream: DataFrame, timeout_ms: int) -> DataFrame:
-    """STR5: rows (chain, block_number, id) of whole blocks: a block goes out when a higher one comes, or after a time
-    without new rows."""
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = json.loads(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            out, rows = rows, []
-        else:
-            rows = sorted(rows + [[int(r.block_number), int(r.id)] for f in frames for r in f.itertuples()])
-            head = rows[-1][0] if rows else 0
-            out, rows = [r for r in rows if r[0] < head], [r for r in rows if r[0] == head]
-        state.update((json.dumps(rows),))
-        if rows:
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame([[key[0], *r] for r in out], columns=["chain", "block_number", "id"])
+@dataclass
+class LevelAlign:
+    """STR3: rows (chain, level, feed, id, payload) of two feeds, released by level once both feeds are past it, transfers
+    before metadata. A chain with more than max_levels waiting releases its lowest ones, and what has waited longer than
+    timeout seconds goes out; rows of a level already released are dropped. reason says which."""
 
-    return stream.groupBy("chain").applyInPandasWithState(fold, "chain string, block_number bigint, id bigint", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    spark: SparkSession
+    path: str
+    max_levels: int
+    timeout: int
+
+    def batch(self, rows: DataFrame, batch_id: int, now: float | None = None) -> None:
+        """now: seconds since 1970, else the clock."""
+        tables, at = BatchTables(self.spark, self.path), F.lit(now) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
+        heads = tables.before("heads", batch_id, "chain string, feed string, level bigint")
+        sealed = tables.before("sealed", batch_id, "chain string, sealed bigint")
+        heads = tables.write(heads.unionByName(rows.select("chain", "feed", "level")).groupBy("chain", "feed").agg(F.max("level").alias("level")).coalesce(1), "heads", batch_id)
+        both = heads.groupBy("chain").agg(F.when(F.count("*") == 2, F.min("level")).alias("both"))
+        new = rows.join(sealed, "chain", "left").where("sealed is null or level > sealed").drop("sealed").withColumn("since", at.cast("double"))
+        waiting = tables.before("waiting", batch_id, f"{FEED}, since double").unionByName(new.select("chain", "level", "feed", "id", "payload", "since"))
+        met = waiting.join(both, "chain", "left").withColumn("aligned", F.coalesce(F.col("level") < F.col("both"), F.lit(False)))
+        levels = met.where("not aligned").select("chain", "level").distinct()
+        rank = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("level")))  # a limit that starts before the shuffle
+        least = levels.withColumn("k", rank).where(F.col("k") <= self.max_levels).groupBy("chain").agg(F.min("level").alias("least"))
+        met = met.join(least, "chain", "left")
+        reason = F.when(F.col("aligned"), "aligned").when(F.col("since") <= at - self.timeout, "timeout").when(F.col("level") < F.col("least"), "overflow")
+        met = tables.write(met.withColumn("reason", reason).select("chain", "level", "feed", "id", "payload", "since", "reason"), "met", batch_id)
+        out = met.where("reason is not null")
+        tables.write(out.drop("since").repartition("chain", "level").sortWithinPartitions("chain", "level", F.desc("feed"), "id"), "released", batch_id)
+        tables.write(met.where("reason is null").drop("reason"), "waiting", batch_id)
+        tables.write(sealed.unionByName(out.select("chain", F.col("level").alias("sealed"))).groupBy("chain").agg(F.max("sealed").alias("sealed")).coalesce(1), "sealed", batch_id)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        run_available(stream, "align", self.batch, f"{self.path}/checkpoint")
+        return BatchTables(self.spark, self.path).all("released", f"{FEED}, reason string")
+
+
+def backfill_handoff(transfers: DataFrame, metadata: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """STR4: (history rows, live rows) that meet without a gap or an overlap. The two feeds' histories are whole below the lower
+    of their last levels, so history ends there, and the live stream begins with that level. All have chain and level; a
+    chain without history in both feeds is left to the stream."""
+    last = transfers.select("chain", "level", F.lit(0).alias("f")).unionByName(metadata.select("chain", "level", F.lit(1).alias("f"))).groupBy("chain", "f").agg(F.max("level").alias("head"))
+    head = last.groupBy("chain").agg(F.when(F.count("*") == 2, F.min("head")).alias("__head")).where("__head is not null")
+    past = transfers.unionByName(metadata).join(head, "chain").where("level < __head").drop("__head")
+    return past, live.join(head, "chain", "left").where("__head is null or level >= __head").drop("__head")
+
+
+BLOCK = "chain string, block_number bigint, id bigint"
+
+
+@dataclass
+class IdleFlush:
+    """STR5: rows (chain, block_number, id) of whole blocks: a block goes out when a higher one of its chain comes, or, by
+    flush(), after the chain had no new rows for some time."""
+
+    spark: SparkSession
+    path: str
+
+    def batch(self, rows: DataFrame, batch_id: int, now: float | None = None) -> None:
+        tables, at = BatchTables(self.spark, self.path), F.lit(now) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
+        new = rows.select("chain", "block_number", "id").withColumn("since", at.cast("double"))
+        met = tables.before("waiting", batch_id, f"{BLOCK}, since double").unionByName(new)
+        head = met.groupBy("chain").agg(F.max("block_number").alias("head"), F.max("since").alias("seen"))
+        met = tables.write(met.join(head, "chain"), "met", batch_id)
+        tables.write(met.where("block_number < head").select("chain", "block_number", "id"), "blocks", batch_id)
+        tables.write(met.where("block_number = head").select("chain", "block_number", "id", F.col("seen").alias("since")), "waiting", batch_id)
+
+    def flush(self, batch_id: int, now: float, idle: float) -> None:
+        """As a batch of its own: what waits in chains without new rows for `idle` seconds goes out."""
+        tables = BatchTables(self.spark, self.path)
+        waiting = tables.before("waiting", batch_id, f"{BLOCK}, since double")
+        tables.write(waiting.where(F.col("since") <= now - idle).drop("since"), "blocks", batch_id)
+        tables.write(waiting.where(F.col("since") > now - idle), "waiting", batch_id)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        run_available(stream, "idle", self.batch, f"{self.path}/checkpoint")
+        return BatchTables(self.spark, self.path).all("blocks", BLOCK)
 
 
 def running_holdings(stream: DataFrame) -> DataFrame:
-    """STR6: acquired and released rows as events (token_id, event_id, from_address, to_address, quantity) come: acquired when
-    an address's balance of the token rises above zero, released when it no longer is."""
+    """STR6: the balance of an address after each event (token_id, event_id, from_address, to_address, quantity) that changes it,
+    with kind acquired where it rises above zero, released where it no longer is, else null. State is one number for each
+    token and address."""
+    sides = F.array(F.struct(F.col("from_address").alias("address"), (-F.col("quantity")).alias("delta")), F.struct(F.col("to_address").alias("address"), F.col("quantity").alias("delta")))
+    each = stream.where("not (from_address <=> to_address)").withColumn("side", F.explode(sides)).select("token_id", "event_id", "side.address", "side.delta").where("address is not null")
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[str, int] = json.loads(state.get[0]) if state.exists else {}
-        out = []
-        for frame in [pd.concat(list(frames))]:
-            for r in frame.sort_values("event_id").itertuples():
-                delta: dict[str, int] = {}
-                if isinstance(r.from_address, str):
-                    delta[r.from_address] = -int(r.quantity)
-                if isinstance(r.to_address, str):
-                    delta[r.to_address] = delta.get(r.to_address, 0) + int(r.quantity)
-                for who, d in delta.items():
-                    was, now = held.get(who, 0), held.get(who, 0) + d
-                    held[who] = now
-                    if (was > 0) != (now > 0):
-                        out.append((key[0], who, int(r.event_id), "acquired" if now > 0 else "released"))
-        state.update((json.dumps({k: v for k, v in held.items() if v}),))
-        yield pd.DataFrame(out, columns=["token_id", "address", "event_id", "kind"])
-
-    return stream.groupBy("token_id").applyInPandasWithState(fold, "token_id bigint, address string, event_id bigint, kind string", "held string", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames)).sort_values("event_id")
+        after = rows["delta"].cumsum() + (state.get[0] if state.exists else 0)
+        was, now = (after - rows["delta"]) > 0, after > 0
+        kind = pd.Series(None, rows.index, object).mask(now & ~was, "acquired").mask(was & ~now, "released")
+        state.update((int(after.iloc[-1]),))
+        yield pd.DataFrame({"token_id": key[0], "address": key[1], "event_id": rows["event_id"], "quantity": after, "kind": kind})
+
+    return each.groupBy("token_id", "address").applyInPandasWithState(fold, "token_id bigint, address string, event_id bigint, quantity bigint, kind string", "held bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 @dataclass
@@ -196,8 +239,5 @@ def render_gates_batch(observations: DataFrame, config: GateConfig) -> DataFrame
 
 
 def change_feed(stream: DataFrame, clients: DataFrame) -> DataFrame:
-    """STR8: one row for each event and client that subscribes to its type or to all."""
-    each = clients.where("is_active").select("client_id", F.explode(F.array_distinct("filters")).alias("__filter"))
-    each = each.groupBy("client_id").agg(F.collect_set("__filter").alias("__filters"))
-    hit = F.array_contains("__filters", F.col("event_type")) | F.array_contains("__filters", "*")
-    return stream.join(F.broadcast(each), hit).drop("__filters")  # bound: one row a client
+    """STR8: one row for each event and client that subscribes to its type or to all, by a join of the stream on the type."""
+    return match_clients(stream, clients)
