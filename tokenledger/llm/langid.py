@@ -26,6 +26,7 @@ FAMILIES = {
     "indic": ["bn", "gu", "hi", "mr", "ne", "pa", "ur"],
 }
 FEATURES = 4096
+_CHUNK = 1 << 20
 
 _letters: list[np.ndarray] = []
 
@@ -44,12 +45,16 @@ def ngram_counts(text: str | None, features: int = FEATURES) -> np.ndarray | Non
     letter = _letter_table()[points]
     if not letter.any():
         return None
-    codes = np.concatenate(([0], np.where(letter, points, 0), [0])).astype(np.uint64)
+    whole = np.zeros(len(points) + 2, np.uint32)
+    np.copyto(whole[1:-1], points, where=letter)
     counts = np.zeros(features, np.int64)
-    two = codes[:-1] * np.uint64(0x110000) + codes[1:]
-    three = two[:-1] * np.uint64(0x110000) + codes[2:]
-    for k, grams, some in ((1, codes, codes > 0), (2, two, two > 0), (3, three, (codes[1:-1] > 0))):
-        counts += np.bincount((mix(grams[some], k) >> np.uint64(40)).astype(np.int64) % features, minlength=features)
+    for at in range(0, len(whole), _CHUNK):  # long texts in chunks, each with the two signs after it
+        codes = whole[at : at + _CHUNK + 2].astype(np.uint64)
+        one = codes[:_CHUNK]
+        two = codes[:-1][:_CHUNK] * np.uint64(0x110000) + codes[1:][:_CHUNK]
+        three = two[: len(codes) - 2] * np.uint64(0x110000) + codes[2:]
+        for k, grams, some in ((1, one, one > 0), (2, two, two > 0), (3, three, codes[1:-1] > 0)):
+            counts += np.bincount((mix(grams[some], k) >> np.uint64(40)).astype(np.int64) % features, minlength=features)
     return counts
 
 
@@ -117,10 +122,14 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel | None:
     """Learns from at most per_language documents of each language, those with the least hashed doc_id, outside the
-    held-out fifth. Only these come to the driver, as sparse counts. None if no document has a language."""
+    held-out fifth. Only these come to the driver, as sparse counts. None if no document has a language.
+
+    Ranks are made in 16 parts of a language first, so that one that most documents have isn't ranked in one task."""
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = learn.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    chosen = learn.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(16)))
+    for keys in (["lang", "part"], ["lang"]):
+        chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("rank") <= per_language).drop("rank")
+    chosen = chosen.select("doc_id", "lang").distinct()
     sample = learn.join(F.broadcast(chosen), ["doc_id", "lang"])  # bound: per_language rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
