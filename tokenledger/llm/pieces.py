@@ -8,6 +8,7 @@ pieces' ranks, and each piece is projected back to a span of source bytes.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import slices
 
@@ -374,9 +376,12 @@ def _sent(df: DataFrame, model_path: str) -> str:
     return model_path.rsplit("/", 1)[-1]
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, digests: bool = False) -> DataFrame:
     """doc_id, ids, and starts and ends (source byte spans of each id) of every document's whole text.
 
+    With digests, in place of the spans: covered_bytes, the bytes of the text that they cover, and spans_sha256, the
+    SHA-256 in hex of all starts and ends in turn as 32-bit little-endian numbers.
+
     Null counts as empty, and has no ids. Repeated rows get equal results. An empty table gives no rows. Other columns
     are ignored.
     """
@@ -386,14 +391,23 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         model = _model(name)
         for batch in slices(batches, 128):
             counts, *flat = model.encode_all(batch.column(1).to_pylist())
-            bounds = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            stops = np.concatenate(([0], np.cumsum(counts)))
+            bounds = pa.array(stops.astype(np.int32))
+            if digests:
+                ids, starts, ends = flat
+                covered = np.diff(np.concatenate(([0], np.cumsum(ends - starts)))[stops])
+                spans = np.stack([starts, ends], axis=1).astype("<i4")
+                found = [hashlib.sha256(spans[a:b]).hexdigest() for a, b in zip(stops, stops[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32))), pa.array(covered), pa.array(found, pa.string())], names=["doc_id", "ids", "covered_bytes", "spans_sha256"])
+                continue
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in flat)], names=["doc_id", "ids", "starts", "ends"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    spans = "covered_bytes long, spans_sha256 string" if digests else "starts array<int>, ends array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, ids array<int>, {spans}")
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """encoded (doc_id, ids) with the decoded text in column text. Null ids count as none."""
+def decode(encoded: DataFrame, model_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """encoded (doc_id, ids and the columns to keep) with the decoded text in column text. Null ids count as none."""
     name = _sent(encoded, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,6 +415,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in slices(batches, 128):
             ids = batch.column(1)
             counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, model.decode_all(ids.flatten().to_numpy(), counts)], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, model.decode_all(ids.flatten().to_numpy(), counts)], names=[*batch.schema.names, "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    rows = encoded.select("doc_id", "ids", *keep)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("text", StringType())]))

@@ -182,10 +182,10 @@ def op5_language_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of their decoded text, and the bytes that the pieces' spans cover."""
+    """Digests of every document's ids, of the source spans of their pieces, and of their decoded text."""
     model = piece_model()
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), model)
-    return pieces.decode(encoded, model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, digests=True)
+    return pieces.decode(encoded, model, ("covered_bytes", "spans_sha256")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), "covered_bytes", "spans_sha256")
 
 
 @query
