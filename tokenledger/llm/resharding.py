@@ -13,7 +13,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import constants, join_by_group, written
 
 
 def least_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -91,19 +91,32 @@ def old_shard_by_source(shards: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacity: list[int] | None = None, blocks: int = 4096) -> tuple[DataFrame, list[list[int]]]:
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacity: list[int] | None = None, blocks: int = 4096, spread: int = 1000) -> tuple[DataFrame, list[list[int]]]:
     """(doc_id, size, text_crc32, old_shard, shard, slot of every document; bytes that go from each old to each new shard).
 
     Shard sizes end up near the capacities, or near equal where none are given. slot is the row's place in its new
     shard, without gaps from 0. Rows that repeat a doc_id are rows of their own; a null doc_id comes first in its block.
-    Null texts have size 1. An empty table gives no rows. Other columns are ignored. Equal texts aren't kept together:
-    a group of copies may be larger than a shard.
+    Null texts have size 1. An empty table gives no rows. Other columns are ignored.
+
+    Equal texts are a group, which goes to one shard, starting from the old shard that has most of its bytes. A group of
+    more than 1/spread of all bytes is dealt out by rows instead, or shards couldn't be near equal.
 
     The driver gets one row per block (old shards * blocks at most, whatever the data), and the texts don't move.
     """
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), old_shard.alias("old_shard"))
-    light = written(light.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int")), "reshard-rows")
-    found = [(r["old_shard"], r["block"], r["bytes"], r["rows"]) for r in light.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()]
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), old_shard.alias("old_shard"))
+    light = written(light, "reshard-rows")
+    group = ["text_key", "text_crc32", "size"]
+    held = light.groupBy(*group, "old_shard").agg(F.count("*").alias("n"))
+    held = held.groupBy(*group).agg(F.sum("n").alias("n"), F.max(F.struct("n", -F.col("old_shard"))).alias("most")).where("n > 1")
+    held = written(held.select(*group, "n", (-F.col("most.col2")).alias("home")), "text-groups")
+    rows, whole = light.agg(F.count("*"), F.sum("size")).first()
+    split = F.col("n") * F.col("size") * spread > F.lit(whole or 0)
+    met = join_by_group(light, held.withColumn("home", F.when(split, None).otherwise(F.col("home"))), group, "n", rows)
+    own = light.join(held.select(*group), group, "left_anti").withColumns({"n": F.lit(1).cast("long"), "home": F.col("old_shard")}).unionByName(met)
+    together = F.when(F.col("home").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.col("text_key"))
+    own = own.select("doc_id", "size", "text_crc32", "old_shard", F.coalesce("home", "old_shard").alias("home"), F.pmod(together, F.lit(blocks)).cast("int").alias("block"))
+    own = written(own, "reshard-homes")
+    found = [(r["home"], r["block"], r["bytes"], r["rows"]) for r in own.groupBy("home", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()]
     sizes = [0] * old_shards
     for old, _, size, _ in found:
         sizes[old] += size
@@ -115,9 +128,9 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     for old, block, _, n in sorted(found):
         rows.append((old, block, to[old, block], next_slot[to[old, block]]))
         next_slot[to[old, block]] += n
-    moves = docs.sparkSession.createDataFrame(rows, "old_shard int, block int, shard int, first_slot long")
-    order = Window.partitionBy("old_shard", "block").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    placed = light.join(F.broadcast(moves), ["old_shard", "block"])  # bound: old_shards * blocks rows
+    moves = constants(docs.sparkSession, rows, "home int, block int, shard int, first_slot long")
+    order = Window.partitionBy("home", "block").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    placed = own.join(F.broadcast(moves), ["home", "block"])  # bound: old_shards * blocks rows
     return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first_slot") + F.row_number().over(order) - 1).cast("long").alias("slot")), flow
 
 
