@@ -212,7 +212,7 @@ def compare_with_next(docs: DataFrame, per_block: int | None = None, block_bytes
     many = -(-rows // per_block) if per_block else max(-(-(size or 0) // block_bytes), min(rows, 16 * spark.sparkContext.defaultParallelism))
     cuts = ranges(keys.select("doc_id", "digest"), max(1, many))
     own = own.withColumn("rows", F.lit(1).cast("long"))
-    repeated = written(keys.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").toDF("id", "of", "n"), "repeated-places")
+    repeated = keys.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").toDF("id", "of", "n")
     if not repeated.isEmpty():  # such rows meet before the shuffle, and as one row thereafter
         met = own.join(repeated.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
         once = met.where("n is not null").groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("n").alias("rows"))
