@@ -189,6 +189,45 @@ def test_reshard(spark, odd, empty, tmp_path):
     assert back.count() == placed.where(F.col("shard").isin(shards)).count()
 
 
+def test_equal_texts_stay_together(spark):
+    """Groups over several old shards; one of a quarter of all bytes is dealt out, as no shard could hold it."""
+    r = random.Random(2)
+    rows = [(i, f"text {i % 300} " + "x" * (i % 300 % 40), f"s{r.randrange(6)}") for i in range(1200)] + [(5000 + i, "hot " * 5, f"s{r.randrange(6)}") for i in range(700)] + [(None, "no id", "s1"), (None, "no id", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, _ = resharding.reshard(docs, resharding.old_shard_by_source(4), 4, 5, spread=100)
+    found = placed.collect()
+    text = {d: t for d, t, _ in rows}
+    shards = {}
+    for x in found:
+        shards.setdefault(text[x.doc_id], set()).add(x.shard)
+    assert len(found) == len(rows) and all(len(s) == 1 for t, s in shards.items() if t != "hot " * 5) and len(shards["hot " * 5]) > 1
+    total = [x.b for x in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(total) - min(total) <= 0.05 * sum(total)
+    for s in range(5):
+        assert sorted(x.slot for x in found if x.shard == s) == list(range(sum(x.shard == s for x in found)))
+
+
+def test_long_texts_are_counted_in_chunks(monkeypatch):
+    text = sentences(EN + " é ß", 400, 3)
+    whole = langid.ngram_counts(text)
+    for chunk in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid, "_CHUNK", chunk)
+        assert (langid.ngram_counts(text) == whole).all()
+
+
+def test_pairwise_margin_is_the_sum_over_pairs():
+    r = np.random.default_rng(3)
+    terms = np.sort(r.choice(1 << toxicity.BITS, 40, replace=False)).astype(np.int32)
+    model = toxicity.FactorizationMachine(terms, -0.3, r.normal(0, 0.5, 40), r.normal(0, 0.5, (40, toxicity.FACTORS)))
+    for _ in range(20):
+        row = np.sort(np.concatenate([r.choice(terms, r.integers(0, 12), replace=False), np.setdiff1d(r.integers(0, 1 << toxicity.BITS, 5), terms)]).astype(np.int32))
+        on = [i for i, t in enumerate(terms) if t in row]
+        margin = model.bias + sum(model.weights[i] for i in on) + sum(float(model.factors[i] @ model.factors[j]) for i, j in itertools.combinations(on, 2))
+        assert model.score(row) == pytest.approx(1 / (1 + np.exp(-margin)))
+        x = np.array([[float(i in on) for i in range(40)]])
+        assert model._margin(x, x @ model.factors)[0] == pytest.approx(margin)
+
+
 def test_mix(spark, odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.taken <= 3 * r.size for r in rows)
@@ -269,6 +308,12 @@ def test_pieces_equal_the_library(spark, odd, empty, model_path):
         assert b"".join(raw[a:b] for a, b in zip(starts, ends)) == raw
     for d, text in back:
         assert text == lib.decode(lib.encode(want[d]))
+    short = pieces.decode(pieces.encode(docs, model_path, digests=True), model_path, ("covered_bytes", "spans_sha256")).collect()
+    spans = {d: (list(zip(starts, ends)), len(want[d].encode())) for d, _, starts, ends in got}
+    assert len(short) == len(got) and {r.doc_id: r.text for r in short} == dict(back)
+    for r in short:
+        own, size = spans[r.doc_id]
+        assert r.covered_bytes == (size if r.ids else 0) and r.spans_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for ab in own for x in ab)).hexdigest()
     assert pieces.encode(empty, model_path).count() == 0
 
 
