@@ -7,6 +7,7 @@ a sum of single weights misses, such as an insult beside the mention of a group.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, int_lists, slices, word_hashes
+from .common import NOT_LETTERS, int_lists, slices, word_hashes, written
 from .langid import held_out
 
 BITS, TERMS, FACTORS = 20, 512, 6
@@ -32,17 +33,9 @@ class FactorizationMachine:
         self.bias, self.weights, self.factors = bias, weights, factors
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], toxic: np.ndarray, share: float, terms: int = TERMS, steps: int = 200, decay: float = 1e-3, rate: float = 0.1) -> FactorizationMachine:
-        """rows: the hashed terms of each labelled text. share: of toxic rows among all labelled ones, which sets the bias."""
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        of = np.repeat(toxic, [len(x) for x in rows])
-        seen = [np.bincount(flat[of == k], minlength=1 << BITS) for k in (0, 1)]
-        n = [max(1, int((toxic == k).sum())) for k in (0, 1)]
-        p0, p1 = seen[0] / n[0], seen[1] / n[1]
-        mean = (seen[0] + seen[1]) / (n[0] + n[1])
-        score = np.abs(p1 - p0) / np.sqrt(np.maximum(mean * (1 - mean), 0) * (1 / n[0] + 1 / n[1]) + 1e-6)  # two proportions
-        kept = np.argsort(-score, kind="stable")[:terms]
-        kept = np.sort(kept[score[kept] > 2])
+    def fit(cls, rows: list[np.ndarray], toxic: np.ndarray, share: float, kept: np.ndarray, steps: int = 200, decay: float = 1e-3, rate: float = 0.1) -> FactorizationMachine:
+        """rows: the terms of each labelled text that are in kept, the sorted terms of the model. share: of toxic rows among
+        all labelled ones, which sets the bias."""
         self = cls(kept, 0.0, np.zeros(len(kept)), np.random.default_rng(5).normal(0, 0.05, (len(kept), FACTORS)))
         x = np.zeros((len(rows), len(kept)), np.float32)
         for i, row in enumerate(rows):
@@ -79,9 +72,23 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
 
+def telling_terms(sample: DataFrame, terms: int = TERMS) -> np.ndarray:
+    """The `terms` terms of sample (toxic, terms) whose shares in the two classes differ most by a test of two proportions,
+    sorted; counted in Spark, so that only these come to the driver."""
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = (F.lit(float(max(1, n.get(k, 0)))) for k in (0, 1))
+    seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") == 0).alias("a"), F.count_if(F.col("toxic") == 1).alias("b"))
+    mean = (F.col("a") + F.col("b")) / (n0 + n1)
+    score = F.abs(F.col("b") / n1 - F.col("a") / n0) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(0.0)) * (1 / n0 + 1 / n1) + 1e-6)
+    best = seen.select("term", score.alias("score")).where("score > 2").orderBy(F.desc("score"), "term").limit(terms)
+    return np.sort(np.array([r["term"] for r in best.collect()], np.int32))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> FactorizationMachine:
     """Learns from at most per_class labelled documents of each class, those with the least hashed doc_id, outside the
-    held-out fifth. The classes' shares are counted over all labelled rows. Labels that are null are left out."""
+    held-out fifth. The classes' shares are counted over all labelled rows. Labels that are null are left out.
+
+    The driver gets these documents as lists of the model's terms, so TERMS numbers a document at most."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
@@ -94,9 +101,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Factorizat
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), int_lists([hashed_terms(x) for x in batch.column(2).to_pylist()], np.int32)], names=["doc_id", "toxic", "terms"])
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
+    sample = written(sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>"), "labelled-terms", merge=8)
+    kept = telling_terms(sample)
+    known_terms = F.array_intersect("terms", F.from_json(F.lit(json.dumps(kept.tolist())), "array<int>"))
+    rows = sample.select("doc_id", "toxic", F.array_sort(known_terms).alias("terms")).toArrow().sort_by("doc_id")
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return FactorizationMachine.fit([x.values.to_numpy() for x in rows["terms"]], rows["toxic"].to_numpy().astype(np.int64), share)
+    return FactorizationMachine.fit([x.values.to_numpy() for x in rows["terms"]], rows["toxic"].to_numpy().astype(np.int64), share, kept)
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
