@@ -100,13 +100,14 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     of one doc_id and size in order.
 
     One row a source comes to the driver: the sources are the mixture's configuration. Within a source, places come
-    from sums over hash buckets, then over the documents of one bucket, so that no task has a whole source.
+    from sums over hash buckets, then over the documents of one bucket, so that no task has a whole source. Rows without
+    a doc_id are dealt into buckets by their size.
     """
     spark = docs.sparkSession
     also = [carry] if carry else []
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), *also)
-    light = light.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    light = written(light.withColumn("bucket", F.substring("key", 1, digits)), "mix-sizes")
+    light = light.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "size")))))
+    light = written(light.withColumn("bucket", F.substring("key", 1, digits)), "mix-sizes", merge=8)
     rows = light.groupBy("source").agg(F.sum("size").alias("size")).collect()
     rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     goal, quotas, seats = plan([r["size"] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], most, shards, seats)

@@ -134,7 +134,7 @@ def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_sainte_lague_mix"] = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null ' || CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS VARCHAR))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS HUGEINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source
