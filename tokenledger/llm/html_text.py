@@ -30,7 +30,7 @@ CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 MARKS = frozenset("ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navbar navigation navigationbar menu menus breadcrumb breadcrumbs footer sidebar sidebars cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription comment comments commentlist disqus replies respond contentinfo".split())
 WEAK_MARKS = frozenset("share sharing social related recommended recommendations signup popup modal overlay widget widgets toolbar pagination pager login search copyright complementary".split())
-OUTER_MARKS = MARKS | WEAK_MARKS | frozenset("header masthead banner topbar".split())
+OUTER_MARKS = MARKS | frozenset("header masthead banner topbar".split())
 
 # An end or start tag whose quoted values may hold ">", the same without regard to quotes, and what isn't text or a tag.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
@@ -336,12 +336,13 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many:
     """page_id, url, text and n_chars (code points) of every page.
 
     A host's template of up to `most` subtrees goes with each of its pages; of a larger one, a page gets its own
-    subtrees only, by a join, so that no row grows with its host.
+    subtrees only, by a join, so that no row grows with its host. The join of pages with their host's template is a plain
+    one of two shuffles where the templates are too large to be broadcast, so Spark splits a hot host's pages.
 
     Null or empty html gives an empty text; a null url is a host of its own. Rows that repeat a page_id are pages of
     their own. An empty table gives no rows. Other columns are ignored.
     """
-    found = written(subtrees(pages), "subtrees")
+    found = written(subtrees(pages), "subtrees", merge=8)
     known = written(templates(pages, found, min_pages, min_share, many), "templates")
     sizes = known.groupBy("host_key").agg(F.count("*").alias("size"))
     small = known.join(sizes.where(F.col("size") <= most), "host_key").groupBy("host_key").agg(F.sort_array(F.collect_list("hash")).alias("template"))
