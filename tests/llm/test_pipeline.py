@@ -57,6 +57,9 @@ def test_rows_without_an_id_stay(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "0"))
     before = spark.read.parquet(str(tmp_path / "0"))
+    # every row has letters and none is held back, so language keeps all, the null ids' rows too
+    kept = corpus_pipeline.language(spark, before, "")
+    assert sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=repr) == sorted(((r[0], r[1], r[3]) for r in rows), key=repr)
     want = sorted([(None, t) for t in texts] + [(1, rows[3][1])], key=repr)
     for name in ("exact_dedup", "near_dedup"):
         before = dict(corpus_pipeline.STAGES)[name](spark, before, "")
@@ -67,3 +70,20 @@ def test_rows_without_an_id_stay(spark, tmp_path):
     got = [(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in corpus_pipeline.mixture(spark, before, "").collect()]
     assert {k: got.count(k) for k in got} == times
     assert sum(d is None for d, _ in times) > 1
+    pytest.importorskip("public_tokenizers")
+    encoded = corpus_pipeline.encode(spark, before, "").collect()
+    assert sorted(((r.doc_id, len(r.ids) > 0) for r in encoded), key=repr) == sorted(((r.doc_id, True) for r in before.collect()), key=repr)
+
+
+def test_rows_that_repeat_all_columns(spark, tmp_path):
+    """Of rows that repeat doc_id and text, with an id or without, exact duplicates leave one; the mixture takes rows alike."""
+    rows = [(1, "one text of a few words", "en", "a", 5)] * 3 + [(None, "no id but a text", "en", "a", 5)] * 2 + [(2, "another text of words", "en", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit(False)).withColumn("digest", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "0"))
+    before = spark.read.parquet(str(tmp_path / "0"))
+    once = corpus_pipeline.exact_dedup(spark, before, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in once), key=repr) == sorted({(r[0], r[1]) for r in rows}, key=repr)
+    near = corpus_pipeline.near_dedup(spark, before, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in near), key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, before, "").collect()]
+    assert set(mixed) == {(r[0], r[1]) for r in rows} and mixed.count((2, "another text of words")) == 2

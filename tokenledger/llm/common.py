@@ -16,14 +16,15 @@ from pyspark.sql.types import StructType
 from ..session import scratch_dir
 
 
-def written(df: DataFrame, name: str, merge: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str, merge: int = 2) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and is computed once.
 
-    With merge, for tables of ids and counts, the writing stage has at most 8 tasks a core, so that many small
-    partitions don't become as many files. Without it, for tables of texts, tasks stay as large as their input splits."""
+    For tables of ids and counts the writing stage has at most `merge` tasks a core, so that many small partitions don't
+    become as many files; where it also scans texts, more. With 0, for tables of texts, tasks stay as large as their
+    input splits."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tokenledger-{name}-{uuid.uuid4().hex}"
-    (df.coalesce(8 * spark.sparkContext.defaultParallelism) if merge else df).write.parquet(path)
+    (df.coalesce(merge * spark.sparkContext.defaultParallelism) if merge else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

@@ -149,7 +149,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     sends a few rows only. What the filter hasn't seen and nothing hits later is alone, and done; the digests of hits are
     verified by grouping the stored digests in full, and only their documents are joined with a group.
     """
-    digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_sha256")), "digests")
+    digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_sha256")), "digests", merge=8)
     total = digests.count()
     counted = digests.groupBy("text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     seen = written(probed(counted, bucket_bits(total)), "probed-digests")
@@ -227,7 +227,7 @@ def insert(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
     fresh = written(counted.select("text_sha256").distinct().join(known, "text_sha256", "left_anti"), "new-digests")
     texts = own.join(fresh, "text_sha256").groupBy("text_sha256").agg(F.first("text").alias("text"))
     bucket = bucket_of(F.col("text_sha256"), index.bits).alias("bucket")
-    content = written(index.content.unionByName(texts.select(bucket, "text_sha256", "text")), "content", merge=False)
+    content = written(index.content.unionByName(texts.select(bucket, "text_sha256", "text")), "content", merge=0)
     holders = index.holders.unionByName(counted).groupBy("text_sha256", "doc_id").agg(F.sum("copies").alias("copies"))
     return _updated(index, content, written(holders, "holders"), fresh, "insert", per_bucket)
 
@@ -240,7 +240,7 @@ def delete(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
     holders = index.holders.join(counted, met, "left").select("text_sha256", "doc_id", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")).where("copies > 0")
     holders = written(holders, "holders")
     dead = written(index.content.select("text_sha256").join(holders, "text_sha256", "left_anti"), "dead-digests")
-    content = written(index.content.join(dead, "text_sha256", "left_anti").select("bucket", "text_sha256", "text"), "content", merge=False)
+    content = written(index.content.join(dead, "text_sha256", "left_anti").select("bucket", "text_sha256", "text"), "content", merge=0)
     return _updated(index, content, holders, dead, "delete", per_bucket)
 
 
@@ -249,7 +249,7 @@ def _updated(index: Index, content: DataFrame, holders: DataFrame, changed: Data
     of them with more buckets once a bucket has more than per_bucket digests on average."""
     bits = bucket_bits(content.count(), per_bucket, index.bits)
     if bits > index.bits:
-        content = written(content.withColumn("bucket", bucket_of(F.col("text_sha256"), bits)), "content", merge=False)
+        content = written(content.withColumn("bucket", bucket_of(F.col("text_sha256"), bits)), "content", merge=0)
         return Index(written(_from_content(content), "filters"), content, holders, bits)
     rows = changed.select(bucket_of(F.col("text_sha256"), bits).alias("bucket"), F.unhex("text_sha256").alias("digest"), F.lit(None).cast("binary").alias("filter"))
     rows = rows.unionByName(index.filters.select("bucket", F.lit(None).cast("binary").alias("digest"), "filter"))

@@ -191,7 +191,7 @@ def places(cuts: list[tuple]) -> tuple[Column, Column]:
     return met - 1, F.element_at(known, F.col("block") + 1) == place
 
 
-def compare_with_next(docs: DataFrame, per_block: int | None = None, block_bytes: int = 1 << 28) -> DataFrame:
+def compare_with_next(docs: DataFrame, per_block: int | None = None, block_bytes: int = 1 << 27) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and edited_at of every document.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
@@ -207,7 +207,7 @@ def compare_with_next(docs: DataFrame, per_block: int | None = None, block_bytes
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    keys = written(own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("bytes")), "places")
+    keys = written(own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("bytes")), "places", merge=8)
     rows, size = keys.agg(F.count("*"), F.sum("bytes")).first()
     many = -(-rows // per_block) if per_block else max(-(-(size or 0) // block_bytes), min(rows, 16 * spark.sparkContext.defaultParallelism))
     cuts = ranges(keys.select("doc_id", "digest"), max(1, many))

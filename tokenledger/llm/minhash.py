@@ -154,13 +154,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     and kept. Rows that repeat a doc_id are one document. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = written(signatures(docs, words, bands, rows), "signatures", merge=False)
+    sig = written(signatures(docs, words, bands, rows), "signatures", merge=0)
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = written(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     heads = sig.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("doc_id", F.explode("bands").alias("bucket"))
     shared = heads.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     stars = written(heads.join(shared, "bucket").select("bucket", "a", F.col("doc_id").alias("b"), "z"), "stars")
-    texts = written(docs.join(stars.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts", merge=False)
+    texts = written(docs.join(stars.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts", merge=0)
     ends = stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("z").alias("b")))).alias("e")).select("e.*")
     pairs = written(ends.where("a < b").distinct(), "pairs")
     links = verified(pairs, texts, words, percent)
@@ -239,7 +239,7 @@ def across(groups: DataFrame, texts: DataFrame, words: int, percent: int, most:
         if sides[0]:
             yield close()
 
-    members = written(texts.withColumnRenamed("doc_id", "id").join(groups.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, n long, shingles array<long>"), "sets", merge=False)
+    members = written(texts.withColumnRenamed("doc_id", "id").join(groups.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, n long, shingles array<long>"), "sets", merge=0)
     known = groups.join(members.groupBy("id").agg(F.max("n").alias("n")), "id")
     count = lambda x, n: F.greatest(F.ceil(F.col(x) / most), F.ceil(F.col(n) / most_shingles)).cast("long")
     own = known.groupBy("bucket", "component", "centre").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).withColumn("parts", count("members", "shingles"))

@@ -104,7 +104,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     The driver gets one row per block (old shards * blocks at most, whatever the data), and the texts don't move.
     """
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), old_shard.alias("old_shard"))
-    light = written(light, "reshard-rows")
+    light = written(light, "reshard-rows", merge=8)
     group = ["text_key", "text_crc32", "size"]
     held = light.groupBy(*group, "old_shard").agg(F.count("*").alias("n"))
     held = held.groupBy(*group).agg(F.sum("n").alias("n"), F.max(F.struct("n", -F.col("old_shard"))).alias("most")).where("n > 1")

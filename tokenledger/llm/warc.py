@@ -42,7 +42,7 @@ def latest_earlier(captures: DataFrame, bucket_seconds: int = 3600) -> DataFrame
     second isn't earlier. Rows stay apart whatever they repeat. A null url_key or at has no earlier response.
     """
     known = captures.where(F.col("url_key").isNotNull() & F.col("at").isNotNull()).withColumn("bucket", F.floor(F.col("at") / bucket_seconds))
-    known = written(known, "captures")
+    known = written(known, "captures", merge=8)
     response = F.when(F.col("kind") == "response", F.col("answer"))
     earlier = Window.partitionBy("url_key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     inside = known.withColumn("near", F.max(response).over(earlier)).where("kind = 'revisit'")
