@@ -100,5 +100,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", merge=False)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", merge=0)
     return STAGES[-1][1](spark, docs, sf_dir)

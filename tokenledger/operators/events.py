@@ -107,7 +107,7 @@ def decode_metadata(logs: DataFrame) -> DataFrame:
 def decode_configured(logs: DataFrame, config: DataFrame) -> DataFrame:
     """EVT5: legacy events by configuration rows (contract, topic0, from_topic, to_topic, number_topic, number_word): a topic
     index for each part, or a data word for the number; a missing index is nobody."""
-    c = F.broadcast(config.select(F.lower("contract").alias("__c"), F.col("topic0").alias("__t"), "from_topic", "to_topic", "number_topic", "number_word"))  # bound: the configured contracts
+    c = config.select(F.lower("contract").alias("__c"), F.col("topic0").alias("__t"), "from_topic", "to_topic", "number_topic", "number_word")
     met = logs.join(c, (F.lower("address") == F.col("__c")) & (topic(0) == F.col("__t")))
     at = lambda name: F.when(F.col(name).isNotNull(), F.lower(F.concat(F.lit("0x"), F.substring(F.get("topics", F.col(name)), 27, 40)))).otherwise(F.lit(ZERO_ADDRESS))
     raw = F.when(F.col("number_topic").isNotNull(), F.substring(F.get("topics", F.col("number_topic")), 3, 64)).otherwise(word(F.col("data"), F.col("number_word")))

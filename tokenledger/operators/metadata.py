@@ -19,6 +19,7 @@ from ..functions.values import changed_fields, mint_number, project_mint, spam_s
 ARTIST_TRAITS = ["artist", "Artist", "Creator", "creator", "Artists", "artists"]
 VENDOR_ARTIST_TRAITS = ["artist", "artists", "creator", "artist name", "creator name", "made by", "created by"]
 ARTISTS = "array<struct<did:string,name:string>>"
+SERIES_PUBLISHER, SERIES_VENDOR = "Feral File", "feralfile"  # fixed values: a publisher in registries, and the vendor of its rows
 
 
 def _text(raw: Column, path: str) -> Column:
@@ -63,7 +64,7 @@ def vendor_route(publisher: Column, chain: Column) -> Column:
     main = F.when(chain == "tezos:mainnet", "objkt").when(chain == "eip155:1", "opensea")
     return (
         F.when(publisher == "Art Blocks", F.when(is_evm(chain), "artblocks"))
-        .when(publisher == "Feral File", F.when(chain.isin("eip155:1", "tezos:mainnet"), "feralfile"))
+        .when(publisher == SERIES_PUBLISHER, F.when(chain.isin("eip155:1", "tezos:mainnet"), SERIES_VENDOR))
         .when(publisher == "fxhash", F.when(chain == "tezos:mainnet", "fxhash"))
         .otherwise(main)
     )
@@ -88,15 +89,15 @@ def overlay_artblocks(rows: DataFrame) -> DataFrame:
     return _overlay(rows, "artblocks", name=F.concat(title, F.lit(" #"), p["index"].cast("string")), description=_filled(_text(v, "description")), artists=F.when(address != "", _artist(did_pkh(address, F.col("chain")), _text(v, "artist_name"))), animation_url=_text(F.col("raw"), "generator_url"), image_url=_text(F.col("raw"), "image"), release_id=release, mint_number=p["index"] + 1, release_name=_filled(F.trim(title)), total_mints=F.when(total > 0, total), release_slug=_filled(F.trim(_text(v, "slug"))))
 
 
-def overlay_feralfile(rows: DataFrame, base_url: str) -> DataFrame:
-    """MD6: previews are the image of image works, else the animation beside a thumbnail; no release without an index."""
+def overlay_series(rows: DataFrame, base_url: str) -> DataFrame:
+    """MD6 for works in series: previews are the image of image works, else the animation beside a thumbnail; no release without an index."""
     v = F.col("vendor_json")
     url = lambda path: F.when(_filled(_text(v, path)).isNotNull(), F.concat(F.lit(base_url), _text(v, path)))
     still = F.lower(F.coalesce(_text(v, "series.medium"), F.lit(""))) == "image"
     key = F.when(F.col("chain") == "eip155:1", _text(v, "series.artist.addresses.ethereum")).when(F.col("chain") == "tezos:mainnet", _text(v, "series.artist.addresses.tezos"))
     index, total = _text(v, "index").try_cast("bigint"), _text(v, "series.max_artwork").try_cast("bigint")
     member = index.isNotNull() & (_filled(_text(v, "series.id")).isNotNull())
-    return _overlay(rows, "feralfile", name=_text(v, "name"), description=_filled(_text(v, "series.description")), image_url=F.when(still, url("preview")).otherwise(url("thumbnail")), animation_url=F.when(~still, url("preview")), artists=F.when(key != "", _artist(did_pkh(key, F.col("chain")), _text(v, "series.artist.alias"))), release_id=F.when(member, _text(v, "series.id")), mint_number=F.when(member, index + 1), release_name=F.when(member, _filled(F.trim(_text(v, "series.title")))), total_mints=F.when(member & (total > 0), total), release_slug=F.when(member, _filled(F.trim(_text(v, "series.slug")))))
+    return _overlay(rows, SERIES_VENDOR, name=_text(v, "name"), description=_filled(_text(v, "series.description")), image_url=F.when(still, url("preview")).otherwise(url("thumbnail")), animation_url=F.when(~still, url("preview")), artists=F.when(key != "", _artist(did_pkh(key, F.col("chain")), _text(v, "series.artist.alias"))), release_id=F.when(member, _text(v, "series.id")), mint_number=F.when(member, index + 1), release_name=F.when(member, _filled(F.trim(_text(v, "series.title")))), total_mints=F.when(member & (total > 0), total), release_slug=F.when(member, _filled(F.trim(_text(v, "series.slug")))))
 
 
 def overlay_fxhash(rows: DataFrame) -> DataFrame:

@@ -146,6 +146,13 @@ def due_items(verdicts: DataFrame, tokens: DataFrame, source: str, now: Column)
     return due.join(tokens.select("token_id", "chain", "contract", "number"), "token_id")
 
 
+def cids_from_listing(requests: DataFrame, listing: DataFrame) -> DataFrame:
+    """JN9: token ids of (release_id, mint) requests, looked up in a listing of members (release_id, mint_number, cid); a
+    request without a member has none."""
+    known = listing.select("release_id", F.col("mint_number").alias("mint"), "cid").dropDuplicates(["release_id", "mint", "cid"])
+    return requests.join(known, ["release_id", "mint"], "left")
+
+
 def cids_from_release(requests: DataFrame, prefix: Column, project_base: bool = True) -> DataFrame:
     """JN9: token ids of (project, mint) requests: project * 10^6 + mint - 1, or the mint number itself."""
     number = F.col("project") * 1_000_000 + F.col("mint") - 1 if project_base else F.col("mint")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import metadata as M
 from ..operators import sinks as K
+from ..session import scratch_dir
 from ..sources.views import Views
 from .reads import NOW, now
 from .registry import query
@@ -48,12 +51,12 @@ def md4(v: Views):
     return v.token_dim.select("token_id", M.uri_template(F.lit("https://api.example/{id}.json"), F.col("number")).alias("uri"))
 
 
-PUBLISHER = "CASE size % 4 WHEN 0 THEN 'Art Blocks' WHEN 1 THEN 'Feral File' WHEN 2 THEN 'fxhash' END"
+PUBLISHER = f"CASE size % 4 WHEN 0 THEN 'Art Blocks' WHEN 1 THEN '{M.SERIES_PUBLISHER}' WHEN 2 THEN 'fxhash' END"
 CHAIN = "CASE WHEN token_id % 3 = 0 THEN 'tezos:mainnet' WHEN token_id % 3 = 1 THEN 'eip155:1' ELSE 'eip155:11155111' END"
 
 
-@query("MD5_vendor_routing", "token_dim", """
-SELECT token_id, CASE size % 4 WHEN 0 THEN CASE WHEN token_id % 3 > 0 THEN 'artblocks' END WHEN 1 THEN CASE WHEN token_id % 3 < 2 THEN 'feralfile' END WHEN 2 THEN CASE WHEN token_id % 3 = 0 THEN 'fxhash' END
+@query("MD5_vendor_routing", "token_dim", f"""
+SELECT token_id, CASE size % 4 WHEN 0 THEN CASE WHEN token_id % 3 > 0 THEN 'artblocks' END WHEN 1 THEN CASE WHEN token_id % 3 < 2 THEN '{M.SERIES_VENDOR}' END WHEN 2 THEN CASE WHEN token_id % 3 = 0 THEN 'fxhash' END
        ELSE CASE token_id % 3 WHEN 0 THEN 'objkt' WHEN 1 THEN 'opensea' END END AS vendor FROM token_dim""")
 def md5(v: Views):
     return v.token_dim.select("token_id", M.vendor_route(F.expr(PUBLISHER), F.expr(CHAIN)).alias("vendor"))
@@ -69,12 +72,12 @@ def md6_artblocks(v: Views):
     return M.overlay_artblocks(rows).select("token_id", "name", "release_id", "mint_number", "total_mints", F.col("artists")[0]["did"].alias("did"))
 
 
-@query("MD6_overlay_feralfile", "token_dim", "SELECT token_id, CASE WHEN size % 2 = 0 THEN 'https://ff.example/p' ELSE 'https://ff.example/t' END AS image_url, CASE WHEN size % 2 = 1 THEN 'https://ff.example/p' END AS animation_url, CASE WHEN size % 3 > 0 THEN brand END AS release_id, CASE WHEN size % 3 > 0 THEN size + 1 END AS mint_number FROM token_dim")
-def md6_feralfile(v: Views):
+@query("MD6_overlay_series", "token_dim", "SELECT token_id, CASE WHEN size % 2 = 0 THEN 'https://ff.example/p' ELSE 'https://ff.example/t' END AS image_url, CASE WHEN size % 2 = 1 THEN 'https://ff.example/p' END AS animation_url, CASE WHEN size % 3 > 0 THEN brand END AS release_id, CASE WHEN size % 3 > 0 THEN size + 1 END AS mint_number FROM token_dim")
+def md6_series(v: Views):
     size = F.col("size")
     series = F.struct(F.when(size % 2 == 0, "Image").otherwise("video").alias("medium"), F.col("brand").alias("id"), F.lit("").alias("description"), F.struct(F.struct(F.lit("tz1A").alias("tezos")).alias("addresses"), F.lit("Ann").alias("alias")).alias("artist"))
     rows = vendor_rows(v, name=F.col("brand"), preview=F.lit("p"), thumbnail=F.lit("t"), index=F.when(size % 3 > 0, size), series=series)
-    return M.overlay_feralfile(rows, "https://ff.example/").select("token_id", "image_url", "animation_url", "release_id", "mint_number")
+    return M.overlay_series(rows, "https://ff.example/").select("token_id", "image_url", "animation_url", "release_id", "mint_number")
 
 
 @query("MD6_overlay_fxhash", "token_dim", "SELECT token_id, 'fxhash' AS vendor, CASE WHEN size % 7 > 0 THEN brand END AS release_id, CASE WHEN size % 7 > 0 THEN size % 7 END AS mint_number, CASE WHEN size % 7 > 0 AND size % 2 = 1 THEN 12 END AS total_mints FROM token_dim WHERE size % 4 > 0 UNION ALL SELECT token_id, 'objkt', CASE WHEN token_id > 0 THEN contract END, CASE WHEN token_id > 0 THEN token_id END, NULL FROM token_dim WHERE size % 4 = 0")
@@ -195,6 +198,37 @@ def src1(v: Views):
     return read_table(v.spark, "part", f"{v.dir}/part.parquet").groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
+def registry_file(v: Views, name: str, rows, column: str) -> str:
+    """A registry as its JSON file, of one object: the rows are a few dozen brands."""
+    path = f"{scratch_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    rows.select(F.col(column).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query("SRC7_registry_load", "", """
+SELECT 'eip155:1' AS chain, 'collection' AS kind, lower('0xC' || p_brand) AS key, 'P ' || p_type AS publisher FROM (SELECT DISTINCT p_brand, p_type FROM part) x
+UNION ALL SELECT 'tezos:mainnet', 'deployer', lower('D' || p_type), 'P ' || p_type FROM (SELECT DISTINCT p_type FROM part) y""")
+def src7(v: Views):
+    from ..sources.tables import load_publishers
+
+    brands = v.table("part").groupBy("p_type").agg(F.sort_array(F.collect_set(F.concat(F.lit("0xC"), "p_brand"))).alias("collection_addresses"))
+    none = F.array().cast("array<string>")
+    evm = F.struct("collection_addresses", none.alias("deployer_addresses"))
+    tezos = F.struct(none.alias("collection_addresses"), F.array(F.concat(F.lit("D"), "p_type")).alias("deployer_addresses"))
+    each = brands.select(F.struct(F.concat(F.lit("P "), "p_type").alias("name"), F.lit("u").alias("url"), F.create_map(F.lit("eip155:1"), evm, F.lit("tezos:mainnet"), tezos).alias("chains")).alias("x"))
+    path = registry_file(v, "publishers", each.agg(F.to_json(F.collect_list("x")).alias("json")), "json")
+    return load_publishers(v.spark, path).select("chain", "kind", "key", "publisher")
+
+
+@query("SRC8_blacklist_load", "", "SELECT 'eip155:1' AS chain, lower('0xB' || p_brand) AS contract FROM (SELECT DISTINCT p_brand FROM part WHERE p_size % 3 = 0) x")
+def src8(v: Views):
+    from ..sources.tables import load_blacklist
+
+    listed = v.table("part").where("p_size % 3 = 0").agg(F.collect_set(F.concat(F.lit("0xB"), "p_brand")).alias("x"))
+    json = listed.select(F.to_json(F.create_map(F.lit("eip155:1"), F.col("x"), F.lit("tezos:mainnet"), F.array().cast("array<string>"))).alias("json"))
+    return load_blacklist(v.spark, registry_file(v, "blacklist", json, "json"))
+
+
 @query("SRC6_account_holdings_scan", "holdings", "SELECT token_id, CAST(sum(delta) AS BIGINT) AS quantity FROM holdings WHERE address = 'c11' AND token_id % 10 <> 3 GROUP BY token_id HAVING sum(delta) <> 0")
 def src6(v: Views):
     from ..sources.tables import account_balances

@@ -313,6 +313,13 @@ def jn9(v: Views):
     return S.cids_from_release(asked, F.lit("eip155:1:erc721:0xabc:")).select("token_id", "cid")
 
 
+@query("JN9_cid_from_listing", "release_dim", "SELECT r.release_id, r.mint, 'm' || CAST(d.token_id AS VARCHAR) AS cid FROM (SELECT DISTINCT release_id, mint_number + 30 AS mint FROM release_dim) r LEFT JOIN release_dim d ON r.release_id = d.release_id AND r.mint = d.mint_number")
+def jn9_listing(v: Views):
+    """Mints 31 on are asked for; those above the highest have no member."""
+    asked = v.release_dim.select("release_id", (F.col("mint_number") + 30).alias("mint")).distinct()
+    return S.cids_from_listing(asked, v.release_dim.withColumn("cid", F.concat(F.lit("m"), "token_id")))
+
+
 # --- top-level reads ---------------------------------------------------------------------------------
 
 

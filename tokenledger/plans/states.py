@@ -61,9 +61,9 @@ def qry9(v: Views):
     return S.due_renders(v.media, v.probes, now(), 60).select("url_hash", "tier", "moving", "captured_at")
 
 
-@query("QRY10_due_verdicts", "verdicts", f"SELECT token_id, next_check_at FROM verdicts WHERE source = 'feralfile' AND next_check_at <= {NOW} ORDER BY next_check_at, token_id LIMIT 50")
+@query("QRY10_due_verdicts", "verdicts", f"SELECT token_id, next_check_at FROM verdicts WHERE source = 'fxhash' AND next_check_at <= {NOW} ORDER BY next_check_at, token_id LIMIT 50")
 def qry10(v: Views):
-    return S.due_verdicts(v.verdicts, "feralfile", now(), 50).select("token_id", "next_check_at")
+    return S.due_verdicts(v.verdicts, "fxhash", now(), 50).select("token_id", "next_check_at")
 
 
 @query("QRY11_gated_probes", "probes", "SELECT url_hash FROM probes WHERE health_gated ORDER BY url_hash LIMIT 15")

@@ -71,8 +71,8 @@ URLS = ["image_url", "animation_url"]
 def expand(tokens: DataFrame, kinds: list[str] | tuple[str, ...], tables: dict[str, DataFrame], n: int, owners: list[str] | None = None) -> DataFrame:
     """QRY2, QRY3: tokens with a column for each kind asked for, in the plan of the page itself.
 
-    owners, provenance_events and owner_provenances are the first n (most held, newest, newest; of these owners only, if
-    given) with their number as <kind>_total. metadata and enrichment_source are the token's rows. display is the
+    owners, provenance_events and owner_provenances are the first n (most held, newest, newest) with their number as
+    <kind>_total; with owners, owner_provenances has all rows of these and no others. metadata and enrichment_source are the token's rows. display is the
     enrichment's fields before the metadata's, with the healthy URLs, data URIs swapped for their public variant.
     media_asset has the assets of the URLs in metadata, enrichment_source and display, as far as these are asked for.
 
@@ -91,9 +91,10 @@ def expand(tokens: DataFrame, kinds: list[str] | tuple[str, ...], tables: dict[s
     for kind, (table, order, fields) in lists.items():
         if kind in kinds:
             rows = own(table)
-            if kind == "owner_provenances" and owners:
+            some = kind == "owner_provenances" and owners
+            if some:
                 rows = rows.where(F.col("owner_address").isin(owners))
-            first = group_counts(rows, "token_id", order, n).groupBy("token_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("__rows"), F.max("total").alias(f"{kind}_total"))
+            first = group_counts(rows, "token_id", order, len(owners) if some else n).groupBy("token_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("__rows"), F.max("total").alias(f"{kind}_total"))
             first = first.select("token_id", F.transform("__rows", _fields(fields)).alias(kind), f"{kind}_total")
             out = out.join(first, "token_id", "left")
     single = lambda df, kind: df.select("token_id", F.struct(*(f for f in FIELDS if f in df.columns)).alias(kind))

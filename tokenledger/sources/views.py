@@ -85,7 +85,7 @@ VIEWS = {
              CASE page_id % 3 WHEN 0 THEN 'rendered_ok' WHEN 1 THEN 'blank' ELSE 'stalled' END AS verdict, page_id * 7919 AS phash
       FROM pages WHERE page_id % 7 <> 4""",
     "verdicts": """
-      SELECT p_partkey AS token_id, CASE s.ix WHEN 0 THEN 'opensea' WHEN 1 THEN 'objkt' ELSE 'feralfile' END AS source,
+      SELECT p_partkey AS token_id, CASE s.ix WHEN 0 THEN 'opensea' WHEN 1 THEN 'objkt' ELSE 'fxhash' END AS source,
              CASE WHEN (p_partkey * 7 + s.ix) % 4 = 0 THEN 'spam' ELSE 'none' END AS verdict,
              {day:(p_partkey + s.ix * 3) % 40} AS last_checked_at, {day:(p_partkey * 3 + s.ix) % 80} AS next_check_at, (p_partkey + s.ix) % 5 AS consecutive_failures
       FROM part CROSS JOIN (SELECT 0 AS ix UNION ALL SELECT 1 UNION ALL SELECT 2) s WHERE (p_partkey + s.ix) % 2 = 0""",
