@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, most: int = 256) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+    """The pairs (a, b), a a star's centre, whose full sets have 100 * intersection >= percent * union.
 
     The members of a star come to its centre a in groups of about `most`, each of which gets the centre's text once; a
     task holds one centre's set and one member's at a time.
@@ -161,8 +161,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shared = heads.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     stars = written(heads.join(shared, "bucket").select("bucket", "a", F.col("doc_id").alias("b"), "z"), "stars")
     texts = written(docs.join(stars.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts", merge=0)
-    ends = stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("z").alias("b")))).alias("e")).select("e.*")
-    pairs = written(ends.where("a < b").distinct(), "pairs")
+    ends = stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("z").alias("a"), "b"))).alias("e")).select("e.*").where("a <> b")
+    # each pair once, under the centre of the lower star if it is in both kinds
+    once = ends.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+    pairs = written(once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "pairs")
     links = verified(pairs, texts, words, percent)
     comps = components(links)
     groups = left_open(stars.select("bucket", F.col("b").alias("id")), comps)
