@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Factorizat
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), int_lists([hashed_terms(x) for x in batch.column(2).to_pylist()], np.int32)], names=["doc_id", "toxic", "terms"])
 
-    sample = written(sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>"), "labelled-terms", merge=8)
+    sample = written(sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>"), "labelled-terms")
     kept = telling_terms(sample)
     known_terms = F.array_intersect("terms", F.from_json(F.lit(json.dumps(kept.tolist())), "array<int>"))
     rows = sample.select("doc_id", "toxic", F.array_sort(known_terms).alias("terms")).toArrow().sort_by("doc_id")
