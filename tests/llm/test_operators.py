@@ -540,11 +540,20 @@ def test_near_duplicates(spark, odd, empty):
         for _ in range(r.randrange(0, max(1, len(w) // 12) + 1)):
             w[r.randrange(len(w))] = r.choice(ES.split())
         rows.append((1000 + k, " ".join(w)))
+    # pairs at 79, 80 and 81 % of two-word shingles, with the rest on one side or both
+    for k, (common, more, other) in enumerate([(79, 21, 0), (79, 10, 11), (80, 20, 0), (80, 10, 10), (81, 19, 0), (81, 9, 10)]):
+        stem = [f"p{k}w{i}" for i in range(common + 1)]
+        rows += [(2000 + 2 * k, " ".join(stem + [f"p{k}a{i}" for i in range(more)])), (2001 + 2 * k, " ".join(stem + [f"p{k}b{i}" for i in range(other)]))]
+    # a chain whose neighbours are linked and whose ends have nothing in common, in an order that isn't the chain's
+    long = [f"chain{i}" for i in range(260)]
+    rows += [(2100 + i * 7 % 16, " ".join(long[10 * i : 10 * i + 101])) for i in range(16)]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("component", F.lit(3))
     for words in (2, 5):
         got = minhash.near_duplicates(docs, words, 80).collect()
         comp, n = brute_components(texts_of(docs), words, 80)
         assert len(got) == docs.count()
+        if words == 2:
+            assert [comp[2001 + 2 * k] == 2000 + 2 * k for k in range(6)] == [False, False, True, True, True, True] and all(comp[2100 + k] == 2100 for k in range(16))
         assert {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in got if r.doc_id is not None} == {d: (c, n[d], c == d) for d, c in comp.items()}
         assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert minhash.near_duplicates(empty, 2).count() == 0
