@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import cuckoo, html_text, langid, merkle, minhash, mixing, pieces, resharding, toxicity, warc
+from . import cuckoo, html_text, langid, merkle, minhash, mixing, pieces, resharding, simhash, toxicity, trie, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +222,56 @@ def op10_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> Dat
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first 8 whitened components; deviation is null where a long can't hold it."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return found.withColumnRenamed("deviation", "deviation_exact").withColumn("deviation", F.expr("try_cast(deviation_exact as long)")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "residual", "deviation_exact")
+
+
+@query
+def op12_lcp_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_lcp_prefix_trie"] = """
+WITH crc_table AS (
+  SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), turns AS (
+  SELECT conv_id, turn, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(said ORDER BY turn NULLS FIRST, said.role, said.text) AS said FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT o.*, coalesce(b.said, []) AS head,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(o.conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                         lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 4 AS h
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20, crc_table
+), rebuilt AS (
+  SELECT conv_id, list_concat(list_slice(head, 1, h), list_slice(said, h + 1, len(said))) AS said FROM heads
+), members AS (
+  SELECT conv_id, d, list_slice(said, 1, d) AS path, d = len(said) AS ends FROM rebuilt, unnest(range(len(said) + 1)) u(d)
+), nodes AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY path, d
+), kids AS (
+  SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT list_slice(n.path, 1, a) AS path, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves,
+         sum(CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(regexp_extract_all(n.path[n.depth].text, '[^\\x20\\x09-\\x0D]+')) END) AS saved
+  FROM nodes n LEFT JOIN kids k ON k.path = n.path, unnest(range(n.depth + 1)) u(a) GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN kids k ON k.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = list_slice(n.path, 1, n.depth - 1)
+"""
+
+
+@query
+def op13_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word SimHash fingerprints differ in 4 bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
