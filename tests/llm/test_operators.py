@@ -707,7 +707,69 @@ def test_templates_against_a_plain_count(spark):
         counts[host].update(parser.found)
     want = {h: sum(n >= 5 and (n >= 0.1 * pages[h] or n >= 50) for n in c.values()) for h, c in counts.items()}
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    known = html_text.templates(df, html_text.subtrees(df)).join(df.select(html_text.host_of(F.col("url")).alias("host"), html_text.host_key_of(F.col("url"))).distinct(), "host_key")
+    known = html_text.templates(html_text.subtrees(df)).join(df.select(html_text.host_of(F.col("url")).alias("host"), html_text.host_key_of(F.col("url"))).distinct(), "host_key")
     assert {x["host"]: x["count"] for x in known.groupBy("host").count().collect()} == want
     got = {x.page_id: x.text for x in html_text.extract(df).collect()}
     assert all(got[i].endswith(f"Story {i} is of its own") for i in got)
+
+
+PROSE = " ".join(f"Sentence {w} of this article says something at length about the matter in hand." for w in "one two three four five six seven eight nine ten".split())
+
+
+@pytest.mark.parametrize("body", ["<div id='page' class='has-sidebar'>{}</div>", "<div class='content no-comments'>{}</div>", "<article><div class='entry comments-open'>{}</div></article>", "<div class='ad-free'>{}</div>", "<div class='menu'>{}</div>", "<div class='banner'>{}</div>"])
+def test_no_article_is_lost_to_a_class_word(body):
+    assert html_text.main_text(html_text.parse(page(body.format(f"<p>{PROSE}</p>")))) == PROSE
+
+
+@pytest.mark.parametrize("mark", ["comments", "comment-list", "post-comments", "ad-box-2", "cookie-banner", "reader comments", "sidebar left", "site notice"])
+def test_marked_elements_go_beside_prose(mark):
+    said = "I read this and found it good, said a reader of ours who goes on for some time about it. " * 12
+    text = html_text.main_text(html_text.parse(page(f"<div class='story'><p>{PROSE}</p></div><div class='{mark}'><p>{said}</p></div>")))
+    assert text == PROSE
+    assert html_text.main_text(html_text.parse(page(f"<article><p>{PROSE}</p><div class='{mark}'><p>{said}</p></div></article>"))) == PROSE
+
+
+@pytest.mark.parametrize("body", ["<div class='post'><p>{}</p></div>", "<article><div class='body'><p>{}</p></div></article>"])
+@pytest.mark.parametrize("copies", [4, 5, 50])
+def test_copies_and_captures_of_a_page_stay(spark, body, copies):
+    rows = [(i, "http://h.example/a", page(body.format(PROSE))) for i in range(copies)]
+    rows += [(100 + i, f"http://copy.example/{i}", page(body.format(PROSE))) for i in range(copies)]
+    rows += [(200 + i, "http://c.example/a", page(body.format(f"{PROSE} Read {i} times."))) for i in range(5)]
+    rows += [(300 + i, f"http://d.example/{i}", page(body.format(f"{PROSE} Read {i} times."))) for i in range(5)]
+    rows += [(400 + i, "http://e.example/a", page(body.format(f"{PROSE}</p><p>Version {'abcdefgh'[i] * 9} of it."))) for i in range(6)]
+    rows += [(500 + i, None, page(body.format(PROSE))) for i in range(copies)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(t.startswith(PROSE) for t in got.values())
+    assert got[203] == f"{PROSE} Read 3 times." and got[402] == f"{PROSE}\nVersion {'c' * 9} of it."
+
+
+def test_references_are_read_in_each_text_alone():
+    assert html_text.main_text(html_text.parse("<p>&<b>lt;</b> &amp;lt; &lt;b&gt; &#233;</p>")) == "&lt; &lt; <b> é"
+
+
+def test_all_articles_of_a_page_stay():
+    one, two = PROSE, PROSE.replace("article", "second piece")
+    text = html_text.main_text(html_text.parse(page(f"<article><p>{one}</p><article class='comment'><p>So it is</p></article></article><article><p>{two}</p></article>")))
+    assert text == f"{one}\n{two}"
+
+
+def test_text_of_a_site_with_known_articles(spark):
+    """A generated site: the text of every page is its article, whatever stands around it."""
+    r, rows, want = random.Random(9), [], {}
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    menu = "<div class='top'><ul>" + "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(6)) + "</ul></div>"
+    foot, side = "<div class='low'><p>All rights are with the owners of this site since long ago.</p></div>", "<div class='box'><h3>About us</h3><p>We are a small paper from a small town by the sea.</p></div>"
+    for i in range(60):
+        parts = [" ".join(r.choice(words) for _ in range(r.randrange(12, 60))) for _ in range(r.randrange(1, 6))]
+        if i % 4 == 0:
+            parts.append("Terms may change without word.")  # a line that many articles share
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        body = f"<article>{body}</article>" if i % 2 == 0 else f"<div class='has-sidebar story'>{body}</div>"
+        if i % 4 == 0:
+            assert body.startswith("<article>")
+        ad = f"<div class='ad'>Buy {' '.join(r.choice(words) for _ in range(15))}</div>"
+        talk = "<div class='comments'>" + "".join(f"<p>{' '.join(r.choice(words) for _ in range(20))}</p>" for _ in range(i % 3)) + "</div>"
+        rows.append((i, f"http://paper.example/{i}", page(f"{menu}{side if i % 3 else ''}{body}{ad}{talk}{foot}")))
+        want[i] = "\n".join(parts)
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want

@@ -30,7 +30,9 @@ CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 MARKS = frozenset("ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navbar navigation navigationbar menu menus breadcrumb breadcrumbs footer sidebar sidebars cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription comment comments commentlist disqus replies respond contentinfo".split())
 WEAK_MARKS = frozenset("share sharing social related recommended recommendations signup popup modal overlay widget widgets toolbar pagination pager login search copyright complementary".split())
-OUTER_MARKS = MARKS | frozenset("header masthead banner topbar".split())
+OUTER_MARKS = frozenset("header masthead banner topbar".split())
+OF_OTHERS = frozenset("has have no non not with without is are hide show allow free less".split())
+AROUND = frozenset("area bar block box btn button container div footer header holder inner item items li link links list module outer panel region row section site slot text thread top bottom unit wrap wrapper zone banner".split())
 
 # An end or start tag whose quoted values may hold ">", the same without regard to quotes, and what isn't text or a tag.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
@@ -38,18 +40,21 @@ SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 MISREAD = 8  # tags of a page whose quotes may fail to close before quotes count for nothing, so that no text is read again and again
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SHORT, DENSE = 25, 0.5  # signs of a weakly marked element that make it no prose, and share of its text in links that does
+LEAST, REST = 200, 0.25  # signs, and share of an element's own, that must be left as prose on the page where its class takes away most
 
 
 class Node:
-    __slots__ = ("tag", "marks", "hidden", "parts", "parent", "depth", "hash", "size", "linked")
+    __slots__ = ("tag", "marks", "words", "hidden", "parts", "parent", "depth", "hash", "size", "linked", "prose")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.parts, self.hash, self.size, self.linked = tag, parent, [], 0, 0, 0
+        self.tag, self.parent, self.parts, self.hash, self.size, self.linked, self.prose = tag, parent, [], 0, 0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
+        # what the words of class, id and role name, and all parts of these words
         self.marks: frozenset = frozenset()
+        self.words: frozenset = frozenset()
         self.hidden = False
         if attributes:
-            words = []
+            whole, words = [], []
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name == "hidden":
@@ -57,8 +62,13 @@ class Node:
                 elif name == "style":
                     self.hidden |= "display:none" in value.replace(" ", "")
                 elif name in ("class", "id", "role"):
-                    words += re.split(r"[\s_-]+", value)
-            self.marks = frozenset(words)
+                    for token in value.split():
+                        parts = [x for x in re.split(r"[_-]+", token) if x]
+                        words += parts
+                        # "comments", "site-footer" and "ad-box-2" are what they say; "has-sidebar" and "comments-open" say it of something else
+                        last = next((x for x in reversed(parts) if x not in AROUND and not x.isdigit()), "")
+                        whole += parts if len(parts) == 1 else [last] if OF_OTHERS.isdisjoint(parts) else []
+            self.marks, self.words = frozenset(whole), frozenset(words)
 
 
 class Builder:
@@ -176,19 +186,24 @@ def parse(page: str) -> Node:
 def _closed(node: Node) -> Node | None:
     """Hashes the finished subtree: its tag, marks, texts and the hashes of its elements."""
     h = blake2b(node.tag.encode("utf-8", "surrogatepass"), digest_size=8)
-    if node.marks:
-        h.update(" ".join(sorted(node.marks)).encode("utf-8", "surrogatepass"))
+    if node.words:
+        h.update(" ".join(sorted(node.words)).encode("utf-8", "surrogatepass"))
     for x in node.parts:
         if isinstance(x, str):
             words = x.split()
             h.update(" ".join(["", *words]).encode("utf-8", "surrogatepass"))
-            node.size += sum(map(len, words))
+            own = sum(map(len, words))
+            node.size += own
+            node.prose += own
         else:
             h.update(x.hash.to_bytes(8, "little"))
             node.size += x.size
             node.linked += x.linked
+            node.prose += x.prose
     if node.tag == "a":
         node.linked = node.size
+    if node.tag == "a" or _never(node):
+        node.prose = 0
     node.hash = int.from_bytes(h.digest(), "little")
     return node.parent
 
@@ -210,15 +225,22 @@ def _never(x: Node) -> bool:
     return x.tag in DROPPED or x.hidden
 
 
-def _marked(x: Node, template: frozenset[int] | set[int]) -> bool:
-    """Whether the element's class, id or role tells that it isn't the article's.
+def _most(x: Node, page: int) -> bool:
+    """Whether the element holds most of the page's prose (text outside links), and next to none would be left without it."""
+    return 2 * x.prose > page and page - x.prose < max(LEAST, REST * x.prose)
 
-    Some words do so alone. Others, such as share or widget, stand on prose too: they count only if the element also
-    recurs on the site, is mostly links or has next to no text.
+
+def _marked(x: Node, template: frozenset[int] | set[int], page: int) -> bool:
+    """Whether the element's class, id or role tells that it isn't the article's; page is the page's prose.
+
+    Whole words of MARKS do so, unless the element holds most of the page's prose: then it must recur on the site, too.
+    Other words, such as share or widget, and parts of words, as in has-sidebar, stand on prose as well: they count only if
+    the element also recurs on the site, is mostly links or has next to no text.
     """
-    if not x.marks.isdisjoint(MARKS):
+    if not x.marks.isdisjoint(MARKS) and not _most(x, page):
         return True
-    return not x.marks.isdisjoint(WEAK_MARKS) and (x.hash in template or x.linked >= DENSE * x.size or x.size < SHORT)
+    weak = not x.words.isdisjoint(WEAK_MARKS) or not x.words.isdisjoint(MARKS)
+    return weak and (x.hash in template or x.linked >= DENSE * x.size or x.size < SHORT)
 
 
 def candidates(root: Node) -> set[int]:
@@ -230,7 +252,7 @@ def candidates(root: Node) -> set[int]:
         within = id(x.parent) in inside
         if within or x.tag in ("article", "main"):
             inside.add(id(x))
-        if x.tag in BLOCKS and x.tag not in ("html", "body", "article", "main") and x.size and not (within and x.tag in PROSE and x.marks.isdisjoint(WEAK_MARKS)):
+        if x.tag in BLOCKS and x.tag not in ("html", "body", "article", "main") and x.size and not (within and x.tag in PROSE and x.words.isdisjoint(WEAK_MARKS) and x.words.isdisjoint(MARKS)):
             found.add(x.hash)
     return found
 
@@ -238,64 +260,68 @@ def candidates(root: Node) -> set[int]:
 def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of the article, its blocks joined by line breaks.
 
-    The article is the largest article element outside the template, else main, else the body without its template.
+    The article is all article elements outside the template (of those in one another the outermost), without those that
+    are reader comments; else main, else the body without its template.
     """
+    page = root.prose
 
     def skip(x: Node) -> bool:
         if x.tag in DROPPED or x.hidden:
             return True
         if x.tag in ("html", "body", "main", "article"):
-            return x.tag == "article" and not x.marks.isdisjoint(("comment", "comments", "reply"))
-        return _marked(x, template) or x.hash in template and x.tag in BLOCKS and x.size > 0
+            return x.tag == "article" and not x.words.isdisjoint(("comment", "comments", "reply")) and not _most(x, page)
+        return _marked(x, template, page) or x.hash in template and x.tag in BLOCKS and x.size > 0
 
     def outer(x: Node) -> bool:
-        return skip(x) or x.tag == "header" or not x.marks.isdisjoint(OUTER_MARKS) and x.tag not in ("html", "body", "main", "article")
+        return skip(x) or x.tag == "header" or not x.marks.isdisjoint(OUTER_MARKS) and x.tag not in ("html", "body", "main", "article") and not _most(x, page)
 
-    articles, mains = [], []
-    for x in _walk(root, outer):
+    articles, mains, taken = [], [], set()
+    for x in _walk(root, lambda x: id(x.parent) in taken or outer(x)):
         if x.tag == "article":
             articles.append(x)
-        elif x.tag == "main" or "main" in x.marks and x.tag in BLOCKS:
+            taken.add(id(x))
+        elif x.tag == "main" or "main" in x.words and x.tag in BLOCKS:
             mains.append(x)
-    top = max(articles, key=lambda x: x.size) if articles else mains[0] if mains else root
-    inner = _in_article(skip, template) if articles else outer
+    tops = articles or mains[:1] or [root]
+    inner = _in_article(skip, template, page) if articles else outer
     blocks: list[str] = []
     line: list[str] = []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(line)).split())
+        text = " ".join("".join(line).split())
         if text:
             blocks.append(text)
         line.clear()
 
-    stack = [(top, iter(top.parts))]
-    while stack:
-        node, parts = stack[-1]
-        for x in parts:
-            if isinstance(x, str):
-                line.append(x)
-            elif x.tag in ("br", "wbr", "img"):
-                line.append(" " if x.tag == "br" else "")
-            elif not inner(x):
-                if x.tag in BLOCKS:
+    for top in tops:
+        stack = [(top, iter(top.parts))]
+        while stack:
+            node, parts = stack[-1]
+            for x in parts:
+                if isinstance(x, str):
+                    line.append(html.unescape(x))
+                elif x.tag in ("br", "wbr", "img"):
+                    line.append(" " if x.tag == "br" else "")
+                elif not inner(x):
+                    if x.tag in BLOCKS:
+                        flush()
+                    stack.append((x, iter(x.parts)))
+                    break
+                elif x.tag in BLOCKS:
                     flush()
-                stack.append((x, iter(x.parts)))
-                break
-            elif x.tag in BLOCKS:
-                flush()
-        else:
-            if node.tag in BLOCKS:
-                flush()
-            stack.pop()
-    flush()
+            else:
+                if node.tag in BLOCKS:
+                    flush()
+                stack.pop()
+        flush()
     return "\n".join(blocks)
 
 
-def _in_article(skip, template):
+def _in_article(skip, template, page: int):
     """Inside an article, prose stays even if it recurs on the site."""
 
     def inner(x: Node) -> bool:
-        return skip(x) and not (x.tag in PROSE and x.hash in template and not x.hidden and x.tag not in DROPPED and not _marked(x, template))
+        return skip(x) and not (x.tag in PROSE and x.hash in template and not x.hidden and x.tag not in DROPPED and not _marked(x, template, page))
 
     return inner
 
@@ -304,32 +330,52 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _text_key(root: Node) -> int:
+    """A page's text as far as the page alone tells it; of longer ones without regard to digits, which counters and dates change."""
+    text = main_text(root)
+    text = DIGITS.sub("0", text) if len(text) >= LEAST else text
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host_key, page_key, hash) of each candidate subtree of each page; page_key tells a host's different pages apart."""
+    """(host_key, page_key, url_key, text_key, hash) of each candidate subtree of each page, and one row with a null hash for
+    the page itself. page_key is of the html. Of a host's different pages both the URL and the text (_text_key) differ: copies
+    have one text, later captures one URL. Pages without a URL are told apart by their html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            hosts, keys, hashes = [], [], []
-            for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for h in candidates(parse(page or "")):
-                    hosts.append(host)
-                    keys.append(key)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["host_key", "page_key", "hash"])
+            out: list[list] = [[], [], [], [], []]
+            for host, key, url, page in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                root = parse(page or "")
+                text = _text_key(root)
+                for h in (None, *candidates(root)):
+                    for column, value in zip(out, (host, key, url, text, h if h is None or h < 1 << 63 else h - (1 << 64)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["host_key", "page_key", "url_key", "text_key", "hash"])
+
+    keys = host_key_of(F.col("url")), F.xxhash64("html").alias("page_key"), F.xxhash64(F.coalesce("url", "html")).alias("url_key")
+    return pages.select(*keys, "html").mapInArrow(run, "host_key long, page_key long, url_key long, text_key long, hash long")
+
 
-    return pages.select(host_key_of(F.col("url")), F.xxhash64("html").alias("page_key"), "html").mapInArrow(run, "host_key long, page_key long, hash long")
+DIGITS = re.compile(r"\d+")
 
 
 def host_key_of(url: Column) -> Column:
     return F.xxhash64(host_of(url)).alias("host_key")
 
 
-def templates(pages: DataFrame, found: DataFrame, min_pages: int = 5, min_share: float = 0.1, many: int = 50) -> DataFrame:
-    """(host_key, hash, n): the subtrees of found on at least min_pages of their host's pages that are on min_share of them
-    or, however many pages the host has, on at least `many`."""
-    counted = found.groupBy("host_key", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    total = pages.groupBy(host_key_of(F.col("url"))).agg(F.count("*").alias("pages"))
-    return counted.join(total, "host_key").where((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= many)).select("host_key", "hash", "n")
+def templates(found: DataFrame, min_pages: int = 5, min_share: float = 0.1, many: int = 50) -> DataFrame:
+    """(host_key, hash, n, rows): the subtrees of found on at least min_pages of their host's different pages that are on
+    min_share of them or, however many pages the host has, on at least `many`; n is the lesser number of different URLs and
+    texts, rows are the pages with copies."""
+    distinct = lambda key: found.groupBy("host_key", "hash", key).agg(F.count("*").alias("rows")).groupBy("host_key", "hash").agg(F.count("*").alias(f"n_{key}"), F.sum("rows").alias("rows"))
+    least = lambda df: df.where(F.col("n") >= min_pages)
+    texts = least(distinct("text_key").withColumnRenamed("n_text_key", "n")).withColumnRenamed("n", "n_text")
+    urls = least(distinct("url_key").drop("rows").withColumnRenamed("n_url_key", "n")).withColumnRenamed("n", "n_url")
+    counted = texts.join(urls, (texts["host_key"] == urls["host_key"]) & texts["hash"].eqNullSafe(urls["hash"])).select(texts["host_key"], texts["hash"], F.least("n_text", "n_url").alias("n"), "rows")
+    total = counted.where("hash is null").select("host_key", F.col("n").alias("pages"))
+    some = counted.where("hash is not null").join(total, "host_key")
+    return some.where((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= many)).select("host_key", "hash", "n", "rows")
 
 
 def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many: int = 50, most: int = 2000) -> DataFrame:
@@ -340,10 +386,11 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many:
     one of two shuffles where the templates are too large to be broadcast, so Spark splits a hot host's pages.
 
     Null or empty html gives an empty text; a null url is a host of its own. Rows that repeat a page_id are pages of
-    their own. An empty table gives no rows. Other columns are ignored.
+    their own. Copies of a page, and captures of it that differ in digits, count as one page, so they don't make its own
+    text the site's template. An empty table gives no rows. Other columns are ignored.
     """
     found = written(subtrees(pages), "subtrees")
-    known = written(templates(pages, found, min_pages, min_share, many), "templates")
+    known = written(templates(found, min_pages, min_share, many), "templates")
     sizes = known.groupBy("host_key").agg(F.count("*").alias("size"))
     small = known.join(sizes.where(F.col("size") <= most), "host_key").groupBy("host_key").agg(F.sort_array(F.collect_list("hash")).alias("template"))
     small = written(small, "small-templates")  # a small table, which Spark broadcasts if its size allows
@@ -353,11 +400,11 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many:
     if large.isEmpty():
         return _texts(keyed.join(small, "host_key", "left").select(*columns))
     wide = known.join(large, "host_key", "left_semi")
-    total = wide.agg(F.sum("n")).first()[0]
-    met = join_by_group(found, wide, ["host_key", "hash"], "n", total)
+    total = wide.agg(F.sum("rows")).first()[0]
+    met = join_by_group(found.where("hash is not null"), wide, ["host_key", "hash"], "rows", total)
     own = written(met.groupBy("host_key", "page_key").agg(F.collect_set("hash").alias("template")), "page-templates")
     rest = keyed.join(large, "host_key", "left_anti").join(small, "host_key", "left").select(*columns)
-    pages_of_large = keyed.join(F.broadcast(large), "host_key", "left_semi").withColumn("page_key", F.xxhash64("html"))  # bound: hosts with more than `most` subtrees on many pages
+    pages_of_large = keyed.join(large, "host_key", "left_semi").withColumn("page_key", F.xxhash64("html"))
     return _texts(rest.unionByName(pages_of_large.join(own, ["host_key", "page_key"], "left").select(*columns)))
 
 
