@@ -211,18 +211,24 @@ def test_fingerprints():
     assert simhash.fingerprint(long.encode()) == _fingerprint(long)
 
 
-def test_variants_meet_whatever_bits_differ():
-    assert simhash.segments(4) == [(0, 21), (21, 21), (42, 22)] and simhash.segments(1) == [(0, 64)] and len(simhash.segments(5)) == 3
+def test_variants_meet_whatever_bits_differ(spark):
+    assert simhash.segments(4) == [(0, 22, True), (22, 22, True), (44, 20, False)]
+    assert simhash.segments(1) == [(0, 64, True)] and simhash.segments(0) == [(0, 64, False)] and len(simhash.segments(5)) == 3
     r = random.Random(3)
-    for bits in (1, 3, 4, 6):
-        cuts = simhash.segments(bits)
-        for _ in range(300):
+    for bits in (0, 1, 2, 3, 4, 6):
+        assert sum(w for _, w, _ in simhash.segments(bits)) == 64
+        pairs = []
+        for k in range(200):
             x = r.getrandbits(64)
             y = x
             for b in r.sample(range(64), bits):
                 y ^= 1 << b
-            key = lambda v: {(at, i, (v >> at) & ((1 << w) - 1) & ~(1 << i)) for at, w in cuts for i in range(w)}
-            assert key(x) & key(y)
+            pairs += [(k, x), (k, y)]
+        df = spark.createDataFrame([(k, x - (x >> 63 << 64)) for k, x in pairs], "k int, fp long")
+        met = simhash.variants(df.select("fp").distinct(), bits).join(df, "fp").groupBy("k", "bucket").count().where("count > 1").select("k").distinct().count()
+        assert met == 200
+    some = spark.createDataFrame([(r.getrandbits(62),)], "fp long")
+    assert simhash.variants(some, 4).count() == simhash.variants(some, 4).select("bucket").distinct().count() == 45
 
 
 @pytest.mark.parametrize("most", [8192, 4])

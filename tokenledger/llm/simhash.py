@@ -1,15 +1,16 @@
 """Near-duplicate documents by SimHash, found with deletion variants.
 
-A fingerprint has a bit for each of 64 positions, set where over half of the document's shingle hashes have it. Two
-fingerprints that differ in `bits` bits are cut in the fewest segments such that one of them differs by one bit at most:
-2 * segments > bits, so 3 segments for 4 bits, of 21 or 22 bits each. Every segment is indexed once for each of its
-positions with that position as a wildcard (its bit deleted); fingerprints whose segments differ by at most that bit
-agree in a variant, so they meet by equality and are then compared as a whole. With 3 segments a variant still has 20 or
-21 bits, and a fingerprint has 64 variants.
-
-Equal fingerprints are one node. A bucket's fingerprints are compared in one task, which returns links that connect
-what is linked and no more; a larger bucket is joined to a central member first, and then every pair of members of
-different components is compared, block by block.
+A fingerprint has a bit for each of 64 positions, set where over half of the document's shingle hashes have it.
+Fingerprints are cut in the fewest segments such that of two that differ in `bits` bits, one segment differs by one bit at
+most: 2 * segments > bits. Every segment is indexed once for each of its positions with that position as a wildcard (its bit
+deleted); fingerprints whose segments differ by at most that bit agree in a variant, so they meet by equality and are then
+compared as a whole. Where 2 * segments is bits + 2, one segment needs no wildcard: if each of the others differs in two bits,
+it has none left. So 4 bits take 3 segments: two of 22 bits with a wildcard, 44 variants of 21 bits, and one of 20 bits as it is.
+
+Equal fingerprints are one node. Variants are shuffled by their bits and a bucket's fingerprints are compared where they
+arrive: the equality join and its check are one step, which returns links that connect what is linked and no more, so chance
+meetings of unlike fingerprints make no rows. A larger bucket is joined to a central member first, and then every pair of
+members of different components is compared, block by block.
 """
 
 from __future__ import annotations
@@ -71,21 +72,25 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def segments(bits: int) -> list[tuple[int, int]]:
-    """(lowest position, width) of the fewest segments of which one differs by one bit at most, if `bits` differ in all."""
-    k = bits // 2 + 1
-    edges = [64 * i // k for i in range(k + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def segments(bits: int) -> list[tuple[int, int, bool]]:
+    """(lowest position, width, has a wildcard) of the fewest segments of which one, if `bits` bits differ in all, differs by one
+    bit at most, or by none where it has no wildcard: 2 for each with one and 1 for the other make bits + 1."""
+    wild, exact = (bits + 1) // 2, (bits + 1) % 2
+    last = 64 // (wild + 1) - 1 if exact and wild else 64 * exact  # its variant is as long as the others' or a bit less
+    edges = [(64 - last) * i // wild for i in range(wild + 1)] if wild else [0]
+    return [(a, b - a, True) for a, b in zip(edges, edges[1:], strict=False)] + [(64 - last, last, False)] * exact
 
 
 def variants(fps: DataFrame, bits: int) -> DataFrame:
-    """(bucket, fp): each segment with each of its positions deleted; a bucket is segment, position and the other bits."""
+    """(bucket, fp): each segment with each of its positions deleted; a bucket is the position and the segment's other bits."""
     made = []
-    for at, width in segments(bits):
-        cut = F.expr(f"shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L")
-        for i in range(width):
-            made.append(F.struct(F.lit(at + i).cast("tinyint").alias("position"), cut.bitwiseAND(F.lit(~(1 << i))).alias("rest")))
-    return fps.select("fp", F.explode(F.array(*made)).alias("v")).select(F.expr("shiftleft(cast(v.position as long), 58) ^ v.rest").alias("bucket"), "fp")
+    for at, width, wild in segments(bits):
+        cut = F.expr(f"shiftrightunsigned(fp, {at}) & {(1 << width) - 1 if width < 64 else -1}L")
+        for i in range(width) if wild else [None]:
+            rest = cut if i is None else cut.bitwiseAND(F.lit(~(1 << i) if i < 63 else (1 << 63) - 1))
+            made.append(F.struct(F.lit(at + (i or 0)).cast("long").alias("position"), rest.alias("rest")))
+    key = F.expr("shiftleft(v.position, 58) ^ v.rest") if bits > 1 else F.expr("xxhash64(v.position, v.rest)")  # whole segments don't fit beside a position
+    return fps.select("fp", F.explode(F.array(*made)).alias("v")).select(key.alias("bucket"), "fp")
 
 
 def _near(x: np.ndarray, y: np.ndarray | np.uint64, bits: int) -> np.ndarray:
@@ -215,18 +220,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, most: int =
     """
     marked = written(fingerprints(docs, words), "fingerprints", merge=False)
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes", merge=False)
-    rows = variants(nodes, bits)
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(rows.join(shared, "bucket"), "variants", merge=False)
-    links = written(bucket_links(rows.where(F.col("n") <= most), bits), "links", merge=False)
-    large = rows.where(F.col("n") > most).select("bucket", "fp")
-    if large.isEmpty():
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = variants(nodes.repartition(parts, "fp"), bits)  # a light table becomes many rows: not in the few tasks that its size asks for
+    hot = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket"), "large-buckets", merge=False)
+    if hot.isEmpty():
+        links = written(bucket_links(rows, bits), "links", merge=False)
         comps = components(links)
     else:
+        links = written(bucket_links(rows.join(hot, "bucket", "left_anti"), bits), "links", merge=False)
+        large = written(rows.join(hot, "bucket", "left_semi"), "large", merge=False)
         links = links.unionByName(written(centres(large, bits), "centres"))
         more = across(left_open(large.withColumnRenamed("fp", "id"), components(links)), bits)
         comps = components(links.unionByName(more))
-    discard(rows)
+        discard(large)
+    discard(hot)
     named = nodes.join(comps.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
     named = written(named, "named", merge=False)
     each = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
