@@ -91,11 +91,12 @@ def old_shard_by_source(shards: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacity: list[int] | None = None, blocks: int = 4096, spread: int = 1000) -> tuple[DataFrame, list[list[int]]]:
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacity: list[int] | None = None, blocks: int = 4096, spread: int = 1000, part: int = 100_000) -> tuple[DataFrame, list[list[int]]]:
     """(doc_id, size, text_crc32, old_shard, shard, slot of every document; bytes that go from each old to each new shard).
 
     Shard sizes end up near the capacities, or near equal where none are given. slot is the row's place in its new
-    shard, without gaps from 0. Rows that repeat a doc_id are rows of their own; a null doc_id comes first in its block.
+    shard, without gaps from 0; a block of more than `part` rows is numbered in parts. Rows that repeat a doc_id are rows of their own;
+    a null doc_id comes first in its part.
     Null texts have size 1. An empty table gives no rows. Other columns are ignored.
 
     Equal texts are a group, which goes to one shard, starting from the old shard that has most of its bytes. A group of
@@ -103,7 +104,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
     The driver gets one row per block (old shards * blocks at most, whatever the data), and the texts don't move.
     """
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), old_shard.alias("old_shard"))
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), old_shard.alias("old_shard"), F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()).alias("spread"))
     light = written(light, "reshard-rows")
     group = ["text_key", "text_crc32", "size"]
     held = light.groupBy(*group, "old_shard").agg(F.count("*").alias("n"))
@@ -114,7 +115,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     met = join_by_group(light, held.withColumn("home", F.when(split, None).otherwise(F.col("home"))), group, "n", rows)
     own = light.join(held.select(*group), group, "left_anti").withColumns({"n": F.lit(1).cast("long"), "home": F.col("old_shard")}).unionByName(met)
     together = F.when(F.col("home").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.col("text_key"))
-    own = own.select("doc_id", "size", "text_crc32", "old_shard", F.coalesce("home", "old_shard").alias("home"), F.pmod(together, F.lit(blocks)).cast("int").alias("block"))
+    own = own.select("doc_id", "size", "text_crc32", "old_shard", F.coalesce("home", "old_shard").alias("home"), F.pmod(together, F.lit(blocks)).cast("int").alias("block"), "spread")
     own = written(own, "reshard-homes")
     found = [(r["home"], r["block"], r["bytes"], r["rows"]) for r in own.groupBy("home", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()]
     sizes = [0] * old_shards
@@ -129,9 +130,26 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
         rows.append((old, block, to[old, block], next_slot[to[old, block]]))
         next_slot[to[old, block]] += n
     moves = constants(docs.sparkSession, rows, "home int, block int, shard int, first_slot long")
-    order = Window.partitionBy("home", "block").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     placed = own.join(F.broadcast(moves), ["home", "block"])  # bound: old_shards * blocks rows
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first_slot") + F.row_number().over(order) - 1).cast("long").alias("slot")), flow
+    return numbered(placed, {(old, block): n for old, block, _, n in found}, part).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot"), flow
+
+
+def numbered(placed: DataFrame, rows: dict[tuple[int, int], int], part: int) -> DataFrame:
+    """placed with slot: first_slot and on, without gaps, within each (home, block), whose numbers of rows are given.
+
+    A block of many rows is numbered in parts of about `part`, by a hash of `spread`: parts are counted and their counts
+    added up, then each is numbered for itself, so no task has a whole block of a group with very many rows.
+    """
+    spark = placed.sparkSession
+    large = constants(spark, [(*k, -(-n // part)) for k, n in rows.items() if n > part], "home int, block int, parts long")
+    dealt = placed.join(F.broadcast(large), ["home", "block"], "left")  # bound: a row a block
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("spread"), F.coalesce("parts", F.lit(1))))
+    before = Window.partitionBy("home", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.where("parts is not null").groupBy("home", "block", "part").agg(F.count("*").alias("n"))
+    starts = counted.select("home", "block", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("home", "block", "part").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32", "spread")
+    placed = dealt.withColumn("row", F.row_number().over(order)).join(starts, ["home", "block", "part"], "left")
+    return placed.withColumn("slot", (F.col("first_slot") + F.coalesce("start", F.lit(0)) + F.col("row") - 1).cast("long"))
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, flow: list[list[int]], path: str) -> list[int]:
