@@ -515,6 +515,44 @@ def test_index_against_a_plain_one(spark):
     assert len(sizes) > 1 and index.bits > 1, (sizes, index.bits)
 
 
+def test_the_index_reads_and_writes_touched_buckets_only(spark, tmp_path):
+    import pathlib
+
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    files = lambda name: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in pathlib.Path(tmp_path).rglob("*.parquet") if f"/{name}/" in str(p)}
+    folders = lambda some: {f.split("bucket=")[1].split("/")[0] for f in some}
+    own = lambda t: str(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) >> 26)
+    index = cuckoo.insert(cuckoo.empty_index(spark, path=str(tmp_path)), docs([(k, f"text {k}") for k in range(2000)]))
+    content, filters = files("content"), files("filters")
+    index = cuckoo.insert(index, docs([(5000, "one more"), (5001, "text 7")]))
+    assert folders(files("content").keys() - content.keys()) == {own("one more")} and content.items() <= files("content").items()
+    assert folders(files("filters").keys() ^ filters.keys()) == {own("one more")}
+    content = files("content")
+    index = cuckoo.delete(index, docs([(5000, "one more"), (7, "text 7"), (4, "not live")]))
+    assert folders(files("content").keys() ^ content.keys()) == {own("one more")}
+    found = cuckoo.lookup(index, docs([(1, "no hit at all"), (2, "text 7"), (3, "one more")]))
+    assert {r.doc_id: (r.keep_id, r.live) for r in found.collect()} == {1: (None, False), 2: (5001, True), 3: (None, False)}
+    none = cuckoo.lookup(index, docs([(1, "no hit at all")]))
+    assert "bucket=" not in none._jdf.queryExecution().executedPlan().toString() and not any("content" in f for f in none.inputFiles())
+    assert "PartitionFilters" in cuckoo.lookup(index, docs([(2, "text 7")]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_equal_rows_are_numbered_in_parts(spark):
+    """Half of all texts empty: they stay together, and no task numbers them all."""
+    rows = [(i, "" if i % 2 else f"text {i}", "s") for i in range(6000)] + [(None, "", "s")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    placed, _ = resharding.reshard(df, resharding.old_shard_by_source(8), 8, 8, part=100)
+    found = placed.collect()
+    assert len(found) == 6500 and len({r.shard for r in found if r.size == 1}) <= 8
+    for shard in range(8):
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
+    counts = {(h, b): n for h, b, n in [(0, 0, 3500), (0, 1, 1), (1, 0, 150)]}
+    flat = spark.createDataFrame([(h, b, 10 * h, i, i, 1, 1) for (h, b), n in counts.items() for i in range(n)], "home int, block int, first_slot long, doc_id long, spread long, size int, text_crc32 int")
+    done = resharding.numbered(flat, counts, 100)
+    parts = done.groupBy("home", "block", "part").count().agg(F.max("count")).first()[0]
+    assert parts < 200 and sorted(r.slot for r in done.where("home = 0 and block = 0").collect()) == list(range(3500))
+
+
 def brute_components(texts, words, percent):
     ids = sorted({d for d, _ in texts if d is not None})
     sets = {d: set() for d in ids}

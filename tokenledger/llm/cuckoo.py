@@ -10,6 +10,7 @@ documents are inserted, deleted and looked up, and hits are compared with the st
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import constants, join_by_group, slices, written
+from ..session import scratch_dir
+from .common import constants, discard, join_by_group, slices, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -163,20 +165,74 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 # --- the index that is kept ------------------------------------------------------------------------------
 
+TABLES = {"filters": "filter binary", "content": "text_sha256 string, text string", "holders": "text_sha256 string, doc_id long, copies long"}
+LISTED = 4096  # touched buckets that are named to a read; of more, all are read
+
 
 @dataclass
 class Index:
-    """filters (bucket, filter), content (bucket, text_sha256, text: a row for each live digest), and holders
-    (text_sha256, doc_id, copies: a row for each live document of a digest); 2^bits buckets."""
+    """Three tables in a folder, each by bucket of the digest (2^bits of them): filters (filter), content (text_sha256, text: a
+    row for each live digest) and holders (text_sha256, doc_id, copies: what was inserted, and, below zero, deleted).
+
+    An insertion appends to the buckets of its new digests, a deletion writes the content of those buckets anew that lose a
+    digest, and filters are written for touched buckets; files of other buckets stay as they are. One writer at a time."""
 
-    filters: DataFrame
-    content: DataFrame
-    holders: DataFrame
+    spark: SparkSession
+    path: str
     bits: int
 
-    def live(self) -> DataFrame:
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets: no other files are read."""
+        schema = f"{TABLES[name]}, bucket int"
+        if buckets == [] or not self._stands(name):
+            return constants(self.spark, [], schema)
+        df = self.spark.read.schema(schema).parquet(self._folder(name))
+        return df if buckets is None or len(buckets) > LISTED else df.where(F.col("bucket").isin(buckets))
+
+    @property
+    def filters(self) -> DataFrame:
+        return self.table("filters")
+
+    @property
+    def content(self) -> DataFrame:
+        return self.table("content")
+
+    def live(self, buckets: list[int] | None = None) -> DataFrame:
         """text_sha256, keep_id (the least live doc_id) and group_size of every live digest."""
-        return self.holders.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+        return self.holders(buckets).groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+
+    def holders(self, buckets: list[int] | None = None) -> DataFrame:
+        """bucket, text_sha256, doc_id and copies of every live document."""
+        return self.table("holders", buckets).groupBy("bucket", "text_sha256", "doc_id").agg(F.sum("copies").alias("copies")).where("copies > 0")
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/{self.bits}/{name}"
+
+    def _stands(self, name: str) -> bool:
+        path, fs = self._at(self._folder(name))
+        return fs.exists(path)
+
+    def _at(self, folder: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self._folder(name))
+
+    def replace(self, name: str, rows: DataFrame, touched: list[int]) -> None:
+        """Writes the touched buckets anew; one without rows goes."""
+        rows = written(rows, f"{name}-anew", merge=False)
+        left = _buckets(rows)
+        if left:
+            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._folder(name))
+        for k in set(touched) - set(left):
+            path, fs = self._at(f"{self._folder(name)}/bucket={k}")
+            fs.delete(path, True)
+        discard(rows)
+
+
+def _buckets(rows: DataFrame) -> list[int]:
+    return [r[0] for r in rows.select("bucket").distinct().collect()]  # bound: the number of buckets
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -184,12 +240,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
 
 
-def empty_index(spark: SparkSession, bits: int = 6) -> Index:
-    return Index(constants(spark, [], "bucket int, filter binary"), constants(spark, [], "bucket int, text_sha256 string, text string"), constants(spark, [], "text_sha256 string, doc_id long, copies long"), bits)
+def empty_index(spark: SparkSession, bits: int = 6, path: str | None = None) -> Index:
+    """An index in a folder of its own, in the shared folder where none is given."""
+    return Index(spark, path or f"{scratch_dir(spark)}/tokenledger-index-{uuid.uuid4().hex}", bits)
 
 
 def maybe_live(index: Index, digests: DataFrame) -> DataFrame:
-    """text_sha256 of the distinct digests (text_sha256) that the filters may have. The content isn't read."""
+    """bucket and text_sha256 of the distinct digests (text_sha256) that the filters may have. The content isn't read."""
     asked = digests.select("text_sha256").distinct().select(bucket_of(F.col("text_sha256"), index.bits).alias("bucket"), F.unhex("text_sha256").alias("digest"), F.lit(None).cast("binary").alias("filter"))
     rows = asked.unionByName(index.filters.select("bucket", F.lit(None).cast("binary").alias("digest"), "filter"))
 
@@ -201,58 +258,69 @@ def maybe_live(index: Index, digests: DataFrame) -> DataFrame:
                 if table is not None:
                     at, own = bucket, CuckooFilter(table=table)
                 elif bucket == at and digest in own:
-                    found.append(digest.hex())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text_sha256"])
+                    found.append((bucket, digest.hex()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string())], names=["bucket", "text_sha256"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", F.col("digest").asc_nulls_first()).mapInArrow(run, "text_sha256 string")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", F.col("digest").asc_nulls_first()).mapInArrow(run, "bucket int, text_sha256 string")
 
 
 def lookup(index: Index, docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256 and keep_id of every document of docs: keep_id is the least live doc_id with an equal text, null
-    if there is none. A hit of the filters is compared with the stored text of its bucket.
+    if there is none. A hit of the filters is compared with the stored text of its bucket; buckets without hits aren't read.
 
     Null texts count as empty, repeated rows are each looked up, an empty table or index gives no rows or no hits."""
     own = _keyed(docs)
     maybe = written(maybe_live(index, own), "maybe-live")
-    stored = index.content.join(maybe, "text_sha256", "left_semi").select("text_sha256", F.col("text").alias("stored")).join(index.live(), "text_sha256").select("text_sha256", "stored", "keep_id", F.lit(True).alias("met"))
+    hit = _buckets(maybe)
+    stored = index.table("content", hit).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256", F.col("text").alias("stored"))
+    stored = stored.join(index.live(hit), "text_sha256").select("text_sha256", "stored", "keep_id", F.lit(True).alias("met"))
     return own.join(stored, "text_sha256", "left").select("doc_id", "text_sha256", F.when(F.col("text") == F.col("stored"), F.col("keep_id")).alias("keep_id"), (F.coalesce("met", F.lit(False)) & (F.col("text") == F.col("stored"))).alias("live"))
 
 
 def insert(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
     """The index with the documents of docs. A digest that the filters don't have is new without a look at the content."""
     own = _keyed(docs)
+    bucket = bucket_of(F.col("text_sha256"), index.bits).alias("bucket")
     counted = written(own.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies")), "inserted")
     maybe = written(maybe_live(index, counted), "maybe-live")
-    known = index.content.join(maybe, "text_sha256", "left_semi").select("text_sha256")
-    fresh = written(counted.select("text_sha256").distinct().join(known, "text_sha256", "left_anti"), "new-digests")
-    texts = own.join(fresh, "text_sha256").groupBy("text_sha256").agg(F.first("text").alias("text"))
-    bucket = bucket_of(F.col("text_sha256"), index.bits).alias("bucket")
-    content = written(index.content.unionByName(texts.select(bucket, "text_sha256", "text")), "content", merge=False)
-    holders = index.holders.unionByName(counted).groupBy("text_sha256", "doc_id").agg(F.sum("copies").alias("copies"))
-    return _updated(index, content, written(holders, "holders"), fresh, "insert", per_bucket)
+    known = index.table("content", _buckets(maybe)).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256")
+    fresh = written(counted.select("text_sha256").distinct().join(known, "text_sha256", "left_anti").select(bucket, "text_sha256"), "new-digests")
+    texts = own.join(fresh, "text_sha256").groupBy("bucket", "text_sha256").agg(F.first("text").alias("text"))
+    index.append("content", texts)
+    index.append("holders", counted.select(bucket, "text_sha256", "doc_id", "copies"))
+    return _updated(index, fresh, "insert", per_bucket)
 
 
 def delete(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
     """The index without the documents of docs (doc_id and text). One row takes out one copy of a doc_id and text; what isn't
     live is ignored. A digest goes when its last copy goes."""
-    counted = _keyed(docs).groupBy("text_sha256", "doc_id").agg(F.count("*").alias("gone")).toDF("of", "id", "gone")
-    met = (F.col("text_sha256") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    holders = index.holders.join(counted, met, "left").select("text_sha256", "doc_id", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")).where("copies > 0")
-    holders = written(holders, "holders")
-    dead = written(index.content.select("text_sha256").join(holders, "text_sha256", "left_anti"), "dead-digests")
-    content = written(index.content.join(dead, "text_sha256", "left_anti").select("bucket", "text_sha256", "text"), "content", merge=False)
-    return _updated(index, content, holders, dead, "delete", per_bucket)
-
-
-def _updated(index: Index, content: DataFrame, holders: DataFrame, changed: DataFrame, op: str, per_bucket: int) -> Index:
-    """The filters after digests are inserted or deleted; those that overflow are built anew from the stored keys, and all
-    of them with more buckets once a bucket has more than per_bucket digests on average."""
-    bits = bucket_bits(content.count(), per_bucket, index.bits)
+    counted = _keyed(docs).groupBy(bucket_of(F.col("text_sha256"), index.bits).alias("bucket"), "text_sha256", "doc_id").agg(F.count("*").alias("gone"))
+    counted = written(counted, "deleted")
+    touched = _buckets(counted)
+    met = counted.toDF("in", "of", "id", "gone").join(index.holders(touched), (F.col("text_sha256") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    taken = written(met.select("bucket", "text_sha256", "doc_id", (-F.least("gone", "copies")).alias("copies")), "taken")
+    index.append("holders", taken)
+    dead = written(taken.select("bucket", "text_sha256").distinct().join(index.holders(touched), ["bucket", "text_sha256"], "left_anti"), "dead-digests")
+    losing = _buckets(dead)
+    if losing:
+        index.replace("content", index.table("content", losing).where(F.col("bucket").isin(losing)).join(dead, ["bucket", "text_sha256"], "left_anti").select("bucket", "text_sha256", "text"), losing)
+    return _updated(index, dead, "delete", per_bucket)
+
+
+def _updated(index: Index, changed: DataFrame, op: str, per_bucket: int) -> Index:
+    """The filters after digests (bucket, text_sha256) are inserted or deleted; those that overflow are built anew from the
+    stored keys, and all tables with more buckets once a bucket has more than per_bucket digests on average."""
+    bits = bucket_bits(index.content.select("text_sha256").count(), per_bucket, index.bits)
     if bits > index.bits:
-        content = written(content.withColumn("bucket", bucket_of(F.col("text_sha256"), bits)), "content", merge=False)
-        return Index(written(_from_content(content), "filters"), content, holders, bits)
-    rows = changed.select(bucket_of(F.col("text_sha256"), bits).alias("bucket"), F.unhex("text_sha256").alias("digest"), F.lit(None).cast("binary").alias("filter"))
-    rows = rows.unionByName(index.filters.select("bucket", F.lit(None).cast("binary").alias("digest"), "filter"))
+        more = Index(index.spark, index.path, bits)
+        bucket = bucket_of(F.col("text_sha256"), bits).alias("bucket")
+        more.append("content", index.content.select(bucket, "text_sha256", "text"))
+        more.append("holders", index.holders().select(bucket, "text_sha256", "doc_id", "copies"))
+        more.append("filters", _from_content(more.content))
+        return more
+    touched = _buckets(changed)
+    rows = changed.select("bucket", F.unhex("text_sha256").alias("digest"), F.lit(None).cast("binary").alias("filter"))
+    rows = rows.unionByName(index.table("filters", touched).select("bucket", F.lit(None).cast("binary").alias("digest"), "filter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, full = None, CuckooFilter(), False
@@ -274,10 +342,11 @@ def _updated(index: Index, content: DataFrame, holders: DataFrame, changed: Data
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("digest").asc_nulls_first())
     filters = written(dealt.mapInArrow(run, "bucket int, filter binary"), "filters")
-    full = filters.where("filter is null").select("bucket")
-    if not full.isEmpty():
-        filters = written(filters.where("filter is not null").unionByName(_from_content(content.join(full, "bucket", "left_semi"))), "filters")
-    return Index(filters, content, holders, bits)
+    full = _buckets(filters.where("filter is null"))
+    if full:
+        filters = filters.where("filter is not null").unionByName(_from_content(index.table("content", full).where(F.col("bucket").isin(full))))
+    index.replace("filters", filters, touched)
+    return index
 
 
 def _from_content(content: DataFrame) -> DataFrame:
