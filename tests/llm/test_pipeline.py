@@ -1,7 +1,13 @@
 """The pipeline's stages on odd rows, each against brute force on its own input."""
 
 import hashlib
+import heapq
+import math
+import os
+import random
 import re
+from decimal import Decimal
+from fractions import Fraction
 
 import corpus_pipeline
 import pytest
@@ -87,3 +93,61 @@ def test_rows_that_repeat_all_columns(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in near), key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
     mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, before, "").collect()]
     assert set(mixed) == {(r[0], r[1]) for r in rows} and mixed.count((2, "another text of words")) == 2
+
+
+def plain_mix(rows):
+    """Words taken of each (doc_id, text, source): shares by weight with stops, seats one by one to the highest quotient, and
+    each source's documents end to end in the seeded order."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    n = [sum(k for k, (*_, s) in zip(size, rows, strict=True) if s == x) for x in sources]
+    weight, total = [(5, 2, 1)[k % 3] for k in range(len(sources))], sum(n)
+    stopped: set = set()
+    while True:
+        free = [k for k in range(len(sources)) if k not in stopped]
+        left, w = total - sum(3 * n[k] for k in stopped), sum(weight[k] for k in free)
+        over = {k for k in free if Fraction(left * weight[k], w) > 3 * n[k]}
+        if not over:
+            break
+        stopped |= over
+    target = [Fraction(3 * n[k]) if k in stopped else Fraction(left * weight[k], w) for k in range(len(sources))]
+    least = min((t for t in target if t > 0), default=0)
+    seats = 8 * max(4096, -(-min(max(total, 0), math.ceil(100 * total / least)) // 8)) if least else 8 * 4096
+    quota = [0] * len(sources)
+    queue = [(-t, k) for k, t in enumerate(target) if t > 0]
+    heapq.heapify(queue)
+    for _ in range(seats if queue else 0):
+        _, k = queue[0]
+        quota[k] += 1
+        heapq.heapreplace(queue, (-target[k] / (2 * quota[k] + 1), k))
+    taken = {}
+    for k, x in enumerate(sources):
+        took = min(3 * n[k], (2 * total * quota[k] + seats) // (2 * seats))
+        own = sorted((hashlib.md5(f"17:{d}".encode()).hexdigest(), d, z) for (d, _, s), z in zip(rows, size, strict=True) if s == x)
+        start, whole = 0, took // max(n[k], 1)
+        for _, d, z in own:
+            taken[d] = z * whole + max(0, min(z, took - whole * n[k] - start))
+            start += z
+    return taken, dict(zip([d for d, *_ in rows], size, strict=True))
+
+
+def test_mixture_against_a_plain_one(spark):
+    r = random.Random(6)
+    rows = [(k, " ".join(["word"] * r.choice([0, 1, 2, 5, 30, 200])), r.choice(["a", "b", "c", "c", "c", "d", None])) for k in range(150)] + [(900, None, "z")]
+    docs = spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    taken, size = plain_mix(rows)
+    want = {d: max(1, int(Decimal(t) / Decimal(size[d]) + Decimal("0.5"))) for d, t in taken.items() if t}
+    got = [x.doc_id for x in corpus_pipeline.mixture(spark, docs, "").collect()]
+    assert {d: got.count(d) for d in set(got)} == want and {x.doc_id: x.taken for x in mixing.mix(docs).collect()} == taken
+
+
+def test_stage_tables_go(spark, monkeypatch):
+    kept: list = []
+    same = lambda _, docs, __: docs.withColumn("n_chars", F.col("n_chars") + 1)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", same), ("two", same), ("three", same), ("last", same)])
+    plain = corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda *a, **b: kept.append(plain(*a, **b)) or kept[-1])
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    stands = [os.path.isdir(x._written_at.removeprefix("file:")) for x in kept]
+    assert stands == [False, False, True]
