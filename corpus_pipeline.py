@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.llm import cuckoo, langid, minhash, mixing, pieces
-from tokenledger.llm.common import written
+from tokenledger.llm.common import discard, written
 from tokenledger.llm.queries import piece_model
 from tokenledger.session import ship_package
 
@@ -97,8 +97,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over the documents of sf_dir, each written as Parquet and read again by the next; a stage's input goes when
+    its result stands."""
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}", merge=False)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
