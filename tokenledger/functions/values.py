@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+LIMBS = ("low", "mid", "high")
 LIMB, WIDE = 26, 78  # decimal digits of a limb, and of a 256-bit number
 
 
@@ -62,21 +63,87 @@ def limbs(number: Column, sign: Column | None = None) -> Column:
 
 def sum_limbs(df: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
     """Exact signed sums per key of a limbs column, as decimal text; partial sums combine before the shuffle."""
-    names = ("low", "mid", "high")
-    sums = df.groupBy(*keys).agg(*(F.sum(F.col(f"{column}.{k}")).alias(f"__{k}") for k in names))
-    sums = _carried(sums).withColumn("__minus", F.col("__h") < 0)
-    for k in names:  # a negative sum is turned around, and its limbs carried again
-        sums = sums.withColumn(f"__{k}", F.when(F.col("__minus"), -F.col(f"__{k}")).otherwise(F.col(f"__{k}")))
-    sums = _carried(sums)
-    digits = F.concat(F.col("__h").cast("string"), F.lpad(F.col("__m").cast("string"), LIMB, "0"), F.lpad(F.col("__l").cast("string"), LIMB, "0"))
-    text = F.regexp_replace(digits, "^0+(?=.)", "")
-    return sums.select(*keys, F.when(F.col("__minus"), F.concat(F.lit("-"), text)).otherwise(text).alias(out))
-
-
-def _carried(df: DataFrame) -> DataFrame:
-    """Limbs __l and __m of 26 digits, not negative, and __h with the sign, from the sums __low, __mid and __high."""
+    return with_text(carried(df.groupBy(*keys).agg(limb_sums(column).alias(out)), out), out)
+
+
+def limb_sums(column: str, over: WindowSpec | None = None, where: Column | None = None) -> Column:
+    """The sum of each limb of a limbs column, in a group or over a window; `carried` makes a number of it."""
+    each = []
+    for k in LIMBS:
+        part = F.col(f"{column}.{k}") if where is None else F.when(where, F.col(f"{column}.{k}"))
+        each.append((F.sum(part) if over is None else F.sum(part).over(over)).cast("decimal(38,0)").alias(k))
+    return F.struct(*each)
+
+
+def carried(df: DataFrame, column: str) -> DataFrame:
+    """df with the limb sums in `column` as a number: low and mid of 26 digits, not negative, and high with the sign."""
     base = f"cast('1{'0' * LIMB}' as decimal(38,0))"
-    df = df.withColumn("__l", F.expr(f"cast(pmod(__low, {base}) as decimal(38,0))"))
-    df = df.withColumn("__mid2", F.expr(f"cast(__mid + cast((__low - __l) div {base} as decimal(20,0)) as decimal(38,0))"))
-    df = df.withColumn("__m", F.expr(f"cast(pmod(__mid2, {base}) as decimal(38,0))"))
-    return df.withColumn("__h", F.expr(f"cast(__high + cast((__mid2 - __m) div {base} as decimal(20,0)) as decimal(38,0))"))
+    c = column
+    df = df.withColumn("__l", F.expr(f"cast(pmod({c}.low, {base}) as decimal(38,0))"))
+    df = df.withColumn("__m2", F.expr(f"cast({c}.mid + cast(({c}.low - __l) div {base} as decimal(20,0)) as decimal(38,0))"))
+    df = df.withColumn("__m", F.expr(f"cast(pmod(__m2, {base}) as decimal(38,0))"))
+    df = df.withColumn("__h", F.expr(f"cast({c}.high + cast((__m2 - __m) div {base} as decimal(20,0)) as decimal(38,0))"))
+    return df.withColumn(c, F.struct(F.col("__l").alias("low"), F.col("__m").alias("mid"), F.col("__h").alias("high"))).drop("__l", "__m2", "__m", "__h")
+
+
+def with_text(df: DataFrame, column: str) -> DataFrame:
+    """df with a carried number as decimal text."""
+    df = df.withColumn("__minus", F.col(f"{column}.high") < 0)
+    turned = F.struct(*(F.when(F.col("__minus"), -F.col(f"{column}.{k}")).otherwise(F.col(f"{column}.{k}")).cast("decimal(38,0)").alias(k) for k in LIMBS))
+    df = carried(df.withColumn(column, turned), column)
+    part = lambda k: F.lpad(F.col(f"{column}.{k}").cast("string"), LIMB, "0")
+    text = F.regexp_replace(F.concat(F.col(f"{column}.high").cast("string"), part("mid"), part("low")), "^0+(?=.)", "")
+    return df.withColumn(column, F.when(F.col("__minus"), F.concat(F.lit("-"), text)).otherwise(text)).drop("__minus")
+
+
+# --- quantities: whole numbers as bigint, or of any size up to 256 bits as decimal text ----------------
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """bigint, text or limbs: how a column of df holds quantities."""
+    kind = dict(df.dtypes)[column]
+    return "limbs" if kind.startswith("struct") else "text" if kind == "string" else "bigint"
+
+
+def signed(df: DataFrame, column: str, sign: int = 1) -> Column:
+    """A quantity as an addend of `totalled`: text becomes limbs; what isn't a number adds nothing."""
+    if kind_of(df, column) == "bigint":
+        return F.col(column) if sign > 0 else -F.col(column)
+    minus = F.startswith(F.col(column), F.lit("-"))
+    return limbs(F.ltrim(F.col(column), F.lit("-")), F.when(minus, -sign).otherwise(sign))
+
+
+def totalled(df: DataFrame, keys: list[str], column: str, out: str, *more: Column, where: Column | None = None) -> DataFrame:
+    """Exact sums per key, partial before the shuffle, of bigints (as bigint) or limbs (carried), with other aggregates."""
+    if kind_of(df, column) == "bigint":
+        part = F.col(column) if where is None else F.when(where, F.col(column))
+        return df.groupBy(*keys).agg(F.sum(part).alias(out), *more)
+    return carried(df.groupBy(*keys).agg(limb_sums(column, where=where).alias(out), *more), out)
+
+
+def running(df: DataFrame, column: str, out: str, over: WindowSpec) -> DataFrame:
+    """df with the exact sum of a bigint or limbs column over a window."""
+    if kind_of(df, column) == "bigint":
+        return df.withColumn(out, F.sum(column).over(over))
+    return carried(df.withColumn(out, limb_sums(column, over)), out)
+
+
+def above_zero(df: DataFrame, column: str) -> Column:
+    """Whether a quantity, a bigint, text or carried number, is above zero."""
+    kind, c = kind_of(df, column), F.col(column)
+    if kind == "bigint":
+        return c > 0
+    if kind == "text":
+        return c.rlike("^[0-9]*[1-9][0-9]*$")
+    high, rest = F.col(f"{column}.high"), (F.col(f"{column}.mid") != 0) | (F.col(f"{column}.low") != 0)
+    return (high > 0) | ((high == 0) & rest)
+
+
+def shown(df: DataFrame, column: str) -> DataFrame:
+    """df with carried numbers as text; bigints stay."""
+    return with_text(df, column) if kind_of(df, column) == "limbs" else df
+
+
+def size_order(df: DataFrame, column: str) -> Column:
+    """What orders quantities, none negative, by size."""
+    return F.lpad(F.col(column), WIDE, "0") if kind_of(df, column) == "text" else F.col(column)

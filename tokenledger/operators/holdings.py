@@ -1,7 +1,8 @@
 """Balances, owners and the order of events: aggregations and windows over an event log.
 
 An event has token_id, event_type, from_address, to_address, quantity, tx_hash, block_number, tx_index, ts and event_id,
-the order in which events were taken in.
+the order in which events were taken in. Quantities are bigints, or decimal text of up to 256 bits as decoding gives them;
+balances are of the same kind, and sums of text are exact.
 """
 
 from __future__ import annotations
@@ -9,29 +10,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..functions.identity import is_none_address
+from ..session import written
 
 OWNERSHIP = ["mint", "transfer", "burn"]
 
 
 def signed_deltas(events: DataFrame) -> DataFrame:
-    """Two rows an event: the sender loses and the receiver gains; rows of nobody are left out. A missing quantity is 1."""
-    q = F.coalesce(F.col("quantity"), F.lit(1))
-    sides = F.array(F.struct(F.col("from_address").alias("address"), (-q).alias("delta")), F.struct(F.col("to_address").alias("address"), q.alias("delta")))
-    own = events.where(F.col("event_type").isin(OWNERSHIP)).withColumn("side", F.explode(sides))
+    """Two rows an event: the sender loses and the receiver gains; rows of nobody are left out. A missing quantity is 1. delta is
+    a bigint, or limbs where quantities are text."""
+    one = F.lit("1") if V.kind_of(events, "quantity") == "text" else F.lit(1)
+    own = events.where(F.col("event_type").isin(OWNERSHIP)).withColumn("__q", F.coalesce(F.col("quantity"), one))
+    sides = F.array(F.struct(F.col("from_address").alias("address"), V.signed(own, "__q", -1).alias("delta")), F.struct(F.col("to_address").alias("address"), V.signed(own, "__q").alias("delta")))
+    own = own.withColumn("side", F.explode(sides)).drop("__q")
     return own.select("*", "side.address", "side.delta").drop("side").where(~is_none_address(F.col("address")))
 
 
+def net(deltas: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Sums above zero of deltas per key, as quantity, with other aggregates."""
+    sums = V.totalled(deltas, keys, "delta", "quantity", *more)
+    return V.shown(sums.where(V.above_zero(sums, "quantity")), "quantity")
+
+
 def replay_balances(events: DataFrame) -> DataFrame:
     """AGG1: balances above zero of each token and address."""
-    return signed_deltas(events).groupBy("token_id", "address").agg(F.sum("delta").alias("quantity")).where("quantity > 0")
+    return net(signed_deltas(events), ["token_id", "address"])
 
 
 def owner_balance(events: DataFrame, owner: str) -> DataFrame:
     """AGG2: one owner's net quantity of each token, zero at least. The owner's filter comes before the sums."""
     mine = events.where((F.col("from_address") == owner) | (F.col("to_address") == owner))
-    deltas = signed_deltas(mine).where(F.col("address") == owner)
-    return deltas.groupBy("token_id").agg(F.greatest(F.sum("delta"), F.lit(0)).alias("quantity"))
+    sums = V.totalled(signed_deltas(mine).where(F.col("address") == owner), ["token_id"], "delta", "quantity")
+    zero = F.lit("0") if V.kind_of(sums, "quantity") == "limbs" else F.lit(0)
+    out = V.shown(sums.withColumn("__above", V.above_zero(sums, "quantity")), "quantity")
+    return out.select("token_id", F.when(F.col("__above"), F.col("quantity")).otherwise(zero).alias("quantity"))
 
 
 def last_owner(events: DataFrame, order: list[str]) -> DataFrame:
@@ -61,9 +74,9 @@ def owned_tokens(events: DataFrame, owner: str, order: list[str], configured: Da
     mine = with_standard(events.where(F.col("event_type").isin(OWNERSHIP) & ((F.col("from_address") == owner) | (F.col("to_address") == owner))), configured)
     single = F.col("standard").isin(SINGLE_OWNER)
     last = mine.where(single).groupBy("token_id").agg(F.max_by(F.struct(F.coalesce(F.col("to_address") == owner, F.lit(False)).alias("held"), "block_number"), F.struct(*order)).alias("last"))
-    one = last.where("last.held").select("token_id", F.lit(1).cast("long").alias("quantity"), F.col("last.block_number").alias("last_block"))
-    net = signed_deltas(mine.where(~single)).where(F.col("address") == owner).groupBy("token_id").agg(F.sum("delta").alias("quantity"), F.max("block_number").alias("last_block"))
-    return one.unionByName(net.where("quantity > 0"))
+    many = net(signed_deltas(mine.where(~single)).where(F.col("address") == owner), ["token_id"], F.max("block_number").alias("last_block"))
+    one = last.where("last.held").select("token_id", F.lit(1).cast(dict(many.dtypes)["quantity"]).alias("quantity"), F.col("last.block_number").alias("last_block"))
+    return one.unionByName(many)
 
 
 def token_state(events: DataFrame, order: list[str]) -> DataFrame:
@@ -73,13 +86,15 @@ def token_state(events: DataFrame, order: list[str]) -> DataFrame:
     holder of one. Others have no one owner, and are burned when no balance above zero is left.
     """
     last = events.where(F.col("event_type").isin(OWNERSHIP)).groupBy("token_id").agg(F.max_by(F.struct("to_address", "event_type", "standard"), F.struct(*order)).alias("last"))
-    left = signed_deltas(events.where(~F.col("standard").isin(SINGLE_OWNER))).groupBy("token_id", "address").agg(F.sum("delta").alias("q"))
-    left = left.groupBy("token_id").agg(F.count_if(F.col("q") > 0).alias("n"), F.sum(F.greatest("q", F.lit(0))).alias("sum"))
+    left = V.totalled(signed_deltas(events.where(~F.col("standard").isin(SINGLE_OWNER))), ["token_id", "address"], "delta", "q")
+    left = left.where(V.above_zero(left, "q"))
+    left = V.shown(V.totalled(left, ["token_id"], "q", "sum", F.count("*").alias("n")), "sum")
+    amount = "string" if dict(left.dtypes)["sum"] == "string" else "long"
     met = last.join(left, "token_id", "left")
     single, n = F.col("last.standard").isin(SINGLE_OWNER), F.coalesce("n", F.lit(0))
     burned = F.when(single, F.col("last.event_type") == "burn").otherwise(n == 0)
     one = F.when(burned, 0).otherwise(1).cast("long")
-    return met.select("token_id", F.when(single & ~burned, F.col("last.to_address")).alias("owner"), burned.alias("burned"), F.when(single, one).otherwise(n).alias("holders"), F.when(single, one).otherwise(F.coalesce("sum", F.lit(0))).cast("long").alias("held"))
+    return met.select("token_id", F.when(single & ~burned, F.col("last.to_address")).alias("owner"), burned.alias("burned"), F.when(single, one).otherwise(n).alias("holders"), F.when(single, one.cast(amount)).otherwise(F.coalesce("sum", F.lit(0).cast(amount))).cast(amount).alias("held"))
 
 
 def last_provenance(events: DataFrame) -> DataFrame:
@@ -99,7 +114,7 @@ def token_counts(tokens: DataFrame, balances: DataFrame, distinct: bool = True)
 
     With distinct=False a token counts once for each of its balance rows where it is owned by current_owner.
     """
-    held = balances.where("quantity > 0").select("token_id", F.col("owner_address").alias("owner"))
+    held = balances.where(V.above_zero(balances, "quantity")).select("token_id", F.col("owner_address").alias("owner"))
     current = tokens.select("token_id", F.col("current_owner").alias("owner"))
     if not distinct:
         rows = balances.select("token_id", F.col("owner_address").alias("holder")).groupBy("token_id").agg(F.count("*").alias("rows"))
@@ -156,11 +171,28 @@ def ownership_timeline(events: DataFrame, order: list[Column]) -> DataFrame:
     return spans.where(~is_none_address(F.col("owner")))
 
 
-def owner_as_of(timeline: DataFrame, times: DataFrame) -> DataFrame:
-    """The owner at each (token_id, at), null where nobody held the token: an interval join on the timeline."""
-    t = timeline.withColumnRenamed("token_id", "tid")
-    hit = (F.col("token_id") == F.col("tid")) & (F.col("at") >= F.col("acquired_at")) & (F.col("released_at").isNull() | (F.col("at") < F.col("released_at")))
-    return times.join(t, hit, "left").select("token_id", "at", "owner")
+def owner_as_of(timeline: DataFrame, times: DataFrame, unit: str = "day") -> DataFrame:
+    """The owner at each (token_id, at), null where nobody held the token.
+
+    Starts and ends of intervals and the times asked are one union, cut in buckets of a unit of time. What a bucket begins
+    with is the last change of the buckets before it, from one row a token and bucket; within a bucket the last change
+    before each time decides. So a token with very many changes or times is spread over its buckets.
+    """
+    spans = timeline.where("released_at is null or released_at > acquired_at")
+    edge = lambda at, owner, place: spans.select("token_id", F.col(at).alias("at"), owner.alias("owner"), F.lit(place).alias("place"))
+    # an interval that begins where another ends comes after it, and a time asked after both
+    changes = edge("acquired_at", F.col("owner"), 1).unionByName(edge("released_at", F.lit(None).cast("string"), 0).where("at is not null"))
+    changes = changes.withColumn("bucket", F.date_trunc(unit, "at"))
+    asked = times.select("token_id", "at", F.lit(None).cast("string").alias("owner"), F.lit(2).alias("place")).withColumn("bucket", F.date_trunc(unit, "at"))
+    ends = changes.groupBy("token_id", "bucket").agg(F.max_by(F.struct("owner"), F.struct("at", "place")).alias("end"))
+    carried = ends.unionByName(asked.select("token_id", "bucket").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType)))
+    carried = carried.groupBy("token_id", "bucket").agg(F.first("end", True).alias("end"))
+    before = Window.partitionBy("token_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select("token_id", "bucket", F.last("end", True).over(before).alias("begin"))
+    rows = changes.unionByName(asked).withColumn("change", F.when(F.col("place") < 2, F.struct("owner")))
+    within = Window.partitionBy("token_id", "bucket").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("last", F.last("change", True).over(within)).where("place = 2")
+    return found.join(carried, ["token_id", "bucket"]).select("token_id", "at", F.coalesce("last", "begin")["owner"].alias("owner"))
 
 
 def block_counts(owned: DataFrame) -> DataFrame:
@@ -171,19 +203,36 @@ def block_counts(owned: DataFrame) -> DataFrame:
 
 def block_batches(owned: DataFrame, first: int, following: int) -> DataFrame:
     """WIN11: batches of each owner's tokens in block order, first of `first` tokens, then of `following`, that never
-    split a block: a batch ends with the block that fills it. Blocks are folded in order, one owner's at a time."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        batch, held, most, out = 0, 0, first, []
-        for n in rows.sort_values("block")["n"]:
-            out.append(batch)
-            held += n
-            if held >= most:
-                batch, held, most = batch + 1, 0, following
-        return rows.sort_values("block").assign(batch=out)[["owner", "block", "n", "batch"]]
+    split a block: a batch ends with the block that fills it.
 
-    return block_counts(owned).select("owner", "block", "n").groupBy("owner").applyInPandas(fold, "owner string, block long, n long, batch long")
+    A batch is known by the number of tokens before it. From each such number the next batch begins at the least running
+    total that is a batch's size further on; batches from the first on are then numbered by following these jumps in
+    doubled strides, so n batches take log2(n) joins.
+    """
+    counted = written(block_counts(owned).select("owner", "block", "n", "upto"), "block-counts")
+    totals = counted.select("owner", F.col("upto").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("from"))
+    # totals at or above a number come before it in falling order; the last one seen is the least
+    seen = Window.partitionBy("owner").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+
+    def jumps(starts: DataFrame, size: int) -> DataFrame:
+        asked = starts.select("owner", (F.col("from") + size).alias("at"), F.lit(1).alias("asks"), "from")
+        both = totals.unionByName(asked).withColumn("to", F.last(F.when(F.col("asks") == 0, F.col("at")), True).over(seen))
+        return both.where("asks = 1 and to is not null").select("owner", "from", "to")
+
+    begin = jumps(counted.select("owner").distinct().withColumn("from", F.lit(0).cast("long")), first)
+    reached = written(begin.select("owner", F.col("to").alias("from"), F.lit(1).cast("long").alias("batch")), "reached")
+    stride, jump = 1, written(jumps(counted.select("owner", F.col("upto").alias("from")), following), "jumps")
+    while True:
+        further = reached.join(jump, ["owner", "from"]).select("owner", F.col("to").alias("from"), (F.col("batch") + stride).alias("batch"))
+        further = written(further, "further")
+        if further.isEmpty():
+            break
+        reached = written(reached.unionByName(further), "reached")
+        jump = written(jump.join(jump.select("owner", F.col("from").alias("to"), F.col("to").alias("end")), ["owner", "to"]).select("owner", "from", F.col("end").alias("to")), "jumps")
+        stride *= 2
+    upto = Window.partitionBy("owner").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    begun = counted.withColumn("from", F.col("upto") - F.col("n")).join(reached, ["owner", "from"], "left")
+    return begun.select("owner", "block", "n", F.coalesce(F.last("batch", True).over(upto), F.lit(0)).alias("batch"))
 
 
 def quota_cut(owned: DataFrame, quota: DataFrame) -> DataFrame:
@@ -205,12 +254,13 @@ def replay_with_limit(events: DataFrame, limit: int, descending: bool = False) -
     single = F.col("standard").isin(SINGLE_OWNER)
     sides = signed_deltas(events).withColumn("to_me", (F.col("address") == F.col("to_address")).cast("int"))
     place = F.struct("block_number", "tx_index", "event_id", F.coalesce("to_me", F.lit(0)))
-    rows = sides.groupBy("address", "token_id", "block_number").agg(F.sum("delta").alias("delta"), F.max_by(F.coalesce("to_me", F.lit(0)), place).alias("to_me"), F.first("standard").alias("standard"))
+    rows = V.totalled(sides, ["address", "token_id", "block_number"], "delta", "delta", F.max_by(F.coalesce("to_me", F.lit(0)), place).alias("to_me"), F.first("standard").alias("standard"))
     way = F.desc("block_number") if descending else F.asc("block_number")
     one = Window.partitionBy("address", "token_id").orderBy(way)
     upto = one.rowsBetween(Window.unboundedPreceding, 0)
     decides = F.first("to_me").over(upto) if descending else F.col("to_me")
-    rows = rows.withColumn("held", F.when(single, decides == 1).otherwise(F.sum("delta").over(upto) > 0))
+    rows = V.running(rows.withColumn("__decides", decides == 1), "delta", "__sum", upto)
+    rows = rows.withColumn("held", F.when(single, F.col("__decides")).otherwise(V.above_zero(rows, "__sum"))).drop("__decides", "__sum")
     rows = rows.withColumn("change", F.col("held").cast("int") - F.coalesce(F.lag("held").over(one).cast("int"), F.lit(0)))
     whole = Window.partitionBy("address").orderBy(way)
     blocks = rows.groupBy("address", "block_number").agg(F.sum("change").alias("change"))

@@ -122,8 +122,8 @@ def without_gated(health: DataFrame, probes: DataFrame) -> DataFrame:
     return health.join(probes.where("health_gated").select("url_hash"), "url_hash", "left_anti")
 
 
-def hash_neighbours(hashes: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """JN7: the first known fingerprint, in list order, within `most` bits of each hash.
+def near_known(hashes: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(id, hash, and known's columns) of the pairs of a hash and a known fingerprint (bits) that differ in `most` bits at most.
 
     Two hashes that differ in at most `most` bits agree in one of most + 1 bands of their 64 bits, so bands are joined
     by equality and candidates checked bit by bit; no pair is missed and nothing is crossed.
@@ -135,9 +135,13 @@ def hash_neighbours(hashes: DataFrame, known: DataFrame, most: int) -> DataFrame
         return F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(c, cut[k]).bitwiseAND(F.lit((1 << (cut[k + 1] - cut[k])) - 1 if cut[k + 1] - cut[k] < 64 else -1)).alias("part")) for k in range(n))))
 
     left = hashes.select("id", "hash", bands(F.col("hash")).alias("b"))
-    right = known.select(F.col("position"), F.col("bits"), bands(F.col("bits")).alias("b"))
-    met = left.join(right, "b").where(F.bit_count(F.col("hash").bitwiseXOR(F.col("bits"))) <= most)
-    return met.groupBy("id").agg(F.min("position").alias("position"))
+    right = known.select("*", bands(F.col("bits")).alias("b"))
+    return left.join(right, "b").where(F.bit_count(F.col("hash").bitwiseXOR(F.col("bits"))) <= most).drop("b")
+
+
+def hash_neighbours(hashes: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """JN7: the first known fingerprint, in list order, within `most` bits of each hash."""
+    return near_known(hashes, known.select("position", "bits"), most).groupBy("id").agg(F.min("position").alias("position"))
 
 
 def due_items(verdicts: DataFrame, tokens: DataFrame, source: str, now: Column) -> DataFrame:

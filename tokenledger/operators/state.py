@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..functions.identity import is_none_address
 from ..functions.uris import parse_data_uri
 from ..functions.values import hamming, severity
-from .selection import without_gated
+from .holdings import net
+from .selection import near_known, without_gated
 
 ANIMATION = ["metadata_animation", "enrichment_animation"]
 IMAGE = ["metadata_image", "enrichment_image"]
@@ -159,12 +160,17 @@ def probe_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("url_hash", F.coalesce("phash", "__phash").alias("baseline_phash"), F.coalesce("__phash", "phash").alias("phash"), F.coalesce("__captured_at", "captured_at").alias("captured_at"), due.alias("next_check_at"), (was | F.coalesce("__health_gated", F.lit(False))).alias("health_gated"))
 
 
-def render_verdict(captures: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """STATE13: a known bad fingerprint within its distance decides, then too little variance (blank), else ok. The list
-    of fingerprints is short configuration; each capture meets each of them."""
-    near = captures.join(F.broadcast(known.select("bits", "max_distance")), hamming(F.col("hash"), F.col("bits")) <= F.col("max_distance"), "left_semi").select("id").withColumn("__bad", F.lit(True))  # bound: the configured list
+def render_verdict(captures: DataFrame, known: DataFrame, threshold: float, most: int = 15) -> DataFrame:
+    """STATE13: a known bad fingerprint (bits, max_distance) within its distance decides, then too little variance (blank), else
+    ok. Fingerprints of up to `most` bits of distance meet captures by bands (JN7), each then by its own distance; those of
+    more, which bands can't tell apart, are compared with every capture and are few."""
+    narrow, wide = known.where(F.col("max_distance") <= most), known.where(F.col("max_distance") > most)
+    within = hamming(F.col("hash"), F.col("bits")) <= F.col("max_distance")
+    near = near_known(captures.select("id", "hash"), narrow.select("bits", "max_distance"), most).where(within).select("id")
+    far = captures.join(F.broadcast(wide.select("bits", "max_distance")), within, "left_semi").select("id")  # bound: the configured list
+    bad = near.unionByName(far).distinct().withColumn("__bad", F.lit(True))
     verdict = F.when(F.col("__bad"), "known_bad_fingerprint").when(F.col("variance") < threshold, "blank").otherwise("rendered_ok")
-    return captures.join(near, "id", "left").select("id", verdict.alias("verdict"))
+    return captures.join(bad, "id", "left").select("id", verdict.alias("verdict"))
 
 
 SNIFFED = (("89504E470D0A1A0A", "image/png"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("FFD8FF", "image/jpeg"), ("424D", "image/bmp"), ("25504446", "application/pdf"))  # fixed values: leading bytes of file types
@@ -217,32 +223,34 @@ def whole_container(head: Column, found: Column) -> Column:
     return F.when(found == "image/png", (size < 24) | png).when(found == "image/gif", (size < 10) | gif).when(at(0, 4) == "52494646", (size < 12) | webp).when(found == "image/jpeg", jpeg_segments(F.when(found == "image/jpeg", head))).otherwise(F.lit(True))
 
 
-def _jpeg_whole(body: bytes | None) -> bool:
-    """Follows the lengths from segment to segment as far as the bytes go, or to the start of the image data."""
-    at = 2
-    while body is not None and at + 4 <= len(body):
-        if body[at] != 0xFF:
-            return False
-        kind = body[at + 1]
-        if kind == 0xDA:
-            return True
-        if kind == 0xFF:  # fill byte
-            at += 1
-        elif kind == 0x01 or 0xD0 <= kind <= 0xD7:  # markers that have no length
-            at += 2
-        else:
-            length = int.from_bytes(body[at + 2 : at + 4], "big")
-            if length < 2:
-                return False
-            at += 2 + length
-    return True
-
-
 def jpeg_segments(head: Column) -> Column:
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(_jpeg_whole)
+    """Whether JPEG bytes are segments as far as they go, or up to the start of the image data, from the format: after the two
+    bytes FFD8 come markers, FF and a kind; FF before a marker fills; kinds 01 and D0 to D7 stand alone; any other is
+    followed by the length of its segment, two bytes that count themselves; the last marker is DA.
+
+    A fold over the markers in hex: every step passes an FF, so there are no more steps than these."""
+    hex_ = F.hex(head)
+    steps = F.length(hex_) - F.length(F.replace(hex_, F.lit("FF"), F.lit("F")))
+    at = lambda s, skip, n: F.substr(hex_, s["at"] + skip, F.lit(n))
+    state = lambda place, whole: F.struct(place.cast("int").alias("at"), whole.cast("boolean").alias("whole"))
+    none = F.lit(None)
+
+    def step(s: Column, _: Column) -> Column:
+        kind = at(s, 2, 2)
+        size = F.conv(at(s, 4, 4), 16, 10).cast("int")
+        return (
+            F.when(s["whole"].isNotNull(), s)
+            .when(s["at"] + 7 > F.length(hex_), state(s["at"], F.lit(True)))
+            .when(at(s, 0, 2) != "FF", state(s["at"], F.lit(False)))
+            .when(kind == "DA", state(s["at"], F.lit(True)))
+            .when(kind == "FF", state(s["at"] + 2, none))
+            .when((kind == "01") | kind.between("D0", "D7"), state(s["at"] + 4, none))
+            .when(size < 2, state(s["at"], F.lit(False)))
+            .otherwise(state(s["at"] + 4 + 2 * size, none))
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), steps + 1), state(F.lit(5), none), step, lambda s: F.coalesce(s["whole"], F.lit(True)))
 
-    return F.pandas_udf(run, "boolean")(head)
 
 
 def data_uri_verdict(uris: DataFrame, allowed: tuple[str, ...] = ("image/", "video/", "audio/", "text/", "model/", "application/")) -> DataFrame:
@@ -327,9 +335,10 @@ def failure_backoff(failures: Column, base: int, most: int, after: int) -> Colum
 
 
 def apply_transfers(balances: DataFrame, deltas: DataFrame) -> DataFrame:
-    """STATE17: balances (token_id, owner_address, quantity) after signed deltas; what isn't above zero goes."""
-    both = balances.select("token_id", "owner_address", "quantity").unionByName(deltas.select("token_id", "owner_address", F.col("delta").alias("quantity")))
-    return both.groupBy("token_id", "owner_address").agg(F.sum("quantity").alias("quantity")).where("quantity > 0")
+    """STATE17: balances (token_id, owner_address, quantity) after signed deltas; what isn't above zero goes. Both are bigints, or
+    decimal text of any size up to 256 bits, negative deltas with a minus."""
+    each = lambda df, c: df.select("token_id", "owner_address", V.signed(df, c).alias("delta"))
+    return net(each(balances, "quantity").unionByName(each(deltas, "delta")), ["token_id", "owner_address"])
 
 
 def feed_721(events: DataFrame, order: list[str]) -> DataFrame:
@@ -347,10 +356,11 @@ def feed_721(events: DataFrame, order: list[str]) -> DataFrame:
 def feed_multi(deltas: DataFrame, order: list[str]) -> DataFrame:
     """STATE19: acquired when an address's running balance rises above zero, released when it falls to zero or below, at each event."""
     w = Window.partitionBy("token_id", "address").orderBy(*order)
-    run = deltas.withColumn("after", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(0)))
-    kind = F.when((F.col("before") <= 0) & (F.col("after") > 0), "acquired").when((F.col("before") > 0) & (F.col("after") <= 0), "released")
-    return run.withColumn("kind", kind).where("kind is not null")
+    run = V.running(deltas, "delta", "after", w.rowsBetween(Window.unboundedPreceding, 0))
+    run = run.withColumn("__now", V.above_zero(run, "after"))
+    run = run.withColumn("__was", F.coalesce(F.lag("__now").over(w), F.lit(False)))
+    kind = F.when(~F.col("__was") & F.col("__now"), "acquired").when(F.col("__was") & ~F.col("__now"), "released")
+    return V.shown(run.withColumn("kind", kind).where("kind is not null").drop("__now", "__was"), "after")
 
 
 def dedupe_feed(feed: DataFrame) -> DataFrame:
@@ -385,7 +395,7 @@ def append_metadata_updates(events: DataFrame, updates: DataFrame, tokens: DataF
 
 def merge_owner(balances: DataFrame, fresh: DataFrame, owner: str) -> DataFrame:
     """STATE20: one owner's balances replaced by a fresh read, all others untouched."""
-    return balances.where(F.col("owner_address") != owner).unionByName(fresh.where((F.col("owner_address") == owner) & (F.col("quantity") > 0)).select(balances.columns))
+    return balances.where(F.col("owner_address") != owner).unionByName(fresh.where((F.col("owner_address") == owner) & V.above_zero(fresh, "quantity")).select(balances.columns))
 
 
 def merge_ranges(watched: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
