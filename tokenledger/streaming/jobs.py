@@ -7,24 +7,29 @@ batches before it left, by number, so a batch that runs twice gives the same. Ot
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.values import kind_of
 from ..operators.selection import match_clients
 from ..session import scratch_dir
 
 
-def run_available(stream: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> DataFrame | None:
-    """Runs a stream over what is there now and returns what it wrote (append mode), or hands batches to each_batch."""
+def run_available(stream: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None, top: str | None = None) -> DataFrame | None:
+    """Runs a stream over what is there now and returns what it wrote (append mode), or hands batches to each_batch. With
+    `top`, a folder of an earlier run, the stream goes on from there, and what both wrote is returned."""
     spark = stream.sparkSession
-    top = f"{scratch_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    top = top or f"{scratch_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{top}/checkpoint")
     if each_batch:
         writer.foreachBatch(each_batch).start().awaitTermination()
@@ -33,9 +38,13 @@ def run_available(stream: DataFrame, name: str, each_batch: Callable[[DataFrame,
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
 
 
+KEEP = 100  # batches by which a job can be set back
+
+
 @dataclass
 class BatchTables:
-    """Tables of a job by batch: `name` as batch `at` left it. A batch overwrites its own version only."""
+    """Tables of a job by batch: `name` as batch `at` left it. A batch overwrites its own version only, and starts from the
+    latest version before it, so that one that runs twice starts from the same."""
 
     spark: SparkSession
     path: str
@@ -44,17 +53,47 @@ class BatchTables:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={at}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/batch_id={at}")
 
+    def _folder(self, name: str) -> tuple[Any, Any]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self, name: str) -> list[int]:
+        """Batches that have left a whole version; one that was cut short has none."""
+        path, fs = self._folder(name)
+        found = [x.getPath() for x in fs.listStatus(path)] if fs.exists(path) else []
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(x.getName().partition("=")[2]) for x in found if fs.exists(done(x, "_SUCCESS")))
+
     def before(self, name: str, at: int, schema: str) -> DataFrame:
         """The version of the latest batch before `at`; empty if there is none."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
-        last = max((x for x in found if x < at), default=None)
+        last = max((x for x in self.versions(name) if x < at), default=None)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch_id={last}") if last is not None else self.spark.createDataFrame([], schema)
 
     def all(self, name: str, schema: str) -> DataFrame:
+        if not self.versions(name):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(f"{schema}, batch_id int").parquet(f"{self.path}/{name}").drop("batch_id")
 
+    def of(self, name: str, batches: list[int], schema: str) -> DataFrame:
+        """The versions of some batches, and no other files."""
+        paths = [f"{self.path}/{name}/batch_id={k}" for k in batches]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def clock(self, at: int, now: float | None) -> float:
+        """The time of batch `at` in seconds since 1970: `now`, else the clock, when it runs first; the same when it runs again."""
+        if at not in self.versions("clock"):
+            self.write(self.spark.createDataFrame([(time.time() if now is None else float(now),)], "now double").coalesce(1), "clock", at)
+        return self.spark.read.schema("now double").parquet(f"{self.path}/clock/batch_id={at}").first()[0]
+
+    def expire(self, names: list[str], at: int, kept: set[int] | None = None) -> None:
+        """Removes versions that none of the last KEEP batches up to `at` starts from, but those in `kept`. As in Spark's own
+        checkpoints, a job can be set back by that many batches."""
+        for name in names:
+            path, fs = self._folder(name)
+            older = [x for x in self.versions(name) if x < at - KEEP]
+            for x in older[:-1] if kept is None else [x for x in older if x not in kept]:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"batch_id={x}"), True)
+
 
 CURSOR = "chain string, block_number long"
 
@@ -77,6 +116,7 @@ class OrderedIngest:
         done = tables.write(fresh.repartition("chain", "block_number").sortWithinPartitions("chain", "block_number", "tx_index"), "events", batch_id)
         heads = done.select("chain", "block_number").unionByName(cursor.toDF("chain", "block_number")).groupBy("chain").agg(F.max("block_number").alias("block_number"))
         tables.write(heads.coalesce(1), "cursors", batch_id)  # one row a chain
+        tables.expire(["cursors"], batch_id)
 
     def run(self, stream: DataFrame) -> DataFrame:
         run_available(stream, "ingest", self.batch, f"{self.path}/checkpoint")
@@ -90,13 +130,18 @@ def dedupe_stream(stream: DataFrame, time: str, delay: str, keys: list[str]) ->
 
 
 FEED = "chain string, level bigint, feed string, id bigint, payload string"
+LEVELS = "chain string, level bigint, arrived bigint, since double"
 
 
 @dataclass
 class LevelAlign:
     """STR3: rows (chain, level, feed, id, payload) of two feeds, released by level once both feeds are past it, transfers
-    before metadata. A chain with more than max_levels waiting releases its lowest ones, and what has waited longer than
-    timeout seconds goes out; rows of a level already released are dropped. reason says which."""
+    before metadata. A chain with more than max_levels waiting releases its lowest ones, and a level that has waited longer
+    than timeout seconds since its first row goes out; rows of a level already released are dropped. reason says which.
+
+    Rows are written once, as they arrive. What waits is a table of levels with the batches in which they arrived, so a
+    release reads these batches' rows and no others, and the rows of a batch go when none of its levels waits. A batch's
+    time is stored when it first runs, so one that runs again, at whatever time, gives the same."""
 
     spark: SparkSession
     path: str
@@ -105,24 +150,33 @@ class LevelAlign:
 
     def batch(self, rows: DataFrame, batch_id: int, now: float | None = None) -> None:
         """now: seconds since 1970, else the clock."""
-        tables, at = BatchTables(self.spark, self.path), F.lit(now) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
+        tables = BatchTables(self.spark, self.path)
+        at = F.lit(tables.clock(batch_id, now))
         heads = tables.before("heads", batch_id, "chain string, feed string, level bigint")
         sealed = tables.before("sealed", batch_id, "chain string, sealed bigint")
+        before = tables.before("levels", batch_id, LEVELS)
+        new = rows.join(sealed, "chain", "left").where("sealed is null or level > sealed").select("chain", "level", "feed", "id", "payload")
+        new = tables.write(new, "arrived", batch_id)
         heads = tables.write(heads.unionByName(rows.select("chain", "feed", "level")).groupBy("chain", "feed").agg(F.max("level").alias("level")).coalesce(1), "heads", batch_id)
         both = heads.groupBy("chain").agg(F.when(F.count("*") == 2, F.min("level")).alias("both"))
-        new = rows.join(sealed, "chain", "left").where("sealed is null or level > sealed").drop("sealed").withColumn("since", at.cast("double"))
-        waiting = tables.before("waiting", batch_id, f"{FEED}, since double").unionByName(new.select("chain", "level", "feed", "id", "payload", "since"))
-        met = waiting.join(both, "chain", "left").withColumn("aligned", F.coalesce(F.col("level") < F.col("both"), F.lit(False)))
-        levels = met.where("not aligned").select("chain", "level").distinct()
+        met = before.unionByName(new.select("chain", "level").distinct().select("chain", "level", F.lit(batch_id).cast("bigint").alias("arrived"), at.cast("double").alias("since")))
+        levels = met.groupBy("chain", "level").agg(F.min("since").alias("first")).join(both, "chain", "left").withColumn("aligned", F.coalesce(F.col("level") < F.col("both"), F.lit(False)))
         rank = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("level")))  # a limit that starts before the shuffle
-        least = levels.withColumn("k", rank).where(F.col("k") <= self.max_levels).groupBy("chain").agg(F.min("level").alias("least"))
-        met = met.join(least, "chain", "left")
-        reason = F.when(F.col("aligned"), "aligned").when(F.col("since") <= at - self.timeout, "timeout").when(F.col("level") < F.col("least"), "overflow")
-        met = tables.write(met.withColumn("reason", reason).select("chain", "level", "feed", "id", "payload", "since", "reason"), "met", batch_id)
-        out = met.where("reason is not null")
-        tables.write(out.drop("since").repartition("chain", "level").sortWithinPartitions("chain", "level", F.desc("feed"), "id"), "released", batch_id)
-        tables.write(met.where("reason is null").drop("reason"), "waiting", batch_id)
+        least = levels.where("not aligned").withColumn("k", rank).where(F.col("k") <= self.max_levels).groupBy("chain").agg(F.min("level").alias("least"))
+        reason = F.when(F.col("aligned"), "aligned").when(F.col("first") <= at - self.timeout, "timeout").when(F.col("level") < F.col("least"), "overflow")
+        judged = levels.join(least, "chain", "left").select("chain", "level", reason.alias("reason"))
+        judged = tables.write(met.join(judged, ["chain", "level"]), "judged", batch_id)
+        out = judged.where("reason is not null")
+        # a micro-batch number each, at most as many as levels can wait
+        batches = [r[0] for r in out.select("arrived").distinct().collect()]
+        parts = [tables.of("arrived", [k], FEED).withColumn("arrived", F.lit(k).cast("bigint")) for k in batches]
+        held = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{FEED}, arrived bigint")
+        released = held.join(out.select("chain", "level", "arrived", "reason"), ["chain", "level", "arrived"]).select("chain", "level", "feed", "id", "payload", "reason")
+        tables.write(released.repartition("chain", "level").sortWithinPartitions("chain", "level", F.desc("feed"), "id"), "released", batch_id)
+        waiting = tables.write(judged.where("reason is null").drop("reason").coalesce(1), "levels", batch_id)  # bounded: levels that wait
         tables.write(sealed.unionByName(out.select("chain", F.col("level").alias("sealed"))).groupBy("chain").agg(F.max("sealed").alias("sealed")).coalesce(1), "sealed", batch_id)
+        tables.expire(["heads", "sealed", "levels", "judged", "clock"], batch_id)
+        tables.expire(["arrived"], batch_id, {r[0] for r in before.unionByName(waiting).select("arrived").distinct().collect()})
 
     def run(self, stream: DataFrame) -> DataFrame:
         run_available(stream, "align", self.batch, f"{self.path}/checkpoint")
@@ -140,53 +194,72 @@ def backfill_handoff(transfers: DataFrame, metadata: DataFrame, live: DataFrame)
 
 
 BLOCK = "chain string, block_number bigint, id bigint"
+CLOCK = "__clock"  # the chain of a heartbeat
+
+
+def with_heartbeat(stream: DataFrame) -> DataFrame:
+    """A stream of blocks with a row of no chain each second, so that batches come, and time passes, also without new blocks."""
+    beat = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return stream.select("chain", "block_number", "id").unionByName(beat.select(F.lit(CLOCK).alias("chain"), F.lit(0).cast("bigint").alias("block_number"), F.lit(0).cast("bigint").alias("id")))
 
 
 @dataclass
 class IdleFlush:
-    """STR5: rows (chain, block_number, id) of whole blocks: a block goes out when a higher one of its chain comes, or, by
-    flush(), after the chain had no new rows for some time."""
+    """STR5: rows (chain, block_number, id) in whole blocks: a block goes out when a higher one of its chain comes, or when
+    its chain had no new rows for `idle` seconds (flushed is true). Rows that come later for a flushed block go out as rows of
+    a new head. A batch does both, under its own number and with the time stored when it first ran, so no row goes out
+    twice, whatever batch runs again."""
 
     spark: SparkSession
     path: str
+    idle: float = 30.0
 
     def batch(self, rows: DataFrame, batch_id: int, now: float | None = None) -> None:
-        tables, at = BatchTables(self.spark, self.path), F.lit(now) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
-        new = rows.select("chain", "block_number", "id").withColumn("since", at.cast("double"))
+        tables = BatchTables(self.spark, self.path)
+        at = F.lit(tables.clock(batch_id, now)).cast("double")
+        new = rows.where(F.col("chain") != CLOCK).select("chain", "block_number", "id").withColumn("since", at)
         met = tables.before("waiting", batch_id, f"{BLOCK}, since double").unionByName(new)
         head = met.groupBy("chain").agg(F.max("block_number").alias("head"), F.max("since").alias("seen"))
-        met = tables.write(met.join(head, "chain"), "met", batch_id)
-        tables.write(met.where("block_number < head").select("chain", "block_number", "id"), "blocks", batch_id)
-        tables.write(met.where("block_number = head").select("chain", "block_number", "id", F.col("seen").alias("since")), "waiting", batch_id)
-
-    def flush(self, batch_id: int, now: float, idle: float) -> None:
-        """As a batch of its own: what waits in chains without new rows for `idle` seconds goes out."""
-        tables = BatchTables(self.spark, self.path)
-        waiting = tables.before("waiting", batch_id, f"{BLOCK}, since double")
-        tables.write(waiting.where(F.col("since") <= now - idle).drop("since"), "blocks", batch_id)
-        tables.write(waiting.where(F.col("since") > now - idle), "waiting", batch_id)
+        flushed = F.col("block_number") == F.col("head")
+        out = ~flushed | (F.col("seen") <= at - self.idle)
+        met = tables.write(met.join(head, "chain").select("chain", "block_number", "id", F.col("seen").alias("since"), flushed.alias("flushed"), out.alias("out")), "met", batch_id)
+        tables.write(met.where("out").select("chain", "block_number", "id", "flushed"), "blocks", batch_id)
+        tables.write(met.where("not out").select("chain", "block_number", "id", "since"), "waiting", batch_id)  # heads only
+        tables.expire(["waiting", "met", "clock"], batch_id)
 
     def run(self, stream: DataFrame) -> DataFrame:
         run_available(stream, "idle", self.batch, f"{self.path}/checkpoint")
-        return BatchTables(self.spark, self.path).all("blocks", BLOCK)
+        return self.blocks()
+
+    def start(self, stream: DataFrame, every: str = "10 seconds") -> StreamingQuery:
+        """Runs on until it is stopped, a batch at least every so often, also without new rows."""
+        writer = with_heartbeat(stream).writeStream.option("checkpointLocation", f"{self.path}/checkpoint").trigger(processingTime=every)
+        return writer.foreachBatch(self.batch).start()
+
+    def blocks(self) -> DataFrame:
+        return BatchTables(self.spark, self.path).all("blocks", f"{BLOCK}, flushed boolean")
 
 
 def running_holdings(stream: DataFrame) -> DataFrame:
     """STR6: the balance of an address after each event (token_id, event_id, from_address, to_address, quantity) that changes it,
     with kind acquired where it rises above zero, released where it no longer is, else null. State is one number for each
-    token and address."""
-    sides = F.array(F.struct(F.col("from_address").alias("address"), (-F.col("quantity")).alias("delta")), F.struct(F.col("to_address").alias("address"), F.col("quantity").alias("delta")))
+    token and address, as decimal text, so it has no bound; quantities and balances are bigints, or text where those are."""
+    wide = kind_of(stream, "quantity") == "text"
+    amount = F.col("quantity").cast("string")
+    minus = F.when(F.startswith(amount, F.lit("-")), F.ltrim(amount, F.lit("-"))).otherwise(F.concat(F.lit("-"), amount))
+    sides = F.array(F.struct(F.col("from_address").alias("address"), minus.alias("delta")), F.struct(F.col("to_address").alias("address"), amount.alias("delta")))
     each = stream.where("not (from_address <=> to_address)").withColumn("side", F.explode(sides)).select("token_id", "event_id", "side.address", "side.delta").where("address is not null")
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        after = rows["delta"].cumsum() + (state.get[0] if state.exists else 0)
-        was, now = (after - rows["delta"]) > 0, after > 0
-        kind = pd.Series(None, rows.index, object).mask(now & ~was, "acquired").mask(was & ~now, "released")
-        state.update((int(after.iloc[-1]),))
-        yield pd.DataFrame({"token_id": key[0], "address": key[1], "event_id": rows["event_id"], "quantity": after, "kind": kind})
-
-    return each.groupBy("token_id", "address").applyInPandasWithState(fold, "token_id bigint, address string, event_id bigint, quantity bigint, kind string", "held bigint", "append", GroupStateTimeout.NoTimeout)
+        rows, held, out = pd.concat(list(frames)).sort_values("event_id"), int(state.get[0]) if state.exists else 0, []
+        for event, delta in zip(rows["event_id"], rows["delta"], strict=True):
+            was, held = held > 0, held + int(delta or 0)
+            out.append((key[0], key[1], event, str(held) if wide else held, "acquired" if held > 0 and not was else "released" if was and held <= 0 else None))
+        state.update((str(held),))
+        yield pd.DataFrame(out, columns=["token_id", "address", "event_id", "quantity", "kind"])
+
+    kind = "string" if wide else "bigint"
+    return each.groupBy("token_id", "address").applyInPandasWithState(fold, f"token_id bigint, address string, event_id bigint, quantity {kind}, kind string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 @dataclass
