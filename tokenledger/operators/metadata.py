@@ -5,9 +5,6 @@ Normalised metadata has token_id, name, description, image_url, animation_url an
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,20 +133,10 @@ def overlay_opensea(rows: DataFrame) -> DataFrame:
     return _overlay(rows, "opensea", name=_filled(_text(v, "name")), description=_filled(_text(v, "description")), image_url=sized, animation_url=_filled(_text(v, "display_animation_url")), artists=F.when(artist.isNotNull(), _artist(F.lit(None).cast("string"), artist)), release_id=F.when(member, slug), release_slug=F.when(member, slug), mint_number=F.when(member, mint), moderation_status=spam_status(_text(v, "is_disabled").try_cast("boolean"), F.lit(None).cast("string")))
 
 
-def _canonical(x: str | None) -> str | None:
-    try:
-        return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except ValueError:
-        return None
-
-
 def canonical_json(raw: Column) -> Column:
-    """JSON with sorted keys at every depth and no spaces; null for what isn't JSON."""
-
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(_canonical)
-
-    return F.pandas_udf(run, "string")(raw)
+    """JSON with sorted keys at every depth and no spaces, numbers by value; null for what isn't JSON, or names a key twice in
+    one object. Objects of a variant hold their keys in order."""
+    return F.to_json(F.try_parse_json(raw))
 
 
 def json_hash(raw: Column) -> Column:
@@ -184,21 +171,39 @@ def member_upsert(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
     return ranked.where(~bad).select("release_id", "token_id", "mint_number"), ranked.where(bad).select("release_id", "token_id", "mint_number")
 
 
+MERGED = ("name", "description", "image_url", "animation_url", "artist")
+
+
+def merged_fields(overlay: dict[str, Column], metadata: dict[str, Column]) -> dict[str, Column]:
+    """The overlay's fields before the metadata's; its artists only where there are any."""
+    out = {c: F.coalesce(overlay[c], metadata[c]) for c in MERGED}
+    return out | {"artist": F.when(overlay["artist"] != "", overlay["artist"]).otherwise(metadata["artist"])}
+
+
 def display_merge(metadata: DataFrame, overlay: DataFrame) -> DataFrame:
-    """MD12: the overlay's fields before the metadata's; its artists only where there are any."""
-    o = overlay.select("token_id", *(F.col(c).alias(f"__{c}") for c in ("name", "description", "image_url", "animation_url", "artist")))
-    met = metadata.join(o, "token_id", "left")
-    return met.select("token_id", *(F.coalesce(f"__{c}", c).alias(c) for c in ("name", "description", "image_url", "animation_url")), F.when(F.col("__artist") != "", F.col("__artist")).otherwise(F.col("artist")).alias("artist"))
+    """MD12: metadata with the overlay's fields where it has them."""
+    o = overlay.select("token_id", *(F.col(c).alias(f"__{c}") for c in MERGED))
+    met = merged_fields({c: F.col(f"__{c}") for c in MERGED}, {c: F.col(c) for c in MERGED})
+    return metadata.join(o, "token_id", "left").select("token_id", *(c.alias(k) for k, c in met.items()))
 
 
-def display_healthy(display: DataFrame, health: DataFrame) -> DataFrame:
-    """MD13: animation and image each: the overlay's URL if healthy, else the metadata's if healthy, else null; untouched
-    for tokens without rows of that kind. display has token_id, image_url, animation_url."""
+def healthy_picks() -> list[Column]:
+    """Of a token's health rows, for image and animation each: the URL to show (the overlay's if healthy, else the metadata's
+    if healthy, else null) and whether there are rows of that kind."""
     pick = lambda kind: F.coalesce(*(F.max(F.when((F.col("media_source") == f"{s}_{kind}") & (F.col("health_status") == "healthy"), F.col("media_url"))) for s in ("enrichment", "metadata"))).alias(f"__{kind}")
     has = lambda kind: F.bool_or(F.col("media_source").endswith(kind)).alias(f"__has_{kind}")
-    per = health.groupBy("token_id").agg(pick("image"), pick("animation"), has("image"), has("animation"))
-    met = display.join(per, "token_id", "left")
-    return met.select("token_id", *(F.when(F.col(f"__has_{k}"), F.col(f"__{k}")).otherwise(F.col(f"{k}_url")).alias(f"{k}_url") for k in ("image", "animation")))
+    return [pick("image"), pick("animation"), has("image"), has("animation")]
+
+
+def healthy_url(kind: str, url: Column) -> Column:
+    """The picked URL; untouched for tokens without rows of that kind."""
+    return F.when(F.col(f"__has_{kind}"), F.col(f"__{kind}")).otherwise(url)
+
+
+def display_healthy(display: DataFrame, health: DataFrame) -> DataFrame:
+    """MD13: display's (token_id, image_url, animation_url) with healthy URLs."""
+    met = display.join(health.groupBy("token_id").agg(*healthy_picks()), "token_id", "left")
+    return met.select("token_id", *(healthy_url(k, F.col(f"{k}_url")).alias(f"{k}_url") for k in ("image", "animation")))
 
 
 def upsert_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

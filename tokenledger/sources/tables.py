@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,52 @@ def scan_logs(logs: DataFrame, signatures: list[str], lo: int, hi: int, owner: s
     return out.where(F.lower("address").isin([c.lower() for c in contracts])) if contracts else out
 
 
+@dataclass
+class LogTable:
+    """Raw logs in a folder by block range, of `width` blocks each, and event signature; a scan lists and reads only the
+    folders that it asks for. A signature with most logs has as many files in a range as tasks wrote it."""
+
+    spark: SparkSession
+    path: str
+    width: int = 100_000
+
+    def append(self, logs: DataFrame) -> None:
+        """Adds logs; a task writes few folders, and a range with very many logs of a signature goes over several tasks."""
+        placed = logs.withColumn("block_range", F.floor(F.col("block_number") / self.width)).withColumn("signature", F.coalesce(F.get("topics", 0), F.lit("none")))
+        dealt = placed.repartition("block_range", "signature", F.pmod(F.xxhash64("tx_hash", "log_index"), F.lit(8)))
+        dealt.write.mode("append").partitionBy("block_range", "signature").parquet(self.path)
+
+    def scan(self, signatures: list[str], lo: int, hi: int, owner: str | None = None, topic_index: int | None = None, contracts: list[str] | None = None) -> DataFrame:
+        """SRC2 on the table: scan_logs over the folders of the range and signatures."""
+        stored = self.spark.read.parquet(self.path)
+        some = stored.where(F.col("block_range").between(lo // self.width, hi // self.width) & F.col("signature").isin(signatures))
+        return scan_logs(some, signatures, lo, hi, owner, topic_index, contracts).drop("block_range", "signature")
+
+
+@dataclass
+class FeedTable:
+    """Change rows (with owner_address and created_at) in a folder by day and bucket of the owner, those to everybody (without
+    an owner) in a bucket of their own: a sync of one owner reads two buckets of the days since its checkpoint."""
+
+    spark: SparkSession
+    path: str
+    buckets: int = 64
+
+    def append(self, feed: DataFrame) -> None:
+        placed = feed.withColumn("day", F.to_date("created_at")).withColumn("bucket", F.when(F.col("owner_address").isNull(), -1).otherwise(self._bucket(F.col("owner_address"))))
+        dealt = placed.repartition("day", "bucket", F.pmod(F.xxhash64("id"), F.lit(4)))
+        dealt.write.mode("append").partitionBy("day", "bucket").parquet(self.path)
+
+    def since(self, owner: str, at: Column) -> DataFrame:
+        """Rows of one owner and to everybody, from the day of `at` on."""
+        stored = self.spark.read.parquet(self.path)
+        some = stored.where((F.col("day") >= F.to_date(at)) & ((F.col("bucket") == -1) | (F.col("bucket") == self._bucket(F.lit(owner)))))
+        return some.where(F.col("owner_address").isNull() | (F.col("owner_address") == owner)).drop("day", "bucket")
+
+    def _bucket(self, owner: Column) -> Column:
+        return F.pmod(F.crc32(owner.cast("binary")), F.lit(self.buckets)).cast("int")
+
+
 def transfers(feed: DataFrame, lo: int, hi: int) -> DataFrame:
     return feed.where(F.col("level").between(lo, hi)).orderBy("level", "id")
 

@@ -114,12 +114,22 @@ VIEWS = {
       FROM part WHERE p_partkey % 3 <> 0""",
     "hashes": """
       SELECT vec_id, label, {bits} AS hash FROM embeddings""",
+    "wide_ledger": """
+      SELECT event_id, token_id, chain, contract, event_type, from_address, to_address,
+             CASE event_id % 7 WHEN 0 THEN '9223372036854775808' WHEN 1 THEN '18446744073709551615' WHEN 2 THEN '18446744073709551617'
+                  WHEN 3 THEN '115792089237316195423570985008687907853269984665640564039457584007913129639935' ELSE CAST(quantity AS STRING_) END AS quantity,
+             tx_hash, block_number, tx_index, ts
+      FROM ledger""",
     "clients": """
       SELECT r_regionkey AS client_id, r_name AS name, CASE r_regionkey WHEN 0 THEN '*' WHEN 1 THEN 'mint' WHEN 2 THEN 'burn,transfer' WHEN 3 THEN 'transfer' ELSE 'mint' END AS filters,
              r_regionkey <> 4 AS is_active FROM region""",
 }
 
 
+#: Views that read another view.
+BELOW = {"balances": ["holdings"], "wide_ledger": ["ledger"]}
+
+
 def text(name: str, dialect: str) -> str:
     """The view's SQL in a dialect."""
     d = DIALECTS[dialect]
@@ -131,7 +141,7 @@ def needs(names: list[str]) -> list[str]:
     """The views in the order in which they build on one another."""
     out: list[str] = []
     for n in names:
-        for x in (["holdings"] if n == "balances" else []) + [n]:
+        for x in BELOW.get(n, []) + [n]:
             if x not in out:
                 out.append(x)
     return out
@@ -147,20 +157,23 @@ def with_views(names: list[str], sql: str) -> str:
 
 
 class Views:
-    """The views of one folder as DataFrames; `v.ledger` is the view, `v.table("part")` a table."""
+    """The views of one folder as DataFrames; `v.ledger` is the view, `v.table("part")` a table. Each table's files are
+    listed once, however many of the views read it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self.spark, self.dir, self.read = spark, sf_dir.rstrip("/"), {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self.read:
+            self.read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
         sql, used = text(name, "spark"), {}
-        for t in (*TABLES, "holdings"):
+        for t in (*TABLES, "holdings", "ledger"):
             if t != name and re.search(rf"(FROM|JOIN) {t}\b", sql):
-                used[f"t_{t}"] = self.holdings if t == "holdings" else self.table(t)
+                used[f"t_{t}"] = getattr(self, t) if t in VIEWS else self.table(t)
                 sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{t_{t}}}", sql)
         return self.spark.sql(sql, **used)
