@@ -245,19 +245,92 @@ def test_levels_wait_overflow_and_time_out(spark, tmp_path):
     assert got == [(1, "aligned"), (2, "overflow"), (3, "overflow"), (4, "aligned"), (5, "overflow"), (6, "timeout"), (7, "timeout")]
 
 
+def test_levels_time_out_by_their_first_row_and_rows_are_removed(spark, tmp_path, monkeypatch):
+    """Rows are read from the batches in which they came; a batch's time is that of its first run; old versions go."""
+    monkeypatch.setattr(J, "KEEP", 1)
+    job = J.LevelAlign(spark, str(tmp_path / "align"), 10, 60)
+    rows = lambda *x: spark.createDataFrame([("c", level, "transfer", i, "") for i, level in x], J.FEED)
+    none = spark.createDataFrame([], J.FEED)
+    tables = J.BatchTables(spark, job.path)
+    for k, (batch, now) in enumerate([(rows((1, 1), (2, 2)), 0), (rows((3, 2), (4, 3)), 30), (none, 61), (none, 62), (none, 95), (none, 96), (none, 97)]):
+        job.batch(batch, k, now)
+        job.batch(batch, k, now + 1000)
+        got = found(tables.all("released", f"{J.FEED}, reason string").select("id", "reason"))
+        assert got == [(i, "timeout") for i in ((), (), (1, 2, 3), (1, 2, 3), (1, 2, 3, 4), (1, 2, 3, 4), (1, 2, 3, 4))[k]]
+    assert tables.versions("arrived") == [5, 6] and tables.versions("levels") == [4, 5, 6] and tables.versions("released") == list(range(7))
+
+
 def test_idle_blocks_are_flushed(spark, tmp_path):
-    job = J.IdleFlush(spark, str(tmp_path / "idle"))
-    rows = lambda *x: spark.createDataFrame(x, J.BLOCK)
-    out = lambda: found(J.BatchTables(spark, job.path).all("blocks", J.BLOCK))
-    for _ in range(2):
-        job.batch(rows(("a", 1, 1), ("a", 2, 2), ("b", 1, 3)), 0, 0)
-    assert out() == [("a", 1, 1)]
-    job.batch(rows(("b", 1, 4)), 1, 50)
-    for _ in range(2):
-        job.flush(2, 70, 60)
-    assert out() == [("a", 1, 1), ("a", 2, 2)]
-    job.flush(3, 200, 60)
-    assert out() == [("a", 1, 1), ("a", 2, 2), ("b", 1, 3), ("b", 1, 4)]
+    job = J.IdleFlush(spark, str(tmp_path / "idle"), idle=60)
+    rows = lambda *x: spark.createDataFrame(list(x), J.BLOCK)
+    batches = [
+        (rows(("a", 1, 1), ("a", 2, 2), ("b", 1, 3)), 0, [("a", 1, 1, False)]),
+        (rows(("b", 1, 4)), 50, []),
+        (rows(), 70, [("a", 2, 2, True)]),  # b had a row since
+        (rows(("a", 2, 5)), 80, []),  # a late row of a flushed block
+        (rows(("a", 3, 6)), 100, [("a", 2, 5, False)]),
+        (rows((J.CLOCK, 0, 0)), 200, [("a", 3, 6, True), ("b", 1, 3, True), ("b", 1, 4, True)]),
+    ]
+    want = []
+    for k, (batch, now, out) in enumerate(batches):
+        want += out
+        for late in (0, 10_000):  # each batch twice, the second time at another hour, by another object
+            J.IdleFlush(spark, job.path, idle=60).batch(batch, k, now + late)
+        assert found(job.blocks()) == sorted(want)
+    J.IdleFlush(spark, job.path, idle=60).batch(batches[2][0], 2, 1e9)
+    assert found(job.blocks()) == sorted(want)
+
+
+def test_a_running_job_flushes_without_new_rows(spark, tmp_path):
+    import time
+
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], J.BLOCK)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    job = J.IdleFlush(spark, str(tmp_path / "idle"), idle=1)
+    query = job.start(spark.readStream.schema(J.BLOCK).parquet(str(tmp_path / "in")), every="1 second")
+    try:
+        end = time.time() + 60
+        while time.time() < end and job.blocks().count() < 2:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert found(job.blocks()) == [("a", 1, 1, False), ("a", 2, 2, True)]
+
+
+WIDE_EVENT = EVENT.replace("quantity long", "quantity string")
+TOP = 2**256 - 1
+
+
+def wide_log(spark, *rows):
+    return log(spark, *((t, a, b, 0) for t, a, b, _ in rows)).drop("quantity").join(spark.createDataFrame([(i, q if q is None else str(q)) for i, (*_, q) in enumerate(rows)], "event_id long, quantity string"), "event_id")
+
+
+def test_wide_quantities_are_exact(spark):
+    ev = wide_log(spark, (1, None, "a", TOP), (1, None, "a", 2**64 + 1), (1, "a", "b", 2**63), (1, "b", "c", 2**63), (2, None, "a", 2**64 - 1), (2, "a", None, 2**64 - 1), (3, None, "b", None), (3, "c", "b", 5), (3, None, "b", "x"))
+    total = TOP + 2**64 + 1 - 2**63
+    assert found(H.replay_balances(ev)) == [(1, "a", str(total)), (1, "c", str(2**63)), (3, "b", "6")]
+    assert found(H.owner_balance(ev, "a")) == [(1, str(total)), (2, "0")]
+    assert found(H.owner_balance(ev, "c")) == [(1, str(2**63)), (3, "0")]
+    many = ev.withColumn("standard", F.lit("erc1155"))
+    assert found(H.owned_tokens(many, "a", ORDER).select("token_id", "quantity")) == [(1, str(total))]
+    assert found(H.token_state(many, ORDER).select("token_id", "burned", "holders", "held")) == [(1, False, 2, str(TOP + 2**64 + 1)), (2, True, 0, "0"), (3, False, 1, "6")]
+    per_event = values.totalled(H.signed_deltas(ev), ["token_id", "address", "event_id"], "delta", "delta")
+    feed = S.feed_multi(per_event, ["event_id"]).where("token_id = 2").select("event_id", "address", "after", "kind")
+    assert found(feed) == [(4, "a", str(2**64 - 1), "acquired"), (5, "a", "0", "released")]
+    held = H.replay_with_limit(many, 10)
+    assert found(held.select("owner", "token_id")) == [("a", 1), ("b", 3), ("c", 1)]
+
+
+def test_wide_deltas_are_applied(spark):
+    b = spark.createDataFrame([(1, "a", str(2**64)), (2, "a", "7")], "token_id long, owner_address string, quantity string")
+    d = spark.createDataFrame([(1, "a", str(-(2**64) + 1)), (2, "a", "-7"), (3, "b", str(TOP)), (4, "b", "-1")], "token_id long, owner_address string, delta string")
+    assert found(S.apply_transfers(b, d)) == [(1, "a", "1"), (3, "b", str(TOP))]
+
+
+def test_wide_order_and_sign(spark):
+    df = spark.createDataFrame([("9",), ("10",), (str(TOP),), ("0",)], "q string")
+    assert [r.q for r in df.orderBy(F.desc(values.size_order(df, "q"))).collect()] == [str(TOP), "10", "9", "0"]
+    assert found(df.where(values.above_zero(df, "q"))) == [("10",), (str(TOP),), ("9",)]
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -276,3 +349,167 @@ def test_levels_align(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = J.LevelAlign(spark, str(tmp_path / "align"), 10, 60).run(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     assert found(out.select("level", "feed", "id")) == [(1, "metadata", 2), (1, "transfer", 1), (2, "transfer", 3)]
+
+
+def parts_of(path):
+    """Files of each partition folder, by name."""
+    import pathlib
+
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in pathlib.Path(path).rglob("*.parquet")}
+
+
+def test_sinks_write_the_touched_buckets_only(spark, tmp_path):
+    rows = [(k, f"o{k % 3}", k) for k in range(200)] + [(7, "more", 1)] * 50
+    df = spark.createDataFrame(rows, "token_id long, owner_address string, quantity long")
+    table = sinks.BucketedTable(spark, str(tmp_path / "t"), "token_id", buckets=16).create(df)
+    bucket = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in (3, 7, 500)], "token_id long").selectExpr("token_id", "pmod(xxhash64(token_id), 16)").collect()}
+    before = parts_of(table.path)
+    table.replace_group(spark.createDataFrame([(7, "x", 5), (7, "y", 6)], df.schema))
+    after = parts_of(table.path)
+    changed = {f.split("/")[0] for f in before.keys() ^ after.keys()} | {f.split("/")[0] for f in before.keys() & after.keys() if before[f] != after[f]}
+    assert changed == {f"bucket={bucket[7]}"}
+    assert found(table.read([7])) == [(7, "x", 5), (7, "y", 6)] and table.read().count() == 201
+    table.upsert(spark.createDataFrame([(3, "o0", 99), (500, "new", 1)], df.schema), ["token_id", "owner_address"], ["quantity"], "old.quantity < 50")
+    assert found(table.read([3])) == [(3, "o0", 99)] and found(table.read([500])) == [(500, "new", 1)]
+    assert {f.split("/")[0] for f in parts_of(table.path).keys() ^ after.keys()} == {f"bucket={bucket[3]}", f"bucket={bucket[500]}"}
+    table.insert_ignore(spark.createDataFrame([(3, "o0", 1), (3, "o9", 2)], df.schema), ["token_id", "owner_address"])
+    assert found(table.read([3])) == [(3, "o0", 99), (3, "o9", 2)] and table.read().count() == 203
+    table.replace_group(df.limit(0))
+    assert table.read().count() == 203
+    assert "bucket" in table.read([7])._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+
+
+def test_log_scans_read_their_folders_only(spark, tmp_path):
+    logs = spark.createDataFrame([("0xA", [sig, "0x1"], "0x", block, f"t{block}", 0, 0, None) for block in range(0, 1000, 10) for sig in (E.TRANSFER, E.URI)] + [("0xA", [], "0x", 55, "t", 0, 1, None)], "address string, topics array<string>, data string, block_number long, tx_hash string, tx_index int, log_index int, block_time timestamp")
+    table = T.LogTable(spark, str(tmp_path / "logs"), width=100)
+    table.append(logs.where("block_number < 500"))
+    table.append(logs.where("block_number >= 500"))
+    some = table.scan([E.TRANSFER], 150, 349)
+    assert sorted(r.block_number for r in some.collect()) == list(range(150, 350, 10)) and some.columns == logs.columns
+    read = {r[0].split("/logs/")[1].split("/part")[0] for r in some.select(F.input_file_name()).distinct().collect()}
+    assert read == {f"block_range={k}/signature={E.TRANSFER}" for k in (1, 2, 3)}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "block_range" in plan.split("PartitionFilters")[1]
+    assert table.scan([E.TRANSFER, E.URI], 0, 999).count() == 200 and table.scan(["0xother"], 0, 999).count() == 0
+
+
+def test_batches_against_a_fold(spark):
+    import random
+
+    r = random.Random(2)
+    owned = [(o, b) for o in "abcd" for b in r.sample(range(400), {"a": 1, "b": 7, "c": 60, "d": 150}[o]) for _ in range(r.choice([1, 1, 2, 3, 9]))]
+    got = found(H.block_batches(spark.createDataFrame(owned, "owner string, block long"), 3, 7))
+    want = []
+    for o in "abcd":
+        batch, held, most = 0, 0, 3
+        for b in sorted({b for x, b in owned if x == o}):
+            n = owned.count((o, b))
+            want.append((o, b, n, batch))
+            held += n
+            if held >= most:
+                batch, held, most = batch + 1, 0, 7
+    assert got == sorted(want)
+    plan = H.block_batches(spark.createDataFrame(owned, "owner string, block long"), 3, 7)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan
+    assert H.block_batches(spark.createDataFrame([], "owner string, block long"), 3, 7).count() == 0
+
+
+def test_owner_as_of_against_an_interval_join(spark):
+    import random
+
+    r = random.Random(8)
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    spans = []
+    for token in range(3):
+        times = sorted(r.choices(range(200), k=30))
+        for a, b in zip(times, [*times[1:], None], strict=True):
+            if r.random() < 0.8:
+                spans.append((token, r.choice("abc"), at(a), None if b is None else at(b)))
+    asked = [(t, at(h)) for t in range(4) for h in range(-5, 230, 3)] + [(0, at(50))]
+    timeline = spark.createDataFrame(spans, "token_id long, owner string, acquired_at timestamp_ntz, released_at timestamp_ntz")
+    times = spark.createDataFrame(asked, "token_id long, at timestamp_ntz")
+    want = sorted((t, h, next((o for x, o, a, b in spans if x == t and a <= h and (b is None or h < b)), None)) for t, h in asked)
+    for unit in ("day", "hour", "year"):
+        assert sorted(found(H.owner_as_of(timeline, times, unit)), key=repr) == sorted(want, key=repr)
+
+
+def test_render_verdicts_by_each_fingerprints_distance(spark):
+    import random
+
+    r = random.Random(1)
+    bits = [r.getrandbits(63) for _ in range(6)]
+    known = [(b, d) for b, d in zip(bits, (0, 3, 7, 15, 16, 40), strict=True)]
+    captures = []
+    for k in range(400):
+        b = r.choice(bits)
+        for i in r.sample(range(63), r.choice([0, 1, 3, 4, 7, 8, 15, 16, 17, 30])):
+            b ^= 1 << i
+        captures.append((k, b, r.choice([0.001, 0.5])))
+    got = found(S.render_verdict(spark.createDataFrame(captures, "id long, hash long, variance double"), spark.createDataFrame(known, "bits long, max_distance int"), 0.01))
+    want = sorted((k, "known_bad_fingerprint" if any(bin(h ^ b).count("1") <= d for b, d in known) else "blank" if x < 0.01 else "rendered_ok") for k, h, x in captures)
+    assert got == want
+
+
+@pytest.mark.parametrize(("hex_", "whole"), [("FFD8", True), ("FFD8FFFFFFE00004AAAAFFDA", True), ("FFD8FFFFFFE00004AAAAFFDA00", True), ("FFD8FF01FFD0FFD7FFE00002FFDA0000", True), ("FFD8FFE00001FFDA0000", False), ("FFD8FFE00003AA00FFDA0000", False), ("FFD8FFE0FFFFAA", True), ("FFD80FFFDA000000", False), ("FFD8FFE00004FFFFFFE10004FFFF00000000", False)])
+def test_jpeg_walk(spark, hex_, whole):
+    df = spark.createDataFrame([(bytes.fromhex(hex_),)], "b binary")
+    assert df.select(S.jpeg_segments(F.col("b"))).first()[0] is whole
+    assert "Python" not in df.select(S.jpeg_segments(F.col("b")))._jdf.queryExecution().toString()
+
+
+def test_canonical_json(spark):
+    from tokenledger.operators.metadata import canonical_json
+
+    rows = ['{"b": 1, "a": {"z": [1, {"y": 2, "x": null}], "é": "ü\\n"}}', '{ "a":{"é":"ü\\u000a","z":[1.0,{"x":null,"y":2}]},"b":1 }', "[]", " 5 ", '"x"', "nope", "", None, '{"a":1,"a":2}', '{"b":true,"B":false,"aa":0}']
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, j string").orderBy("i").select(canonical_json(F.col("j"))).collect()]
+    assert got[0] == got[1] and got[0].startswith('{"a":{"z":[1,{"x":null,"y":2}],"é":') and got[0].endswith(',"b":1}')
+    assert got[2:9] == ["[]", "5", '"x"', None, None, None, None] and got[9] == '{"B":false,"aa":0,"b":true}'
+
+
+def test_expansion_of_a_page(spark):
+    from tokenledger.plans.tokens import expand, page_ids
+
+    t = dt.datetime(2024, 1, 1)
+    tokens = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "token_id long, label string")
+    tables = {
+        "balances": spark.createDataFrame([(1, "a", "5"), (1, "b", str(2**70)), (1, "c", "40"), (9, "d", "1")], "token_id long, owner_address string, quantity string"),
+        "events": spark.createDataFrame([(1, 1, "mint", t), (1, 2, "transfer", t), (2, 3, "mint", None)], "token_id long, event_id long, event_type string, ts timestamp_ntz"),
+        "ownership": spark.createDataFrame([(1, "a", 1, t, 0), (1, "b", 2, t, 1), (2, "b", 3, t, 0)], "token_id long, owner_address string, id long, last_timestamp timestamp_ntz, last_tx_index long"),
+        "metadata": spark.createDataFrame([(1, "m", "data:x", "u/a", "art"), (3, "n", "u/n", None, None)], "token_id long, name string, image_url string, animation_url string, artist string"),
+        "enrichment": spark.createDataFrame([(1, "e", "", "data:y", "")], "token_id long, name string, image_url string, animation_url string, artist string"),
+        "health": spark.createDataFrame([(3, "metadata_image", "broken", "u/n"), (9, "metadata_image", "healthy", "u/9")], "token_id long, media_source string, health_status string, media_url string"),
+    }
+    md5 = lambda x: __import__("hashlib").md5(x.encode()).hexdigest()
+    tables["assets"] = spark.createDataFrame([(md5("data:y"), {"public": "cdn/y"}), (md5("u/a"), {"public": "cdn/a"}), (md5("u/n"), {})], "source_url_hash string, variant_urls map<string,string>")
+    kinds = ["owners", "provenance_events", "owner_provenances", "metadata", "enrichment_source", "display", "media_asset"]
+    for ids in (None, page_ids(tokens), [1, 2, 3]):
+        one, two, three = (r.asDict(recursive=True) for r in expand(tokens, kinds, tables, 2, ["b"], ids).orderBy("token_id").collect())
+        assert [o["owner_address"] for o in one["owners"]] == ["b", "c"] and one["owners_total"] == 3 and one["label"] == "x"
+        assert [e["event_id"] for e in one["provenance_events"]] == [2, 1] and one["provenance_events_total"] == 2
+        assert [o["owner_address"] for o in one["owner_provenances"]] == ["b"] and one["owner_provenances_total"] == 1
+        assert (one["metadata"]["name"], one["enrichment_source"]["name"]) == ("m", "e")
+        assert one["display"] == {"name": "e", "description": None, "image_url": "", "animation_url": "cdn/y", "artist": "art"}
+        assert one["media_asset"] == sorted([md5("data:y"), md5("u/a")])
+        assert two["owners"] is None and two["owners_total"] is None and two["display"] is None and two["media_asset"] is None and len(two["provenance_events"]) == 1
+        assert three["display"]["image_url"] is None and three["media_asset"] == [md5("u/n")]
+    assert expand(tokens, ["metadata"], tables, 2).columns == ["token_id", "label", "metadata"]
+    assert page_ids(tokens, 2) is None
+    with pytest.raises(ValueError):
+        expand(tokens, ["media_asset"], tables, 2)
+
+
+def test_a_sync_reads_its_days_and_buckets_only(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(d * 10 + k, k, o, "acquired", at(d), at(d)) for d in range(1, 11) for k, o in enumerate(["a", "b", "c", None])]
+    feed = spark.createDataFrame(rows, "id long, token_id long, owner_address string, event_type string, occurred_at timestamp_ntz, created_at timestamp_ntz")
+    table = T.FeedTable(spark, str(tmp_path / "feed"), buckets=8)
+    table.append(feed.where("id < 50"))
+    table.append(feed.where("id >= 50"))
+    some = table.since("a", F.lit(at(8)))
+    assert found(some.select("id")) == [(d * 10 + k,) for d in (8, 9, 10) for k in (0, 3)]
+    read = {r[0].split("/feed/")[1].split("/part")[0] for r in some.select(F.input_file_name()).distinct().collect()}
+    assert len(read) == 6 and all(x.split("day=2024-01-")[1][:2] in ("08", "09", "10") for x in read)
+    assert "PartitionFilters" in some._jdf.queryExecution().executedPlan().toString()
+    balances = spark.createDataFrame([(3, "a", 1), (2, "b", 1)], "token_id long, owner_address string, quantity long")
+    page = S.sync(some, balances, "a", F.lit(at(8)), 80, 3).collect()
+    assert [(r.id, r.has_more, r.next_id) for r in page] == [(83, True, 93), (90, True, 93), (93, True, 93)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..operators import events as E
 from ..operators import selection as S
 from ..sources import tables as T
 from ..sources.views import Views
-from ..session import written
+from ..session import scratch_dir
 from .reads import with_cid
 from .registry import query
 
@@ -31,8 +34,31 @@ def base(v: Views) -> DataFrame:
     return t.select("*", F.lit("0xAbC").alias("address"), F.concat(F.lit("t"), "tx_index").alias("tx_hash"), F.lit(None).cast("timestamp").alias("block_time"))
 
 
+def stored(v: Views, name: str, write: Callable[[str], object]) -> str:
+    """The folder of a fixture's table for this data and application: written at its first use, read at the others."""
+    key = (v.spark.sparkContext.applicationId, v.dir, name)
+    at = v.spark._jvm.org.apache.hadoop.fs.Path
+    if key not in _fixtures or not at(_fixtures[key]).getFileSystem(v.spark._jsc.hadoopConfiguration()).exists(at(f"{_fixtures[key]}/_SUCCESS")):
+        path = f"{scratch_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _fixtures[key] = path
+    return _fixtures[key]
+
+
+_fixtures: dict[tuple[str, str, str], str] = {}
+
+
+def once(v: Views, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A fixture's rows as such a table."""
+    return v.spark.read.parquet(stored(v, name, lambda path: make().write.parquet(path)))
+
+
 def logs(v: Views, kind: str) -> DataFrame:
-    """Raw logs of one kind, written as a table, so that what is decoded is read and not made anew for each of its uses."""
+    """Raw logs of one kind, as a table that is written once a folder: what is decoded is read, and not made anew for each use."""
+    return once(v, f"logs-{kind}", lambda: _logs(v, kind))
+
+
+def _logs(v: Views, kind: str) -> DataFrame:
     b = base(v)
     sender, receiver = F.concat(F.lit("0x"), pad(address(F.col("from_address")))), F.concat(F.lit("0x"), pad(address(F.col("to_address"))))
     sign = {"721": E.TRANSFER, "single": E.TRANSFER_SINGLE, "batch": E.TRANSFER_BATCH, "meta": E.METADATA_UPDATE, "range": E.BATCH_METADATA_UPDATE}[kind]
@@ -51,7 +77,26 @@ def logs(v: Views, kind: str) -> DataFrame:
         data = F.when(F.col("log_index") % 2 == 0, "0x").otherwise(F.concat(F.lit("0x"), F.when(F.col("log_index") % 3 > 0, number(F.col("token_id"))).otherwise(F.lit("12"))))
     else:
         topics, data = F.array(F.lit(sign)), F.concat(F.lit("0x"), number(F.col("token_id")), number(F.col("token_id") + 9))
-    return written(b.select("address", topics.alias("topics"), data.alias("data"), "block_number", "tx_hash", "tx_index", "log_index", "block_time", "supp", "price"), f"logs-{kind}")
+    return b.select("address", topics.alias("topics"), data.alias("data"), "block_number", "tx_hash", "tx_index", "log_index", "block_time", "supp", "price")
+
+
+#: Quantities of every width, as decimal text and as hex digits.
+WIDE = {0: 2**63, 1: 2**64 - 1, 2: 2**64 + 1, 3: 2**256 - 1}
+WIDE_QUANTITY = "CASE tx_index % 7 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in WIDE.items()) + " ELSE CAST(quantity AS VARCHAR) END"
+
+
+def wide_logs(v: Views) -> DataFrame:
+    """Logs of single transfers whose data holds quantities of up to 256 bits."""
+    return once(v, "logs-wide", lambda: _wide_logs(v))
+
+
+def _wide_logs(v: Views) -> DataFrame:
+    sender, receiver = F.concat(F.lit("0x"), pad(address(F.col("from_address")))), F.concat(F.lit("0x"), pad(address(F.col("to_address"))))
+    value, left = None, F.col("tx_index") % 7
+    for k, n in WIDE.items():
+        value = (F if value is None else value).when(left == k, f"{n:064x}")
+    data = F.concat(F.lit("0x"), number(F.col("token_id")), value.otherwise(number(F.col("quantity"))))
+    return base(v).select("address", F.array(F.lit(E.TRANSFER_SINGLE), sender, sender, receiver).alias("topics"), data.alias("data"), "block_number", "tx_hash", "tx_index", "log_index", "block_time")
 
 
 PARTY = "'0x00000000' || substr(md5(from_address), 1, 32) AS from_address, '0x00000000' || substr(md5(to_address), 1, 32) AS to_address"
@@ -168,11 +213,13 @@ def evt15(v: Views):
 
 @query("SRC2_raw_log_scan", "transfers", "SELECT token_id FROM transfers WHERE log_index % 3 <> 0 AND block_number BETWEEN 100 AND 900 AND to_address = 'c77'")
 def src2(v: Views):
+    """Reads the block ranges and the signature that are asked for from a log table, and no other files."""
     import hashlib
 
     owner = "0x00000000" + hashlib.md5(b"c77").hexdigest()[:32]
-    found = T.scan_logs(logs(v, "721"), [E.TRANSFER], 100, 900, owner, 2, ["0xABC"])
-    return E.decode_721(found).select(F.col("token_number").cast("bigint").alias("token_id"))
+    table = T.LogTable(v.spark, f"{scratch_dir(v.spark)}/log-table-{uuid.uuid4().hex}", width=250)
+    table.append(logs(v, "721").unionByName(logs(v, "single")))
+    return E.decode_721(table.scan([E.TRANSFER], 100, 900, owner, 2, ["0xABC"])).select(F.col("token_number").cast("bigint").alias("token_id"))
 
 
 @query("SRC3_merge_owner_specs", "transfers", "SELECT block_number, log_index FROM transfers WHERE from_address = 's3' OR to_address = 'c77'")

@@ -255,3 +255,32 @@ def snk3(v: Views):
     b = v.balances.select("token_id", "owner_address", "quantity")
     new = b.where("token_id % 4 = 0").select("token_id").distinct().select("token_id", F.lit("only").alias("owner_address"), F.lit(1).cast("long").alias("quantity"))
     return K.replace_group(b, new, "token_id")
+
+
+def bucketed(v: Views, df, key: str) -> K.BucketedTable:
+    return K.BucketedTable(v.spark, f"{scratch_dir(v.spark)}/bucketed-{uuid.uuid4().hex}", key, 16).create(df)
+
+
+@query("SNK1_upsert_buckets", "balances", "SELECT id, CASE WHEN id % 1000 = 0 AND quantity <= 20 THEN quantity + 100 ELSE quantity END AS quantity FROM balances UNION ALL SELECT -id, 7 FROM balances WHERE id % 1000 = 0")
+def snk1_buckets(v: Views):
+    """Updates and new rows written into a bucketed table, of which only their buckets are read and written."""
+    b = v.balances.select("id", "quantity")
+    table, some = bucketed(v, b, "id"), b.where("id % 1000 = 0")
+    table.upsert(some.select("id", F.col("quantity") + 100).toDF("id", "quantity").unionByName(some.select((-F.col("id")).alias("id"), F.lit(7).cast("long").alias("quantity"))), ["id"], ["quantity"], "old.quantity <= 20")
+    return table.read()
+
+
+@query("SNK2_insert_ignore_buckets", "balances", "SELECT id, quantity FROM balances UNION ALL SELECT -id, 0 FROM balances WHERE id % 100 = 0")
+def snk2_buckets(v: Views):
+    b = v.balances.select("id", "quantity")
+    table = bucketed(v, b, "id")
+    table.insert_ignore(b.where("id % 50 = 0").select(F.when(F.col("id") % 100 == 0, -F.col("id")).otherwise(F.col("id")).alias("id"), F.lit(0).cast("long").alias("quantity")), ["id"])
+    return table.read()
+
+
+@query("SNK3_replace_group_buckets", "balances", "SELECT token_id, owner_address, quantity FROM balances WHERE token_id % 40 > 0 UNION ALL SELECT token_id, 'only', 1 FROM (SELECT DISTINCT token_id FROM balances WHERE token_id % 40 = 0) x")
+def snk3_buckets(v: Views):
+    b = v.balances.select("token_id", "owner_address", "quantity")
+    table = bucketed(v, b, "token_id")
+    table.replace_group(b.where("token_id % 40 = 0").select("token_id").distinct().select("token_id", F.lit("only").alias("owner_address"), F.lit(1).cast("long").alias("quantity")))
+    return table.read()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..functions.values import size_order
+from ..operators import events as E
 from ..operators import holdings as H
 from ..sources.views import Views
+from .decoding import WIDE_QUANTITY, wide_logs
 from .registry import query
 
 ORDER = ["block_number", "tx_index", "event_id"]
@@ -27,6 +32,35 @@ def agg2(v: Views):
     return H.owner_balance(v.ledger, "u7")
 
 
+def wide(sql: str) -> str:
+    """SQL on the ledger as SQL on the ledger whose quantities are decimal text of up to 256 bits."""
+    sql = re.sub(r"\bledger\b", "wide_ledger", sql).replace("-quantity AS delta", "-CAST(quantity AS BIGNUM) AS delta").replace("to_address, quantity", "to_address, CAST(quantity AS BIGNUM)")
+    return re.sub(r"CAST\(((?:greatest|sum)\(.*?\)+?) AS BIGINT\) AS (quantity|q)\b", r"CAST(\1 AS VARCHAR) AS \2", sql)
+
+
+ZERO = "CAST(0 AS BIGNUM)"
+
+
+@query("AGG1_replay_balances_wide", "wide_ledger", f"WITH {wide(DELTAS)} SELECT token_id, address, CAST(sum(delta) AS VARCHAR) AS quantity FROM d GROUP BY token_id, address HAVING sum(delta) > {ZERO}")
+def agg1_wide(v: Views):
+    """Quantities of 2^63, 2^64 - 1, 2^64 + 1 and 2^256 - 1 among small ones; so in all queries named wide."""
+    return H.replay_balances(v.wide_ledger)
+
+
+@query("AGG1_replay_decoded_wide", "transfers", f"""
+WITH q AS (SELECT token_id, from_address, to_address, {WIDE_QUANTITY} AS quantity FROM transfers), d AS (
+  SELECT token_id, from_address AS address, -CAST(quantity AS BIGNUM) AS delta FROM q UNION ALL SELECT token_id, to_address, CAST(quantity AS BIGNUM) FROM q)
+SELECT CAST(token_id AS VARCHAR) AS token_id, '0x00000000' || substr(md5(address), 1, 32) AS address, CAST(sum(delta) AS VARCHAR) AS quantity FROM d GROUP BY token_id, d.address HAVING sum(delta) > {ZERO}""")
+def agg1_decoded(v: Views):
+    """Balances replayed from raw logs, whose words hold numbers of up to 256 bits."""
+    return H.replay_balances(E.decode_1155_single(wide_logs(v)).withColumnRenamed("token_number", "token_id"))
+
+
+@query("AGG2_owner_balance_wide", "wide_ledger", f"WITH {wide(DELTAS)} SELECT token_id, CAST(greatest(sum(delta), {ZERO}) AS VARCHAR) AS quantity FROM d WHERE address = 'u7' GROUP BY token_id")
+def agg2_wide(v: Views):
+    return H.owner_balance(v.wide_ledger, "u7")
+
+
 @query("AGG3_token_owner", "ledger", """
 SELECT token_id, arg_max(coalesce(to_address, ''), event_id) AS owner, arg_max(event_type, event_id) = 'burn' AS burned FROM ledger WHERE event_type <> 'metadata_update' GROUP BY token_id""")
 def agg3(v: Views):
@@ -38,8 +72,8 @@ STANDARD = "CASE WHEN token_id % 4 = 3 THEN 'fa2' WHEN token_id % 2 = 0 THEN 'er
 MODEL = f"CASE WHEN contract = 'k4' THEN 'erc1155' ELSE {STANDARD} END"
 
 
-def with_standards(v: Views):
-    return v.ledger.withColumn("standard", F.expr(STANDARD))
+def with_standards(v: Views, wide: bool = False):
+    return (v.wide_ledger if wide else v.ledger).withColumn("standard", F.expr(STANDARD))
 
 
 @query("AGG4_owned_tokens", "ledger", f"""
@@ -52,6 +86,16 @@ def agg4(v: Views):
     return H.owned_tokens(with_standards(v), "u7", ORDER, configured)
 
 
+@query("AGG4_owned_tokens_wide", "wide_ledger", f"""
+WITH m AS (SELECT *, {MODEL} AS standard FROM wide_ledger WHERE event_type <> 'metadata_update' AND (from_address = 'u7' OR to_address = 'u7')), s AS (
+  SELECT token_id, arg_max(coalesce(to_address = 'u7', false), event_id) AS held, arg_max(block_number, event_id) AS last_block FROM m WHERE standard = 'erc721' GROUP BY token_id), n AS (
+  SELECT token_id, sum(CASE WHEN to_address = 'u7' THEN CAST(quantity AS BIGNUM) ELSE {ZERO} END) - sum(CASE WHEN from_address = 'u7' THEN CAST(quantity AS BIGNUM) ELSE {ZERO} END) AS quantity, max(block_number) AS last_block FROM m WHERE standard <> 'erc721' GROUP BY token_id)
+SELECT token_id, '1' AS quantity, last_block FROM s WHERE held UNION ALL SELECT token_id, CAST(quantity AS VARCHAR), last_block FROM n WHERE quantity > {ZERO}""")
+def agg4_wide(v: Views):
+    configured = v.ledger.where("contract = 'k4'").select(F.upper("contract").alias("contract"), F.lit("erc1155").alias("standard")).distinct()
+    return H.owned_tokens(with_standards(v, wide=True), "u7", ORDER, configured)
+
+
 STATE = f"""{DELTAS}, b AS (SELECT token_id, address, sum(delta) AS q FROM d GROUP BY token_id, address), k AS (
   SELECT token_id, count(CASE WHEN q > 0 THEN 1 END) AS n, CAST(sum(CASE WHEN q > 0 THEN q ELSE 0 END) AS BIGINT) AS q FROM b GROUP BY token_id), o AS (
   SELECT token_id, {STANDARD} AS standard, arg_max(coalesce(to_address, ''), event_id) AS receiver, arg_max(event_type, event_id) = 'burn' AS gone FROM ledger WHERE event_type <> 'metadata_update' GROUP BY token_id), s AS (
@@ -75,6 +119,24 @@ def agg6(v: Views):
     return H.token_state(ev, ORDER).join(seen, "token_id")
 
 
+WIDE_STATE = f"""{wide(DELTAS)}, b AS (SELECT token_id, address, sum(delta) AS q FROM d GROUP BY token_id, address), k AS (
+  SELECT token_id, count(*) AS n, CAST(sum(q) AS VARCHAR) AS q FROM b WHERE q > {ZERO} GROUP BY token_id), o AS (
+  SELECT token_id, {STANDARD} AS standard, arg_max(coalesce(to_address, ''), event_id) AS receiver, arg_max(event_type, event_id) = 'burn' AS gone FROM wide_ledger WHERE event_type <> 'metadata_update' GROUP BY token_id), s AS (
+  SELECT token_id, CASE WHEN standard = 'erc721' AND NOT gone THEN receiver END AS owner, CASE WHEN standard = 'erc721' THEN gone ELSE n IS NULL END AS burned,
+         CASE WHEN standard = 'erc721' THEN CASE WHEN gone THEN 0 ELSE 1 END ELSE coalesce(n, 0) END AS holders, CASE WHEN standard = 'erc721' THEN CASE WHEN gone THEN '0' ELSE '1' END ELSE coalesce(q, '0') END AS held
+  FROM o LEFT JOIN k USING (token_id))"""
+
+
+@query("AGG5_burned_flag_wide", "wide_ledger", f"WITH {WIDE_STATE} SELECT token_id, burned FROM s")
+def agg5_wide(v: Views):
+    return H.token_state(with_standards(v, wide=True), ORDER).select("token_id", "burned")
+
+
+@query("AGG6_token_state_wide", "wide_ledger", f"WITH {WIDE_STATE} SELECT token_id, owner, burned, CAST(holders AS BIGINT) AS holders, held FROM s")
+def agg6_wide(v: Views):
+    return H.token_state(with_standards(v, wide=True), ORDER)
+
+
 @query("AGG7_last_provenance_time", "ledger", "SELECT token_id, max(ts) AS last_provenance_timestamp FROM ledger GROUP BY token_id")
 def agg7(v: Views):
     return H.last_provenance(v.ledger)
@@ -258,6 +320,20 @@ def win13_newest(v: Views):
     return H.replay_with_limit(with_standards(v), 4, descending=True)
 
 
+@query("WIN13_replay_wide", "wide_ledger", wide(replayed("ASC")).replace("sum(delta) OVER w > 0", f"sum(delta) OVER w > {ZERO}"))
+def win13_wide(v: Views):
+    return H.replay_with_limit(with_standards(v, wide=True), 4)
+
+
+@query("WIN7_topn_owners_wide", "wide_ledger", f"""
+WITH {wide(DELTAS)}, b AS (SELECT token_id, address AS owner_address, sum(delta) AS quantity FROM d GROUP BY token_id, address HAVING sum(delta) > {ZERO})
+SELECT token_id, owner_address, CAST(quantity AS VARCHAR) AS quantity, total FROM (
+  SELECT *, count(*) OVER (PARTITION BY token_id) AS total, row_number() OVER (PARTITION BY token_id ORDER BY quantity DESC, owner_address) AS k FROM b) x WHERE k <= 3""")
+def win7_wide(v: Views):
+    b = H.replay_balances(v.wide_ledger).withColumnRenamed("address", "owner_address")
+    return H.group_counts(b, "token_id", [F.desc(size_order(b, "quantity")), F.col("owner_address")], 3).select("token_id", "owner_address", "quantity", "total")
+
+
 @query("WIN14_scan_windows", "watched", "SELECT id, lo, least(lo + 199, max_block) AS hi FROM (SELECT id, max_block, unnest(range(min_block, max_block + 1, 200)) AS lo FROM watched WHERE min_block IS NOT NULL) x")
 def win14(v: Views):
     return H.scan_windows(v.watched.where("min_block is not null"), 200).select("id", "lo", "hi")

@@ -375,11 +375,11 @@ SELECT t.token_id, owners, owners_total, events, events_total, owner_provenances
 FROM token_dim t LEFT JOIN o ON t.token_id = o.token_id LEFT JOIN e ON t.token_id = e.token_id LEFT JOIN w ON t.token_id = w.token_id LEFT JOIN metadata m ON t.token_id = m.token_id LEFT JOIN overlay v ON t.token_id = v.token_id LEFT JOIN y ON t.token_id = y.token_id LEFT JOIN a ON t.token_id = a.token_id"""
 
 
-def expanded(v: Views, tokens):
+def expanded(v: Views, tokens, ids: list[int] | None = None):
     from .tokens import KINDS, expand
 
     joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f].cast("string")), ",")
-    return expand(tokens, KINDS, expansion_tables(v), 3).select(
+    return expand(tokens, KINDS, expansion_tables(v), 3, ids=ids).select(
         "token_id", joined("owners", "owner_address").alias("owners"), "owners_total", joined("provenance_events", "event_id").alias("events"), F.col("provenance_events_total").alias("events_total"), joined("owner_provenances", "owner_address").alias("owner_provenances"),
         F.col("metadata.name").alias("metadata_name"), F.col("enrichment_source.image_url").alias("enrichment_image"), F.col("display.name").alias("display_name"), F.col("display.image_url").alias("display_image"), F.col("display.animation_url").alias("display_animation"), F.col("display.artist").alias("display_artist"), F.array_join("media_asset", ",").alias("assets"),
     )
@@ -387,7 +387,7 @@ def expanded(v: Views, tokens):
 
 @query("QRY2_token_detail", "token_dim ledger balances metadata overlay media", f"WITH {EXPANDED} WHERE t.token_id = 42")
 def qry2(v: Views):
-    return expanded(v, v.token_dim.where("token_id = 42"))
+    return expanded(v, v.token_dim.where("token_id = 42"), [42])
 
 
 @query("QRY3_token_expand", "token_dim ledger balances metadata overlay media", f"WITH {EXPANDED}")

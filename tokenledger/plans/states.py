@@ -6,9 +6,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import holdings as H
+from ..operators import sinks as K
 from ..operators import state as S
+from ..sources import tables as T
 from ..sources.views import Views
+from .decoding import stored
 from .ledger import DELTAS
 from .reads import NOW, now
 from .registry import query
@@ -238,6 +242,9 @@ FEED = """s AS (
   SELECT *, lag(kind) OVER (PARTITION BY token_id, owner ORDER BY event_id, side) AS last FROM s), feed AS (
   SELECT token_id, owner, kind, event_id, ts FROM f WHERE (kind = 'acquired' AND (last IS NULL OR last = 'released')) OR (kind = 'released' AND last = 'acquired'))"""
 ORDER = ["block_number", "tx_index", "event_id"]
+WIDE_DELTAS = """d AS (SELECT token_id, from_address AS address, -CAST(quantity AS BIGNUM) AS delta, event_id FROM wide_ledger WHERE event_type <> 'metadata_update' AND from_address IS NOT NULL
+  UNION ALL SELECT token_id, to_address, CAST(quantity AS BIGNUM), event_id FROM wide_ledger WHERE event_type <> 'metadata_update' AND to_address IS NOT NULL)"""
+ZERO = "CAST(0 AS BIGNUM)"
 
 
 @query("STATE18_ownership_feed_721", "ledger", f"WITH {FEED} SELECT * FROM feed")
@@ -257,12 +264,32 @@ def state19(v: Views):
     return S.feed_multi(per_event, ["event_id"]).select("token_id", "address", "event_id", "kind")
 
 
+@query("STATE17_transfer_apply_wide", "wide_ledger", f"WITH {WIDE_DELTAS}, b AS (SELECT token_id, address, sum(delta) AS q FROM d WHERE event_id % 2 = 0 GROUP BY ALL HAVING sum(delta) > {ZERO}), x AS (SELECT token_id, address, q FROM b UNION ALL SELECT token_id, address, delta FROM d WHERE event_id % 2 = 1) SELECT token_id, address AS owner_address, CAST(sum(q) AS VARCHAR) AS quantity FROM x GROUP BY ALL HAVING sum(q) > {ZERO}")
+def state17_wide(v: Views):
+    """Balances of half of the events, then the deltas of the other half."""
+    ev = v.wide_ledger.where("event_type <> 'metadata_update'")
+    b = H.replay_balances(ev.where("event_id % 2 = 0")).withColumnRenamed("address", "owner_address")
+    rest = ev.where("event_id % 2 = 1")
+    lost = rest.where("from_address is not null").select("token_id", F.col("from_address").alias("owner_address"), F.concat(F.lit("-"), "quantity").alias("delta"))
+    return S.apply_transfers(b, lost.unionByName(rest.where("to_address is not null").select("token_id", F.col("to_address").alias("owner_address"), F.col("quantity").alias("delta"))))
+
+
+@query("STATE19_ownership_feed_wide", "wide_ledger", f"""
+WITH {WIDE_DELTAS}, g AS (SELECT token_id, address, event_id, sum(delta) AS delta FROM d GROUP BY ALL), r AS (
+  SELECT *, sum(delta) OVER (PARTITION BY token_id, address ORDER BY event_id) AS after FROM g), b AS (
+  SELECT *, coalesce(lag(after > {ZERO}) OVER (PARTITION BY token_id, address ORDER BY event_id), false) AS was FROM r)
+SELECT token_id, address, event_id, CAST(after AS VARCHAR) AS quantity, CASE WHEN after > {ZERO} THEN 'acquired' ELSE 'released' END AS kind FROM b WHERE was <> (after > {ZERO})""")
+def state19_wide(v: Views):
+    per_event = V.totalled(H.signed_deltas(v.wide_ledger), ["token_id", "address", "event_id"], "delta", "delta")
+    return S.feed_multi(per_event, ["event_id"]).select("token_id", "address", "event_id", F.col("after").alias("quantity"), "kind")
+
+
 @query("WIN6_feed_dedupe", "ledger", f"WITH {FEED}, x AS (SELECT *, event_id // 50 AS tx FROM feed) SELECT token_id, owner, kind, min(event_id) AS event_id FROM x GROUP BY token_id, owner, kind, tx")
 def win6(v: Views):
     return S.dedupe_feed(S.feed_721(v.ledger, ORDER[:2]).withColumn("tx_hash", F.floor(F.col("event_id") / 50))).select("token_id", "owner", "kind", "event_id")
 
 
-@query("QRY6_collection_sync", "ledger", f"""
+SYNC = f"""
 WITH {DELTAS}, {FEED}, a AS (
   SELECT event_id * 2 + CASE kind WHEN 'acquired' THEN 1 ELSE 0 END AS id, token_id, owner AS owner_address, kind AS event_type, ts AS occurred_at FROM feed
   UNION ALL SELECT event_id * 2, token_id, NULL, event_type, ts FROM ledger WHERE event_type = 'metadata_update'), c AS (
@@ -271,13 +298,25 @@ WITH {DELTAS}, {FEED}, a AS (
   SELECT * FROM c WHERE (created_at > TIMESTAMP '2024-01-12' OR (created_at = TIMESTAMP '2024-01-12' AND id > 2000)) AND (owner_address = 'u7' OR (owner_address IS NULL AND token_id IN (SELECT token_id FROM h))) ORDER BY created_at, id LIMIT 31), n AS (
   SELECT *, row_number() OVER (ORDER BY created_at, id) AS k, count(*) OVER () > 30 AS has_more FROM y), p AS (SELECT * FROM n WHERE k <= 30)
 SELECT id, token_id, owner_address, event_type, occurred_at, created_at, has_more, last_value(created_at) OVER w AS next_created_at, last_value(id) OVER w AS next_id FROM p
-WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
-def qry6(v: Views):
+WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+def change_rows(v: Views):
+    """The change feed of the ledger: ownership changes of one owner each, and metadata updates to everybody."""
     own = S.feed_721(v.ledger, ORDER[:2]).select((F.col("event_id") * 2 + F.when(F.col("kind") == "acquired", 1).otherwise(0)).alias("id"), "token_id", F.col("owner").alias("owner_address"), F.col("kind").alias("event_type"), F.col("ts").alias("occurred_at"))
     wide = v.ledger.where("event_type = 'metadata_update'").select((F.col("event_id") * 2).alias("id"), "token_id", F.lit(None).cast("string").alias("owner_address"), "event_type", F.col("ts").alias("occurred_at"))
-    feed = own.unionByName(wide).withColumn("created_at", F.expr("occurred_at + make_dt_interval(id % 7)"))
-    balances = H.replay_balances(v.ledger).withColumnRenamed("address", "owner_address")
-    return S.sync(feed, balances, "u7", F.expr("TIMESTAMP_NTZ'2024-01-12 00:00:00'"), 2000, 30)
+    return own.unionByName(wide).withColumn("created_at", F.expr("occurred_at + make_dt_interval(id % 7)"))
+
+
+@query("QRY6_collection_sync", "ledger", SYNC)
+def qry6(v: Views):
+    """A sync from the stored feed and balances: of the feed it reads the owner's and the common bucket since the checkpoint's day,
+    of the balances the owner's bucket."""
+    feed = T.FeedTable(v.spark, stored(v, "feed", lambda path: T.FeedTable(v.spark, path).append(change_rows(v))))
+    own = lambda path: K.BucketedTable(v.spark, path, "owner_address", 16)
+    balances = own(stored(v, "owner-balances", lambda path: own(path).create(H.replay_balances(v.ledger).withColumnRenamed("address", "owner_address"))))
+    at = F.expr("TIMESTAMP_NTZ'2024-01-12 00:00:00'")
+    return S.sync(feed.since("u7", at), balances.read(["u7"]), "u7", at, 2000, 30)
 
 
 @query("STATE20_owner_scoped_merge", "balances", "SELECT token_id, owner_address, quantity FROM balances WHERE owner_address <> 'c7' UNION ALL SELECT token_id, owner_address, quantity + 1 FROM balances WHERE owner_address = 'c7'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,25 @@ def str1(v: Views):
     return J.OrderedIngest(v.spark, path, cursors).run(event_stream(v)).select("event_id", "chain", "block_number")
 
 
+@query("STR1_ordered_ingest_batches", "ledger", """
+WITH m AS (SELECT max(block_number) AS last FROM ledger)
+SELECT event_id, chain, block_number FROM ledger, m WHERE block_number >= last // 4""")
+def str1_batches(v: Views):
+    """Blocks in three batches, each run twice; the third starts below the cursor, and what is below it is dropped."""
+    rows = v.ledger.select("event_id", "chain", "block_number", "tx_index")
+    last = rows.agg(F.max("block_number")).first()[0] or 0
+    cursors = rows.select("chain").distinct().withColumn("block_number", F.lit(last // 4).cast("long"))
+    path, half = job_path(v, "ingest"), F.lit(last // 2)
+    head = rows.where(F.col("block_number") <= half).groupBy("chain").agg(F.max("block_number").alias("head"))
+    after = rows.where(F.col("block_number") > half)
+    again = rows.join(head, "chain").where("block_number < head").drop("head")  # all below the cursor that the first batch left
+    for k, part in enumerate([rows.where(F.col("block_number") <= half), again, after]):
+        for _ in range(2):
+            J.OrderedIngest(v.spark, path, cursors).batch(part, k)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return J.BatchTables(v.spark, path).all("events", schema).select("event_id", "chain", "block_number")
+
+
 @query("STR2_event_job_dedupe", "ledger", "SELECT chain, 't' || CAST(block_number AS VARCHAR) AS tx_hash, tx_index AS log_index, event_id FROM ledger")
 def str2(v: Views):
     """Every event comes twice."""
@@ -41,6 +61,16 @@ def job_path(v: Views, name: str) -> str:
     return f"{scratch_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def in_runs(v: Views, rows: DataFrame, place: str, job: Callable[[DataFrame], DataFrame], runs: int = 3) -> DataFrame:
+    """What a job writes in several runs of one stream: each finds the next part of rows by place, and goes on from the state
+    and the checkpoint that the run before it left."""
+    path, last = job_path(v, "runs"), rows.agg(F.max(place)).first()[0] or 0
+    for k in range(runs):
+        rows.where(F.col(place).between(k * (last // runs + 1), (k + 1) * (last // runs + 1) - 1)).write.mode("append").parquet(f"{path}/in")
+        out = J.run_available(job(v.spark.readStream.schema(rows.schema).parquet(f"{path}/in")), "runs", top=path)
+    return out
+
+
 @query("STR3_two_feed_level_align", "ledger", """
 WITH f AS (SELECT chain, block_number AS level, CASE WHEN event_type = 'metadata_update' THEN 'metadata' ELSE 'transfer' END AS feed, event_id AS id, to_address FROM ledger), h AS (
   SELECT chain, min(head) AS least FROM (SELECT chain, feed, max(level) AS head FROM f GROUP BY chain, feed) x GROUP BY chain HAVING count(*) = 2), l AS (
@@ -53,6 +83,28 @@ def str3(v: Views):
     return J.LevelAlign(v.spark, job_path(v, "align"), 2, 3_600).run(feeds).select("chain", "level", "feed", "id", "reason")
 
 
+@query("STR3_level_align_batches", "ledger", """
+WITH f AS (SELECT chain, block_number AS level, CASE WHEN event_type = 'metadata_update' THEN 'metadata' ELSE 'transfer' END AS feed, event_id AS id FROM ledger), n AS (SELECT max(level) // 2 AS half FROM f)
+SELECT chain, level, feed, id, CASE WHEN level <= half THEN 'timeout' ELSE 'overflow' END AS reason FROM f, n
+WHERE feed = 'transfer' AND (level <= half OR level < (SELECT max(level) FROM f g WHERE g.chain = f.chain AND g.feed = 'transfer'))""")
+def str3_batches(v: Views):
+    """Transfers of lower levels, which time out as their metadata doesn't come; transfers of higher ones, of which all but the
+    highest are too many; then metadata of levels that have gone out, which is dropped. Each batch runs twice, the second time
+    at another hour."""
+    rows = v.ledger.select("chain", F.when(F.col("event_type") == "metadata_update", "metadata").otherwise("transfer").alias("feed"), F.col("block_number").alias("level"), F.col("event_id").alias("id"), F.lit("").alias("payload"))
+    half = F.lit((v.ledger.agg(F.max("block_number")).first()[0] or 0) // 2)
+    moves, none = rows.where("feed = 'transfer'"), rows.where("false")
+    top = moves.groupBy("chain").agg(F.max("level").alias("top"))
+    sealed = moves.join(top, "chain").where("level < top").groupBy("chain").agg(F.max("level").alias("sealed"))
+    late = rows.where("feed = 'metadata'").join(sealed, "chain").where("level <= sealed").drop("sealed")
+    path = job_path(v, "align")
+    wide, narrow = J.LevelAlign(v.spark, path, 1 << 40, 60), J.LevelAlign(v.spark, path, 1, 60)
+    for k, (job, part, now) in enumerate([(wide, moves.where(F.col("level") <= half), 0), (wide, none, 61), (narrow, moves.where(F.col("level") > half), 70), (narrow, late, 80)]):
+        job.batch(part, k, now=now)
+        job.batch(part, k, now=now + 3_600)
+    return J.BatchTables(v.spark, path).all("released", f"{J.FEED}, reason string").select("chain", "level", "feed", "id", "reason")
+
+
 @query("STR4_backfill_handoff", "ledger", "SELECT event_id AS id, block_number AS level, chain FROM ledger")
 def str4(v: Views):
     """History reaches block 2000 in one feed and 1900 in the other; live rows begin at 200. Each row comes once."""
@@ -63,9 +115,20 @@ def str4(v: Views):
     return past.unionByName(J.run_available(now, "live"))
 
 
-@query("STR5_idle_flush", "ledger", "SELECT chain, block_number, event_id AS id FROM ledger l WHERE block_number < (SELECT max(block_number) FROM ledger m WHERE m.chain = l.chain)")
+@query("STR5_idle_flush", "ledger", """
+WITH cut AS (SELECT max(event_id) // 2 AS half FROM ledger), f AS (SELECT max(block_number) AS block FROM ledger, cut WHERE event_id <= half AND chain = 'eip155:1'), h AS (
+  SELECT max(CASE WHEN chain = 'eip155:1' THEN block_number END) AS one, max(CASE WHEN chain <> 'eip155:1' THEN block_number END) AS other FROM ledger)
+SELECT chain, block_number, event_id AS id, CASE WHEN chain = 'eip155:1' THEN block_number = f.block AND event_id <= half ELSE block_number = other END AS flushed FROM ledger l, cut, f, h
+WHERE chain <> 'eip155:1' OR block_number < one OR block_number = f.block AND event_id <= half""")
 def str5(v: Views):
-    return J.IdleFlush(v.spark, job_path(v, "idle")).run(event_stream(v).select("chain", "block_number", F.col("event_id").alias("id")))
+    """Half of the events; a minute later those of one chain, so that the other chain's head is flushed; then the other chain's,
+    with the first one's last head, while its own is held."""
+    job, half = J.IdleFlush(v.spark, job_path(v, "idle"), idle=30), F.lit((v.ledger.agg(F.max("event_id")).first()[0] or 0) // 2)
+    rows = v.ledger.select("chain", "block_number", F.col("event_id").alias("id"))
+    late = rows.where(F.col("id") > half)
+    for k, part in enumerate([rows.where(F.col("id") <= half), late.where("chain <> 'eip155:1'"), late.where("chain = 'eip155:1'")]):
+        job.batch(part, k, now=60 * k)
+    return job.blocks()
 
 
 @query("STR6_running_holdings", "", """
@@ -82,12 +145,27 @@ def str6(v: Views):
     return J.run_available(J.running_holdings(sides), "holdings")
 
 
-@query("STR7_render_gate_machine", "ledger", """
+@query("STR6_running_holdings_wide", "wide_ledger", """
+WITH l AS (SELECT event_id, token_id, address, delta FROM (
+  SELECT event_id, token_id, coalesce(to_address, from_address) AS address, CASE WHEN to_address IS NULL THEN -CAST(quantity AS BIGNUM) ELSE CAST(quantity AS BIGNUM) END AS delta, event_type FROM wide_ledger) x WHERE event_type IN ('mint', 'burn') AND address IS NOT NULL), r AS (
+  SELECT *, sum(delta) OVER (PARTITION BY token_id, address ORDER BY event_id) AS after FROM l), b AS (
+  SELECT *, after > CAST(0 AS BIGNUM) AS now, coalesce(lag(after > CAST(0 AS BIGNUM)) OVER (PARTITION BY token_id, address ORDER BY event_id), false) AS was FROM r)
+SELECT token_id, address, event_id, CAST(after AS VARCHAR) AS quantity, CASE WHEN now AND NOT was THEN 'acquired' WHEN was AND NOT now THEN 'released' END AS kind FROM b""")
+def str6_wide(v: Views):
+    """Mints and burns with quantities of up to 256 bits."""
+    rows = v.wide_ledger.where("event_type in ('mint', 'burn')").select("token_id", "event_id", "from_address", "to_address", "quantity")
+    return in_runs(v, rows, "event_id", J.running_holdings)
+
+
+GATES = """
 WITH o AS (SELECT CAST(token_id AS VARCHAR) AS url_hash, event_id AS id, CASE event_type WHEN 'mint' THEN 'ok' WHEN 'burn' THEN 'known' WHEN 'transfer' THEN 'blank' ELSE 'none' END AS outcome FROM ledger), s AS (
   SELECT *, count(CASE WHEN outcome = 'ok' THEN 1 END) OVER (PARTITION BY url_hash ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM o), f AS (
   SELECT *, count(CASE WHEN outcome IN ('known', 'blank') THEN 1 END) OVER (PARTITION BY url_hash, run ORDER BY id) AS failures FROM s), g AS (
   SELECT url_hash, run, min(id) AS id FROM f WHERE outcome = 'known' OR (outcome = 'blank' AND failures >= 2) GROUP BY url_hash, run)
-SELECT url_hash, id, 'gate' AS change FROM g UNION ALL SELECT s.url_hash, s.id, 'release' FROM s JOIN g ON s.url_hash = g.url_hash AND s.run = g.run WHERE outcome = 'ok'""")
+SELECT url_hash, id, 'gate' AS change FROM g UNION ALL SELECT s.url_hash, s.id, 'release' FROM s JOIN g ON s.url_hash = g.url_hash AND s.run = g.run WHERE outcome = 'ok'"""
+
+
+@query("STR7_render_gate_machine", "ledger", GATES)
 def str7(v: Views):
     s = event_stream(v)
     outcome = F.expr("CASE event_type WHEN 'mint' THEN 'rendered_ok' WHEN 'burn' THEN 'known_bad_fingerprint' WHEN 'transfer' THEN 'blank' ELSE 'no_evidence' END")
@@ -95,6 +173,14 @@ def str7(v: Views):
     return J.run_available(J.render_gates(seen, J.GateConfig()), "gates")
 
 
+@query("STR7_render_gate_restarts", "ledger", GATES)
+def str7_runs(v: Views):
+    """The same in three runs, each from the state before."""
+    outcome = F.expr("CASE event_type WHEN 'mint' THEN 'rendered_ok' WHEN 'burn' THEN 'known_bad_fingerprint' WHEN 'transfer' THEN 'blank' ELSE 'no_evidence' END")
+    seen = v.ledger.select(F.col("token_id").cast("string").alias("url_hash"), F.col("event_id").alias("id"), F.col("event_id").alias("at"), outcome.alias("outcome"))
+    return in_runs(v, seen, "id", lambda s: J.render_gates(s, J.GateConfig()))
+
+
 @query("STR8_change_feed_out", "ledger clients", "SELECT event_id, client_id FROM ledger, clients WHERE is_active AND (filters = '*' OR list_contains(string_split(filters, ','), event_type))")
 def str8(v: Views):
     clients = v.clients.withColumn("filters", F.split("filters", ","))

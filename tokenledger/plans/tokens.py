@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.holdings import first_per_key, group_counts
-from ..operators.metadata import display_healthy, display_merge, swap_data_uris
+from ..functions.values import kind_of, size_order
+from ..operators.holdings import first_per_key
+from ..operators.metadata import MERGED, healthy_picks, healthy_url, merged_fields
 from ..operators.selection import owned_by, release_filter, token_filter, visible
 
 SORTS = ("created_at", "latest_provenance", "mint_number")
@@ -63,13 +64,23 @@ def query_tokens(q: TokenQuery, tokens: DataFrame, balances: DataFrame | None =
     return out.orderBy(first, F.desc("token_id") if q.descending else F.asc("token_id")).offset(q.offset).limit(q.limit + 1)
 
 
-KINDS = ("owners", "provenance_events", "owner_provenances", "metadata", "enrichment_source", "display", "media_asset")
-FIELDS = ["name", "description", "image_url", "animation_url", "artist"]
+LISTS = {  # kind: its table, what it is ordered by (time and numbers falling, then text), its fields
+    "owners": ("balances", {"amount": "quantity", "text": "owner_address"}, ["owner_address", "quantity"]),
+    "provenance_events": ("events", {"at": "ts", "first": "event_id"}, ["event_id", "event_type", "ts"]),
+    "owner_provenances": ("ownership", {"at": "last_timestamp", "first": "last_tx_index", "second": "id"}, ["owner_address", "last_timestamp", "last_tx_index"]),
+}
+KINDS = (*LISTS, "metadata", "enrichment_source", "display", "media_asset")
 URLS = ["image_url", "animation_url"]
 
 
-def expand(tokens: DataFrame, kinds: list[str] | tuple[str, ...], tables: dict[str, DataFrame], n: int, owners: list[str] | None = None) -> DataFrame:
-    """QRY2, QRY3: tokens with a column for each kind asked for, in the plan of the page itself.
+def page_ids(tokens: DataFrame, most: int = 1000) -> list[int] | None:
+    """The ids of a page, which reads are then cut to; None if there are more than `most`."""
+    rows = tokens.select("token_id").limit(most + 1).collect()
+    return None if len(rows) > most else [r[0] for r in rows]
+
+
+def expand(tokens: DataFrame, kinds: list[str] | tuple[str, ...], tables: dict[str, DataFrame], n: int, owners: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
+    """QRY2, QRY3: tokens with a column for each kind asked for.
 
     owners, provenance_events and owner_provenances are the first n (most held, newest, newest) with their number as
     <kind>_total; with owners, owner_provenances has all rows of these and no others. metadata and enrichment_source are the token's rows. display is the
@@ -77,46 +88,84 @@ def expand(tokens: DataFrame, kinds: list[str] | tuple[str, ...], tables: dict[s
     media_asset has the assets of the URLs in metadata, enrichment_source and display, as far as these are asked for.
 
     tables: balances, events, ownership, metadata, enrichment (a row a token), health, assets (source_url_hash,
-    variant_urls), as the kinds need them.
+    variant_urls), as the kinds need them. ids are the tokens' (`page_ids`), where these are few.
+
+    Tokens and all tables are one union of rows with a column for each kind, grouped once by token. Of the lists, n rows a token
+    and task at most are sent to be ranked; their numbers are counted before the shuffle. URLs meet the assets by hash before
+    that, all that display could show included; which of them it shows is known after the grouping.
     """
     if unknown := set(kinds) - set(KINDS):
         raise ValueError(f"{sorted(unknown)} aren't of {KINDS}")
-    out, ids = tokens, tokens.select("token_id")
-    own = lambda name: tables[name].join(ids, "token_id", "left_semi")
-    lists = {
-        "owners": ("balances", [F.desc("quantity"), F.col("owner_address")], ["owner_address", "quantity"]),
-        "provenance_events": ("events", [F.desc("ts"), F.desc("event_id")], ["event_id", "event_type", "ts"]),
-        "owner_provenances": ("ownership", [F.desc("last_timestamp"), F.desc("last_tx_index"), F.desc("id")], ["owner_address", "last_timestamp", "last_tx_index"]),
-    }
-    for kind, (table, order, fields) in lists.items():
-        if kind in kinds:
-            rows = own(table)
-            some = kind == "owner_provenances" and owners
-            if some:
-                rows = rows.where(F.col("owner_address").isin(owners))
-            first = group_counts(rows, "token_id", order, len(owners) if some else n).groupBy("token_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("__rows"), F.max("total").alias(f"{kind}_total"))
-            first = first.select("token_id", F.transform("__rows", _fields(fields)).alias(kind), f"{kind}_total")
-            out = out.join(first, "token_id", "left")
-    single = lambda df, kind: df.select("token_id", F.struct(*(f for f in FIELDS if f in df.columns)).alias(kind))
-    shown = None
+    sources = [k for k in ("metadata", "enrichment_source", "display") if k in kinds]
+    if "media_asset" in kinds and not (sources and "assets" in tables):
+        raise ValueError("media_asset needs assets, and metadata, enrichment_source or display")
+    own = lambda name: tables[name] if ids is None else tables[name].where(F.col("token_id").isin(ids))
+    lists = [k for k in LISTS if k in kinds]
+    single = {k: own(t) for k, t in (("metadata", "metadata"), ("enrichment_source", "enrichment")) if k in kinds or "display" in kinds}
+    counted, ranked = [], []
+    made = [F.first("token", True).alias("token")]
+    for kind in lists:
+        table, order, fields = LISTS[kind]
+        some = owners if kind == "owner_provenances" else None
+        found = own(table).where(F.col("owner_address").isin(some)) if some else own(table)
+        if "amount" in order and kind_of(found, order["amount"]) == "text":
+            order = {"digits": order["amount"], "text": order["text"]}
+        key = [(F.lit(None) if k not in order else size_order(found, order[k]) if k == "digits" else F.col(order[k])).cast(t).alias(k) for k, t in _ORDER.items()]
+        ranked.append((kind, found, len(some) if some else n, key, fields))
+        counted.append(found.select("token_id", *((F.lit(1) if k == kind else F.lit(None)).cast("bigint").alias(f"{k}_total") for k in lists)))
+    rows = [(tokens, {"token": F.struct(*tokens.columns)})]
+    if lists:
+        kinds_of = {k: f"struct<{','.join(f'{f}:{dict(df.dtypes)[f]}' for f in fields)}>" for k, df, _, _, fields in ranked}
+        each = reduce(DataFrame.union, (df.select("token_id", F.lit(k).alias("kind"), F.lit(most).alias("most"), *key, *((F.struct(*fields) if x == k else F.lit(None)).cast(kinds_of[x]).alias(x) for x in lists)) for k, df, most, key, fields in ranked))
+        w = Window.partitionBy("token_id", "kind").orderBy(*(F.desc(k) for k in _ORDER if k != "text"), F.asc("text"))
+        first = each.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= max(x[2] for x in ranked)) & (F.col("rank") <= F.col("most")))
+        rows.append((first, {k: F.col(k) for k in ("kind", "rank", *lists)}))
+        totals = reduce(DataFrame.union, counted).groupBy("token_id").agg(*(F.sum(f"{k}_total").alias(f"{k}_total") for k in lists))
+        rows.append((totals, {f"{k}_total": F.col(f"{k}_total") for k in lists}))
+        for kind in lists:
+            listed = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", *(F.col(f"{kind}.{f}").alias(f) for f in LISTS[kind][2])))))
+            made += [F.when(F.size(listed) > 0, F.transform(listed, _fields(LISTS[kind][2]))).alias(kind), F.max(f"{kind}_total").alias(f"{kind}_total")]
+    for kind, df in single.items():
+        rows.append((df, {kind: F.struct(*((F.col(f) if f in df.columns else F.lit(None)).cast("string").alias(f) for f in MERGED))}))
+        made.append(F.first(kind, True).alias(kind))
+    if "display" in kinds:
+        rows.append((own("health"), {k: F.col(k) for k in ("media_source", "health_status", "media_url")}))
+        made += healthy_picks()
+    if "assets" in tables and {"display", "media_asset"} & set(kinds):
+        urls = [df.select("token_id", F.explode(F.array(*URLS)).alias("url")) for df in single.values()]
+        urls += [own("health").where("health_status = 'healthy'").select("token_id", F.col("media_url").alias("url"))] if "display" in kinds else []
+        asked = reduce(DataFrame.union, urls).where("url <> ''").select("token_id", F.md5("url").alias("source_url_hash"))
+        met = asked.join(tables["assets"], "source_url_hash")
+        rows.append((met, {"asset": F.struct(F.col("source_url_hash").alias("hash"), F.try_element_at("variant_urls", F.lit("public")).alias("public"))}))
+        made.append(F.collect_set("asset").alias("__assets"))
+    out = _union(rows).groupBy("token_id").agg(*made).where("token is not null")
     if "display" in kinds:
-        merged = display_merge(own("metadata"), own("enrichment"))
-        healthy = display_healthy(merged, own("health"))
-        shown = merged.drop(*URLS).join(healthy, "token_id")
-    sources = {"metadata": "metadata" in kinds and own("metadata"), "enrichment_source": "enrichment_source" in kinds and own("enrichment"), "display": shown or False}
+        part = lambda kind: {f: F.col(f"{kind}.{f}") for f in MERGED}
+        fields = merged_fields(part("enrichment_source"), part("metadata"))
+        fields |= {f"{k}_url": healthy_url(k, fields[f"{k}_url"]) for k in ("image", "animation")}
+        out = out.withColumn("display", F.when(F.col("metadata").isNotNull(), F.struct(*(c.alias(f) for f, c in fields.items()))))
+    result = {c: F.col(f"token.{c}") for c in tokens.columns} | {x: F.col(x) for k in lists for x in (k, f"{k}_total")} | {k: F.col(k) for k in sources}
     if "media_asset" in kinds:
-        urls = [df.select("token_id", F.explode(F.array(*URLS)).alias("url")) for df in sources.values() if df]
-        if not urls:
-            raise ValueError("media_asset needs metadata, enrichment_source or display")
-        urls = reduce(lambda a, b: a.unionByName(b), urls).where("url <> ''").select("token_id", F.md5("url").alias("source_url_hash")).distinct()
-        assets = urls.join(tables["assets"], "source_url_hash").groupBy("token_id").agg(F.sort_array(F.collect_list("source_url_hash")).alias("media_asset"))
-        out = out.join(assets, "token_id", "left")
-    if shown is not None:
-        sources["display"] = swap_data_uris(shown, tables["assets"], URLS) if "assets" in tables else shown
-    for kind, df in sources.items():
-        if df:
-            out = out.join(single(df, kind), "token_id", "left")
-    return out
+        hashes = F.transform(F.filter(F.array(*(F.col(f"{k}.{u}") for k in sources for u in URLS)), lambda u: u != ""), lambda u: F.md5(u))
+        shown = F.array_sort(F.array_intersect(F.transform("__assets", lambda x: x["hash"]), hashes))
+        result["media_asset"] = F.when(F.size(shown) > 0, shown)
+    if "display" in kinds and "assets" in tables:
+        public = lambda u: F.array_max(F.transform(F.filter("__assets", lambda x: x["hash"] == F.md5(u)), lambda x: x["public"]))
+        swapped = lambda u: F.when(F.startswith(u, F.lit("data:")), F.coalesce(public(u), u)).otherwise(u)
+        result["display"] = F.when(F.col("display").isNotNull(), F.struct(*((swapped(F.col(f"display.{f}")) if f in URLS else F.col(f"display.{f}")).alias(f) for f in MERGED)))
+    return out.select(*(c.alias(k) for k, c in result.items()))
+
+
+_ORDER = {"at": "timestamp_ntz", "digits": "string", "amount": "bigint", "first": "bigint", "second": "bigint", "text": "string"}
+
+
+def _union(rows: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """One table of rows that each have some of its columns, the others null."""
+    own = [df.select("token_id", *(c.alias(k) for k, c in given.items())) for df, given in rows]
+    schemas = [df.schema for df in own]
+    kinds = {f.name: f.dataType.simpleString() for schema in schemas for f in schema}
+    whole = lambda schema: [f"`{k}`" if k in schema.names else f"CAST(NULL AS {t}) AS `{k}`" for k, t in kinds.items()]
+    return reduce(DataFrame.union, (df.selectExpr(*whole(schema)) for df, schema in zip(own, schemas, strict=True)))
 
 
 def _fields(names: list[str]):
