@@ -401,6 +401,18 @@ def test_the_root_follows_from_every_leaf():
     assert merkle.edits(merkle.tree("a.b."), merkle.tree("a.")) != [] and merkle.edits(merkle.tree("a."), merkle.tree("b.a.")) == []
 
 
+def test_the_plan_does_not_grow_with_the_blocks(spark):
+    docs = spark.createDataFrame([(2**60 + i, f"Text {i}.") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    plans = [len(merkle.compare_with_next(docs, per_block=k)._jdf.queryExecution().optimizedPlan().toString()) for k in (200, 2)]
+    assert abs(plans[0] - plans[1]) < 100
+    keys = docs.select("doc_id", F.xxhash64("text").alias("digest"))
+    cuts = merkle.ranges(keys, 40)
+    marked = keys.withColumn("b", merkle.block_of(spark, cuts)).withColumn("block", F.expr("if(b < 0, -b - 1, b)"))
+    order = sorted(marked.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.digest), reverse=True)
+    assert [r.block for r in order] == sorted(r.block for r in order) and order[-1].doc_id is None
+    assert [r.b < 0 for r in order] == [k == 0 or order[k - 1].block != r.block for k, r in enumerate(order)] and len({r.block for r in order}) == len(cuts[0]) > 20
+
+
 def test_places_that_many_rows_share(spark):
     """Null and repeated ids, with equal texts and others: every row is returned, and the order is whole."""
     texts = [(None, f"Text {i % 40}.") for i in range(120)] + [(7, f"Seven {i}.") for i in range(50)] + [(i, f"Own {i}.") for i in range(20)]

@@ -19,8 +19,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, written
@@ -165,6 +167,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+def ranges(keys: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each of about so many blocks of equal numbers of keys, in order: whether its doc_id is null, the
+    doc_id falling (as ~doc_id) and the digest falling. 17 bytes a block, as Spark itself needs for a sort over ranges."""
+    dealt = keys.repartitionByRange(blocks, F.col("doc_id").desc_nulls_last(), F.col("digest").desc()).withColumn("block", F.spark_partition_id())
+    found = dealt.groupBy("block").agg(F.max(F.struct("doc_id", "digest")).alias("place")).select("place.*").collect()
+    null = np.array([r[0] is None for r in found], bool)
+    falling = ~np.array([r[0] or 0 for r in found], np.int64), ~np.array([r[1] for r in found], np.int64)
+    order = np.lexsort((falling[1], falling[0], null))
+    return null[order], falling[0][order], falling[1][order]
+
+
+def block_of(spark: SparkSession, cuts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Column:
+    """The block of a row's doc_id and digest, negative less one where the row is its block's first. The cuts go to each executor
+    once, as a broadcast variable; the plan doesn't hold them."""
+    shared = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("long")
+    def found(nulls: pd.Series, ids: pd.Series, digests: pd.Series) -> pd.Series:
+        null, by_id, by_digest = shared.value
+        own = nulls.to_numpy(bool), ~ids.to_numpy(np.int64), ~digests.to_numpy(np.int64)
+        # as many searches as the cuts halve: the last cut at or before each place
+        low, high = np.zeros(len(ids), np.int64), np.full(len(ids), len(by_id), np.int64)
+        while (low < high).any():
+            middle = (low + high) // 2
+            at = np.minimum(middle, len(by_id) - 1)
+            cut = null[at], by_id[at], by_digest[at]
+            reached = (cut[0] < own[0]) | (cut[0] == own[0]) & ((cut[1] < own[1]) | (cut[1] == own[1]) & (cut[2] <= own[2]))
+            go = low < high
+            low, high = np.where(go & reached, middle + 1, low), np.where(go & ~reached, middle, high)
+        block = low - 1
+        at = np.maximum(block, 0)
+        first = (null[at] == own[0]) & (by_id[at] == own[1]) & (by_digest[at] == own[2])
+        return pd.Series(np.where(first, -block - 1, block))
+
+    return found(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("digest"))
+
+
 def compare_with_next(docs: DataFrame, per_block: int | None = None, block_bytes: int = 1 << 27) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and edited_at of every document.
 
@@ -175,67 +214,51 @@ def compare_with_next(docs: DataFrame, per_block: int | None = None, block_bytes
     of them is returned. A table of one document has itself for the next. An empty table gives no rows. Other columns are
     ignored.
 
-    The order is cut in ranges of about `per_block` rows, or, without it, of block_bytes of text at most and several a
-    core. Texts are shuffled once, by range, and read in order, a text and the next at a time. Each range returns its first and last
-    text as well; of these, a last one then meets the next range's first. Neither plan nor driver holds the ranges.
+    The order is cut in blocks of about `per_block` rows, or, without it, of block_bytes of text at most and several a
+    core. Texts are shuffled once, by block; each block's first document goes to the block before as well, which needs it
+    after its last. Blocks are read in order, a text and the next at a time.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
     keys = written(own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("bytes")), "places")
     rows, size = keys.agg(F.count("*"), F.sum("bytes")).first()
     many = -(-rows // per_block) if per_block else max(-(-(size or 0) // block_bytes), min(rows, 16 * spark.sparkContext.defaultParallelism))
+    cuts = ranges(keys.select("doc_id", "digest"), max(1, many))
     own = own.withColumn("rows", F.lit(1).cast("long"))
     repeated = keys.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").toDF("id", "of", "n")
     if not repeated.isEmpty():  # such rows meet before the shuffle, and as one row thereafter
         met = own.join(repeated.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
         once = met.where("n is not null").groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("n").alias("rows"))
         own = met.where("n is null").select("doc_id", "text", "digest", "rows").unionByName(once)
-    order = F.col("doc_id").desc_nulls_last(), F.col("digest").desc()
-    dealt = own.repartitionByRange(max(1, many), *order).sortWithinPartitions(*order).select("doc_id", "rows", "text", F.spark_partition_id().cast("long").alias("range"))
+    blocks, marked = max(1, len(cuts[0])), F.col("marked")
+    own = own.withColumn("marked", block_of(spark, cuts)).withColumn("block", F.when(marked < 0, -marked - 1).otherwise(marked))
+    to = F.array(F.struct("block", F.lit(0).alias("lent")), F.struct(F.pmod(F.col("block") - 1, F.lit(blocks)).alias("block"), F.lit(1).alias("lent")))
+    own = own.select("doc_id", "digest", "rows", "text", F.explode(F.slice(to, F.lit(1), F.when(marked < 0, 2).otherwise(1))).alias("to"))
+    own = own.select("to.block", "to.lent", "doc_id", "digest", "rows", "text").repartition("block").sortWithinPartitions("block", "lent", F.col("doc_id").desc_nulls_last(), F.col("digest").desc())
 
-    def result(held: tuple, text: str, t: Node) -> tuple:
-        doc_id, n, own, fp = held
-        half = len(own) // 2
-        edited = own[: len(own) - half] + text[:half]
-        other = tree(edited)
-        spans = ",".join(f"{x}-{y}" for x, y in edits(fp, other))
-        return doc_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(fp), shown(other), likeness(fp, other), likeness(fp, t), spans, n, None, None, None
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True) if out else [()] * len(NAMES), KINDS, strict=True)], names=NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # block, doc_id, rows, text, tree
 
-    def edge(doc_id: int | None, n: int, at: int, name: str, text: str) -> tuple:
-        return doc_id, None, None, None, None, None, None, None, n, at, name, text
+        def result(text: str, t: Node) -> tuple:
+            _, doc_id, n, own, fp = held
+            half = len(own) // 2
+            edited = own[: len(own) - half] + text[:half]
+            other = tree(edited)
+            spans = ",".join(f"{x}-{y}" for x, y in edits(fp, other))
+            return doc_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(fp), shown(other), likeness(fp, other), likeness(fp, t), spans, n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None  # the document before: doc_id, rows, text, tree
         for batch in slices(batches):
             out = []
-            for doc_id, n, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for block, lent, doc_id, n, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
                 t = tree(text)
-                out.append(edge(doc_id, n, at, "first", text) if held is None else result(held, text, t))
-                held = (doc_id, n, text, t)
-            yield batch_of(out)
-        if held:
-            yield batch_of([edge(held[0], held[1], at, "last", held[2])])
+                if held and held[0] == block:
+                    out.append(result(text, t))
+                held = None if lent else (block, doc_id, n, text, t)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True) if out else [()] * 9, KINDS, strict=True)], names=NAMES)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            yield batch_of([result((doc_id, n, text, tree(text)), after, tree(after)) for doc_id, n, text, after in rows])
-
-    found = written(dealt.mapInArrow(run, SCHEMA), "compared", merge=False)
-    firsts = found.where("edge = 'first'")
-    # a row a range, without its text
-    w = Window.partitionBy(F.lit(0)).orderBy("range")
-    after = firsts.select("range", F.lead("range").over(w).alias("after"), F.first("range").over(w).alias("least"))
-    after = after.select("range", F.coalesce("after", "least").alias("after"))
-    met = found.where("edge = 'last'").join(after, "range").select("doc_id", "rows", "edge_text", "after").join(firsts.select(F.col("range").alias("after"), F.col("edge_text").alias("next")), "after")
-    edges = met.select("doc_id", "rows", "edge_text", "next").mapInArrow(meet, SCHEMA)
-    whole = found.where("edge is null").unionByName(edges)
-    return whole.select(*NAMES[:8], F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*NAMES[:8])
-
-
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at string, rows long, range long, edge string, edge_text string"
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-KINDS = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
+    found = own.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at string, rows long")
+    return found.select(*NAMES[:-1], F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*NAMES[:-1])
+
+
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_at", "rows"]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
