@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import kind_of, size_order
+from ..functions.values import WIDE
 from ..operators.holdings import first_per_key
 from ..operators.metadata import MERGED, healthy_picks, healthy_url, merged_fields
 from ..operators.selection import owned_by, release_filter, token_filter, visible
@@ -102,74 +102,80 @@ def expand(tokens: DataFrame, kinds: list[str] | tuple[str, ...], tables: dict[s
     own = lambda name: tables[name] if ids is None else tables[name].where(F.col("token_id").isin(ids))
     lists = [k for k in LISTS if k in kinds]
     single = {k: own(t) for k, t in (("metadata", "metadata"), ("enrichment_source", "enrichment")) if k in kinds or "display" in kinds}
-    counted, ranked = [], []
-    made = [F.first("token", True).alias("token")]
-    for kind in lists:
-        table, order, fields = LISTS[kind]
-        some = owners if kind == "owner_provenances" else None
-        found = own(table).where(F.col("owner_address").isin(some)) if some else own(table)
-        if "amount" in order and kind_of(found, order["amount"]) == "text":
-            order = {"digits": order["amount"], "text": order["text"]}
-        key = [(F.lit(None) if k not in order else size_order(found, order[k]) if k == "digits" else F.col(order[k])).cast(t).alias(k) for k, t in _ORDER.items()]
-        ranked.append((kind, found, len(some) if some else n, key, fields))
-        counted.append(found.select("token_id", *((F.lit(1) if k == kind else F.lit(None)).cast("bigint").alias(f"{k}_total") for k in lists)))
-    rows = [(tokens, {"token": F.struct(*tokens.columns)})]
+    rows, made = [tokens.select("token_id", F.struct(*tokens.columns).alias("token"))], ["first(token, true) AS token"]
     if lists:
-        kinds_of = {k: f"struct<{','.join(f'{f}:{dict(df.dtypes)[f]}' for f in fields)}>" for k, df, _, _, fields in ranked}
-        each = reduce(DataFrame.union, (df.select("token_id", F.lit(k).alias("kind"), F.lit(most).alias("most"), *key, *((F.struct(*fields) if x == k else F.lit(None)).cast(kinds_of[x]).alias(x) for x in lists)) for k, df, most, key, fields in ranked))
-        w = Window.partitionBy("token_id", "kind").orderBy(*(F.desc(k) for k in _ORDER if k != "text"), F.asc("text"))
-        first = each.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= max(x[2] for x in ranked)) & (F.col("rank") <= F.col("most")))
-        rows.append((first, {k: F.col(k) for k in ("kind", "rank", *lists)}))
-        totals = reduce(DataFrame.union, counted).groupBy("token_id").agg(*(F.sum(f"{k}_total").alias(f"{k}_total") for k in lists))
-        rows.append((totals, {f"{k}_total": F.col(f"{k}_total") for k in lists}))
+        found = {k: own(LISTS[k][0]) for k in lists}
+        some = {k: len(owners) if owners and k == "owner_provenances" else n for k in lists}
+        if owners and "owner_provenances" in found:
+            found["owner_provenances"] = found["owner_provenances"].where(F.col("owner_address").isin(owners))
+        rows.append(_ranked(found, some))
+        ones = (found[k].selectExpr("token_id", *(f"CAST({'1' if x == k else 'NULL'} AS bigint) AS {x}_total" for x in lists)) for k in lists)
+        rows.append(reduce(DataFrame.union, ones).groupBy("token_id").agg(*(F.expr(f"sum({k}_total) AS {k}_total") for k in lists)))
         for kind in lists:
-            listed = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", *(F.col(f"{kind}.{f}").alias(f) for f in LISTS[kind][2])))))
-            made += [F.when(F.size(listed) > 0, F.transform(listed, _fields(LISTS[kind][2]))).alias(kind), F.max(f"{kind}_total").alias(f"{kind}_total")]
+            fields = LISTS[kind][2]
+            listed = f"sort_array(collect_list(CASE WHEN kind = '{kind}' THEN struct(rank, {', '.join(f'{kind}.{f} AS {f}' for f in fields)}) END))"
+            made += [f"CASE WHEN count_if(kind = '{kind}') > 0 THEN transform({listed}, x -> struct({', '.join(f'x.{f} AS {f}' for f in fields)})) END AS {kind}", f"max({kind}_total) AS {kind}_total"]
+    none = "NULL"
     for kind, df in single.items():
-        rows.append((df, {kind: F.struct(*((F.col(f) if f in df.columns else F.lit(None)).cast("string").alias(f) for f in MERGED))}))
-        made.append(F.first(kind, True).alias(kind))
-    if "display" in kinds:
-        rows.append((own("health"), {k: F.col(k) for k in ("media_source", "health_status", "media_url")}))
-        made += healthy_picks()
+        columns = set(df.columns)
+        rows.append(df.selectExpr("token_id", f"struct({', '.join(f'CAST({f if f in columns else none} AS string) AS {f}' for f in MERGED)}) AS {kind}"))
+        made.append(f"first({kind}, true) AS {kind}")
+    health = own("health") if "display" in kinds else None
+    if health is not None:
+        rows.append(health.select("token_id", "media_source", "health_status", "media_url"))
     if "assets" in tables and {"display", "media_asset"} & set(kinds):
-        urls = [df.select("token_id", F.explode(F.array(*URLS)).alias("url")) for df in single.values()]
-        urls += [own("health").where("health_status = 'healthy'").select("token_id", F.col("media_url").alias("url"))] if "display" in kinds else []
-        asked = reduce(DataFrame.union, urls).where("url <> ''").select("token_id", F.md5("url").alias("source_url_hash"))
-        met = asked.join(tables["assets"], "source_url_hash")
-        rows.append((met, {"asset": F.struct(F.col("source_url_hash").alias("hash"), F.try_element_at("variant_urls", F.lit("public")).alias("public"))}))
-        made.append(F.collect_set("asset").alias("__assets"))
-    out = _union(rows).groupBy("token_id").agg(*made).where("token is not null")
+        urls = [df.selectExpr("token_id", f"explode(array({', '.join(URLS)})) AS url") for df in single.values()]
+        urls += [health.where("health_status = 'healthy'").selectExpr("token_id", "media_url AS url")] if health is not None else []
+        asked = reduce(DataFrame.union, urls).where("url <> ''").selectExpr("token_id", "md5(url) AS source_url_hash")
+        rows.append(asked.join(tables["assets"], "source_url_hash").selectExpr("token_id", "struct(source_url_hash AS hash, try_element_at(variant_urls, 'public') AS public) AS asset"))
+        made.append("collect_set(asset) AS __assets")
+    out = _union(rows).groupBy("token_id").agg(*map(F.expr, made), *(healthy_picks() if health is not None else ())).where("token is not null")
     if "display" in kinds:
         part = lambda kind: {f: F.col(f"{kind}.{f}") for f in MERGED}
         fields = merged_fields(part("enrichment_source"), part("metadata"))
         fields |= {f"{k}_url": healthy_url(k, fields[f"{k}_url"]) for k in ("image", "animation")}
         out = out.withColumn("display", F.when(F.col("metadata").isNotNull(), F.struct(*(c.alias(f) for f, c in fields.items()))))
-    result = {c: F.col(f"token.{c}") for c in tokens.columns} | {x: F.col(x) for k in lists for x in (k, f"{k}_total")} | {k: F.col(k) for k in sources}
+    result = [f"token.{c} AS {c}" for c in tokens.columns] + [x for k in lists for x in (k, f"{k}_total")]
+    for kind in sources:
+        if kind == "display" and "assets" in tables:
+            public = lambda u: f"array_max(transform(filter(__assets, x -> x.hash = md5({u})), x -> x.public))"
+            swapped = lambda u: f"CASE WHEN startswith({u}, 'data:') THEN coalesce({public(u)}, {u}) ELSE {u} END"
+            result.append(f"CASE WHEN display IS NOT NULL THEN struct({', '.join(f'{swapped(f"display.{f}") if f in URLS else f"display.{f}"} AS {f}' for f in MERGED)}) END AS display")
+        else:
+            result.append(kind)
     if "media_asset" in kinds:
-        hashes = F.transform(F.filter(F.array(*(F.col(f"{k}.{u}") for k in sources for u in URLS)), lambda u: u != ""), lambda u: F.md5(u))
-        shown = F.array_sort(F.array_intersect(F.transform("__assets", lambda x: x["hash"]), hashes))
-        result["media_asset"] = F.when(F.size(shown) > 0, shown)
-    if "display" in kinds and "assets" in tables:
-        public = lambda u: F.array_max(F.transform(F.filter("__assets", lambda x: x["hash"] == F.md5(u)), lambda x: x["public"]))
-        swapped = lambda u: F.when(F.startswith(u, F.lit("data:")), F.coalesce(public(u), u)).otherwise(u)
-        result["display"] = F.when(F.col("display").isNotNull(), F.struct(*((swapped(F.col(f"display.{f}")) if f in URLS else F.col(f"display.{f}")).alias(f) for f in MERGED)))
-    return out.select(*(c.alias(k) for k, c in result.items()))
+        hashes = f"transform(filter(array({', '.join(f'{k}.{u}' for k in sources for u in URLS)}), u -> u <> ''), u -> md5(u))"
+        shown = f"array_sort(array_intersect(transform(__assets, x -> x.hash), {hashes}))"
+        result.append(f"CASE WHEN size({shown}) > 0 THEN {shown} END AS media_asset")
+    return out.selectExpr(*result)
+
+
+def _ranked(found: dict[str, DataFrame], most: dict[str, int]) -> DataFrame:
+    """The first rows of each token and list, up to the list's number, with their rank; a column of fields for each list."""
+    kinds = {k: dict(df.dtypes) for k, df in found.items()}
+    types = {k: f"struct<{', '.join(f'{f}: {kinds[k][f]}' for f in LISTS[k][2])}>" for k in found}
+    each = []
+    for kind, df in found.items():
+        order = dict(LISTS[kind][1])
+        if "amount" in order and kinds[kind][order["amount"]] == "string":
+            order["digits"] = f"lpad({order.pop('amount')}, {WIDE}, '0')"  # orders numbers of up to 256 bits by size
+        key = [f"CAST({order.get(k, 'NULL')} AS {t}) AS {k}" for k, t in _ORDER.items()]
+        own = [f"{f'struct({", ".join(LISTS[k][2])})' if k == kind else f'CAST(NULL AS {types[k]})'} AS {k}" for k in found]
+        each.append(df.selectExpr("token_id", f"'{kind}' AS kind", f"{most[kind]} AS most", *key, *own))
+    w = Window.partitionBy("token_id", "kind").orderBy(*(F.desc(k) for k in _ORDER if k != "text"), F.asc("text"))
+    first = reduce(DataFrame.union, each).withColumn("rank", F.row_number().over(w))
+    return first.where((F.col("rank") <= max(most.values())) & (F.col("rank") <= F.col("most"))).select("token_id", "kind", "rank", *found)
 
 
 _ORDER = {"at": "timestamp_ntz", "digits": "string", "amount": "bigint", "first": "bigint", "second": "bigint", "text": "string"}
 
 
-def _union(rows: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+def _union(rows: list[DataFrame]) -> DataFrame:
     """One table of rows that each have some of its columns, the others null."""
-    own = [df.select("token_id", *(c.alias(k) for k, c in given.items())) for df, given in rows]
-    schemas = [df.schema for df in own]
+    schemas = [df.schema for df in rows]
     kinds = {f.name: f.dataType.simpleString() for schema in schemas for f in schema}
     whole = lambda schema: [f"`{k}`" if k in schema.names else f"CAST(NULL AS {t}) AS `{k}`" for k, t in kinds.items()]
-    return reduce(DataFrame.union, (df.selectExpr(*whole(schema)) for df, schema in zip(own, schemas, strict=True)))
-
-
-def _fields(names: list[str]):
-    return lambda x: F.struct(*(x[f].alias(f) for f in names))
+    return reduce(DataFrame.union, (df.selectExpr(*whole(schema)) for df, schema in zip(rows, schemas, strict=True)))
 
 
 def provenance(events: DataFrame, token_id: int, limit: int, offset: int, descending: bool) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "embeddings"]
 
@@ -156,16 +157,22 @@ def with_views(names: list[str], sql: str) -> str:
     return f"WITH {ctes},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 class Views:
     """The views of one folder as DataFrames; `v.ledger` is the view, `v.table("part")` a table. Each table's files are
-    listed once, however many of the views read it."""
+    listed once, however many of the views read it, and its schema is looked up once an application."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir, self.read = spark, sf_dir.rstrip("/"), {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self.read:
-            self.read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            path = f"{self.dir}/{name}.parquet"
+            key = (self.spark.sparkContext.applicationId, path)
+            self.read[name] = self.spark.read.schema(_schemas[key]).parquet(path) if key in _schemas else self.spark.read.parquet(path)
+            _schemas[key] = self.read[name].schema
         return self.read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
