@@ -28,6 +28,11 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(query, "&")), "&"))))
 
 
+def url_key(url: Column) -> Column:
+    """128 bits of a digest of the canonical URL: no two of an archive's URLs share it."""
+    return F.substring(F.unhex(F.sha2(canonical_url(url), 256)), 1, 16)
+
+
 def _opaque(etag: Column) -> Column:
     """An entity tag without its weakness mark, as If-None-Match compares them."""
     return F.regexp_replace(F.trim(etag), "^W/", "")
@@ -91,7 +96,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600) -> DataFram
     payload = [c for c in records.columns if c.startswith("payload")]
     mark = F.md5(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("headers", no_headers()))))))
     at = F.col("at").cast("long").alias("at")
-    own = records.select("record_id", "kind", "headers", F.when(F.col("url").isNotNull(), F.xxhash64(canonical_url(F.col("url")))).alias("url_key"), at, F.struct(at, "record_id", mark.alias("mark")).alias("answer"), *payload)
+    own = records.select("record_id", "kind", "headers", F.when(F.col("url").isNotNull(), url_key(F.col("url"))).alias("url_key"), at, F.struct(at, "record_id", mark.alias("mark")).alias("answer"), *payload)
     captures = own.select("record_id", "kind", "url_key", "at", F.when(F.col("kind") == "response", F.col("answer")).alias("answer"), F.when(F.col("kind") == "revisit", F.col("headers")).alias("update"))
     pairs = written(latest_earlier(captures, bucket_seconds).select(F.col("record_id").alias("revisit_id"), "url_key", F.col("found").alias("answer"), "update"), "revisit-pairs")
     uses = pairs.where("answer is not null").groupBy("url_key", "answer").agg(F.count("*").alias("uses"))
