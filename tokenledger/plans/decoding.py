@@ -49,8 +49,8 @@ _fixtures: dict[tuple[str, str, str], str] = {}
 
 
 def once(v: Views, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A fixture's rows as such a table."""
-    return v.spark.read.parquet(stored(v, name, lambda path: make().write.parquet(path)))
+    """A fixture's rows as such a table, in files of few rows, as texts of hex are read by many tasks."""
+    return v.spark.read.parquet(stored(v, name, lambda path: make().write.option("maxRecordsPerFile", 1 << 15).parquet(path)))
 
 
 def logs(v: Views, kind: str) -> DataFrame:
