@@ -200,6 +200,24 @@ def test_gates_stream_equals_batch(spark, tmp_path, shadow, want):
     assert found(J.run_available(J.render_gates(stream, config), "gates").select("id", "change")) == want
 
 
+@pytest.mark.parametrize("failures", [1, 2, 3])
+def test_gate_windows_equal_the_steps(spark, failures):
+    import random
+
+    rng, config, rows, want = random.Random(failures), J.GateConfig(failures_to_gate=failures), [], []
+    for url in [None, *(f"u{i}" for i in range(30))]:
+        state = {"failures": 0, "gated": False}
+        for at in range(rng.randrange(25)):
+            outcome = rng.choices(["rendered_ok", "blank", "stalled", "no_evidence", "known_bad_fingerprint", None], [3, 5, 3, 3, 1, 1])[0]
+            rows.append((url, len(rows), at // 2, outcome))
+            state, change = J.gate_step(state, outcome, config)
+            want += [(url, rows[-1][1], change)] if change else []
+    df = spark.createDataFrame(rows, "url_hash string, id long, at long, outcome string")
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted((tuple(r) for r in J.render_gates_batch(df.repartition(5), config).collect()), key=key) == sorted(want, key=key)
+    assert J.render_gates_batch(df.limit(0), config).count() == 0
+
+
 def test_jpeg_segments(spark):
     ok = bytes.fromhex("FFD8FFFFE000044A46FFD0FFDA0008")
     rows = [(1, ok), (2, ok[:4]), (3, bytes.fromhex("FFD8FFE000044A4612345678")), (4, bytes.fromhex("FFD8FFE000010000"))]

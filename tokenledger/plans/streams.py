@@ -181,6 +181,14 @@ def str7_runs(v: Views):
     return in_runs(v, seen, "id", lambda s: J.render_gates(s, J.GateConfig()))
 
 
+@query("STR7_render_gates_batch", "ledger", GATES)
+def str7_batch(v: Views):
+    """The same over whole histories, without a stream."""
+    outcome = F.expr("CASE event_type WHEN 'mint' THEN 'rendered_ok' WHEN 'burn' THEN 'known_bad_fingerprint' WHEN 'transfer' THEN 'blank' ELSE 'no_evidence' END")
+    seen = v.ledger.select(F.col("token_id").cast("string").alias("url_hash"), F.col("event_id").alias("id"), F.col("event_id").alias("at"), outcome.alias("outcome"))
+    return J.render_gates_batch(seen, J.GateConfig())
+
+
 @query("STR8_change_feed_out", "ledger clients", "SELECT event_id, client_id FROM ledger, clients WHERE is_active AND (filters = '*' OR list_contains(string_split(filters, ','), event_type))")
 def str8(v: Views):
     clients = v.clients.withColumn("filters", F.split("filters", ","))

@@ -303,12 +303,21 @@ def render_gates(observations: DataFrame, config: GateConfig) -> DataFrame:
 
 
 def render_gates_batch(observations: DataFrame, config: GateConfig) -> DataFrame:
-    """The batch twin of STR7: the same fold over each URL's whole history."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold_gates(rows, {"failures": 0, "gated": False}, config)[1], columns=["url_hash", "id", "change"])
-
-    return observations.groupBy("url_hash").applyInPandas(fold, "url_hash string, id bigint, change string")
+    """The batch twin of STR7, as windows: url_hash, id and change (gate or release) of whole histories.
+
+    Observations without evidence are left out. A run of a URL ends with a good render: its first observation that is due is
+    the gate, its good render the release if there was one. In shadow mode there are no rows. Null times come last."""
+    order = [F.asc_nulls_last("at"), F.asc_nulls_last("id")]
+    good = F.col("outcome").eqNullSafe("rendered_ok")
+    seen = observations.where(~F.col("outcome").eqNullSafe("no_evidence") & F.lit(not config.shadow))
+    before = Window.partitionBy("url_hash").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = seen.withColumn("run", F.count_if(good).over(before))
+    so_far = Window.partitionBy("url_hash", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.col("outcome").eqNullSafe("known_bad_fingerprint")
+    due = ~good & (known | (F.count_if(~good).over(so_far) >= config.failures_to_gate))
+    counted = runs.withColumn("due", due).withColumn("dues", F.count_if("due").over(so_far))
+    change = F.when(good & (F.col("dues") > 0), "release").when(F.col("due") & (F.col("dues") == 1), "gate")
+    return counted.select("url_hash", "id", change.alias("change")).where("change is not null")
 
 
 def change_feed(stream: DataFrame, clients: DataFrame) -> DataFrame:
