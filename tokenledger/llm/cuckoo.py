@@ -265,30 +265,47 @@ def maybe_live(index: Index, digests: DataFrame) -> DataFrame:
 
 
 def lookup(index: Index, docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 and keep_id of every document of docs: keep_id is the least live doc_id with an equal text, null
-    if there is none. A hit of the filters is compared with the stored text of its bucket; buckets without hits aren't read.
+    """doc_id, text_sha256, keep_id and live of every document of docs: keep_id is the least live doc_id with an equal text, null
+    if there is none or none has a doc_id. A hit of the filters is compared with the stored text of its bucket; buckets without
+    hits aren't read.
+
+    Copies are one text before anything is shuffled, and texts are compared once a digest; the documents then get their
+    digest's answer by ids and digests alone, a digest that many share over salts.
 
     Null texts count as empty, repeated rows are each looked up, an empty table or index gives no rows or no hits."""
     own = _keyed(docs)
-    maybe = written(maybe_live(index, own), "maybe-live")
+    keys = written(own.select("doc_id", "text_sha256"), "asked-digests")
+    maybe = written(maybe_live(index, keys), "maybe-live")
     hit = _buckets(maybe)
-    stored = index.table("content", hit).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256", F.col("text").alias("stored"))
-    stored = stored.join(index.live(hit), "text_sha256").select("text_sha256", "stored", "keep_id", F.lit(True).alias("met"))
-    return own.join(stored, "text_sha256", "left").select("doc_id", "text_sha256", F.when(F.col("text") == F.col("stored"), F.col("keep_id")).alias("keep_id"), (F.coalesce("met", F.lit(False)) & (F.col("text") == F.col("stored"))).alias("live"))
+    bucket = bucket_of(F.col("text_sha256"), index.bits)
+    asked = own.where(bucket.isin(hit)) if len(hit) <= LISTED else own  # documents of other buckets have no hit
+    asked = asked.groupBy("text_sha256").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    stored = index.table("content", hit).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256", "text")
+    same = asked.join(stored, "text_sha256").where("low = text and high = text").select("text_sha256")
+    found = same.join(index.live(hit), "text_sha256").select("text_sha256", "keep_id", F.lit(True).alias("live"))
+    sizes = keys.groupBy("text_sha256").agg(F.count("*").alias("n"))
+    answers = written(sizes.join(found, "text_sha256", "left").select("text_sha256", "n", "keep_id", F.coalesce("live", F.lit(False)).alias("live")), "answers")
+    discard(maybe)
+    return join_by_group(keys, answers, ["text_sha256"], "n", keys.count()).select("doc_id", "text_sha256", "keep_id", "live")
 
 
 def insert(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
-    """The index with the documents of docs. A digest that the filters don't have is new without a look at the content."""
+    """The index with the documents of docs. A digest that the filters don't have is new without a look at the content.
+
+    Copies are one text before they are shuffled. Null texts count as empty, repeated rows are copies of one document, an
+    empty table changes nothing."""
     own = _keyed(docs)
     bucket = bucket_of(F.col("text_sha256"), index.bits).alias("bucket")
     counted = written(own.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies")), "inserted")
     maybe = written(maybe_live(index, counted), "maybe-live")
     known = index.table("content", _buckets(maybe)).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256")
     fresh = written(counted.select("text_sha256").distinct().join(known, "text_sha256", "left_anti").select(bucket, "text_sha256"), "new-digests")
-    texts = own.join(fresh, "text_sha256").groupBy("bucket", "text_sha256").agg(F.first("text").alias("text"))
-    index.append("content", texts)
+    texts = own.groupBy(bucket, "text_sha256").agg(F.first("text").alias("text"))
+    index.append("content", texts.join(fresh, ["bucket", "text_sha256"], "left_semi"))
     index.append("holders", counted.select(bucket, "text_sha256", "doc_id", "copies"))
-    return _updated(index, fresh, "insert", per_bucket)
+    out = _updated(index, fresh, "insert", per_bucket)
+    discard(counted, maybe, fresh)
+    return out
 
 
 def delete(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
@@ -300,11 +317,13 @@ def delete(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
     met = counted.toDF("in", "of", "id", "gone").join(index.holders(touched), (F.col("text_sha256") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     taken = written(met.select("bucket", "text_sha256", "doc_id", (-F.least("gone", "copies")).alias("copies")), "taken")
     index.append("holders", taken)
-    dead = written(taken.select("bucket", "text_sha256").distinct().join(index.holders(touched), ["bucket", "text_sha256"], "left_anti"), "dead-digests")
+    dead = written(taken.select("bucket", "text_sha256").distinct().join(index.holders(touched).select("bucket", "text_sha256").distinct(), ["bucket", "text_sha256"], "left_anti"), "dead-digests")
     losing = _buckets(dead)
     if losing:
         index.replace("content", index.table("content", losing).where(F.col("bucket").isin(losing)).join(dead, ["bucket", "text_sha256"], "left_anti").select("bucket", "text_sha256", "text"), losing)
-    return _updated(index, dead, "delete", per_bucket)
+    out = _updated(index, dead, "delete", per_bucket)
+    discard(counted, taken, dead)
+    return out
 
 
 def _updated(index: Index, changed: DataFrame, op: str, per_bucket: int) -> Index:

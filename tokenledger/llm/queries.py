@@ -210,6 +210,27 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 """
 
 
+@query
+def live_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's kept index: all documents are inserted, those labelled toxic are taken out again, and every document is looked up:
+    the least live document with its text, if there is one."""
+    docs = table(spark, sf_dir, "documents")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    index = cuckoo.insert(cuckoo.empty_index(spark), docs)
+    index = cuckoo.delete(index, docs.join(toxic, "doc_id", "left_semi"))
+    return cuckoo.lookup(index, docs)
+
+
+ORACLES["live_digest_index"] = """
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT text_sha256, min(doc_id) AS keep_id FROM d WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY text_sha256
+)
+SELECT d.doc_id, d.text_sha256, g.keep_id, g.text_sha256 IS NOT NULL AS live FROM d LEFT JOIN g ON d.text_sha256 = g.text_sha256
+"""
+
+
 @query
 def op9_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets have a similarity of 0.8 or more."""
