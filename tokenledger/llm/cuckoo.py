@@ -354,8 +354,8 @@ def _updated(index: Index, changed: DataFrame, op: str, per_bucket: int) -> Inde
                     own = CuckooFilter(table=table)
                 elif op == "delete":
                     own.delete(digest)
-                else:
-                    full = not own.insert(digest) or full
+                elif not full:  # a full one is built anew from the content
+                    full = not own.insert(digest)
         if at is not None:
             yield out()
 
@@ -373,7 +373,8 @@ def _from_content(content: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, digests = None, []
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_built(digests)[0].slots.tobytes()], pa.binary())], names=["bucket", "filter"])
+        size = lambda: 1 << max(6, (len(digests) * 5 // 16).bit_length())  # noqa: E731  # four fifths of the slots at most
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_built(digests, size())[0].slots.tobytes()], pa.binary())], names=["bucket", "filter"])
         for batch in slices(batches):
             for bucket, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != at:
