@@ -220,15 +220,22 @@ class Index:
         rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self._folder(name))
 
     def replace(self, name: str, rows: DataFrame, touched: list[int]) -> None:
-        """Writes the touched buckets anew; one without rows goes."""
-        rows = written(rows, f"{name}-anew", merge=False)
-        left = _buckets(rows)
-        if left:
-            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._folder(name))
-        for k in set(touched) - set(left):
-            path, fs = self._at(f"{self._folder(name)}/bucket={k}")
-            fs.delete(path, True)
-        discard(rows)
+        """Writes the touched buckets anew, beside the table, and then puts each in its place; one without rows goes. Nothing
+        of the table changes before all of them are written. If the driver is lost while they are put in place, those that are
+        not yet in place are still beside the table, whole."""
+        if not touched:
+            return
+        beside = f"{self.path}/{self.bits}/_{name}-{uuid.uuid4().hex}"
+        top, fs = self._at(beside)
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(beside)
+        for k in touched:
+            new, old = (self._at(f"{x}/bucket={k}")[0] for x in (beside, self._folder(name)))
+            fs.delete(old, True)
+            if fs.exists(new):
+                fs.mkdirs(old.getParent())
+                if not fs.rename(new, old):
+                    raise OSError(f"{beside}/bucket={k} can't be put in its place")
+        fs.delete(top, True)
 
 
 def _buckets(rows: DataFrame) -> list[int]:
@@ -279,9 +286,9 @@ def lookup(index: Index, docs: DataFrame) -> DataFrame:
     hit = _buckets(maybe)
     bucket = bucket_of(F.col("text_sha256"), index.bits)
     asked = own.where(bucket.isin(hit)) if len(hit) <= LISTED else own  # documents of other buckets have no hit
-    asked = asked.groupBy("text_sha256").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    asked = asked.groupBy("text_sha256").agg(F.first("text").alias("asked"))
     stored = index.table("content", hit).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256", "text")
-    same = asked.join(stored, "text_sha256").where("low = text and high = text").select("text_sha256")
+    same = asked.join(stored, "text_sha256").where("asked = text").select("text_sha256")
     found = same.join(index.live(hit), "text_sha256").select("text_sha256", "keep_id", F.lit(True).alias("live"))
     sizes = keys.groupBy("text_sha256").agg(F.count("*").alias("n"))
     answers = written(sizes.join(found, "text_sha256", "left").select("text_sha256", "n", "keep_id", F.coalesce("live", F.lit(False)).alias("live")), "answers")
