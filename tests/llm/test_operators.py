@@ -271,6 +271,66 @@ def test_apportionment_is_sainte_lague():
     assert [float(x) for x in goal] == [78.0, 30.0, 3.0]
 
 
+def plain_grams(text, features):
+    """Counts of hashed 1- to 3-grams, one gram at a time."""
+    low = (1 << 64) - 1
+
+    def spread(x, k):
+        x = (x + 0x632BE59BD9B4E019 * (k + 1)) & low
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & low
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & low
+        return x ^ (x >> 31)
+
+    signs = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    counts = [0] * features
+    for k in (1, 2, 3):
+        for i in range(len(signs) - k + 1):
+            gram = signs[i : i + k]
+            if gram[1] if k == 3 else any(gram):  # of three signs the middle one is a letter
+                code = 0
+                for c in gram:
+                    code = (code * 0x110000 + c) & low
+                counts[(spread(code, k) >> 40) % features] += 1
+    return counts
+
+
+def test_families_and_votes_one_by_one():
+    """Predictions against plain loops over grams, families, pairs of languages and votes."""
+    import math
+
+    r = random.Random(3)
+    langs = ["de", "en", "nl", "es", "fr", "pt", "fi", "xx"]
+    words = {k: ["".join(r.choices("abcdefghijklmnoprstuväöé", k=r.randrange(2, 9))) for _ in range(60)] for k in langs}
+    shared = ["".join(r.choices("aeinrst", k=4)) for _ in range(60)]
+    text = lambda k: " ".join(r.choices(words[k] + shared, k=r.randrange(3, 25)))
+    learn = [(k, text(k)) for k in langs for _ in range(25)]
+    model = langid.LanguageModel(langid.scaled(np.array([langid.ngram_counts(t) for _, t in learn])), [k for k, _ in learn])
+    asked = [text(r.choice(langs)) for _ in range(60)] + ["a", "é9é", "x " * 50]
+    names, scores = langid._predict(model, asked)
+    for t, name, score in zip(asked, names, scores, strict=True):
+        counts = plain_grams(t, langid.FEATURES)
+        assert counts == langid.ngram_counts(t).tolist()
+        norm = math.sqrt(sum(counts))
+        x = [(i, math.sqrt(c) / norm) for i, c in enumerate(counts) if c]
+        margin = lambda w: sum(v * float(w[i]) for i, v in x) + float(w[-1])  # noqa: B023, E731
+        families = [margin(w) for w in model.family]
+        family = model.families[families.index(max(families))]
+        near = [k for k in langs if langid.family_of(k) == family]
+        votes, sums, own = dict.fromkeys(near, 0), dict.fromkeys(near, 0.0), {}
+        for a in near:
+            for b in near:
+                if a < b:
+                    m = margin(model.pairs[a, b])
+                    own[a, b], own[b, a] = m, -m
+                    votes[a if m > 0 else b] += 1
+                    sums[a] += m
+                    sums[b] -= m
+        best = max(near, key=lambda k: (votes[k], sums[k]))  # noqa: B023
+        sure = lambda m: 1 / (1 + math.exp(-4 * m))
+        assert name == best and score == pytest.approx(sure(max(families)) * min((sure(own[best, k]) for k in near if k != best), default=1.0), rel=1e-3)
+    assert langid._predict(model, [None, "", "12 !"])[0] == ["und"] * 3
+
+
 def test_language(spark, odd, empty):
     rows = [(i, sentences(w, 60, i), k) for i in range(160) for k, w in [[("en", EN), ("de", DE), ("fr", FR), ("es", ES)][i % 4]]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
