@@ -8,7 +8,7 @@ from tokenledger.plans import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
 SHARED = ["AGG12_static_image_class"]
-LARGE = []
+LARGE = ["MD6_overlay_artblocks"]
 
 
 @pytest.fixture(scope="module")

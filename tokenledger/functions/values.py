@@ -14,10 +14,10 @@ def mint_number(name: Column, identifier: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"#(\d+)", 1).try_cast("bigint"), identifier.try_cast("bigint"))
 
 
-def project_mint(number: Column) -> Column:
-    """Project and index of a token number that packs both by a million."""
+def project_mint(number: Column, per_project: int = 1_000_000) -> Column:
+    """Project and index of a token number that packs both, by a million or another number of mints a project."""
     wide = number.try_cast("decimal(38,0)")
-    return F.struct(F.floor(wide / F.lit(1_000_000)).cast("bigint").alias("project"), (wide % F.lit(1_000_000)).cast("bigint").alias("index"))
+    return F.struct(((wide - wide % F.lit(per_project)) / F.lit(per_project)).cast("bigint").alias("project"), (wide % F.lit(per_project)).cast("bigint").alias("index"))
 
 
 def spam_status(is_disabled: Column, flag: Column) -> Column:

@@ -77,9 +77,9 @@ def _artist(did: Column, name: Column) -> Column:
     return F.array(F.struct(did.alias("did"), name.alias("name")))
 
 
-def overlay_artblocks(rows: DataFrame) -> DataFrame:
+def overlay_artblocks(rows: DataFrame, per_project: int = 1_000_000) -> DataFrame:
     """MD6 for (token_id, chain, contract, number, raw, vendor_json): name and release from the project and the mint's place."""
-    v, p = F.col("vendor_json"), project_mint(F.col("number"))
+    v, p = F.col("vendor_json"), project_mint(F.col("number"), per_project)
     title, address = _text(v, "name"), _text(v, "artist_address")
     release = F.concat_ws("-", F.regexp_extract("chain", "([0-9]+)$", 1), F.lower("contract"), p["project"].cast("string"))
     total = _text(v, "max_invocations").try_cast("bigint")
