@@ -7,7 +7,7 @@ import pytest
 from tokenledger.plans import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
-SHARED = ["AGG12_static_image_class", "STATE11_gate_release", "STATE12_probe_upsert", "STATE16_gateway_choice", "STATE1_viewability", "STATE2_viewability_feed", "STATE8_health_apply", "STATE9_health_sync"]
+SHARED = ["AGG12_static_image_class", "STATE11_gate_release", "STATE12_probe_upsert", "STATE16_gateway_choice", "STATE1_viewability", "STATE2_viewability_feed", "STATE8_health_apply", "STATE9_health_sync", "STR8_viewability_feed"]
 LARGE = ["MD6_overlay_artblocks"]
 
 
