@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.identity import is_none_address
-from ..session import written
+from ..session import by_rows, written
 
 OWNERSHIP = ["mint", "transfer", "burn"]
 
@@ -135,8 +135,10 @@ def group_counts(rows: DataFrame, key: str, order: list[Column], n: int) -> Data
 
 
 def dedupe_logs(logs: DataFrame) -> DataFrame:
-    """WIN1: one row per block, transaction and log index."""
-    return logs.dropDuplicates(["block_number", "tx_index", "log_index"])
+    """WIN1: one row per block, transaction and log index. Few logs are equal, so none are looked for before the shuffle, and a
+    task has a bounded number of them, however many there are (`by_rows`)."""
+    key = ["block_number", "tx_index", "log_index"]
+    return by_rows(logs, key).dropDuplicates(key)
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -52,6 +52,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def by_rows(df: DataFrame, key: list[str], most: int = 1 << 18) -> DataFrame:
+    """df dealt out by a hash of key into as many tasks that each has about `most` rows. The count reads the columns that decide
+    about rows only."""
+    n = df.select(*key).count()
+    return df.repartition(max(1, -(-n // most)), *key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
