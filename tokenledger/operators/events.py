@@ -47,7 +47,7 @@ def hex_to_decimal(hex_: Column) -> Column:
 
 
 def _wide(digits: Column) -> Column:
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substr(digits, k * 8 + 1, F.lit(8)), 16, 10).cast("decimal(38,0)"))
+    chunks = lambda d: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substr(d, k * 8 + 1, F.lit(8)), 16, 10).cast("decimal(38,0)"))
     dec = lambda c: c.cast("decimal(38,0)")
     base, shift = F.lit("1" + "0" * 26).cast("decimal(27,0)"), F.lit(1 << 32).cast("decimal(10,0)")
     zero = dec(F.lit(0))
@@ -58,7 +58,7 @@ def _wide(digits: Column) -> Column:
         more = dec((dec(mid) - dec(mid % base)) / base)
         return F.struct(dec(low % base).alias("l"), dec(mid % base).alias("m"), dec(dec(acc["h"] * shift) + more).alias("h"))
 
-    n = F.array(F.aggregate(chunks, F.struct(zero.alias("l"), zero.alias("m"), zero.alias("h")), step))
+    n = F.transform(F.array(digits), lambda d: F.aggregate(chunks(d), F.struct(zero.alias("l"), zero.alias("m"), zero.alias("h")), step))
     text = F.transform(n, lambda x: F.concat(x["h"].cast("string"), F.lpad(x["m"].cast("string"), 26, "0"), F.lpad(x["l"].cast("string"), 26, "0")))
     return F.regexp_replace(text[0], "^0+(?=.)", "")
 
@@ -84,13 +84,23 @@ def decode_1155_batch(logs: DataFrame) -> DataFrame:
     a whole word or doesn't fit in 60 bits are left out."""
     data = F.col("data")
     number = lambda w: F.when(F.substring(w, 1, 49) == "0" * 49, F.conv(F.substring(w, 50, 15), 16, 10).try_cast("bigint"))
-    own = logs.where((topic(0) == TRANSFER_BATCH) & (F.size("topics") == 4))
-    own = own.withColumn("__a", number(word(data, 0))).withColumn("__b", number(word(data, 1))).where("__a % 32 = 0 and __b % 32 = 0")
-    own = own.where((F.length(data) >= 2 + 2 * F.greatest("__a", "__b") + 64)).withColumn("__i", F.expr("__a div 32")).withColumn("__v", F.expr("__b div 32"))
-    own = own.withColumn("__n", number(word(data, F.col("__i")))).withColumn("__m", number(word(data, F.col("__v"))))
-    whole = (F.col("__n") == F.col("__m")) & F.col("__n").between(1, F.expr("(length(data) - 2) div 64")) & (F.length(data) >= 2 + 64 * (F.greatest("__i", "__v") + 1 + F.col("__n")))
-    each = own.where(whole).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
-    return _event(each, topic_address(2), topic_address(3), hex_to_decimal(word(data, F.col("__i") + F.col("__k"))), hex_to_decimal(word(data, F.col("__v") + F.col("__k"))))
+    own = logs.where((topic(0) == TRANSFER_BATCH) & (F.size("topics") == 4)).withColumn("__size", F.length(data))
+    # each step is a generator of a row, so that what it reads from the data is read once, and not again for each use
+    own = _step(own, a=word(data, 0), b=word(data, 1))
+    own = _step(own, a=number(F.col("__a")), b=number(F.col("__b"))).where("__a % 32 = 0 and __b % 32 = 0 and __size >= 2 + 2 * greatest(__a, __b) + 64")
+    own = _step(own, a=F.expr("__a div 32"), b=F.expr("__b div 32"), n=F.expr("substr(data, int(2 * __a + 3), 64)"), m=F.expr("substr(data, int(2 * __b + 3), 64)"))
+    own = _step(own, n=number(F.col("__n")), m=number(F.col("__m")))
+    whole = own.where("__n = __m and __n between 1 and (__size - 2) div 64 and __size >= 2 + 64 * (greatest(__a, __b) + 1 + __n)")
+    pairs = F.expr("transform(sequence(1L, __n), k -> struct(substr(data, int(64 * (__a + k) + 3), 64) AS x, substr(data, int(64 * (__b + k) + 3), 64) AS y))")
+    each = whole.select("address", "topics", *PLACE, F.inline(pairs))
+    return _event(each, topic_address(2), topic_address(3), hex_to_decimal(F.col("x")), hex_to_decimal(F.col("y")))
+
+
+def _step(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with the columns __name, each computed once a row."""
+    names = [f"__{k}" for k in columns]
+    kept = [c for c in rows.columns if c not in names]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in zip(names, columns.values(), strict=True))))))
 
 
 def decode_metadata(logs: DataFrame) -> DataFrame:
