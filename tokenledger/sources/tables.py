@@ -57,7 +57,7 @@ class LogTable:
         """Adds logs; a task writes few folders, and a range with very many logs of a signature goes over several tasks."""
         placed = logs.withColumn("block_range", F.floor(F.col("block_number") / self.width)).withColumn("signature", F.coalesce(F.get("topics", 0), F.lit("none")))
         dealt = placed.repartition("block_range", "signature", F.pmod(F.xxhash64("tx_hash", "log_index"), F.lit(8)))
-        dealt.write.mode("append").partitionBy("block_range", "signature").parquet(self.path)
+        dealt.write.mode("append").option("compression", "zstd").partitionBy("block_range", "signature").parquet(self.path)  # a hex digit holds four bits
 
     def scan(self, signatures: list[str], lo: int, hi: int, owner: str | None = None, topic_index: int | None = None, contracts: list[str] | None = None) -> DataFrame:
         """SRC2 on the table: scan_logs over the folders of the range and signatures."""
