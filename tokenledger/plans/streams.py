@@ -61,13 +61,13 @@ def job_path(v: Views, name: str) -> str:
     return f"{scratch_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def in_runs(v: Views, rows: DataFrame, place: str, job: Callable[[DataFrame], DataFrame], runs: int = 3) -> DataFrame:
-    """What a job writes in several runs of one stream: each finds the next part of rows by place, and goes on from the state
+def in_runs(v: Views, rows: DataFrame, place: str, job: Callable[[DataFrame, str], DataFrame], runs: int = 3) -> DataFrame:
+    """What a job, of a stream and a folder, writes in several runs of one stream: each finds the next part of rows by place, and goes on from the state
     and the checkpoint that the run before it left."""
     path, last = job_path(v, "runs"), rows.agg(F.max(place)).first()[0] or 0
     for k in range(runs):
         rows.where(F.col(place).between(k * (last // runs + 1), (k + 1) * (last // runs + 1) - 1)).write.mode("append").parquet(f"{path}/in")
-        out = J.run_available(job(v.spark.readStream.schema(rows.schema).parquet(f"{path}/in")), "runs", top=path)
+        out = job(v.spark.readStream.schema(rows.schema).parquet(f"{path}/in"), path)
     return out
 
 
@@ -142,7 +142,7 @@ def str6(v: Views):
     s = event_stream(v).where("event_type in ('mint', 'burn', 'transfer')")
     sender = F.concat(F.lit("u"), F.substring("owner", 2, 18).cast("bigint") * 7 % 150)
     sides = s.select("token_id", "event_id", F.when(F.col("event_type") == "burn", F.col("owner")).when(F.col("event_type") == "transfer", sender).alias("from_address"), F.when(F.col("event_type") != "burn", F.col("owner")).alias("to_address"), "quantity")
-    return J.run_available(J.running_holdings(sides), "holdings")
+    return J.RunningHoldings(v.spark, job_path(v, "holdings")).run(sides)
 
 
 @query("STR6_running_holdings_wide", "wide_ledger", """
@@ -154,7 +154,7 @@ SELECT token_id, address, event_id, CAST(after AS VARCHAR) AS quantity, CASE WHE
 def str6_wide(v: Views):
     """Mints and burns with quantities of up to 256 bits."""
     rows = v.wide_ledger.where("event_type in ('mint', 'burn')").select("token_id", "event_id", "from_address", "to_address", "quantity")
-    return in_runs(v, rows, "event_id", J.running_holdings)
+    return in_runs(v, rows, "event_id", lambda s, path: J.RunningHoldings(v.spark, path).run(s))
 
 
 GATES = """
@@ -178,7 +178,7 @@ def str7_runs(v: Views):
     """The same in three runs, each from the state before."""
     outcome = F.expr("CASE event_type WHEN 'mint' THEN 'rendered_ok' WHEN 'burn' THEN 'known_bad_fingerprint' WHEN 'transfer' THEN 'blank' ELSE 'no_evidence' END")
     seen = v.ledger.select(F.col("token_id").cast("string").alias("url_hash"), F.col("event_id").alias("id"), F.col("event_id").alias("at"), outcome.alias("outcome"))
-    return in_runs(v, seen, "id", lambda s: J.render_gates(s, J.GateConfig()))
+    return in_runs(v, seen, "id", lambda s, path: J.run_available(J.render_gates(s, J.GateConfig()), "runs", top=path))
 
 
 @query("STR7_render_gates_batch", "ledger", GATES)

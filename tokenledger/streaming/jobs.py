@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.values import kind_of
+from ..functions import values as V
 from ..operators.selection import match_clients
 from ..session import scratch_dir
 
@@ -240,26 +240,74 @@ class IdleFlush:
         return BatchTables(self.spark, self.path).all("blocks", f"{BLOCK}, flushed boolean")
 
 
-def running_holdings(stream: DataFrame) -> DataFrame:
+CHANGE = "token_id bigint, address string, event_id bigint, quantity {kind}, kind string"
+HOLDER = ["token_id", "address"]
+SPAN = 1 << 20  # event ids of a bucket
+
+
+@dataclass
+class RunningHoldings:
     """STR6: the balance of an address after each event (token_id, event_id, from_address, to_address, quantity) that changes it,
-    with kind acquired where it rises above zero, released where it no longer is, else null. State is one number for each
-    token and address, as decimal text, so it has no bound; quantities and balances are bigints, or text where those are."""
-    wide = kind_of(stream, "quantity") == "text"
-    amount = F.col("quantity").cast("string")
-    minus = F.when(F.startswith(amount, F.lit("-")), F.ltrim(amount, F.lit("-"))).otherwise(F.concat(F.lit("-"), amount))
-    sides = F.array(F.struct(F.col("from_address").alias("address"), minus.alias("delta")), F.struct(F.col("to_address").alias("address"), amount.alias("delta")))
-    each = stream.where("not (from_address <=> to_address)").withColumn("side", F.explode(sides)).select("token_id", "event_id", "side.address", "side.delta").where("address is not null")
+    with kind acquired where it rises above zero, released where it no longer is, else null. Quantities and balances are
+    bigints, or text of any sign where those are, which is summed exactly. A holder's batches come in the order of its events.
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, held, out = pd.concat(list(frames)).sort_values("event_id"), int(state.get[0]) if state.exists else 0, []
-        for event, delta in zip(rows["event_id"], rows["delta"], strict=True):
-            was, held = held > 0, held + int(delta or 0)
-            out.append((key[0], key[1], event, str(held) if wide else held, "acquired" if held > 0 and not was else "released" if was and held <= 0 else None))
-        state.update((str(held),))
-        yield pd.DataFrame(out, columns=["token_id", "address", "event_id", "quantity", "kind"])
-
-    kind = "string" if wide else "bigint"
-    return each.groupBy("token_id", "address").applyInPandasWithState(fold, f"token_id bigint, address string, event_id bigint, quantity {kind}, kind string", "held string", "append", GroupStateTimeout.NoTimeout)
+    A holder's events are cut in buckets of event ids. What a bucket begins with is a running sum over one row a holder and
+    bucket, within it the events' running sum decides, so a holder with very many events is spread over its buckets.
+
+    A batch stores the balances that it changed, merged with those of some batches before it: batch k - 1 has those of as many
+    batches as the lowest bit of k says. So log2(k) tables have all balances, and one is written again log2(k) times."""
+
+    spark: SparkSession
+    path: str
+    span: int = SPAN
+
+    @staticmethod
+    def parts(batch_id: int) -> list[int]:
+        """The batches whose tables have all balances after this one."""
+        k, out = batch_id + 1, []
+        while k > 0:
+            out.append(k - 1)
+            k &= k - 1
+        return out
+
+    def batch(self, rows: DataFrame, batch_id: int) -> None:
+        tables = BatchTables(self.spark, self.path)
+        amount = "bigint" if V.kind_of(rows, "quantity") == "bigint" else f"struct<{', '.join(f'{k}: decimal(38,0)' for k in V.LIMBS)}>"
+        none = F.lit(0).cast(amount) if amount == "bigint" else F.struct(*(F.lit(0).cast("decimal(38,0)").alias(k) for k in V.LIMBS))
+        sides = F.array(*(F.struct(F.col(f"{side}_address").alias("address"), F.coalesce(V.signed(rows, "quantity", sign), none).alias("delta")) for side, sign in (("from", -1), ("to", 1))))
+        bucket = F.floor(F.col("event_id") / self.span).alias("bucket")
+        each = rows.where("not (from_address <=> to_address)").select("token_id", "event_id", bucket, F.inline(sides)).where("address is not null")
+        state = f"token_id bigint, address string, held {amount}, at bigint"
+        before = tables.of("held", self.parts(batch_id - 1), state)
+        sums = V.totalled(each, [*HOLDER, "bucket"], "delta", "delta")
+        old = before.groupBy(*HOLDER).agg(F.max_by("held", "at").alias("delta")) if batch_id else before.select(*HOLDER, F.col("held").alias("delta"))
+        met = old.alias("o").join(each.select(*HOLDER).distinct().alias("e"), F.expr("o.token_id <=> e.token_id and o.address = e.address"), "left_semi")
+        order = Window.partitionBy(*HOLDER).orderBy(F.asc_nulls_first("bucket"))
+        steps = V.running(met.withColumn("bucket", F.lit(None).cast("bigint")).unionByName(sums), "delta", "held", order.rowsBetween(Window.unboundedPreceding, 0))
+        steps = steps.select(*HOLDER, "bucket", "held", F.lead("bucket").over(order).alias("next"))
+        steps = tables.write(steps, "steps", batch_id)
+
+        begin = steps.where("next is not null").select(*HOLDER, F.col("next").alias("bucket"), F.lit(None).cast("bigint").alias("event_id"), F.col("held").alias("delta"), F.lit(0).alias("place"))
+        within = Window.partitionBy(*HOLDER, "bucket").orderBy("place", "event_id")
+        found = V.running(begin.unionByName(each.withColumn("place", F.lit(1))), "delta", "quantity", within.rowsBetween(Window.unboundedPreceding, 0))
+        found = found.withColumn("now", V.above_zero(found, "quantity"))
+        found = found.withColumn("was", F.lag("now", 1, False).over(within)).where("place = 1")
+        kind = F.when(F.col("now") & ~F.col("was"), "acquired").when(F.col("was") & ~F.col("now"), "released").alias("kind")
+        tables.write(V.shown(found.select(*HOLDER, "event_id", "quantity", kind), "quantity"), "changes", batch_id)
+
+        changed = steps.where("next is null").select(*HOLDER, "held", F.lit(batch_id).cast("bigint").alias("at"))
+        merged = tables.of("held", [k for k in self.parts(batch_id - 1) if k not in self.parts(batch_id)], state)
+        tables.write(changed.unionByName(merged).groupBy(*HOLDER).agg(F.max_by(F.struct("held", "at"), "at").alias("x")).select(*HOLDER, "x.held", "x.at") if batch_id & 1 else changed, "held", batch_id)
+        tables.expire(["steps"], batch_id)
+        tables.expire(["held"], batch_id, {p for k in range(max(0, batch_id - KEEP - 1), batch_id + 1) for p in self.parts(k)})
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        run_available(stream, "holdings", self.batch, f"{self.path}/checkpoint")
+        return self.changes(dict(stream.dtypes)["quantity"])
+
+    def changes(self, kind: str) -> DataFrame:
+        """All changes; kind is the quantities' type."""
+        return BatchTables(self.spark, self.path).all("changes", CHANGE.format(kind=kind))
 
 
 @dataclass
