@@ -58,3 +58,23 @@ def test_holdings_by_batches_and_buckets(spark, tmp_path, kind):
                 now = held[token, who] = was + sign * (q or 0)
                 want.append((token, who, k, cast(now), "acquired" if now > 0 >= was else "released" if was > 0 >= now else None))
     assert sorted(map(tuple, job.changes(kind).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_sales_are_shuffled_by_a_short_key(spark):
+    """A sale's contract, transaction and seller are long; what is shuffled for the join with its logs is 16 bytes of them."""
+    plan = QUERIES["EVT13_repair_sale_burn"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__sale" in plan and "hashpartitioning(contract" not in plan
+
+
+def test_sales_meet_the_logs_of_their_own_seller(spark):
+    """The first log of value 0 or 1 decides; a sale without a seller has no buyer, and texts that join to the same are told apart."""
+    from tokenledger.operators import events as E
+
+    address = lambda c: "0x" + c * 40
+    log = lambda tx, seller, buyer, at, value: ("0xC", [E.TRANSFER, "0x" + "0" * 24 + seller * 40, "0x" + "0" * 24 + buyer * 40], "0x" + f"{value:064x}", tx, at)
+    logs = spark.createDataFrame([log("t1", "a", "b", 2, 1), log("t1", "a", "c", 1, 0), log("t1", "a", "d", 0, 2), log("t1", "e", "f", 0, 0), log("t2", "a", "e", 0, 0)], "address string, topics array<string>, data string, tx_hash string, log_index int")
+    sales = [("0xc", "t1", address("a"), None, 1), ("0xc", "t1", address("e"), None, 2), ("0xc", "t2", address("a"), address("b"), 3), ("0xc", "t2", None, None, 4), ("0xd", "t1", address("a"), None, 5), ("0xc", "t1", address("a"), None, 6)]
+    events = spark.createDataFrame([(*s[:4], "transfer", s[4]) for s in sales], "contract string, tx_hash string, from_address string, to_address string, event_type string, id int")
+    done, none = E.repair_sales(events, logs)
+    assert sorted((r.id, r.to_address) for r in done.collect()) == [(1, address("c")), (2, address("f")), (3, address("b")), (6, address("c"))]
+    assert sorted(r.id for r in none.collect()) == [4, 5]

@@ -170,9 +170,12 @@ def repair_sales(events: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFra
     """EVT13: (sales with the buyer filled in, sales that have none): the buyer is the receiver of the first three-topic
     transfer of value 0 or 1 by the same seller in the same transaction of the same contract."""
     value = F.conv(F.substring(word(F.col("data"), 0), 49, 16), 16, 10).try_cast("bigint")
+    # 128 bits for the three texts of a sale, which are longer than all else that is shuffled
+    sale = F.unhex(F.md5(F.concat("contract", F.lit("\n"), "tx_hash", F.lit("\n"), "from_address"))).alias("__sale")
     inner = logs.where((topic(0) == TRANSFER) & (F.size("topics") == 3) & value.isin(0, 1)).select(F.lower("address").alias("contract"), "tx_hash", topic_address(1).alias("from_address"), topic_address(2).alias("__to"), F.col("log_index").alias("__at"))
-    buyer = inner.groupBy("contract", "tx_hash", "from_address").agg(F.min_by("__to", "__at").alias("__buyer"))
-    met = events.join(buyer, ["contract", "tx_hash", "from_address"], "left")
+    # few sales have several logs, so none are looked for before the shuffle
+    buyer = inner.select(sale, "__to", "__at").where("__sale is not null").repartition("__sale").groupBy("__sale").agg(F.min_by("__to", "__at").alias("__buyer"))
+    met = events.withColumn("__sale", F.coalesce(sale, F.col("tx_hash").cast("binary"))).join(buyer, "__sale", "left").drop("__sale")
     open_ = is_none_address(F.col("to_address"))
     done = met.withColumn("to_address", F.when(open_, F.col("__buyer")).otherwise(F.col("to_address"))).withColumn("event_type", event_type(F.col("from_address"), F.col("to_address")))
     return done.where("to_address is not null").drop("__buyer"), done.where("to_address is null").drop("__buyer")
