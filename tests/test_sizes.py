@@ -78,3 +78,9 @@ def test_sales_meet_the_logs_of_their_own_seller(spark):
     done, none = E.repair_sales(events, logs)
     assert sorted((r.id, r.to_address) for r in done.collect()) == [(1, address("c")), (2, address("f")), (3, address("b")), (6, address("c"))]
     assert sorted(r.id for r in none.collect()) == [4, 5]
+
+
+def test_logs_of_an_owner_are_found_once(spark):
+    """They are a table of known size, which both joins of recovered sales read."""
+    files = QUERIES["EVT14_recover_corrupt_sales"](spark, DATA).inputFiles()
+    assert any("/owner-logs-" in f for f in files)

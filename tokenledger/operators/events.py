@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import ZERO_ADDRESS, cid_valid, event_type, is_none_address, normalise_address
+from ..session import written
 
 # Hashes of event signatures.
 TRANSFER = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
@@ -184,6 +185,7 @@ def repair_sales(events: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFra
 def recover_sales(events: DataFrame, logs: DataFrame, owner: str) -> DataFrame:
     """EVT14: sales that lost their buyer and were to this owner, found from the inner transfers to the owner."""
     mine = logs.where((F.size("topics") == 3) & (topic_address(2) == owner.lower()))
+    mine = written(mine.select("address", "topics", "data", "tx_hash", "log_index"), "owner-logs")  # of known size, so Spark sends it to the sales where it is small
     some = events.where(is_none_address(F.col("to_address"))).join(mine.select("tx_hash").distinct(), "tx_hash", "left_semi")
     return repair_sales(some, mine)[0]
 
