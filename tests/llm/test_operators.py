@@ -609,6 +609,34 @@ def test_the_index_reads_and_writes_touched_buckets_only(spark, tmp_path):
     assert "PartitionFilters" in cuckoo.lookup(index, docs([(2, "text 7")]))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_index_shuffles_a_text_once(spark, tmp_path):
+    """When it is inserted, and neither when others of its bucket are deleted nor when it is looked up; copies in a task are one."""
+    import time
+
+    def shuffled():
+        time.sleep(1)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    text = lambda k: random.Random(k).randbytes(20000).hex()
+    docs = spark.createDataFrame([(k, text(k if k < 200 else 0)) for k in range(400)], "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = shuffled()
+    index = cuckoo.insert(cuckoo.empty_index(spark, path=f"{tmp_path}/index"), docs)
+    put = shuffled()
+    index = cuckoo.delete(index, docs.where("doc_id % 3 = 1"))
+    found = cuckoo.lookup(index, docs.where("doc_id < 200")).collect()
+    assert [(r.doc_id, r.live) for r in sorted(found)] == [(k, k % 3 != 1) for k in range(200)]
+    stored = 200 * 40000
+    assert put - before < 1.2 * stored and shuffled() - put < 0.1 * stored
+
+
+def test_white_space_that_is_one_space_stays(spark):
+    texts = ["a  b", " a\tb ", "\n", "  ", "a \t\x0b b", "\t a", "a\u00a0 b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text_sha256 for r in cuckoo._keyed(df).collect()} == {r.doc_id: r.text_sha256 for r in cuckoo.exact_duplicates(df).collect()}
+
+
 def test_many_equal_rows_are_numbered_in_parts(spark):
     """Half of all texts empty: they stay together, and no task numbers them all."""
     rows = [(i, "" if i % 2 else f"text {i}", "s") for i in range(6000)] + [(None, "", "s")] * 500

@@ -5,7 +5,7 @@ seen" without a look at the content; only its hits are verified against what is
 the size from the stored keys. A bucket is one task's work, and buckets grow in number with the corpus.
 
 `exact_duplicates` puts a whole corpus through such filters and groups the hits alone. `Index` is kept between runs:
-documents are inserted, deleted and looked up, and hits are compared with the stored text.
+documents are inserted, deleted and looked up, and hits are compared with the stored text, by digests that are made where it is read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from ..session import scratch_dir
 from .common import constants, discard, join_by_group, slices, written
 
 SPACE = r"[\x20\x09-\x0D]+"
+OTHER_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"  # runs of white space that aren't one space already
 
 
 class CuckooFilter:
@@ -167,6 +168,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 TABLES = {"filters": "filter binary", "content": "text_sha256 string, text string", "holders": "text_sha256 string, doc_id long, copies long"}
 LISTED = 4096  # touched buckets that are named to a read; of more, all are read
+DEAD = 1 << 20  # digests lost in a deletion that are broadcast (some 100 MB); of more, the buckets' texts are shuffled
 
 
 @dataclass
@@ -216,18 +218,19 @@ class Index:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self._folder(name))
+    def append(self, name: str, rows: DataFrame, dealt: bool = False) -> None:
+        """Adds rows; dealt rows are in few tasks a bucket already, and aren't shuffled."""
+        (rows if dealt else rows.repartition("bucket")).write.mode("append").partitionBy("bucket").parquet(self._folder(name))
 
-    def replace(self, name: str, rows: DataFrame, touched: list[int]) -> None:
+    def replace(self, name: str, rows: DataFrame, touched: list[int], dealt: bool = False) -> None:
         """Writes the touched buckets anew, beside the table, and then puts each in its place; one without rows goes. Nothing
         of the table changes before all of them are written. If the driver is lost while they are put in place, those that are
-        not yet in place are still beside the table, whole."""
+        not yet in place are still beside the table, whole. dealt as in `append`."""
         if not touched:
             return
         beside = f"{self.path}/{self.bits}/_{name}-{uuid.uuid4().hex}"
         top, fs = self._at(beside)
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(beside)
+        (rows if dealt else rows.repartition("bucket")).write.partitionBy("bucket").parquet(beside)
         for k in touched:
             new, old = (self._at(f"{x}/bucket={k}")[0] for x in (beside, self._folder(name)))
             fs.delete(old, True)
@@ -243,10 +246,40 @@ def _buckets(rows: DataFrame) -> list[int]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), OTHER_SPACE, " ")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def proof(text: Column) -> Column:
+    """64 bytes that stand for a text where it is compared: SHA-512, which no step finds texts by."""
+    return F.unhex(F.sha2(text, 512))
+
+
+def _once_a_task(rows: DataFrame) -> DataFrame:
+    """rows (bucket, text_sha256, text) with the first of each digest and task alone, or few where a task has very many digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in slices(batches):
+            new = []
+            for digest in batch.column(1).to_pylist():
+                new.append(digest not in seen)
+                seen.add(digest)
+            yield batch.filter(pa.array(new, pa.bool_()))
+            if len(seen) > 1 << 18:
+                seen.clear()
+
+    return rows.mapInArrow(run, "bucket int, text_sha256 string, text string")
+
+
+def _chosen(texts: DataFrame, digests: DataFrame, bits: int) -> DataFrame:
+    """bucket, text_sha256 and text of each of digests (bucket, text_sha256) that texts have, once, dealt by bucket. Texts are
+    shuffled once; the digests go with them as rows without a text, so that there is no join."""
+    rows = texts.withColumn("__asked", F.lit(None).cast("boolean")).unionByName(digests.select("bucket", "text_sha256", F.lit(None).cast("string").alias("text"), F.lit(True).alias("__asked")))
+    once = rows.repartition(1 << min(bits, 12), "bucket").groupBy("bucket", "text_sha256").agg(F.first("text", True).alias("text"), F.max("__asked").alias("__asked"))
+    return once.where("__asked and text is not null").drop("__asked")
+
+
 def empty_index(spark: SparkSession, bits: int = 6, path: str | None = None) -> Index:
     """An index in a folder of its own, in the shared folder where none is given."""
     return Index(spark, path or f"{scratch_dir(spark)}/tokenledger-index-{uuid.uuid4().hex}", bits)
@@ -276,19 +309,18 @@ def lookup(index: Index, docs: DataFrame) -> DataFrame:
     if there is none or none has a doc_id. A hit of the filters is compared with the stored text of its bucket; buckets without
     hits aren't read.
 
-    Copies are one text before anything is shuffled, and texts are compared once a digest; the documents then get their
-    digest's answer by ids and digests alone, a digest that many share over salts.
+    Texts are compared by their `proof`, which is made where a document and where a stored text is read, so neither is shuffled, and
+    once a digest; the documents then get their digest's answer by ids and digests alone, a digest that many share over salts.
 
     Null texts count as empty, repeated rows are each looked up, an empty table or index gives no rows or no hits."""
     own = _keyed(docs)
-    keys = written(own.select("doc_id", "text_sha256"), "asked-digests")
+    proved = written(own.select("doc_id", "text_sha256", proof(F.col("text")).alias("proof")), "asked-digests")
+    keys = proved.select("doc_id", "text_sha256")
     maybe = written(maybe_live(index, keys), "maybe-live")
     hit = _buckets(maybe)
-    bucket = bucket_of(F.col("text_sha256"), index.bits)
-    asked = own.where(bucket.isin(hit)) if len(hit) <= LISTED else own  # documents of other buckets have no hit
-    asked = asked.groupBy("text_sha256").agg(F.first("text").alias("asked"))
-    stored = index.table("content", hit).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256", "text")
-    same = asked.join(stored, "text_sha256").where("asked = text").select("text_sha256")
+    asked = proved.groupBy("text_sha256", "proof").agg(F.count("*").alias("n")).select("text_sha256", "proof")
+    stored = index.table("content", hit).select("bucket", "text_sha256", proof(F.col("text")).alias("proof")).join(maybe, ["bucket", "text_sha256"], "left_semi")
+    same = asked.join(stored, ["text_sha256", "proof"]).select("text_sha256")
     found = same.join(index.live(hit), "text_sha256").select("text_sha256", "keep_id", F.lit(True).alias("live"))
     sizes = keys.groupBy("text_sha256").agg(F.count("*").alias("n"))
     answers = written(sizes.join(found, "text_sha256", "left").select("text_sha256", "n", "keep_id", F.coalesce("live", F.lit(False)).alias("live")), "answers")
@@ -299,16 +331,15 @@ def lookup(index: Index, docs: DataFrame) -> DataFrame:
 def insert(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
     """The index with the documents of docs. A digest that the filters don't have is new without a look at the content.
 
-    Copies are one text before they are shuffled. Null texts count as empty, repeated rows are copies of one document, an
-    empty table changes nothing."""
+    Copies in a task are one text before they are shuffled, which they are once, by bucket. Null texts count as empty, repeated
+    rows are copies of one document, an empty table changes nothing."""
     own = _keyed(docs)
     bucket = bucket_of(F.col("text_sha256"), index.bits).alias("bucket")
     counted = written(own.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies")), "inserted")
     maybe = written(maybe_live(index, counted), "maybe-live")
     known = index.table("content", _buckets(maybe)).join(maybe, ["bucket", "text_sha256"], "left_semi").select("text_sha256")
     fresh = written(counted.select("text_sha256").distinct().join(known, "text_sha256", "left_anti").select(bucket, "text_sha256"), "new-digests")
-    texts = own.groupBy(bucket, "text_sha256").agg(F.first("text").alias("text"))
-    index.append("content", texts.join(fresh, ["bucket", "text_sha256"], "left_semi"))
+    index.append("content", _chosen(_once_a_task(own.select(bucket, "text_sha256", "text")), fresh, index.bits), dealt=True)
     index.append("holders", counted.select(bucket, "text_sha256", "doc_id", "copies"))
     out = _updated(index, fresh, "insert", per_bucket)
     discard(counted, maybe, fresh)
@@ -327,7 +358,9 @@ def delete(index: Index, docs: DataFrame, per_bucket: int = 50_000) -> Index:
     dead = written(taken.select("bucket", "text_sha256").distinct().join(index.holders(touched).select("bucket", "text_sha256").distinct(), ["bucket", "text_sha256"], "left_anti"), "dead-digests")
     losing = _buckets(dead)
     if losing:
-        index.replace("content", index.table("content", losing).where(F.col("bucket").isin(losing)).join(dead, ["bucket", "text_sha256"], "left_anti").select("bucket", "text_sha256", "text"), losing)
+        few = dead.count() <= DEAD  # then the buckets' files are filtered where they are read
+        content, gone = index.table("content", losing).where(F.col("bucket").isin(losing)), dead.hint("broadcast") if few else dead
+        index.replace("content", content.join(gone, ["bucket", "text_sha256"], "left_anti").select("bucket", "text_sha256", "text"), losing, dealt=few)
     out = _updated(index, dead, "delete", per_bucket)
     discard(counted, taken, dead)
     return out
