@@ -84,3 +84,26 @@ def test_logs_of_an_owner_are_found_once(spark):
     """They are a table of known size, which both joins of recovered sales read."""
     files = QUERIES["EVT14_recover_corrupt_sales"](spark, DATA).inputFiles()
     assert any("/owner-logs-" in f for f in files)
+
+
+def test_a_bound_of_rows_decides_about_tasks(spark):
+    """Tables that all cores together have room for stay as they are."""
+    from tokenledger.session import of_rows
+
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(100)
+    assert of_rows(df, ["id"], 100, 10).rdd.getNumPartitions() == 10 and of_rows(df, ["id"], 10 * cores, 10) is df
+    assert sorted(r.id for r in of_rows(df, ["id"], 100, 10).collect()) == list(range(100))
+
+
+@pytest.mark.parametrize("name", ["AGG1_replay_balances"])
+def test_sums_of_many_line_items_are_dealt_by_rows(spark, monkeypatch, name):
+    """Line items and orders for their join, and what is summed by token and address; the rows are the same."""
+    from tokenledger import session
+
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = rows(QUERIES[name](spark, DATA))
+    monkeypatch.setattr(session.of_rows, "__defaults__", (500,))
+    got = QUERIES[name](spark, DATA)
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
+    assert rows(got) == want

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.identity import is_none_address
-from ..session import by_rows, written
+from ..session import by_rows, of_rows, written
 
 OWNERSHIP = ["mint", "transfer", "burn"]
 
@@ -33,9 +33,11 @@ def net(deltas: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return V.shown(sums.where(V.above_zero(sums, "quantity")), "quantity")
 
 
-def replay_balances(events: DataFrame) -> DataFrame:
-    """AGG1: balances above zero of each token and address."""
-    return net(signed_deltas(events), ["token_id", "address"])
+def replay_balances(events: DataFrame, rows: int | None = None) -> DataFrame:
+    """AGG1: balances above zero of each token and address. rows is a bound of the number of events, where one is known: of many,
+    a task then sums a bounded number (`of_rows`)."""
+    deltas, key = signed_deltas(events), ["token_id", "address"]
+    return net(deltas if rows is None else of_rows(deltas, key, 2 * rows), key)
 
 
 def owner_balance(events: DataFrame, owner: str) -> DataFrame:

@@ -24,7 +24,7 @@ DELTAS = """d AS (
 WITH d AS (SELECT token_id, from_address AS address, -quantity AS delta FROM transfers UNION ALL SELECT token_id, to_address, quantity FROM transfers)
 SELECT token_id, address, CAST(sum(delta) AS BIGINT) AS quantity FROM d GROUP BY token_id, address HAVING sum(delta) > 0""")
 def agg1(v: Views):
-    return H.replay_balances(v.transfers.withColumn("event_type", F.lit("transfer")))
+    return H.replay_balances(v.transfers.withColumn("event_type", F.lit("transfer")), v.rows("lineitem"))
 
 
 @query("AGG2_owner_balance", "ledger", f"WITH {DELTAS} SELECT token_id, CAST(greatest(sum(delta), 0) AS BIGINT) AS quantity FROM d WHERE address = 'u7' GROUP BY token_id")

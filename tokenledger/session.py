@@ -59,6 +59,13 @@ def by_rows(df: DataFrame, key: list[str], most: int = 1 << 18) -> DataFrame:
     return df.repartition(max(1, -(-n // most)), *key)
 
 
+def of_rows(df: DataFrame, key: list[str], rows: int, most: int = 1 << 19) -> DataFrame:
+    """df, of `rows` rows at most, dealt out by a hash of key into as many tasks that each has about `most`. It stays as it is where
+    a core's share is within that: Spark's own tasks have no more then, and may broadcast or sum before they shuffle."""
+    n = -(-rows // most)
+    return df.repartition(n, *key) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
