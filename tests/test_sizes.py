@@ -96,7 +96,7 @@ def test_a_bound_of_rows_decides_about_tasks(spark):
     assert sorted(r.id for r in of_rows(df, ["id"], 100, 10).collect()) == list(range(100))
 
 
-@pytest.mark.parametrize("name", ["AGG1_replay_balances"])
+@pytest.mark.parametrize("name", ["AGG1_replay_balances", "QRY3_token_expand"])
 def test_sums_of_many_line_items_are_dealt_by_rows(spark, monkeypatch, name):
     """Line items and orders for their join, and what is summed by token and address; the rows are the same."""
     from tokenledger import session

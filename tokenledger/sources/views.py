@@ -160,7 +160,7 @@ def with_views(names: list[str], sql: str) -> str:
 
 
 #: What a view's tables are dealt by where they are large (`of_rows`), so that a task's memory doesn't grow with them.
-DEALT = {"holdings": {"lineitem": ["l_orderkey"], "orders": ["o_orderkey"]}, "transfers": {"lineitem": ["l_orderkey"], "orders": ["o_orderkey"]}}
+DEALT = {"holdings": {"lineitem": ["l_orderkey"], "orders": ["o_orderkey"]}, "transfers": {"lineitem": ["l_orderkey"], "orders": ["o_orderkey"]}, "balances": {"holdings": ["token_id", "address"]}}
 
 _schemas: dict[tuple[str, str], StructType] = {}
 _rows: dict[tuple[str, str], int] = {}
