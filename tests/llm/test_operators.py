@@ -631,6 +631,25 @@ def test_the_index_shuffles_a_text_once(spark, tmp_path):
     assert put - before < 1.2 * stored and shuffled() - put < 0.1 * stored
 
 
+def test_a_lookup_shuffles_no_text_where_nothing_is_broadcast(spark, tmp_path, monkeypatch):
+    """As when an index has too many digests for that."""
+    plans, write = [], cuckoo.written
+    monkeypatch.setattr(cuckoo, "written", lambda df, name, **more: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), write(df, name, **more))[1])
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    index = cuckoo.insert(cuckoo.empty_index(spark, path=str(tmp_path)), docs)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert all(r.live for r in cuckoo.lookup(index, docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    plan = dict(plans)["answers"]
+    lines = plan.split("\n")
+    made = next(k for k, line in enumerate(lines) if "sha2(" in line)
+    met = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line and "bucket" in line)
+    assert met < made and any("Exchange" in line for line in lines[met:made])  # the plan's top is its last step
+
+
 def test_white_space_that_is_one_space_stays(spark):
     texts = ["a  b", " a\tb ", "\n", "  ", "a \t\x0b b", "\t a", "a\u00a0 b", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -319,7 +319,8 @@ def lookup(index: Index, docs: DataFrame) -> DataFrame:
     maybe = written(maybe_live(index, keys), "maybe-live")
     hit = _buckets(maybe)
     asked = proved.groupBy("text_sha256", "proof").agg(F.count("*").alias("n")).select("text_sha256", "proof")
-    stored = index.table("content", hit).select("bucket", "text_sha256", proof(F.col("text")).alias("proof")).join(maybe, ["bucket", "text_sha256"], "left_semi")
+    stored = index.table("content", hit).select("bucket", "text_sha256", proof(F.col("text")).alias("proof"))
+    stored = stored.join(maybe, ["bucket", "text_sha256"])  # a digest once; Spark would move a semi join to before the proof, and shuffle texts
     same = asked.join(stored, ["text_sha256", "proof"]).select("text_sha256")
     found = same.join(index.live(hit), "text_sha256").select("text_sha256", "keep_id", F.lit(True).alias("live"))
     sizes = keys.groupBy("text_sha256").agg(F.count("*").alias("n"))
