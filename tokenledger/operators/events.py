@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import ZERO_ADDRESS, cid_valid, event_type, is_none_address, normalise_address
+from ..functions.values import nines_of_hex, once
 from ..session import written
 
 # Hashes of event signatures.
@@ -74,10 +75,13 @@ def decode_721(logs: DataFrame) -> DataFrame:
     return _event(own, topic_address(1), topic_address(2), hex_to_decimal(F.substring(topic(3), 3, 64)), F.lit("1"))
 
 
-def decode_1155_single(logs: DataFrame) -> DataFrame:
-    """EVT2: sender and receiver in topics 2 and 3, token and value in the data; shorter data is left out."""
+def decode_1155_single(logs: DataFrame, text: bool = True) -> DataFrame:
+    """EVT2: sender and receiver in topics 2 and 3, token and value in the data; shorter data is left out. Without `text`, quantity
+    is nines instead of decimal text, for sums."""
     own = logs.where((topic(0) == TRANSFER_SINGLE) & (F.size("topics") == 4) & (F.length("data") >= 130))
-    return _event(own, topic_address(2), topic_address(3), hex_to_decimal(F.substring("data", 3, 64)), hex_to_decimal(F.substring("data", 67, 64)))
+    own = _step(own, sender=topic_address(2), receiver=topic_address(3), number=F.substring("data", 3, 64), value=F.substring("data", 67, 64))
+    own = own if text else nines_of_hex(own, "__value", "__value")
+    return _event(own, F.col("__sender"), F.col("__receiver"), hex_to_decimal(F.col("__number")), hex_to_decimal(F.col("__value")) if text else F.col("__value"))
 
 
 def decode_1155_batch(logs: DataFrame) -> DataFrame:
@@ -99,9 +103,7 @@ def decode_1155_batch(logs: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with the columns __name, each computed once a row."""
-    names = [f"__{k}" for k in columns]
-    kept = [c for c in rows.columns if c not in names]
-    return rows.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in zip(names, columns.values(), strict=True))))))
+    return once(rows, **{f"__{k}": c for k, c in columns.items()})
 
 
 def decode_metadata(logs: DataFrame) -> DataFrame:

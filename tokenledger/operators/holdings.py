@@ -1,8 +1,8 @@
 """Balances, owners and the order of events: aggregations and windows over an event log.
 
 An event has token_id, event_type, from_address, to_address, quantity, tx_hash, block_number, tx_index, ts and event_id,
-the order in which events were taken in. Quantities are bigints, or decimal text of up to 256 bits as decoding gives them;
-balances are of the same kind, and sums of text are exact.
+the order in which events were taken in. Quantities are bigints, or decimal text of up to 256 bits as decoding gives them, or
+nines; balances are bigints, or text where quantities are text or nines, whose sums are exact.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ OWNERSHIP = ["mint", "transfer", "burn"]
 
 def signed_deltas(events: DataFrame) -> DataFrame:
     """Two rows an event: the sender loses and the receiver gains; rows of nobody are left out. A missing quantity is 1. delta is
-    a bigint, or limbs where quantities are text."""
-    one = F.lit("1") if V.kind_of(events, "quantity") == "text" else F.lit(1)
-    own = events.where(F.col("event_type").isin(OWNERSHIP)).withColumn("__q", F.coalesce(F.col("quantity"), one))
+    a bigint, or limbs where quantities are text, or nines where they are nines."""
+    own = events.where(F.col("event_type").isin(OWNERSHIP)).withColumn("__q", F.coalesce(F.col("quantity"), V.one(events, "quantity")))
     sides = F.array(F.struct(F.col("from_address").alias("address"), V.signed(own, "__q", -1).alias("delta")), F.struct(F.col("to_address").alias("address"), V.signed(own, "__q").alias("delta")))
     own = own.withColumn("side", F.explode(sides)).drop("__q")
     return own.select("*", "side.address", "side.delta").drop("side").where(~is_none_address(F.col("address")))
@@ -30,7 +29,7 @@ def signed_deltas(events: DataFrame) -> DataFrame:
 def net(deltas: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Sums above zero of deltas per key, as quantity, with other aggregates."""
     sums = V.totalled(deltas, keys, "delta", "quantity", *more)
-    return V.shown(sums.where(V.above_zero(sums, "quantity")), "quantity")
+    return V.shown(sums.where(V.above_zero(sums, "quantity")), "quantity", above=True)
 
 
 def replay_balances(events: DataFrame, rows: int | None = None) -> DataFrame:
@@ -44,7 +43,7 @@ def owner_balance(events: DataFrame, owner: str) -> DataFrame:
     """AGG2: one owner's net quantity of each token, zero at least. The owner's filter comes before the sums."""
     mine = events.where((F.col("from_address") == owner) | (F.col("to_address") == owner))
     sums = V.totalled(signed_deltas(mine).where(F.col("address") == owner), ["token_id"], "delta", "quantity")
-    zero = F.lit("0") if V.kind_of(sums, "quantity") == "limbs" else F.lit(0)
+    zero = F.lit(0) if V.kind_of(sums, "quantity") == "bigint" else F.lit("0")
     out = V.shown(sums.withColumn("__above", V.above_zero(sums, "quantity")), "quantity")
     return out.select("token_id", F.when(F.col("__above"), F.col("quantity")).otherwise(zero).alias("quantity"))
 

@@ -53,7 +53,7 @@ WITH q AS (SELECT token_id, from_address, to_address, {WIDE_QUANTITY} AS quantit
 SELECT CAST(token_id AS VARCHAR) AS token_id, '0x00000000' || substr(md5(address), 1, 32) AS address, CAST(sum(delta) AS VARCHAR) AS quantity FROM d GROUP BY token_id, d.address HAVING sum(delta) > {ZERO}""")
 def agg1_decoded(v: Views):
     """Balances replayed from raw logs, whose words hold numbers of up to 256 bits."""
-    return H.replay_balances(E.decode_1155_single(wide_logs(v)).withColumnRenamed("token_number", "token_id"))
+    return H.replay_balances(E.decode_1155_single(wide_logs(v), text=False).withColumnRenamed("token_number", "token_id"), v.rows("lineitem"))
 
 
 @query("AGG2_owner_balance_wide", "wide_ledger", f"WITH {wide(DELTAS)} SELECT token_id, CAST(greatest(sum(delta), {ZERO}) AS VARCHAR) AS quantity FROM d WHERE address = 'u7' GROUP BY token_id")
