@@ -55,9 +55,23 @@ class LogTable:
 
     def append(self, logs: DataFrame) -> None:
         """Adds logs; a task writes few folders, and a range with very many logs of a signature goes over several tasks."""
-        placed = logs.withColumn("block_range", F.floor(F.col("block_number") / self.width)).withColumn("signature", F.coalesce(F.get("topics", 0), F.lit("none")))
+        placed = self._placed(logs).withColumn("signature", F.coalesce(F.get("topics", 0), F.lit("none")))
         dealt = placed.repartition("block_range", "signature", F.pmod(F.xxhash64("tx_hash", "log_index"), F.lit(8)))
-        dealt.write.mode("append").option("compression", "zstd").partitionBy("block_range", "signature").parquet(self.path)  # a hex digit holds four bits
+        self._write(dealt)
+
+    def append_made(self, rows: DataFrame, log: list[Column]) -> None:
+        """Adds logs that are made of smaller rows, a log a row: `log` has its columns; signature, its first topic, is in the row.
+        Rows are sorted by folder in the tasks that have them, and a log is made where it is written, so its texts are neither
+        shuffled nor sorted. A task writes a file to each folder that it has logs of."""
+        placed = self._placed(rows).sortWithinPartitions("block_range", "signature")
+        self._write(placed.select(*log, "block_range", "signature"))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("block_range", F.floor(F.col("block_number") / self.width))
+
+    def _write(self, placed: DataFrame) -> None:
+        """A hex digit holds four bits, which zstd makes use of, and texts and numbers are much like those before them (v2)."""
+        placed.write.mode("append").option("compression", "zstd").option("parquet.writer.version", "v2").partitionBy("block_range", "signature").parquet(self.path)
 
     def scan(self, signatures: list[str], lo: int, hi: int, owner: str | None = None, topic_index: int | None = None, contracts: list[str] | None = None) -> DataFrame:
         """SRC2 on the table: scan_logs over the folders of the range and signatures."""
