@@ -29,6 +29,17 @@ def normalise_address(c: Column) -> Column:
     return F.when(F.lower(F.substring(c, 1, 2)) == "0x", F.lower(c)).otherwise(c)
 
 
+def packed(address: Column) -> tuple[Column, Column]:
+    """(bytes, text) of an address, one of which is null: 0x and an even number of lower-case digits as bytes, any other as it is."""
+    digits = F.startswith(address, F.lit("0x")) & (F.length(address) % 2 == 0) & (address == F.lower(address))
+    found = F.when(digits, F.unhex(F.substr(address, F.lit(3))))
+    return found, F.when(found.isNull(), address)
+
+
+def unpacked(found: Column, text: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("0x"), F.lower(F.hex(found))), text)
+
+
 def is_none_address(c: Column) -> Column:
     """Null, empty and the zero address all stand for nobody."""
     return c.isNull() | (c == "") | (F.lower(c) == ZERO_ADDRESS)

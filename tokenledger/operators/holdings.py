@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.identity import is_none_address
+from ..functions.identity import is_none_address, packed, unpacked
 from ..session import by_rows, of_rows, written
 
 OWNERSHIP = ["mint", "transfer", "burn"]
@@ -34,9 +34,13 @@ def net(deltas: DataFrame, keys: list[str], *more: Column) -> DataFrame:
 
 def replay_balances(events: DataFrame, rows: int | None = None) -> DataFrame:
     """AGG1: balances above zero of each token and address. rows is a bound of the number of events, where one is known: of many,
-    a task then sums a bounded number (`of_rows`)."""
+    a task then sums a bounded number (`of_rows`). Addresses of decoded logs, whose quantities are nines, are shuffled as bytes."""
     deltas, key = signed_deltas(events), ["token_id", "address"]
-    return net(deltas if rows is None else of_rows(deltas, key, 2 * rows), key)
+    if V.kind_of(deltas, "delta") == "nines":
+        found, text = packed(F.col("address"))
+        deltas, key = deltas.select("token_id", found.alias("__bytes"), text.alias("__text"), "delta"), ["token_id", "__bytes", "__text"]
+    sums = net(deltas if rows is None else of_rows(deltas, key, 2 * rows), key)
+    return sums if "address" in key else sums.select("token_id", unpacked(F.col("__bytes"), F.col("__text")).alias("address"), "quantity")
 
 
 def owner_balance(events: DataFrame, owner: str) -> DataFrame:
