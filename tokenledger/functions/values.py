@@ -109,7 +109,7 @@ def with_text(df: DataFrame, column: str) -> DataFrame:
 # --- 256-bit numbers as nine bigints of 9 digits, lowest first: no decimals where there are very many ----
 
 NINES, NINE = tuple(f"n{k}" for k in range(9)), 10**9
-UP = 46 * 10**8  # times NINE it is half of what a bigint holds: with it no sum of as many numbers is negative
+FIVE, UP = 5**9, 10**10  # NINE is FIVE times 2^9; no bigint over 2^9 is below -UP times FIVE
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -139,8 +139,9 @@ def _carried_nines(names: list[str]) -> Column:
     """Sums of each of nines as nines: of 0 to 10^9 - 1 but for the last, which has the rest and the sign."""
     each, t = [], ""
     for k, name in zip(NINES, names, strict=True):
-        t = f"({name} + ({t} div {NINE}L - {UP}L) + {UP * NINE}L)" if t else f"({name} + {UP * NINE}L)"
-        each.append(F.expr(f"{t} % {NINE}L" if k != NINES[-1] else f"{t} - {UP * NINE}L").alias(k))
+        # rounded down, of what may be negative: by a shift, which leaves room to make it positive, and a division
+        t = f"({name} + ((shiftright({t}, 9) + {UP * FIVE}L) div {FIVE}L - {UP}L))" if t else name
+        each.append(F.expr(f"pmod({t}, {NINE}L)" if k != NINES[-1] else t).alias(k))
     return F.struct(*each)
 
 
